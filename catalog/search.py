@@ -1 +1,289 @@
+"""Queries for the keyword, full-text and vector indexes and the document store."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query, table
+from catalog.sql import ALL, ANY, KEYWORD_HITS, fulltext as ft, ranked, sentence_rows, tokens
+from corpusflow.functions import text as X
+from corpusflow.operators import chunks as C
+from corpusflow.operators import docstore, fulltext, keyword, vectors
+from corpusflow.session import scratch_path
+
+
+def documents(spark, folder):
+    return table(spark, folder, "documents", spread=True)
+
+
+def whole_docs(spark, folder):
+    return C.unary_chunks(documents(spark, folder))
+
+
+def doc_queries(spark, folder):
+    return documents(spark, folder).select(F.col("doc_id").alias("request_id"), "text")
+
+
+def items(spark, folder):
+    """Benchmark texts as search queries."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("request_id"), "text")
+
+
+def item_chunks(spark, folder):
+    return C.unary_chunks(table(spark, folder, "benchmark").withColumnRenamed("item_id", "doc_id"))
+
+
+def item_index(spark, folder):
+    return keyword.build_index(item_chunks(spark, folder))
+
+
+def indexed_docs(spark, folder, **analysis):
+    return fulltext.indexed_chunks(whole_docs(spark, folder), **analysis)
+
+
+# ---- keyword ------------------------------------------------------------------------------------
+
+_INDEX = f"""
+  WITH chunks AS ({sentence_rows('documents', 'doc_id')}),
+  latest AS (SELECT text, max(doc_id) AS doc_id, count(*) AS added FROM chunks GROUP BY text)
+  SELECT l.text, l.doc_id, max(c."offset")::INT AS "offset", l.added
+  FROM latest l JOIN chunks c USING (text, doc_id) GROUP BY ALL"""
+
+
+@query("keyword_index", _INDEX)
+def keyword_index(spark, folder):
+    return keyword.build_index(C.sentence_chunks(documents(spark, folder)))
+
+
+@query("keyword_stats", f"SELECT count(*) AS patterns, sum(added)::BIGINT AS size FROM ({_INDEX})")
+def keyword_stats(spark, folder):
+    return keyword.index_stats(keyword_index(spark, folder))
+
+
+_MATCH = f"WITH {KEYWORD_HITS} SELECT * FROM hits"
+
+
+@query("keyword_match", _MATCH)
+def keyword_match(spark, folder):
+    return keyword.match(doc_queries(spark, folder), item_index(spark, folder))
+
+
+@query("keyword_match_grams", _MATCH)
+def keyword_match_grams(spark, folder):
+    return keyword.match(doc_queries(spark, folder), item_index(spark, folder), plan="grams")
+
+
+@query(
+    "keyword_topk",
+    f'WITH {KEYWORD_HITS} SELECT request_id, rank, doc_id, "offset", weight, relevance FROM ranked WHERE rank <= 5',
+)
+def keyword_topk(spark, folder):
+    return keyword.search(doc_queries(spark, folder), item_index(spark, folder), 5)
+
+
+@query(
+    "index_guards",
+    "SELECT item_id AS request_id, 0::BIGINT AS hits FROM benchmark",
+)
+def index_guards(spark, folder):
+    empty = keyword.build_index(item_chunks(spark, folder).filter("text = ''"))
+    hits = keyword.search(items(spark, folder), empty, 5)
+    return items(spark, folder).join(hits, "request_id", "left").groupBy("request_id").agg(F.count("doc_id").alias("hits"))
+
+
+# ---- full text ----------------------------------------------------------------------------------
+
+
+@query(
+    "postings",
+    f"""SELECT term, doc_id, 0::INT AS "offset", count(*)::INT AS tf, string_agg((i - 1)::VARCHAR, ' ' ORDER BY i) AS positions
+        FROM (SELECT doc_id, unnest({tokens('text')}) AS term, unnest(range(1, len({tokens('text')}) + 1)) AS i FROM documents)
+        GROUP BY 1, 2""",
+)
+def postings(spark, folder):
+    rows = fulltext.postings(indexed_docs(spark, folder))
+    return rows.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+
+
+@query("term_stats", f"WITH {ft()} SELECT term, df FROM dfs")
+def term_stats(spark, folder):
+    return fulltext.term_stats(indexed_docs(spark, folder))
+
+
+@query("search_all", f"WITH {ft()}, {ranked(ALL, 5)} SELECT * FROM best")
+def search_all(spark, folder):
+    return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5)
+
+
+@query("search_all_by_term", f"WITH {ft()}, {ranked(ALL, 5)} SELECT * FROM best")
+def search_all_by_term(spark, folder):
+    return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5, plan="term")
+
+
+@query("search_any", f"WITH {ft()}, {ranked(ANY, 5)} SELECT * FROM best")
+def search_any(spark, folder):
+    return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5, match="any")
+
+
+STEM = """CASE WHEN suffix(term, 'ies') AND NOT suffix(term, 'eies') AND NOT suffix(term, 'aies') THEN left(term, length(term) - 3) || 'y'
+  WHEN suffix(term, 'es') AND NOT suffix(term, 'aes') AND NOT suffix(term, 'ees') AND NOT suffix(term, 'oes') THEN left(term, length(term) - 1)
+  WHEN suffix(term, 's') AND NOT suffix(term, 'us') AND NOT suffix(term, 'ss') THEN left(term, length(term) - 1) ELSE term END"""
+
+
+@query("search_stemmed", f"WITH {ft(STEM)}, {ranked(ANY, 5)} SELECT * FROM best")
+def search_stemmed(spark, folder):
+    return fulltext.search(indexed_docs(spark, folder, stem=X.s_stem), items(spark, folder), 5, match="any", stem=X.s_stem)
+
+
+@query("search_porter")
+def search_porter(spark, folder):
+    indexed = fulltext.porter_terms(indexed_docs(spark, folder))
+    queries = items(spark, folder).select(F.col("request_id").alias("doc_id"), F.lit(0).alias("offset"), "text")
+    stems = fulltext.porter_terms(fulltext.indexed_chunks(queries))
+    clauses = stems.select(F.col("doc_id").alias("request_id"), F.explode(F.array_distinct("terms")).alias("term"))
+    return fulltext.best_hits(fulltext.score(indexed, clauses.withColumn("clause", F.lit("should"))), 5)
+
+
+_CLAUSES = f"""
+  words AS (SELECT item_id AS request_id, {tokens('text')} AS w FROM benchmark),
+  clauses AS (
+    SELECT request_id, 'must' AS clause, w[1] AS term FROM words WHERE request_id % 2 = 0
+    UNION SELECT request_id, 'must', w[2] FROM words WHERE request_id % 2 = 0
+    UNION SELECT request_id, 'should', unnest(w[3:]) FROM words
+    UNION SELECT request_id, 'must_not', w[len(w)] FROM words)"""
+
+
+def bool_clauses(spark, folder):
+    """Of each benchmark text: must = its first two words (even items only), should = the rest, must_not = the last word."""
+    words = items(spark, folder).select("request_id", X.tokens(F.col("text")).alias("w"))
+    even = words.filter("request_id % 2 = 0")
+    must = even.select("request_id", F.lit("must").alias("clause"), F.explode(F.slice("w", 1, 2)).alias("term"))
+    rest = F.slice("w", F.lit(3), F.greatest(F.size("w") - 2, F.lit(0)))
+    should = words.select("request_id", F.lit("should").alias("clause"), F.explode(rest).alias("term"))
+    must_not = words.select("request_id", F.lit("must_not").alias("clause"), F.element_at("w", -1).alias("term"))
+    return must.unionByName(should).unionByName(must_not)
+
+
+_BOOL = f"""
+  WITH {ft()}, {_CLAUSES},
+  weighted AS (SELECT c.request_id, c.clause, p.doc_id, p."offset", p.tf * ln((nn.n + 1) / (d.df + 1)) AS part
+               FROM clauses c JOIN post p ON p.term = c.term JOIN dfs d ON d.term = c.term CROSS JOIN nn),
+  sums AS (SELECT request_id, doc_id, "offset", count(*) FILTER (clause = 'must') AS have, count(*) FILTER (clause = 'should') AS extra,
+                  count(*) FILTER (clause = 'must_not') AS banned, sum(part) FILTER (clause <> 'must_not') AS raw_score
+           FROM weighted GROUP BY ALL),
+  needed AS (SELECT request_id, count(*) FILTER (clause = 'must') AS need FROM clauses GROUP BY 1),
+  {ranked('SELECT s.* FROM sums s JOIN needed USING (request_id) WHERE have = need AND banned = 0 AND (need > 0 OR extra > 0)', 5)}
+  SELECT * FROM best"""
+
+
+@query("search_bool", _BOOL)
+def search_bool(spark, folder):
+    return fulltext.bool_search(indexed_docs(spark, folder), bool_clauses(spark, folder), 5)
+
+
+@query("search_bool_by_term", _BOOL)
+def search_bool_by_term(spark, folder):
+    return fulltext.bool_search(indexed_docs(spark, folder), bool_clauses(spark, folder), 5, plan="term")
+
+
+@query(
+    "search_phrase",
+    f"""WITH {ft()},
+        lines AS (SELECT doc_id, ' ' || array_to_string({tokens('text')}, ' ') || ' ' AS line FROM documents),
+        phrases AS (SELECT item_id AS request_id, ' ' || array_to_string({tokens('text')}, ' ') || ' ' AS phrase FROM benchmark),
+        {ranked(f"SELECT a.* FROM ({ALL}) a JOIN lines USING (doc_id) JOIN phrases USING (request_id) WHERE contains(line, phrase)", 5)}
+        SELECT * FROM best""",
+)
+def search_phrase(spark, folder):
+    return fulltext.phrase_search(indexed_docs(spark, folder), items(spark, folder), 5)
+
+
+@query(
+    "joint_search",
+    f"WITH {ft()}, {ranked(ANY, 5)} SELECT request_id, rank, doc_id, score, lang, text FROM best JOIN documents USING (doc_id)",
+)
+def joint_search(spark, folder):
+    hits = search_any(spark, folder).select("request_id", "rank", "doc_id", "score")
+    return docstore.joint_search(hits, table(spark, folder, "documents").select("doc_id", "lang", "text"))
+
+
+# ---- document store -----------------------------------------------------------------------------
+
+
+def _writes(spark, folder):
+    """Documents, then conversation turns written over them: the last turn stays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.lit(0).cast("long").alias("seq"))
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), "text", (F.col("turn") + 1).alias("seq"))
+    return docs, turns
+
+
+_UPSERT = """SELECT doc_id, arg_max(text, seq) AS text, max(seq) AS seq FROM (
+  SELECT doc_id, text, 0 AS seq FROM documents UNION ALL SELECT conv_id, text, turn + 1 FROM conversations) GROUP BY 1"""
+
+
+@query("doc_upsert", _UPSERT)
+def doc_upsert(spark, folder):
+    return docstore.upsert(*_writes(spark, folder))
+
+
+@query("doc_store_scan", _UPSERT)
+def doc_store_scan(spark, folder):
+    path = scratch_path(spark, "store")
+    docs, turns = _writes(spark, folder)
+    docstore.write_store(docs, path, buckets=8)
+    docstore.write_store(turns, path, buckets=8)
+    return docstore.read_store(spark, path).select("doc_id", "text", "seq")
+
+
+@query(
+    "doc_lookup",
+    """SELECT e.event_id, e.user_id * 10 AS doc_id, md5(d.text) AS digest, d.doc_id IS NOT NULL AS found
+       FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id * 10""",
+)
+def doc_lookup(spark, folder):
+    requests = table(spark, folder, "events").select("event_id", (F.col("user_id") * 10).alias("doc_id"))
+    store = table(spark, folder, "documents").select("doc_id", F.md5("text").alias("digest"))
+    return docstore.lookup(requests, store).select("event_id", "doc_id", "digest", "found")
+
+
+# ---- vectors ------------------------------------------------------------------------------------
+
+
+def vector_table(spark, folder):
+    return table(spark, folder, "embeddings", spread=True).select("vec_id", F.col("embedding").alias("vector"))
+
+
+def vector_queries(spark, folder):
+    return vector_table(spark, folder).withColumnRenamed("vec_id", "request_id")
+
+
+def _nearest_sql(distance: str) -> str:
+    return f"""
+      WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+      pairs AS (SELECT q.vec_id AS request_id, v.vec_id, round({distance}, 6) + 0.0 AS distance FROM v q CROSS JOIN v)
+      SELECT * FROM (SELECT request_id, vec_id, distance,
+        row_number() OVER (PARTITION BY request_id ORDER BY distance, vec_id)::INT AS rank FROM pairs) WHERE rank <= 5"""
+
+
+_L2 = _nearest_sql("list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))")
+_COSINE = _nearest_sql("1 - list_cosine_similarity(q.e, v.e)")
+
+
+@query("vector_topk", _L2)
+def vector_topk(spark, folder):
+    return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5)
+
+
+@query("vector_topk_blocks", _L2)
+def vector_topk_blocks(spark, folder):
+    return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5, plan="blocks")
+
+
+@query("vector_topk_cosine", _COSINE)
+def vector_topk_cosine(spark, folder):
+    return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5, metric="cosine")
+
+
+@query("vector_ann")
+def vector_ann(spark, folder):
+    return vectors.nearest_approximate(vector_queries(spark, folder), vector_table(spark, folder), 5)

@@ -100,90 +100,90 @@ def weighted_terms(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | No
     return joined.withColumn("idf", idf(F.lit(indexed.count()), F.col("df")))
 
 
-def _anchor_terms(weighted: DataFrame) -> DataFrame:
-    """(request_id, anchor): the rarest must term of a request, or all its should terms if it has no must.
+def _score_must_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Chunks that qualify for requests with must terms, found and scored where they lie.
 
-    Every chunk that qualifies for a request holds one of its anchors.
-    """
-    rarest = weighted.filter("clause = 'must'").groupBy("request_id").agg(F.min(F.struct("df", "term")).alias("r"))
-    rarest = rarest.select("request_id", F.col("r.term").alias("anchor"))
-    optional = weighted.filter("clause = 'should'").join(rarest, "request_id", "left_anti")
-    return rarest.unionByName(optional.select("request_id", F.col("term").alias("anchor")))
-
-
-def _score_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Qualifying chunks found and scored where they lie; nothing of the index is shuffled.
-
-    A chunk is looked at for a request only when it holds one of the request's anchors, and then
-    checked and scored from its own term list.  The clauses must be proven small.
+    A chunk is looked at for a request only when it holds the request's rarest must term, and then
+    checked and scored from its own term list; nothing of the index is shuffled.  The clauses must be
+    proven small.
     """
 
     def clause(name: str) -> Column:
-        return F.collect_set(F.when(F.col("clause") == name, F.col("term"))).alias(name)
+        return F.collect_list(F.when(F.col("clause") == name, F.col("term"))).alias(name)
 
     scored = F.when(F.col("clause") != "must_not", F.struct("term", "idf"))
     plans = weighted.groupBy("request_id").agg(
-        clause("must"), clause("should"), clause("must_not"), F.collect_set(scored).alias("scored")
+        clause("must"), clause("must_not"), F.sort_array(F.collect_list(scored)).alias("scored")
     )
-    anchors = _anchor_terms(weighted)
-    plans = plans.join(anchors, "request_id")
-    words = [r[0] for r in anchors.select("anchor").distinct().collect()]
+    plans = plans.join(_rarest(weighted), "request_id").withColumnRenamed("term", "anchor")
+    words = [r[0] for r in plans.select("anchor").distinct().collect()]
     held = F.array_intersect("terms", F.array(*[F.lit(t) for t in words]).cast("array<string>"))
     looked_at = indexed.select(*KEY, "terms", F.explode(held).alias("anchor")).join(F.broadcast(plans), "anchor")
-    has_must = F.size("must") > 0
-    # Without must terms a chunk may hold several anchors; only the first one reports it.
-    first_held = F.get(F.array_intersect("should", "terms"), F.lit(0)) == F.col("anchor")
-    fits = (
-        (F.size(F.array_except("must", "terms")) == 0)
-        & ~F.arrays_overlap("must_not", "terms")
-        & (has_must | first_held)
-    )
+    fits = (F.size(F.array_except("must", "terms")) == 0) & ~F.arrays_overlap("must_not", "terms")
     score = F.aggregate(
-        F.sort_array("scored"),
+        "scored",
         F.lit(0.0),
         lambda total, q: total + F.size(F.filter("terms", lambda t: t == q["term"])) * q["idf"],
     )
     return looked_at.filter(fits).select("request_id", *KEY, score.alias("score"))
 
 
+def _summed(hits: DataFrame) -> DataFrame:
+    """Per request and chunk: the score, and how many clauses of each kind the chunk holds."""
+    kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in ("must", "should", "must_not")]
+    part = F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))
+    return hits.groupBy("request_id", *KEY).agg(F.sum(part).alias("score"), *kinds)
+
+
 def _score_any(counted: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
-    """Sum over the terms a chunk shares with a request.  With small queries this stays in the shard."""
-    terms = weighted.select("request_id", "term", "idf")
-    hits = counted.join(F.broadcast(terms), "term") if small else salted_join(counted, terms, "term")
-    return hits.groupBy("request_id", *KEY).agg(F.sum(F.col("tf") * F.col("idf")).alias("score"))
+    """Requests without must terms: sums over the terms a chunk shares with them.  Small queries are
+    shipped, and the sums then stay in the shard."""
+    hits = counted.join(F.broadcast(weighted), "term") if small else salted_join(counted, weighted, "term")
+    return _summed(hits).filter("n_should > 0 AND n_must_not = 0").select("request_id", *KEY, "score")
+
 
+def _rarest(weighted: DataFrame) -> DataFrame:
+    """(request_id, term): the must term held by the fewest chunks."""
+    rare = weighted.filter("clause = 'must'").groupBy("request_id").agg(F.min(F.struct("df", "term")).alias("r"))
+    return rare.select("request_id", "r.term")
 
-def _score_by_term(counted: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Postings joined to the clauses by shuffle, for query sets too large to ship.
 
-    Candidates come from the anchors only, so a request's common terms never multiply; the other
-    terms are looked up per candidate.
+def _score_must_by_term(counted: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Requests with must terms, by shuffle: for query sets too large to ship.
+
+    Candidates come from each request's rarest must term only, so its common terms never multiply; the
+    other terms are looked up per candidate.
     """
     need = weighted.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
-    anchors = _anchor_terms(weighted).withColumnRenamed("anchor", "term")
-    candidates = salted_join(counted.select("term", *KEY), anchors, "term").select("request_id", *KEY).distinct()
+    candidates = salted_join(counted.select("term", *KEY), _rarest(weighted), "term").drop("term")
     found = candidates.join(weighted, "request_id").join(counted, ["term", *KEY])
-    scored = found.groupBy("request_id", *KEY).agg(
-        F.count_if(F.col("clause") == "must").alias("have"),
-        F.count_if(F.col("clause") == "must_not").alias("banned"),
-        F.sum(F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))).alias("score"),
-    )
-    return scored.join(need, "request_id").filter("have = need AND banned = 0").select("request_id", *KEY, "score")
+    scored = _summed(found).join(need, "request_id").filter("n_must = need AND n_must_not = 0")
+    return scored.select("request_id", *KEY, "score")
 
 
 def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None, plan: str | None = None) -> DataFrame:
     """TF-IDF of every qualifying chunk: (request_id, doc_id, offset, score).
 
     ``clauses`` is a table (request_id, clause, term), each row once, clause in must / should / must_not.
+    Requests with and without must terms are evaluated apart, each in its cheapest way.
     A chunk qualifies when it holds all must terms (or, without must terms, at least one should term)
-    and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over its must and should terms.
+    and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over the must and should rows it holds.
     ``plan`` is ``shard`` or ``term``; by default the size of the clauses decides.
     """
     small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS) if plan is None else plan == "shard"
     weighted = weighted_terms(indexed, clauses, stats)
-    if clauses.filter("clause <> 'should'").isEmpty():
-        return _score_any(counted_terms(indexed), weighted, small)
-    return _score_by_shard(indexed, weighted) if small else _score_by_term(counted_terms(indexed), weighted)
+    must = clauses.filter("clause = 'must'").select("request_id").distinct()
+    with_must = weighted.join(must, "request_id", "left_semi")
+    without = weighted.join(must, "request_id", "left_anti")
+    any_must, any_without = not must.isEmpty(), not clauses.join(must, "request_id", "left_anti").isEmpty()
+    results = []
+    if any_must:
+        results.append(
+            _score_must_by_shard(indexed, with_must) if small else _score_must_by_term(counted_terms(indexed), with_must)
+        )
+    if any_without or not any_must:
+        results.append(_score_any(counted_terms(indexed), without, small))
+    return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
 def best_hits(scored: DataFrame, k: int) -> DataFrame:

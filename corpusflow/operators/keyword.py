@@ -48,6 +48,9 @@ def index_stats(index: DataFrame) -> DataFrame:
 def _with_automaton(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
     """Occurrences by one automaton per task; ``index`` must be proven small."""
     rows = index.select("text", "doc_id", "offset").collect()
+    counts = f"{_typed(queries, key)}, {COUNTS}"
+    if not rows:
+        return queries.sparkSession.createDataFrame([], counts)
     words = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +67,7 @@ def _with_automaton(queries: DataFrame, index: DataFrame, key: list[str]) -> Dat
                 hits.extend((*request, *pattern, *values) for pattern, values in found.items())
             yield pd.DataFrame(hits, columns=[*key, *COUNT_COLUMNS])
 
-    return queries.mapInPandas(count, f"{_typed(queries, key)}, {COUNTS}")
+    return queries.mapInPandas(count, counts)
 
 
 def _gram_hashes(letters: np.ndarray, width: int) -> np.ndarray:

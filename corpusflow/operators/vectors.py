@@ -44,19 +44,21 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0)
 
 
-def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """Per query the k nearest of one block of vectors, by (rounded distance, id)."""
+def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple:
+    """Pairs (request ids, vector ids, rounded distances) of one block: per query its k nearest and their ties."""
     rounded = np.round(_distances(q, v, metric), 6) + 0.0
     last = min(k, len(vid)) - 1
     row, col = np.nonzero(rounded <= np.partition(rounded, last, axis=1)[:, last : last + 1])
-    found = pd.DataFrame({"request_id": qid[row], "vec_id": vid[col], "distance": rounded[row, col]})
-    return _merge([found], k)
+    return qid[row], vid[col], rounded[row, col]
 
 
-def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    """The k best per query of several partial results."""
-    rows = pd.concat(parts).sort_values(["request_id", "distance", "vec_id"])
-    return rows.groupby("request_id", sort=False).head(k)
+def _best(pairs: list[tuple], k: int) -> pd.DataFrame:
+    """The k best distinct vectors per query of several partial results, ties by id."""
+    if not pairs:
+        return pd.DataFrame({"request_id": [], "vec_id": [], "distance": []})
+    request, vec, dist = (np.concatenate(column) for column in zip(*pairs))
+    rows = pd.DataFrame({"request_id": request, "vec_id": vec, "distance": dist}).drop_duplicates()
+    return rows.sort_values(["request_id", "distance", "vec_id"]).groupby("request_id", sort=False).head(k)
 
 
 def _with_shipped_queries(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
@@ -68,54 +70,66 @@ def _with_shipped_queries(queries: DataFrame, vectors: DataFrame, k: int, metric
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = shipped.value
-        held: pd.DataFrame | None = None
+        held: list[tuple] = []
         for frame in frames:
             for at in range(0, len(frame), BLOCK):
                 block = frame.iloc[at : at + BLOCK]
                 vid, v = block["vec_id"].to_numpy(), _matrix(block["vector"])
-                found = [
+                held += [
                     _nearest(qid[i : i + BLOCK], q[i : i + BLOCK], vid, v, k, metric) for i in range(0, len(qid), BLOCK)
                 ]
-                held = _merge(found if held is None else [held, *found], k)
-        if held is not None:
-            yield held
+                best = _best(held, k)
+                held = [tuple(best[c].to_numpy() for c in best.columns)]
+        if held:
+            yield _best(held, k)
 
     return vectors.select("vec_id", "vector").mapInPandas(scan, CANDIDATES)
 
 
 def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
-    """Compare queries and vectors of the same ``bucket`` block by block, keeping k per query and block.
+    """Compare queries and vectors of the same ``bucket``, keeping k per query and group.
 
-    Each side of a bucket is cut into blocks of about ``block_rows`` rows and every pair of blocks is one
-    group, so a group has a bounded size however large its bucket is.
+    A bucket of more than ``block_rows`` rows is cut into blocks on both sides, and every pair of blocks is
+    one group; small buckets share groups of about that size.  So groups are bounded whatever the buckets hold.
     """
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        cut = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
-        return df.groupBy("bucket").agg(cut.alias(name))
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
-    sizes = blocks(queries, "q_blocks").join(blocks(vectors, "v_blocks"), "bucket")
+    def cut(name: str) -> Column:
+        return F.ceil(F.col(name) / block_rows).cast("int").alias(f"{name}_blocks")
+
+    sizes = counted(queries, "q").join(counted(vectors, "v"), "bucket")
+    shared = int(sizes.agg(F.coalesce(F.sum(F.col("q") + F.col("v")), F.lit(0))).first()[0] // block_rows + 1)
+    shared = max(shared, queries.sparkSession.sparkContext.defaultParallelism)
+    large = (F.col("q") > block_rows) | (F.col("v") > block_rows)
+    part = F.when(large, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(shared)))
+    sizes = sizes.select("bucket", part.cast("long").alias("part"), cut("q"), cut("v"))
 
     def spread(df: DataFrame, key: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         placed = df.join(sizes, "bucket").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_blocks)).cast("int"))
         copies = F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(other)
-        return placed.select("bucket", own, copies, key, "vector")
+        return placed.select("part", own, copies, "bucket", key, "vector")
 
     q = spread(queries, "request_id", "qb", "q_blocks", "vb", "v_blocks")
     v = spread(vectors, "vec_id", "vb", "v_blocks", "qb", "q_blocks")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"request_id": [], "vec_id": [], "distance": []})
-        vid, vec = right["vec_id"].to_numpy(), _matrix(right["vector"])
-        parts = []
-        for at in range(0, len(left), BLOCK):
-            some = left.iloc[at : at + BLOCK]
-            parts.append(_nearest(some["request_id"].to_numpy(), _matrix(some["vector"]), vid, vec, k, metric))
-        return pd.concat(parts)
-
-    key = ["bucket", "qb", "vb"]
-    return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInPandas(compare, CANDIDATES)
+        inside = right.groupby("bucket").indices
+        pairs = []
+        for bucket, at in left.groupby("bucket").indices.items():
+            if bucket not in inside:
+                continue
+            some = right.iloc[inside[bucket]]
+            vid, vec = some["vec_id"].to_numpy(), _matrix(some["vector"])
+            for i in range(0, len(at), BLOCK):
+                asking = left.iloc[at[i : i + BLOCK]]
+                pairs.append(_nearest(asking["request_id"].to_numpy(), _matrix(asking["vector"]), vid, vec, k, metric))
+        return _best(pairs, k)
+
+    key = ["part", "qb", "vb"]
+    v = v.withColumnsRenamed({c: f"v_{c}" for c in key})
+    return q.groupBy(*key).cogroup(v.groupBy(*[f"v_{c}" for c in key])).applyInPandas(compare, CANDIDATES)
 
 
 def nearest(
@@ -164,13 +178,14 @@ def nearest_approximate(
     metric: str = "l2",
     tables: int = 12,
     cuts: int = 4,
-    width: float = 1.0,
+    width: float = 2.0,
     seed: int = 42,
     block_rows: int = 20_000,
 ) -> DataFrame:
     """Nearest vectors among those sharing a random-projection bucket with the query, distances exact.
 
-    Result as ``nearest``; a query may get fewer than k.  More tables, fewer cuts or wider buckets raise
+    Result as ``nearest``; a query may get fewer than k.  ``width`` should be about twice the distance of a
+    near neighbour (2 suits unit vectors).  More tables, fewer cuts or wider buckets raise
     the recall and the cost.  Inside a bucket only the k best per query and block leave a task.
     """
 
