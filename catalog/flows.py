@@ -1 +1,165 @@
+"""Queries for the composite flows and the plug-in points."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from catalog import query, table
+from catalog.routing import WEIGHTED_SQL, WEIGHTS, _RERANK
+from catalog.search import doc_queries, indexed_docs, item_chunks, items
+from catalog.sql import KEYWORD_HITS, sentence_rows, starts, tokens
+from corpusflow.operators import chunks as C
+from corpusflow.operators.scale import top_k
+from corpusflow.plans import flows, plugins
+
+
+def index_messages(docs):
+    """Documents as index messages; those of one source pose as training messages and must be blocked."""
+    kind = F.when(F.col("source") == "src0", "train").otherwise("index")
+    return docs.select(kind.alias("kind"), "doc_id", "text", F.lit(0).alias("seq"))
+
+
+INDEXED_SQL = f"SELECT doc_id, len({tokens('text')})::INT AS n_terms, md5(text) AS digest FROM documents WHERE source IS DISTINCT FROM 'src0'"
+
+
+def index_summary(fulltext, store):
+    sizes = fulltext.select("doc_id", F.size("terms").alias("n_terms"))
+    return sizes.join(store.select("doc_id", F.md5("text").alias("digest")), "doc_id")
+
+
+@query("flow_index", INDEXED_SQL)
+def flow_index(spark, folder):
+    index = flows.index_flow(index_messages(table(spark, folder, "documents", spread=True)))
+    return index_summary(index.fulltext, index.store)
+
+
+@query(
+    "flow_query",
+    f"""{_RERANK} SELECT request_id, rank, doc_id, score, md5(candidate) AS digest FROM (
+          SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+            SELECT request_id, doc_id, candidate, round({WEIGHTED_SQL}, 6) AS score FROM features)) WHERE rank <= 3""",
+)
+def flow_query(spark, folder):
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
+    index = flows.CorpusIndex(indexed_docs(spark, folder), docs)
+    searches = items(spark, folder).select(F.lit("search").alias("kind"), "request_id", "text")
+    noise = searches.withColumns({"kind": F.lit("train"), "request_id": -1 - F.col("request_id")})
+    hits = flows.query_flow(searches.unionByName(noise), index, WEIGHTS, 3, candidates=10, match="any")
+    return hits.select("request_id", "rank", "doc_id", "score", F.md5("text").alias("digest"))
+
+
+def payloads(df):
+    return df.select("doc_id", F.to_json(F.struct(F.col("text").alias("data"))).alias("payload"))
+
+
+@query(
+    "flow_fact_index",
+    f"""WITH chunks AS ({sentence_rows('documents', 'doc_id')}),
+        owners AS (SELECT text, max(doc_id) AS doc_id FROM chunks GROUP BY 1),
+        owned AS (SELECT doc_id, count(*) AS patterns FROM owners GROUP BY 1)
+        SELECT doc_id, count(*) AS chunks, coalesce(max(patterns), 0)::BIGINT AS patterns FROM chunks LEFT JOIN owned USING (doc_id) GROUP BY 1""",
+)
+def flow_fact_index(spark, folder):
+    index, _, receipts = flows.fact_index_flow(payloads(table(spark, folder, "documents", spread=True)))
+    owned = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("patterns"))
+    return receipts.join(owned, "doc_id", "left").fillna(0, ["patterns"])
+
+
+@query(
+    "flow_fact_query",
+    f"""WITH patterns AS (SELECT text, arg_max(doc_id, (doc_id, "offset")) AS doc_id, arg_max("offset", (doc_id, "offset")) AS "offset"
+                          FROM ({sentence_rows('benchmark', 'item_id')}) t(doc_id, "offset", text) GROUP BY 1),
+        asked AS (SELECT doc_id AS request_id, text FROM ({sentence_rows('documents', 'doc_id')})),
+        hits AS (SELECT a.request_id, p.doc_id, p."offset", sum(len({starts('a.text', 'p.text')}))::DOUBLE AS relevance
+                 FROM asked a JOIN patterns p ON contains(a.text, p.text) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, doc_id, "offset")::INT AS rank FROM hits),
+        letters AS (SELECT doc_id AS request_id, regexp_extract_all(text, '(?s).') AS l FROM documents WHERE doc_id IN (SELECT request_id FROM hits)),
+        grams AS (SELECT request_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS g FROM letters),
+        counts AS (SELECT request_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS cell, count(*) AS n FROM grams GROUP BY 1, 2),
+        norms AS (SELECT request_id, round(sum(n) / sqrt(sum(n * n)), 6) AS norm1 FROM counts GROUP BY 1)
+        SELECT r.request_id, rank, doc_id, "offset", relevance, true AS found, norm1 FROM ranked r JOIN norms USING (request_id) WHERE rank <= 5""",
+)
+def flow_fact_query(spark, folder):
+    facts = payloads(table(spark, folder, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    index, store, _ = flows.fact_index_flow(facts)
+    return flows.fact_query_flow(doc_queries(spark, folder), index, store, 5)
+
+
+@query(
+    "flow_keyword_rerank",
+    f"""WITH {KEYWORD_HITS},
+        sets AS (SELECT r.request_id, r.doc_id, d.text AS query, b.text AS candidate,
+                   list_distinct({tokens('d.text')}) AS q, list_distinct({tokens('b.text')}) AS c
+                 FROM ranked r JOIN documents d ON d.doc_id = r.request_id JOIN benchmark b ON b.item_id = r.doc_id WHERE rank <= 100),
+        features AS (SELECT request_id, doc_id, len(list_intersect(q, c))::DOUBLE AS shared,
+                       len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) AS jaccard,
+                       least(length(query), length(candidate)) / greatest(length(query), length(candidate)) AS length_ratio,
+                       contains(candidate, query)::INT::DOUBLE AS contains FROM sets)
+        SELECT * FROM (SELECT request_id, doc_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id)::INT AS rank
+                       FROM (SELECT request_id, doc_id, round({WEIGHTED_SQL}, 6) AS score FROM features)) WHERE rank <= 3""",
+)
+def flow_keyword_rerank(spark, folder):
+    return flows.keyword_rerank_flow(doc_queries(spark, folder), item_chunks(spark, folder), WEIGHTS, 3)
+
+
+@query("flow_train")
+def flow_train(spark, folder):
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
+    rows = docs.join(table(spark, folder, "labels"), "doc_id").select("text", F.col("quality").cast("string").alias("label"))
+    return flows.train_flow(rows, ["text", "label"], ["0", "1"], epochs=10)[1]
+
+
+def text_shape(texts: list[str]) -> np.ndarray:
+    """Example encoder: length, digits, and spaces of each text."""
+    return np.array([[len(t), sum(c in "0123456789" for c in t), t.count(" ")] for t in texts], dtype=np.float32)
+
+
+@query(
+    "udf_encoder",
+    """SELECT doc_id, length(text)::DOUBLE AS size, length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS digits,
+       (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces FROM documents""",
+)
+def udf_encoder(spark, folder):
+    vector = plugins.encoder(text_shape)(F.col("text"))
+    rows = table(spark, folder, "documents").select("doc_id", vector.alias("v"))
+    return rows.select("doc_id", *[F.col("v")[i].cast("double").alias(n) for i, n in enumerate(("size", "digits", "spaces"))])
+
+
+@query(
+    "udf_scorer",
+    """SELECT u.conv_id, u.turn, length(a.text) / length(u.text) AS score FROM conversations u
+       JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1""",
+)
+def udf_scorer(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    nexts = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("candidate"))
+    ratio = plugins.scorer(lambda queries, candidates: np.array([len(c) / len(q) for q, c in zip(queries, candidates)]))
+    pairs = turns.withColumnRenamed("text", "query").join(nexts, ["conv_id", "turn"])
+    return plugins.router(pairs, lambda df: df.select("conv_id", "turn", ratio("query", "candidate").alias("score")))
+
+
+class DigestIndexer:
+    """Example user index: chunks by the md5 of their text, found by equal text."""
+
+    def build(self, chunks):
+        return chunks.select(F.md5("text").alias("digest"), "doc_id", "offset")
+
+    def search(self, index, queries, k):
+        # k per digest first: texts copied many times then send k rows, not all of them.
+        first = top_k(index, ["digest"], [F.asc("doc_id"), F.asc("offset")], k)
+        return queries.select("request_id", F.md5("text").alias("digest")).join(first, "digest").drop("digest")
+
+
+@query(
+    "custom_index",
+    f"""WITH chunks AS ({sentence_rows('documents', 'doc_id')}),
+        asked AS (SELECT item_id * 1000 + "offset" AS request_id, text FROM ({sentence_rows('benchmark', 'item_id')}))
+        SELECT * FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY doc_id, "offset")::INT AS rank, doc_id, "offset"
+                       FROM asked JOIN chunks USING (text)) WHERE rank <= 3""",
+)
+def custom_index(spark, folder):
+    chunks = C.sentence_chunks(table(spark, folder, "documents", spread=True))
+    asked = C.sentence_chunks(table(spark, folder, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    queries = asked.select((F.col("doc_id") * 1000 + F.col("offset")).alias("request_id"), "text")
+    return plugins.run_indexer(DigestIndexer(), chunks, queries, 3)

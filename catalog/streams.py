@@ -1 +1,79 @@
+"""Queries for the streaming forms: each runs its stream over the rows available now and reads the sink."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query, table
+from catalog.flows import INDEXED_SQL, index_messages, index_summary
+from catalog.search import indexed_docs
+from catalog.sql import ALL, fulltext as ft, ranked
+from catalog.texts import conversation_pairs
+from corpusflow.operators import examples
+from corpusflow.session import scratch_path
+from corpusflow.streaming import jobs
+
+
+def stream(spark, folder, name):
+    """A given table as a stream of its files."""
+    return jobs.read_files(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
+
+
+def finish(running):
+    running.awaitTermination()
+    if running.exception():
+        raise running.exception()
+
+
+@query("stream_ingest", INDEXED_SQL)
+def stream_ingest(spark, folder):
+    path, state = scratch_path(spark, "index"), scratch_path(spark, "state")
+    finish(jobs.ingest(index_messages(stream(spark, folder, "documents")), path, state))
+    return index_summary(*jobs.read_index(spark, path))
+
+
+@query("stream_block", "SELECT event_id, event_type AS kind, value FROM events WHERE event_type <> 'view'")
+def stream_block(spark, folder):
+    path, state = scratch_path(spark, "kept"), scratch_path(spark, "state")
+    messages = stream(spark, folder, "events").select("event_id", F.col("event_type").alias("kind"), "value")
+    finish(jobs.block(messages, ["view"], path, state))
+    return spark.read.parquet(path)
+
+
+@query("stream_search", f"WITH {ft()}, {ranked(ALL, 5)} SELECT * FROM best")
+def stream_search(spark, folder):
+    path, state = scratch_path(spark, "hits"), scratch_path(spark, "state")
+    asked = stream(spark, folder, "benchmark").select(F.col("item_id").alias("request_id"), "text")
+    finish(jobs.search(asked, indexed_docs(spark, folder), 5, path, state))
+    return spark.read.parquet(path).drop("batch_id")
+
+
+@query(
+    "stream_rendezvous",
+    """SELECT u.conv_id || '#' || u.turn AS request_id, md5(u.text) AS query, md5(a.text) AS answer FROM conversations u
+       JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""",
+)
+def stream_rendezvous(spark, folder):
+    path, state = scratch_path(spark, "pairs"), scratch_path(spark, "state")
+
+    def side(role: str, shift: int, name: str):
+        turns = stream(spark, folder, "conversations").filter(F.col("role") == role)
+        key = F.concat_ws("#", F.col("conv_id").cast("string"), (F.col("turn") - shift).cast("string"))
+        when = F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn"))
+        return turns.select(key.alias("request_id"), when.alias("ts"), F.md5("text").alias(name))
+
+    paired = jobs.rendezvous(side("user", 0, "query"), side("assistant", 1, "answer"), "10 minutes")
+    finish(jobs.write_stream(paired.select("request_id", "query", "answer"), path, state))
+    return spark.read.parquet(path)
+
+
+@query("stream_train")
+def stream_train(spark, folder):
+    source, path, state = (scratch_path(spark, p) for p in ("records", "scorer", "state"))
+    pairs = conversation_pairs(spark, folder)
+    record = F.to_json(F.struct(F.col("query").alias("Query"), F.col("candidate").alias("Candidate"), F.col("label").alias("Label")))
+    pairs.select(record.alias("value")).write.text(source)
+    good, _ = examples.parse_train_records(spark.readStream.text(source))
+    finish(jobs.train_scorer(good, path, state))
+    status = spark.read.parquet(f"{path}/status")
+    return status.select("step", "status", "examples", F.round("intercept", 6).alias("intercept"), F.explode("weights").alias("feature", "weight"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.session import materialize
@@ -16,6 +16,8 @@ PRUNED_RANK = 1000
 #: Largest total of characters (and rows) a side may have to be shipped to every task.
 BROADCAST_CHARS = 64_000_000
 BROADCAST_ROWS = 1_000_000
+#: Keys with fewer rows than this are not worth spreading, whatever their share.
+HOT_ROWS = 100_000
 
 
 def top_k(
@@ -109,12 +111,14 @@ def small_enough(df: DataFrame, text: str | None = None, rows: int = BROADCAST_R
 def hot_keys(df: DataFrame, key: str, parts: int = 64) -> list:
     """Values of ``key`` holding more than 1/parts of the rows; by that share, fewer than ``parts`` values.
 
-    One pass over the key column, counted map-side first.
+    Counted map-side first; the total is a plain row count, free for a stored table.
     """
-    seen = Observation()
-    counts = df.select(key).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.filter(F.col(key).isNotNull()).orderBy(F.desc("n")).limit(parts).collect()
-    return [r[key] for r in largest if r["n"] > seen.get["n"] / parts]
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.orderBy(F.desc("n")).limit(parts).collect()
+    if not largest or largest[0]["n"] < HOT_ROWS:
+        return []
+    share = df.count() / parts
+    return [r[key] for r in largest if r["n"] > share]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 64) -> DataFrame:
