@@ -75,8 +75,8 @@ def flow_fact_index(spark, folder):
                  FROM asked a JOIN patterns p ON contains(a.text, p.text) GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, doc_id, "offset")::INT AS rank FROM hits),
         letters AS (SELECT doc_id AS request_id, regexp_extract_all(text, '(?s).') AS l FROM documents WHERE doc_id IN (SELECT request_id FROM hits)),
-        grams AS (SELECT request_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS g FROM letters),
-        counts AS (SELECT request_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS cell, count(*) AS n FROM grams GROUP BY 1, 2),
+        grams AS (SELECT request_id, unnest(list_transform(range(1, len(l) - 1), lambda i: (((unicode(l[i]) * 131 + unicode(l[i + 1])) * 131 + unicode(l[i + 2])) * 40503::BIGINT >> 16) % 64)) AS cell FROM letters),
+        counts AS (SELECT request_id, cell, count(*) AS n FROM grams GROUP BY 1, 2),
         norms AS (SELECT request_id, round(sum(n) / sqrt(sum(n * n)), 6) AS norm1 FROM counts GROUP BY 1)
         SELECT r.request_id, rank, doc_id, "offset", relevance, true AS found, norm1 FROM ranked r JOIN norms USING (request_id) WHERE rank <= 5""",
 )

@@ -59,7 +59,7 @@ def stream_rendezvous(spark, folder):
     def side(role: str, shift: int, name: str):
         turns = stream(spark, folder, "conversations").filter(F.col("role") == role)
         key = F.concat_ws("#", F.col("conv_id").cast("string"), (F.col("turn") - shift).cast("string"))
-        when = F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn"))
+        when = F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 60 + F.col("turn"))
         return turns.select(key.alias("request_id"), when.alias("ts"), F.md5("text").alias(name))
 
     paired = jobs.rendezvous(side("user", 0, "query"), side("assistant", 1, "answer"), "10 minutes")

@@ -9,6 +9,7 @@ from catalog.sql import PAIRS, sentence_rows, sentences, tokens
 from corpusflow.functions import text as X
 from corpusflow.operators import chunks as C
 from corpusflow.operators import examples as E
+from corpusflow.operators.scale import each
 
 
 @query("unary_chunks", """SELECT doc_id, 0::INT AS "offset", text, 1.0::DOUBLE AS weight, 1::INT AS doc_type FROM documents""")
@@ -191,14 +192,14 @@ def byte_decode(spark, folder):
 @query(
     "char_embed_64",
     """WITH letters AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM documents),
-       grams AS (SELECT doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS g FROM letters),
-       counts AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS cell, count(*) AS n FROM grams GROUP BY 1, 2),
+       grams AS (SELECT doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: (((unicode(l[i]) * 131 + unicode(l[i + 1])) * 131 + unicode(l[i + 2])) * 40503::BIGINT >> 16) % 64)) AS cell FROM letters),
+       counts AS (SELECT doc_id, cell, count(*) AS n FROM grams GROUP BY 1, 2),
        norms AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM counts GROUP BY 1),
        cells AS (SELECT doc_id, unnest(range(64)) AS cell FROM documents)
        SELECT doc_id, cell::INT AS cell, coalesce(round(n / len, 6), 0.0)::DOUBLE AS value
        FROM cells LEFT JOIN counts USING (doc_id, cell) LEFT JOIN norms USING (doc_id)""",
 )
 def char_embed_64(spark, folder):
-    vectors = X.char_embedding(table(spark, folder, "documents"), "doc_id", "text")
-    cells = vectors.select("doc_id", F.posexplode("embedding").alias("cell", "value"))
+    vector = X.char_embedding(F.col("text"))
+    cells = each(table(spark, folder, "documents", spread=True), vector, "value", ["doc_id"], "cell")
     return cells.withColumn("value", F.round("value", 6))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,25 +167,27 @@ def md5_int(text: Column, digits: int) -> Column:
     return F.conv(F.left(F.md5(text), F.lit(digits)), 16, 10).cast("long")
 
 
-def char_embedding(df: DataFrame, key: str, text: str, dim: int = 64, n: int = 3, name: str = "embedding") -> DataFrame:
-    """One unit vector per row from hashed character n-grams: bucket counts, scaled to length 1.
-
-    Counts are combined per (key, bucket) before the shuffle, so at most ``dim`` rows per text move.
-    Texts shorter than n give the zero vector.
-    """
-    letters = F.split(F.col(text), "")
-    starts = F.sequence(F.lit(0), F.size("_letters") - n)
-    grams = F.when(
-        F.size("_letters") >= n,
-        F.transform(starts, lambda i: F.concat(*[F.get("_letters", i + j) for j in range(n)])),
-    ).otherwise(F.array().cast("array<string>"))
-    exploded = df.select(key, letters.alias("_letters")).select(key, F.explode_outer(grams).alias("_gram"))
-    bucket = F.pmod(md5_int(F.col("_gram"), 8), F.lit(dim)).cast("int")
-    counts = exploded.select(key, bucket.alias("_b")).groupBy(key, "_b").agg(F.count("_b").alias("_n"))
-    entries = F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_n")))
-    vectors = counts.groupBy(key).agg(F.map_from_entries(entries).alias("_m"), F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_len"))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.when(F.col("_len") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0)) / F.col("_len")).otherwise(0.0),
-    )
-    return vectors.select(key, cells.alias(name))
+# Multiplier of the gram hash and the factor that mixes it (hash * MIX / 65536).
+GRAM_BASE, GRAM_MIX = 131, 40503
+
+
+def gram_embedding(text: str | None, dim: int, n: int) -> np.ndarray:
+    """Bucket counts of the text's character n-grams, scaled to length 1; zero for texts shorter than n."""
+    letters = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(letters) < n:
+        return np.zeros(dim)
+    grams = np.zeros(len(letters) - n + 1, dtype=np.int64)
+    for i in range(n):
+        grams = grams * GRAM_BASE + letters[i : i + len(grams)]
+    counts = np.bincount((grams * GRAM_MIX >> 16) % dim, minlength=dim).astype(np.float64)
+    return counts / np.sqrt((counts * counts).sum())
+
+
+def char_embedding(text: Column, dim: int = 64, n: int = 3) -> Column:
+    """Unit vector of hashed character n-grams (``gram_embedding``), computed row by row in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: gram_embedding(t, dim, n))
+
+    return embed(text)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators.scale import with_position
+from corpusflow.operators.scale import each, with_position
 
 
 def unary_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -25,9 +25,8 @@ def unary_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 def sentence_chunks(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """One chunk per sentence, offset from 0 within the document.  A document without text has none."""
     source = F.col(text) if isinstance(text, str) else text
-    return docs.select("doc_id", F.posexplode(X.sentences(source)).alias("offset", "text")).withColumn(
-        "weight", F.lit(1.0)
-    )
+    rows = each(docs.withColumn("_text", source), X.sentences(F.col("_text")), "text", ["doc_id"], "offset")
+    return rows.withColumn("weight", F.lit(1.0))
 
 
 def json_chunks(docs: DataFrame, payload: str = "payload", key: str = "data") -> DataFrame:

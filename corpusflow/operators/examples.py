@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators.scale import salted_join, small_enough, with_position
+from corpusflow.operators.scale import each, salted_join, small_enough, with_position
 from corpusflow.schema import TRAIN_RECORD
 
 # Feature length and segment id of padding (0, or 4 for the xlnet variant).
@@ -61,7 +61,7 @@ def numeric_labels(df: DataFrame, label: str = "label") -> tuple[DataFrame, Data
 
 def vocabulary(df: DataFrame, texts: Sequence[str]) -> DataFrame:
     """(term, term_id): all distinct tokens in byte order, numbered after the special ids."""
-    words = [df.select(F.explode(X.tokens(F.col(t))).alias("term")) for t in texts]
+    words = [each(df, X.tokens(F.col(t)), "term", []) for t in texts]
     terms = words[0]
     for other in words[1:]:
         terms = terms.unionByName(other)
@@ -98,7 +98,7 @@ def sequence_features(
     has_b = F.col("text_b").isNotNull()
     tail = F.when(has_b, F.concat("_b", F.array(F.lit("\u0003")))).otherwise(F.array().cast("array<string>"))
     layout = F.concat(F.array(F.lit("\u0002")), F.col("_a"), F.array(F.lit("\u0003")), tail)
-    cells = tokens.select(key, F.size("_a").alias("_n_a"), F.posexplode(layout).alias("_at", "term"))
+    cells = each(tokens.withColumn("_n_a", F.size("_a")), layout, "term", [key, "_n_a"], "_at")
     # Tokens hold letters and digits only, so control characters can stand for the marks.
     marks = F.when(F.col("term") == "\u0002", START).when(F.col("term") == "\u0003", SEPARATOR)
     if small_enough(vocab, "term"):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators.scale import salted_join, small_enough, top_k
+from corpusflow.operators.scale import each, salted_join, small_enough, top_k
 
 #: Query terms and texts up to this size are shipped to the documents; beyond it terms are joined by shuffle.
 QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
@@ -46,22 +46,20 @@ def indexed_chunks(chunks: DataFrame, **analysis) -> DataFrame:
 
 def postings(indexed: DataFrame) -> DataFrame:
     """(term, doc_id, offset, tf, positions): one row per term and chunk; positions in order."""
-    spread = indexed.select(*KEY, F.posexplode("terms").alias("pos", "term"))
+    spread = each(indexed, F.col("terms"), "term", KEY, "pos")
     lists = spread.groupBy("term", *KEY).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return lists.select("term", *KEY, F.size("positions").alias("tf"), "positions")
 
 
 def counted_terms(indexed: DataFrame) -> DataFrame:
     """(term, doc_id, offset, tf), without positions."""
-    spread = indexed.select(*KEY, F.explode("terms").alias("term"))
+    spread = each(indexed, F.col("terms"), "term", KEY)
     return spread.groupBy("term", *KEY).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(indexed: DataFrame) -> DataFrame:
     """(term, df): in how many chunks a term occurs."""
-    return indexed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    return each(indexed, F.array_distinct("terms"), "term", []).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -82,7 +80,7 @@ def porter_terms(indexed: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, **analysis) -> DataFrame:
     """(request_id, term): the distinct terms of each query text."""
-    return queries.select("request_id", F.explode(F.array_distinct(analyze(F.col("text"), **analysis))).alias("term"))
+    return each(queries, F.array_distinct(analyze(F.col("text"), **analysis)), "term", ["request_id"])
 
 
 def weighted_terms(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -92,7 +90,7 @@ def weighted_terms(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | No
     """
     if stats is None:
         wanted = clauses.select("term").distinct()
-        held = indexed.select(F.explode(F.array_distinct("terms")).alias("term"))
+        held = each(indexed, F.array_distinct("terms"), "term", [])
         if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS):
             held = held.join(F.broadcast(wanted), "term", "left_semi")
         stats = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -118,7 +116,7 @@ def _score_must_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
     plans = plans.join(_rarest(weighted), "request_id").withColumnRenamed("term", "anchor")
     words = [r[0] for r in plans.select("anchor").distinct().collect()]
     held = F.array_intersect("terms", F.array(*[F.lit(t) for t in words]).cast("array<string>"))
-    looked_at = indexed.select(*KEY, "terms", F.explode(held).alias("anchor")).join(F.broadcast(plans), "anchor")
+    looked_at = each(indexed, held, "anchor", [*KEY, "terms"]).join(F.broadcast(plans), "anchor")
     fits = (F.size(F.array_except("must", "terms")) == 0) & ~F.arrays_overlap("must_not", "terms")
     score = F.aggregate(
         "scored",

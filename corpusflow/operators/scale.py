@@ -46,6 +46,19 @@ def top_k(
     return ranked if isinstance(k, int) else ranked.filter(F.col(rank) <= k)
 
 
+def each(df: DataFrame, array: Column, name: str, keep: Sequence[str], pos: str | None = None) -> DataFrame:
+    """One row per element of a computed array: the kept columns, [position,] element.  Elements must not be null.
+
+    Same rows as ``explode``.  For a plain explode Catalyst infers a filter on the array's size, which
+    repeats the computation of the array, and pushes it down below any shuffle; the outer form does not.
+    """
+    if pos:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(pos, name))
+    else:
+        rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
     """Number all rows ``start, start+1, ...`` in a total order, without a one-task window.
 

@@ -102,7 +102,7 @@ def fact_query_flow(
     best = top_k(hits, ["request_id"], [F.desc("relevance"), F.asc("doc_id"), F.asc("offset")], k)
     attached = docstore.lookup(best, store.select("doc_id"))
     wanted = queries.join(best.select("request_id").distinct(), "request_id", "left_semi")
-    vectors = X.char_embedding(wanted, "request_id", "text", dim)
+    vectors = wanted.select("request_id", X.char_embedding(F.col("text"), dim).alias("embedding"))
     norm1 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
     # The inner join is the reduce: a request leaves when its hits and its embedding are both there.
     return attached.join(vectors.select("request_id", F.round(norm1, 6).alias("norm1")), "request_id").select(
