@@ -125,6 +125,10 @@ def _hits(spark, folder):
 
 @query("candidate_pairs", f"{_RERANK} SELECT request_id, query, doc_id, candidate FROM pairs")
 def candidate_pairs(spark, folder):
+    return _pairs(spark, folder).select("request_id", "query", "doc_id", "candidate")
+
+
+def _pairs(spark, folder):
     return rerank.candidate_pairs(items(spark, folder), _hits(spark, folder), whole_docs(spark, folder))
 
 
@@ -141,7 +145,7 @@ def _idf(spark, folder):
         FROM features JOIN common_idf USING (request_id, doc_id)""",
 )
 def rerank_score(spark, folder):
-    rows = rerank.pair_features(candidate_pairs(spark, folder), _idf(spark, folder))
+    rows = rerank.pair_features(_pairs(spark, folder), _idf(spark, folder))
     score = F.round(rerank.linear_score({**WEIGHTS, "idf_overlap": 0.01}), 6).alias("score")
     rounded = [F.round(c, 6).alias(c) for c in ("jaccard", "length_ratio", "idf_overlap")]
     return rows.select("request_id", "doc_id", "shared", "contains", *rounded, score)
@@ -154,7 +158,7 @@ def rerank_score(spark, folder):
             SELECT request_id, doc_id, round({WEIGHTED_SQL}, 6) AS score FROM features)) WHERE rank <= 3 + request_id % 3""",
 )
 def rerank_topk(spark, folder):
-    rows = rerank.pair_features(candidate_pairs(spark, folder))
+    rows = rerank.pair_features(_pairs(spark, folder))
     scored = rows.select("request_id", "doc_id", F.round(rerank.linear_score(WEIGHTS), 6).alias("score"))
     best = rerank.rerank(scored, (3 + F.col("request_id") % 3), k_max=5)
     return best.select("request_id", "rank", "doc_id", "score")

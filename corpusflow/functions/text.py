@@ -13,15 +13,23 @@ from pyspark.sql import types as T
 NUL = b"\x00"
 
 
+def _never_null(strings: Column) -> Column:
+    """Where Catalyst knows an array cannot be null it infers no null filter, which would compute it again."""
+    return F.coalesce(strings, F.array().cast("array<string>"))
+
+
 def sentences(text: Column) -> Column:
-    """Array of sentences: cut after ``.!?`` plus whitespace and at line breaks, trimmed, empties dropped."""
+    """Array of sentences: cut after ``.!?`` plus whitespace and at line breaks, trimmed, empties dropped.
+
+    Empty for a null text.
+    """
     cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n+")
-    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
+    return _never_null(F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-cased runs of letters and digits, in order; empty for a null text."""
+    return _never_null(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
 
 
 def s_stem(term: Column) -> Column:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators.scale import each, salted_join, small_enough, top_k
+from corpusflow.session import materialize
 
 #: Query terms and texts up to this size are shipped to the documents; beyond it terms are joined by shuffle.
 QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
 
 KEY = ["doc_id", "offset"]
+#: A chunk with the shard that holds it; grouping by it needs no further shuffle.
+SHARD_KEY = ["shard", *KEY]
 
 
 def stop_words(language: str = "english") -> list[str]:
@@ -36,25 +39,33 @@ def latest_chunks(chunks: DataFrame, seq: str) -> DataFrame:
 
 
 def indexed_chunks(chunks: DataFrame, **analysis) -> DataFrame:
-    """(doc_id, offset, terms): the index as shards of documents.
+    """(shard, doc_id, offset, terms): the index as shards of chunks.
 
-    Hash-partitioned by document key once, moving only the texts; everything counted per chunk
-    afterwards stays in its partition.
+    Hash-partitioned once, moving only the texts; everything counted per chunk afterwards stays in its
+    partition.  The shard is a hash of the whole chunk key, so a document of very many chunks spreads.
     """
-    return chunks.select(*KEY, "text").repartition(*KEY).select(*KEY, analyze(F.col("text"), **analysis).alias("terms"))
+    placed = chunks.select(F.xxhash64(*KEY).alias("shard"), *KEY, "text").repartition("shard")
+    return placed.select(*SHARD_KEY, analyze(F.col("text"), **analysis).alias("terms"))
+
+
+def store_index(indexed: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Keep the shards as a table bucketed by shard: searches of it shuffle neither texts nor postings."""
+    writer = indexed.write.mode("overwrite").format("parquet").bucketBy(buckets, "shard").option("path", path)
+    writer.saveAsTable(table)
+    return indexed.sparkSession.table(table)
 
 
 def postings(indexed: DataFrame) -> DataFrame:
     """(term, doc_id, offset, tf, positions): one row per term and chunk; positions in order."""
-    spread = each(indexed, F.col("terms"), "term", KEY, "pos")
-    lists = spread.groupBy("term", *KEY).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    spread = each(indexed, F.col("terms"), "term", SHARD_KEY, "pos")
+    lists = spread.groupBy("term", *SHARD_KEY).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return lists.select("term", *KEY, F.size("positions").alias("tf"), "positions")
 
 
 def counted_terms(indexed: DataFrame) -> DataFrame:
-    """(term, doc_id, offset, tf), without positions."""
-    spread = each(indexed, F.col("terms"), "term", KEY)
-    return spread.groupBy("term", *KEY).agg(F.count(F.lit(1)).alias("tf"))
+    """(term, shard, doc_id, offset, tf), without positions."""
+    spread = each(indexed, F.col("terms"), "term", SHARD_KEY)
+    return spread.groupBy("term", *SHARD_KEY).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(indexed: DataFrame) -> DataFrame:
@@ -68,14 +79,14 @@ def idf(n: Column, df: Column) -> Column:
 
 def porter_terms(indexed: DataFrame) -> DataFrame:
     """Replace all terms by Porter stems: the stemmer runs once per distinct term, the result is joined back."""
-    spread = indexed.select(*KEY, F.posexplode_outer("terms").alias("pos", "term"))
+    spread = indexed.select(*SHARD_KEY, F.posexplode_outer("terms").alias("pos", "term"))
     stems = spread.select("term").distinct().select("term", X.porter_stem("term").alias("stem"))
     if small_enough(stems, "term"):
         stemmed = spread.join(F.broadcast(stems), "term", "left")
     else:
         stemmed = salted_join(spread, stems, "term", "left")
     ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
-    return stemmed.groupBy(*KEY).agg(ordered.alias("s")).select(*KEY, F.col("s.stem").alias("terms"))
+    return stemmed.groupBy(*SHARD_KEY).agg(ordered.alias("s")).select(*SHARD_KEY, F.col("s.stem").alias("terms"))
 
 
 def query_terms(queries: DataFrame, **analysis) -> DataFrame:
@@ -83,15 +94,16 @@ def query_terms(queries: DataFrame, **analysis) -> DataFrame:
     return each(queries, F.array_distinct(analyze(F.col("text"), **analysis)), "term", ["request_id"])
 
 
-def weighted_terms(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def weighted_terms(indexed: DataFrame, clauses: DataFrame, small: bool, stats: DataFrame | None = None) -> DataFrame:
     """The clause rows with their term's df and idf; a term no chunk holds has df 0.
 
     Document frequencies are counted for the query terms only, unless stored statistics are given.
+    ``small`` says that the clauses may be broadcast.
     """
     if stats is None:
         wanted = clauses.select("term").distinct()
         held = each(indexed, F.array_distinct("terms"), "term", [])
-        if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS):
+        if small:
             held = held.join(F.broadcast(wanted), "term", "left_semi")
         stats = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     joined = clauses.join(stats.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -118,11 +130,11 @@ def _score_must_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
     held = F.array_intersect("terms", F.array(*[F.lit(t) for t in words]).cast("array<string>"))
     looked_at = each(indexed, held, "anchor", [*KEY, "terms"]).join(F.broadcast(plans), "anchor")
     fits = (F.size(F.array_except("must", "terms")) == 0) & ~F.arrays_overlap("must_not", "terms")
-    score = F.aggregate(
-        "scored",
-        F.lit(0.0),
-        lambda total, q: total + F.size(F.filter("terms", lambda t: t == q["term"])) * q["idf"],
-    )
+
+    def tf(term: Column) -> Column:
+        return F.size("terms") - F.size(F.array_remove("terms", term))
+
+    score = F.aggregate("scored", F.lit(0.0), lambda total, q: total + tf(q["term"]) * q["idf"])
     return looked_at.filter(fits).select("request_id", *KEY, score.alias("score"))
 
 
@@ -130,7 +142,7 @@ def _summed(hits: DataFrame) -> DataFrame:
     """Per request and chunk: the score, and how many clauses of each kind the chunk holds."""
     kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in ("must", "should", "must_not")]
     part = F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))
-    return hits.groupBy("request_id", *KEY).agg(F.sum(part).alias("score"), *kinds)
+    return hits.groupBy("request_id", *SHARD_KEY).agg(F.sum(part).alias("score"), *kinds)
 
 
 def _score_any(counted: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
@@ -153,8 +165,8 @@ def _score_must_by_term(counted: DataFrame, weighted: DataFrame) -> DataFrame:
     other terms are looked up per candidate.
     """
     need = weighted.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
-    candidates = salted_join(counted.select("term", *KEY), _rarest(weighted), "term").drop("term")
-    found = candidates.join(weighted, "request_id").join(counted, ["term", *KEY])
+    candidates = salted_join(counted.drop("tf"), _rarest(weighted), "term").drop("term")
+    found = candidates.join(weighted, "request_id").join(counted, ["term", *SHARD_KEY])
     scored = _summed(found).join(need, "request_id").filter("n_must = need AND n_must_not = 0")
     return scored.select("request_id", *KEY, "score")
 
@@ -169,17 +181,19 @@ def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None
     ``plan`` is ``shard`` or ``term``; by default the size of the clauses decides.
     """
     small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS) if plan is None else plan == "shard"
-    weighted = weighted_terms(indexed, clauses, stats)
-    must = clauses.filter("clause = 'must'").select("request_id").distinct()
+    # Read several times below, and each time would count document frequencies again.
+    weighted = materialize(weighted_terms(indexed, clauses, small, stats), "clauses")
+    must = weighted.filter("clause = 'must'").select("request_id").distinct()
     with_must = weighted.join(must, "request_id", "left_semi")
     without = weighted.join(must, "request_id", "left_anti")
-    any_must, any_without = not must.isEmpty(), not clauses.join(must, "request_id", "left_anti").isEmpty()
+    per_request = weighted.groupBy("request_id").agg(F.max(F.col("clause") == "must").alias("m"))
+    n_must, n_without = per_request.agg(F.count_if("m"), F.count_if(~F.col("m"))).first()
     results = []
-    if any_must:
+    if n_must:
         results.append(
             _score_must_by_shard(indexed, with_must) if small else _score_must_by_term(counted_terms(indexed), with_must)
         )
-    if any_without or not any_must:
+    if n_without or not n_must:
         results.append(_score_any(counted_terms(indexed), without, small))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 

@@ -64,10 +64,7 @@ def query_flow(
     requests = routing.block(messages, ["train"]).select("request_id", "text")
     sent = transported(requests, max_bytes)
     hits = fulltext.search(index.fulltext, sent, candidates, match, stats)
-    attached = docstore.joint_search(hits.select("request_id", "doc_id"), index.store)
-    pairs = attached.withColumnRenamed("text", "candidate").join(
-        requests.select("request_id", F.col("text").alias("query")), "request_id"
-    )
+    pairs = rerank.candidate_pairs(requests, hits, C.unary_chunks(index.store))
     scored = rerank.pair_features(pairs).withColumn("score", F.round(rerank.linear_score(weights), 6))
     return rerank.rerank(scored, k).select("request_id", "rank", "doc_id", "score", F.col("candidate").alias("text"))
 
