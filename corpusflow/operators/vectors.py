@@ -176,7 +176,7 @@ def nearest_approximate(
     vectors: DataFrame,
     k: int,
     metric: str = "l2",
-    tables: int = 12,
+    tables: int = 16,
     cuts: int = 4,
     width: float = 2.0,
     seed: int = 42,
