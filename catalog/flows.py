@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.routing import WEIGHTED_SQL, WEIGHTS, _RERANK
-from catalog.search import doc_queries, indexed_docs, item_chunks, items
+from catalog.search import doc_queries, item_chunks, items
 from catalog.sql import KEYWORD_HITS, sentence_rows, starts, tokens
 from corpusflow.operators import chunks as C
 from corpusflow.operators.scale import top_k
@@ -42,7 +42,7 @@ def flow_index(spark, folder):
 )
 def flow_query(spark, folder):
     docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
-    index = flows.CorpusIndex(indexed_docs(spark, folder), docs)
+    index = flows.CorpusIndex(docs)
     searches = items(spark, folder).select(F.lit("search").alias("kind"), "request_id", "text")
     noise = searches.withColumns({"kind": F.lit("train"), "request_id": -1 - F.col("request_id")})
     hits = flows.query_flow(searches.unionByName(noise), index, WEIGHTS, 3, candidates=10, match="any")

@@ -147,17 +147,19 @@ def search_porter(spark, folder):
 _CLAUSES = f"""
   words AS (SELECT item_id AS request_id, {tokens('text')} AS w FROM benchmark),
   clauses AS (
-    SELECT request_id, 'must' AS clause, w[1] AS term FROM words WHERE request_id % 2 = 0
-    UNION SELECT request_id, 'must', w[2] FROM words WHERE request_id % 2 = 0
-    UNION SELECT request_id, 'should', unnest(w[3:]) FROM words
-    UNION SELECT request_id, 'must_not', w[len(w)] FROM words)"""
+    SELECT 2 * request_id AS request_id, 'must' AS clause, w[1] AS term FROM words
+    UNION SELECT 2 * request_id, 'must', w[2] FROM words
+    UNION SELECT 2 * request_id + v, 'should', unnest(w[3:]) FROM words, (VALUES (0), (1)) variant(v)
+    UNION SELECT 2 * request_id + v, 'must_not', w[len(w)] FROM words, (VALUES (0), (1)) variant(v))"""
 
 
 def bool_clauses(spark, folder):
-    """Of each benchmark text: must = its first two words (even items only), should = the rest, must_not = the last word."""
+    """Two requests per benchmark text.  Both: should = all words but the first two, must_not = the last word.
+    The first one also: must = the first two words."""
     words = items(spark, folder).select("request_id", X.tokens(F.col("text")).alias("w"))
-    even = words.filter("request_id % 2 = 0")
-    must = even.select("request_id", F.lit("must").alias("clause"), F.explode(F.slice("w", 1, 2)).alias("term"))
+    first, second = (words.withColumn("request_id", 2 * F.col("request_id") + v) for v in (0, 1))
+    must = first.select("request_id", F.lit("must").alias("clause"), F.explode(F.slice("w", 1, 2)).alias("term"))
+    words = first.unionByName(second)
     rest = F.slice("w", F.lit(3), F.greatest(F.size("w") - 2, F.lit(0)))
     should = words.select("request_id", F.lit("should").alias("clause"), F.explode(rest).alias("term"))
     must_not = words.select("request_id", F.lit("must_not").alias("clause"), F.element_at("w", -1).alias("term"))

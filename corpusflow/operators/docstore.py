@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.scale import salted_join
+from corpusflow.session import materialize
 
 
 def upsert(store: DataFrame | None, added: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
@@ -62,5 +63,9 @@ def get(spark: SparkSession, path: str, keys: list[int], buckets: int = 64, key:
 
 
 def joint_search(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Search hits with their stored documents attached; hits whose document is not stored are left out."""
-    return hits.join(docs, "doc_id")
+    """Search hits with their stored documents attached; hits whose document is not stored are left out.
+
+    The hits are stored first: with a known size, Spark ships a few hits to the documents and does not
+    shuffle the documents to the hits.
+    """
+    return materialize(hits, "hits").join(docs, "doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators.scale import each, salted_join, small_enough, with_position
-from corpusflow.schema import TRAIN_RECORD
+from corpusflow.session import materialize
 
 # Feature length and segment id of padding (0, or 4 for the xlnet variant).
 MAX_LENGTH = 256
@@ -104,7 +104,7 @@ def sequence_features(
     if small_enough(vocab, "term"):
         found = cells.join(F.broadcast(vocab), "term", "left")
     else:
-        found = salted_join(cells, vocab, "term", "left")
+        found = salted_join(materialize(cells, "tokens"), vocab, "term", "left")
     cells = found.select(
         key,
         "_at",

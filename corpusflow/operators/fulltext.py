@@ -84,7 +84,7 @@ def porter_terms(indexed: DataFrame) -> DataFrame:
     if small_enough(stems, "term"):
         stemmed = spread.join(F.broadcast(stems), "term", "left")
     else:
-        stemmed = salted_join(spread, stems, "term", "left")
+        stemmed = salted_join(materialize(spread, "tokens"), stems, "term", "left")
     ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
     return stemmed.groupBy(*SHARD_KEY).agg(ordered.alias("s")).select(*SHARD_KEY, F.col("s.stem").alias("terms"))
 
@@ -188,13 +188,13 @@ def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None
     without = weighted.join(must, "request_id", "left_anti")
     per_request = weighted.groupBy("request_id").agg(F.max(F.col("clause") == "must").alias("m"))
     n_must, n_without = per_request.agg(F.count_if("m"), F.count_if(~F.col("m"))).first()
+    # The term plan joins the postings several times and looks for their hot terms first.
+    counted = counted_terms(indexed) if small else materialize(counted_terms(indexed), "postings")
     results = []
     if n_must:
-        results.append(
-            _score_must_by_shard(indexed, with_must) if small else _score_must_by_term(counted_terms(indexed), with_must)
-        )
+        results.append(_score_must_by_shard(indexed, with_must) if small else _score_must_by_term(counted, with_must))
     if n_without or not n_must:
-        results.append(_score_any(counted_terms(indexed), without, small))
+        results.append(_score_any(counted, without, small))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
@@ -248,6 +248,7 @@ def phrase_search(
 
     phrase = phrases.select("request_id", line(analyze(F.col("text"), **analysis)).alias("phrase"))
     clauses = query_terms(phrases, **analysis).withColumn("clause", F.lit("must"))
-    scored = score(indexed, clauses, stats, plan).join(phrase, "request_id")
+    # Stored, the few candidates have a known size, and a small side is shipped instead of the index.
+    scored = materialize(score(indexed, clauses, stats, plan), "candidates").join(phrase, "request_id")
     hits = scored.join(indexed, KEY).filter(F.contains(line(F.col("terms")), F.col("phrase")))
     return best_hits(hits.select("request_id", *KEY, "score"), k)

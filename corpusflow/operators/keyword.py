@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.scale import BROADCAST_CHARS, small_enough, spread_join, top_k
+from corpusflow.operators.scale import small_enough, spread_join, top_k
 from corpusflow.schema import require
 from corpusflow.session import materialize
 
+#: Largest total length of the patterns for one automaton per task (some tens of bytes per letter).
+AUTOMATON_CHARS = 2_000_000
 #: Window classes of the gram plan: patterns at least this long share a class (fixed values).
 CLASSES = (1, 2, 4, 8, 16, 32, 64)
 GRAM = 8
@@ -169,7 +171,7 @@ def match(
     require(queries, text="string")
     require(index, doc_id="bigint", offset="int", text="string")
     key = list(key)
-    plan = plan or ("automaton" if small_enough(index, "text", chars=BROADCAST_CHARS // 4) else "grams")
+    plan = plan or ("automaton" if small_enough(index, "text", chars=AUTOMATON_CHARS) else "grams")
     texts = queries.select(*key, "text").filter("text is not null")
     counts = {"automaton": _with_automaton, "grams": _with_grams}[plan](texts, index, key)
     return counts.select(

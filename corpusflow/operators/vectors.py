@@ -13,7 +13,7 @@ from corpusflow.operators.scale import top_k
 
 METRICS = ("l2", "cosine")
 #: Query vectors are shipped to all tasks up to this many cells, and compared in blocks of this many rows.
-QUERY_CELLS = 16_000_000
+QUERY_CELLS = 4_000_000
 BLOCK = 2048
 CANDIDATES = "request_id long, vec_id long, distance double"
 

@@ -7,7 +7,7 @@ cuts longer texts; by default the flows carry whole texts.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from corpusflow.functions import text as X
 from corpusflow.operators import chunks as C
 from corpusflow.operators import docstore, examples, fulltext, keyword, models, rerank, routing
 from corpusflow.operators.scale import top_k
-from corpusflow.sources.requests import first_chunks
+from corpusflow.session import materialize
 
 
 def transported(chunks: DataFrame, max_bytes: int | None) -> DataFrame:
@@ -28,22 +28,30 @@ def transported(chunks: DataFrame, max_bytes: int | None) -> DataFrame:
 
 @dataclass
 class CorpusIndex:
-    """The two halves of an index: full-text shards and the document store."""
+    """A document store (doc_id, text) and the full-text shards built from it."""
 
-    fulltext: DataFrame
     store: DataFrame
+    max_bytes: int | None = None
+    analysis: Mapping = field(default_factory=dict)
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        self.fulltext.write.mode("overwrite").parquet(f"{path}/fulltext")
+    @property
+    def fulltext(self) -> DataFrame:
+        chunks = transported(C.unary_chunks(self.store), self.max_bytes)
+        return fulltext.indexed_chunks(chunks, **self.analysis)
+
+    def write(self, path: str, buckets: int = 64) -> CorpusIndex:
+        """Write the store, then the shards from the written store, so the input is read once."""
+        spark = self.store.sparkSession
         docstore.write_store(self.store, f"{path}/store", buckets=buckets, mode="overwrite")
+        written = CorpusIndex(spark.read.parquet(f"{path}/store").drop("bucket"), self.max_bytes, self.analysis)
+        written.fulltext.write.mode("overwrite").parquet(f"{path}/fulltext")
+        return written
 
 
 def index_flow(messages: DataFrame, seq: str = "seq", max_bytes: int | None = None, **analysis) -> CorpusIndex:
     """Index messages (kind, doc_id, text, seq): block training, keep each document's latest text, index and store it."""
     docs = routing.block(messages, ["train"]).select("doc_id", "text", seq)
-    store = docstore.upsert(None, docs, seq=seq).select("doc_id", "text")
-    chunks = transported(C.unary_chunks(store), max_bytes)
-    return CorpusIndex(fulltext.indexed_chunks(chunks, **analysis), store)
+    return CorpusIndex(docstore.upsert(None, docs, seq=seq).select("doc_id", "text"), max_bytes, analysis)
 
 
 def query_flow(
@@ -96,7 +104,7 @@ def fact_query_flow(
     sentences = C.sentence_chunks(renamed).select(F.col("doc_id").alias("request_id"), F.col("offset").alias("sentence"), "text")
     found = keyword.match(transported(sentences, max_bytes), index, key=("request_id", "sentence"))
     hits = found.groupBy("request_id", "doc_id", "offset").agg(F.sum("relevance").alias("relevance"))
-    best = top_k(hits, ["request_id"], [F.desc("relevance"), F.asc("doc_id"), F.asc("offset")], k)
+    best = materialize(top_k(hits, ["request_id"], [F.desc("relevance"), F.asc("doc_id"), F.asc("offset")], k), "hits")
     attached = docstore.lookup(best, store.select("doc_id"))
     wanted = queries.join(best.select("request_id").distinct(), "request_id", "left_semi")
     vectors = wanted.select("request_id", X.char_embedding(F.col("text"), dim).alias("embedding"))
@@ -133,10 +141,3 @@ def train_flow(
     scored = model.transform(known)
     loss = models.negative_log_likelihood(F.col("scores"), F.col("label_index"))
     return model, models.evaluate(scored, loss=loss)
-
-
-def top_answer(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Text of the first chunk of each request's best hit."""
-    best = hits.filter("rank = 1").select("request_id", "doc_id")
-    texts = first_chunks(chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return best.join(texts, "doc_id")

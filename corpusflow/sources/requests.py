@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.operators.scale import salted_join
+from corpusflow.session import materialize
+
 MODES = ("index", "train", "query")
 
 
@@ -71,8 +74,9 @@ def answer_text(body: Column) -> Column:
 
 def top_answers(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per request the first chunk's text of its best hit: (request_id, doc_id, text)."""
-    best = hits.filter(F.col("rank") == 1).select("request_id", "doc_id")
-    return best.join(first_chunks(chunks), "doc_id").select("request_id", "doc_id", "text")
+    best = materialize(hits.filter(F.col("rank") == 1).select("request_id", "doc_id"), "best")
+    wanted = chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    return salted_join(best, first_chunks(wanted), "doc_id").select("request_id", "doc_id", "text")
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:

@@ -107,6 +107,6 @@ def test_composite_key_and_size_choice(spark, monkeypatch):
     index = keyword.build_index(chunks(spark, ["ab"]))
     want = [(1, 0, 1.0), (1, 1, 2.0)]
     for limit in (1000, 0):
-        monkeypatch.setattr(keyword, "BROADCAST_CHARS", limit)
+        monkeypatch.setattr(keyword, "AUTOMATON_CHARS", limit)
         rows = keyword.match(asked, index, key=["request_id", "part"]).collect()
         assert sorted((r["request_id"], r["part"], r["relevance"]) for r in rows) == want
