@@ -15,6 +15,9 @@ from corpusflow.session import materialize
 #: Query terms and texts up to this size are shipped to the documents; beyond it terms are joined by shuffle.
 QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
 
+#: A must term narrows a request down when its postings are at most this fraction of all the request's.
+SELECTIVE = 16
+
 KEY = ["doc_id", "offset"]
 #: A chunk with the shard that holds it; grouping by it needs no further shuffle.
 SHARD_KEY = ["shard", *KEY]
@@ -95,10 +98,10 @@ def query_terms(queries: DataFrame, **analysis) -> DataFrame:
 
 
 def weighted_terms(indexed: DataFrame, clauses: DataFrame, small: bool, stats: DataFrame | None = None) -> DataFrame:
-    """The clause rows with their term's df and idf; a term no chunk holds has df 0.
+    """The clause rows with their term's df and idf, and ``need``, the request's number of must terms.
 
-    Document frequencies are counted for the query terms only, unless stored statistics are given.
-    ``small`` says that the clauses may be broadcast.
+    A term no chunk holds has df 0.  Document frequencies are counted for the query terms only, unless
+    stored statistics are given.  ``small`` says that the clauses may be broadcast.
     """
     if stats is None:
         wanted = clauses.select("term").distinct()
@@ -106,12 +109,13 @@ def weighted_terms(indexed: DataFrame, clauses: DataFrame, small: bool, stats: D
         if small:
             held = held.join(F.broadcast(wanted), "term", "left_semi")
         stats = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    need = clauses.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
     joined = clauses.join(stats.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return joined.withColumn("idf", idf(F.lit(indexed.count()), F.col("df")))
+    return joined.withColumn("idf", idf(F.lit(indexed.count()), F.col("df"))).join(need, "request_id")
 
 
 def _score_must_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Chunks that qualify for requests with must terms, found and scored where they lie.
+    """Chunks that qualify for requests with a rare must term, found and scored where they lie.
 
     A chunk is looked at for a request only when it holds the request's rarest must term, and then
     checked and scored from its own term list; nothing of the index is shuffled.  The clauses must be
@@ -138,18 +142,18 @@ def _score_must_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
     return looked_at.filter(fits).select("request_id", *KEY, score.alias("score"))
 
 
-def _summed(hits: DataFrame) -> DataFrame:
-    """Per request and chunk: the score, and how many clauses of each kind the chunk holds."""
+def _sums(hits: DataFrame) -> DataFrame:
+    """Qualifying chunks from joined (clause, posting) rows."""
     kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in ("must", "should", "must_not")]
     part = F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))
-    return hits.groupBy("request_id", *SHARD_KEY).agg(F.sum(part).alias("score"), *kinds)
+    summed = hits.groupBy("request_id", "need", *SHARD_KEY).agg(F.sum(part).alias("score"), *kinds)
+    fits = "n_must = need AND n_must_not = 0 AND (need > 0 OR n_should > 0)"
+    return summed.filter(fits).select("request_id", *KEY, "score")
 
 
-def _score_any(counted: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
-    """Requests without must terms: sums over the terms a chunk shares with them.  Small queries are
-    shipped, and the sums then stay in the shard."""
-    hits = counted.join(F.broadcast(weighted), "term") if small else salted_join(counted, weighted, "term")
-    return _summed(hits).filter("n_should > 0 AND n_must_not = 0").select("request_id", *KEY, "score")
+def _score_by_sum(counted: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
+    """Sums over all clauses a chunk meets.  Small clauses are shipped, and the sums then stay in the shard."""
+    return _sums(counted.join(F.broadcast(weighted), "term") if small else salted_join(counted, weighted, "term"))
 
 
 def _rarest(weighted: DataFrame) -> DataFrame:
@@ -159,23 +163,19 @@ def _rarest(weighted: DataFrame) -> DataFrame:
 
 
 def _score_must_by_term(counted: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Requests with must terms, by shuffle: for query sets too large to ship.
+    """Requests with a rare must term, by shuffle: for query sets too large to ship.
 
-    Candidates come from each request's rarest must term only, so its common terms never multiply; the
+    Candidates come from the rarest must term only, so a request's common terms never multiply; the
     other terms are looked up per candidate.
     """
-    need = weighted.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
     candidates = salted_join(counted.drop("tf"), _rarest(weighted), "term").drop("term")
-    found = candidates.join(weighted, "request_id").join(counted, ["term", *SHARD_KEY])
-    scored = _summed(found).join(need, "request_id").filter("n_must = need AND n_must_not = 0")
-    return scored.select("request_id", *KEY, "score")
+    return _sums(candidates.join(weighted, "request_id").join(counted, ["term", *SHARD_KEY]))
 
 
 def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None, plan: str | None = None) -> DataFrame:
     """TF-IDF of every qualifying chunk: (request_id, doc_id, offset, score).
 
     ``clauses`` is a table (request_id, clause, term), each row once, clause in must / should / must_not.
-    Requests with and without must terms are evaluated apart, each in its cheapest way.
     A chunk qualifies when it holds all must terms (or, without must terms, at least one should term)
     and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over the must and should rows it holds.
     ``plan`` is ``shard`` or ``term``; by default the size of the clauses decides.
@@ -183,18 +183,23 @@ def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None
     small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS) if plan is None else plan == "shard"
     # Read several times below, and each time would count document frequencies again.
     weighted = materialize(weighted_terms(indexed, clauses, small, stats), "clauses")
-    must = weighted.filter("clause = 'must'").select("request_id").distinct()
-    with_must = weighted.join(must, "request_id", "left_semi")
-    without = weighted.join(must, "request_id", "left_anti")
-    per_request = weighted.groupBy("request_id").agg(F.max(F.col("clause") == "must").alias("m"))
-    n_must, n_without = per_request.agg(F.count_if("m"), F.count_if(~F.col("m"))).first()
+    # A request whose rarest must term is rare against all its postings is answered from the chunks with
+    # that term; any other by summing its postings.
+    requests = weighted.groupBy("request_id").agg(
+        F.min(F.when(F.col("clause") == "must", F.col("df"))).alias("rarest"), F.sum("df").alias("total")
+    )
+    selective = F.coalesce(F.col("rarest") * SELECTIVE <= F.col("total"), F.lit(False))
+    requests = requests.select("request_id", selective.alias("selective"))
+    n_selective, n_other = requests.agg(F.count_if("selective"), F.count_if(~F.col("selective"))).first()
+    picked = requests.filter("selective").select("request_id")
     # The term plan joins the postings several times and looks for their hot terms first.
     counted = counted_terms(indexed) if small else materialize(counted_terms(indexed), "postings")
     results = []
-    if n_must:
-        results.append(_score_must_by_shard(indexed, with_must) if small else _score_must_by_term(counted, with_must))
-    if n_without or not n_must:
-        results.append(_score_any(counted, without, small))
+    if n_selective:
+        chosen = weighted.join(picked, "request_id", "left_semi")
+        results.append(_score_must_by_shard(indexed, chosen) if small else _score_must_by_term(counted, chosen))
+    if n_other or not n_selective:
+        results.append(_score_by_sum(counted, weighted.join(picked, "request_id", "left_anti"), small))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 

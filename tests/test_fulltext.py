@@ -49,8 +49,11 @@ def scores(df):
     return {(r["request_id"], r["doc_id"], r["offset"]): round(r["score"], 6) for r in df.collect()}
 
 
+@pytest.mark.parametrize("selective", [0, 16, 10**6])
 @pytest.mark.parametrize("plan", PLANS)
-def test_boolean_scores(spark, plan):
+def test_boolean_scores(spark, monkeypatch, plan, selective):
+    """All ways of answering a request agree: by its rarest term (0), by sums (10**6), or as its terms suggest."""
+    monkeypatch.setattr(T, "SELECTIVE", selective)
     texts = make()
     clauses = [
         (0, "must", "rose"), (0, "must", "the"), (1, "should", "time"), (1, "should", "cats"), (1, "must_not", "winter"),
