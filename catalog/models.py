@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query, table
 from corpusflow.operators import distributions as D
 from corpusflow.operators import examples, models
+from corpusflow.operators.scale import each
 from corpusflow.session import scratch_path
 from corpusflow.sources import delimited, tables
 
@@ -148,7 +149,7 @@ def argmax_label(spark, folder):
        SELECT vec_id, (i - 1)::INT AS item, round(e[i] - lse, 6) AS log_prob FROM (SELECT *, unnest(range(1, 65)) AS i FROM z)""",
 )
 def log_softmax(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", F.posexplode(D.log_softmax_array(F.col("embedding"))).alias("item", "v"))
+    rows = each(table(spark, folder, "embeddings"), D.log_softmax_array(F.col("embedding")), "v", ["vec_id"], "item")
     return rows.select("vec_id", "item", F.round("v", 6).alias("log_prob"))
 
 

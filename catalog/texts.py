@@ -132,7 +132,7 @@ _BATCHED = f"""
 )
 def pad_batch(spark, folder):
     lengths = F.transform(X.tokens(F.col("text")), lambda t: F.length(t))
-    docs = table(spark, folder, "documents").select("doc_id", lengths.alias("cells"))
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", lengths.alias("cells"))
     padded = C.pad_to_batch(C.batch_ids(docs, ["doc_id"], 32), "batch_id", "cells")
     total = F.aggregate("padded", F.lit(0).cast("long"), lambda s, x: s + x)
     return padded.select("doc_id", "batch_id", F.size("cells").alias("n"), F.size("padded").alias("padded_size"), total.alias("total"))

@@ -17,9 +17,13 @@ from corpusflow.operators.scale import ordered_runs, salted_join, top_k
 
 def log_softmax_array(scores: Column) -> Column:
     """Log-softmax of an array of scores, shifted by its largest score."""
-    top = F.array_max(scores).cast("double")
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
-    return F.transform(scores, lambda x: x.cast("double") - (top + F.log(total)))
+    # Inside a lambda every outer expression is evaluated per element; one-element arrays bind the
+    # largest score, and then the log of the sum, so that each is computed once.
+    top = F.array(F.array_max(scores).cast("double"))
+    whole = F.transform(
+        top, lambda m: m + F.log(F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - m)))
+    )
+    return F.flatten(F.transform(whole, lambda w: F.transform(scores, lambda x: x.cast("double") - w)))
 
 
 def probabilities(df: DataFrame, group: Sequence[str], logit: str, item: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -96,6 +96,30 @@ def _anchors(text: str, cls: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen, hashes[chosen].view(np.int64)
 
 
+def _anchor_frames(
+    frame: pd.DataFrame, text: str, classes: Callable[[str], list[int]], keep: list[str]
+) -> Iterator[pd.DataFrame]:
+    """(cls, gram, pos, *keep) of the anchors of all texts in a batch, in frames of bounded size."""
+    found: list[tuple] = []
+    held = 0
+
+    def merged() -> pd.DataFrame:
+        rows, cls, gram, pos = (np.concatenate(column) for column in zip(*found))
+        kept = frame[keep].iloc[rows].reset_index(drop=True)
+        return kept.assign(cls=cls, gram=gram, pos=pos)
+
+    for row, value in enumerate(frame[text]):
+        for cls in classes(value):
+            pos, gram = _anchors(value, cls)
+            found.append((np.full(len(pos), row), np.full(len(pos), cls), gram, pos))
+            held += len(pos)
+        if held > 200_000:
+            yield merged()
+            found, held = [], 0
+    if found:
+        yield merged()
+
+
 def _with_grams(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
     """Occurrences by an equi-join on anchor grams, for pattern sets too large to broadcast.
 
@@ -105,28 +129,19 @@ def _with_grams(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFra
     """
 
     def pattern_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(text: str) -> list[int]:
+            return [max(c for c in CLASSES if c <= len(text))]
+
         for frame in frames:
-            for number, text in zip(frame["number"], frame["pattern"]):
-                cls = max(c for c in CLASSES if c <= len(text))
-                at, gram = _anchors(text, cls)
-                yield pd.DataFrame({"number": number, "p_cls": cls, "gram": gram, "at": at})
+            for found in _anchor_frames(frame, "pattern", of, ["number"]):
+                yield found.rename(columns={"cls": "p_cls", "pos": "at"})
 
     lengths = F.greatest(*[F.when(F.length("text") >= c, c) for c in CLASSES], F.lit(0))
     classes = [r[0] for r in index.select(lengths.alias("c")).distinct().collect()]
 
     def text_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parts, held = [], 0
-            for *request, text in frame[[*key, "text"]].itertuples(index=False):
-                for cls in classes:
-                    at, gram = _anchors(text, cls)
-                    parts.append(pd.DataFrame({"cls": cls, "gram": gram, "pos": at, **dict(zip(key, request))}))
-                    held += len(at)
-                if held > 200_000:
-                    yield pd.concat(parts)
-                    parts, held = [], 0
-            if parts:
-                yield pd.concat(parts)
+            yield from _anchor_frames(frame, "text", lambda _: classes, key)
 
     numbered = materialize(
         index.select("doc_id", "offset", F.col("text").alias("pattern")).withColumn("number", F.monotonically_increasing_id()),
