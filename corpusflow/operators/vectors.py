@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.scale import top_k
+from corpusflow.session import materialize
 
 METRICS = ("l2", "cosine")
 #: Query vectors are shipped to all tasks up to this many cells, and compared in blocks of this many rows.
@@ -86,34 +87,12 @@ def _with_shipped_queries(queries: DataFrame, vectors: DataFrame, k: int, metric
     return vectors.select("vec_id", "vector").mapInPandas(scan, CANDIDATES)
 
 
-def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
-    """Compare queries and vectors of the same ``bucket``, keeping k per query and group.
+def _compare_groups(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    """Compare the queries and vectors that share (part, qb, vb, bucket), keeping k per query and group.
 
-    A bucket of more than ``block_rows`` rows is cut into blocks on both sides, and every pair of blocks is
-    one group; small buckets share groups of about that size.  So groups are bounded whatever the buckets hold.
+    A (part, qb, vb) is one task's group and may hold several small buckets.
     """
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
-
-    def cut(name: str) -> Column:
-        return F.ceil(F.col(name) / block_rows).cast("int").alias(f"{name}_blocks")
-
-    sizes = counted(queries, "q").join(counted(vectors, "v"), "bucket")
-    shared = int(sizes.agg(F.coalesce(F.sum(F.col("q") + F.col("v")), F.lit(0))).first()[0] // block_rows + 1)
-    shared = max(shared, queries.sparkSession.sparkContext.defaultParallelism)
-    large = (F.col("q") > block_rows) | (F.col("v") > block_rows)
-    part = F.when(large, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(shared)))
-    sizes = sizes.select("bucket", part.cast("long").alias("part"), cut("q"), cut("v"))
-
-    def spread(df: DataFrame, key: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
-        placed = df.join(sizes, "bucket").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_blocks)).cast("int"))
-        copies = F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(other)
-        return placed.select("part", own, copies, "bucket", key, "vector")
-
-    q = spread(queries, "request_id", "qb", "q_blocks", "vb", "v_blocks")
-    v = spread(vectors, "vec_id", "vb", "v_blocks", "qb", "q_blocks")
-
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         inside = right.groupby("bucket").indices
         pairs = []
@@ -128,8 +107,52 @@ def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, bloc
         return _best(pairs, k)
 
     key = ["part", "qb", "vb"]
-    v = v.withColumnsRenamed({c: f"v_{c}" for c in key})
-    return q.groupBy(*key).cogroup(v.groupBy(*[f"v_{c}" for c in key])).applyInPandas(compare, CANDIDATES)
+    vectors = vectors.withColumnsRenamed({c: f"v_{c}" for c in key})
+    return queries.groupBy(*key).cogroup(vectors.groupBy(*[f"v_{c}" for c in key])).applyInPandas(compare, CANDIDATES)
+
+
+def _copies(df: DataFrame, key: str, own: str, own_blocks: Column, other: str, other_blocks: Column) -> DataFrame:
+    """Put each row in one of its side's blocks and repeat it for every block of the other side."""
+    placed = df.withColumn(own, F.pmod(F.xxhash64(key), own_blocks).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), other_blocks - 1))).select(
+        "part", "qb", "vb", "bucket", key, "vector"
+    )
+
+
+def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
+    """All queries against all vectors: both sides cut into blocks, every pair of blocks one group."""
+
+    def blocks(df: DataFrame) -> Column:
+        return F.lit(df.count() // block_rows + 1).cast("int")
+
+    one = {"part": F.lit(0), "bucket": F.lit(0)}
+    nq, nv = blocks(queries), blocks(vectors)
+    q = _copies(queries.withColumns(one), "request_id", "qb", nq, "vb", nv)
+    v = _copies(vectors.withColumns(one), "vec_id", "vb", nv, "qb", nq)
+    return _compare_groups(q, v, k, metric)
+
+
+def _by_buckets(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
+    """Queries against the vectors of the same ``bucket``.
+
+    A bucket of more than ``block_rows`` rows is cut into blocks on both sides; small buckets share
+    groups of about that size.  So groups are bounded whatever the buckets hold.
+    """
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+    sizes = counted(queries, "q").join(counted(vectors, "v"), "bucket")
+    shared = int(sizes.agg(F.coalesce(F.sum(F.col("q") + F.col("v")), F.lit(0))).first()[0] // block_rows + 1)
+    shared = max(shared, queries.sparkSession.sparkContext.defaultParallelism)
+    large = (F.col("q") > block_rows) | (F.col("v") > block_rows)
+    part = F.when(large, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(shared)))
+    cut = [F.ceil(F.col(c) / block_rows).cast("int").alias(f"{c}_blocks") for c in ("q", "v")]
+    sizes = sizes.select("bucket", part.cast("long").alias("part"), *cut)
+    nq, nv = F.col("q_blocks"), F.col("v_blocks")
+    q = _copies(queries.join(sizes, "bucket"), "request_id", "qb", nq, "vb", nv)
+    v = _copies(vectors.join(sizes, "bucket"), "vec_id", "vb", nv, "qb", nq)
+    return _compare_groups(q, v, k, metric)
 
 
 def nearest(
@@ -149,8 +172,7 @@ def nearest(
     if plan == "ship":
         partial = _with_shipped_queries(queries, vectors, k, metric)
     else:
-        one = F.lit(0).alias("bucket")
-        partial = _by_blocks(queries.select(one, "*"), vectors.select(one, "*"), k, metric, block_rows)
+        partial = _by_blocks(queries, vectors, k, metric, block_rows)
     return top_k(partial, ["request_id"], [F.asc("distance"), F.asc("vec_id")], k)
 
 
@@ -191,8 +213,10 @@ def nearest_approximate(
 
     def hashed(df: DataFrame, key: str) -> DataFrame:
         keys = projection_buckets(F.col("vector"), tables, cuts, width, seed)
-        exploded = df.select(key, "vector", F.posexplode(keys).alias("table", "cell"))
+        # Read several times below: stored with its keys, a vector is projected once.
+        stored = materialize(df.select(key, "vector", keys.alias("keys")), "projected")
+        exploded = stored.select(key, "vector", F.posexplode("keys").alias("table", "cell"))
         return exploded.select(F.xxhash64("table", "cell").alias("bucket"), key, "vector")
 
-    found = _by_blocks(hashed(queries, "request_id"), hashed(vectors, "vec_id"), k, metric, block_rows)
+    found = _by_buckets(hashed(queries, "request_id"), hashed(vectors, "vec_id"), k, metric, block_rows)
     return top_k(found.distinct(), ["request_id"], [F.asc("distance"), F.asc("vec_id")], k)
