@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import cache, lru_cache
 
 import regex
 
@@ -16,14 +15,19 @@ import regex
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@cache
+#: Tokenizer files, and which letters are unsettled, as far as this task has met them.
+_FILES: dict[str, dict] = {}
+_UNSETTLED: dict[str, bool] = {}
+
+
 def spec(path: str) -> dict:
-    """The tokenizer file, read once per process."""
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
+    """The tokenizer file, read once."""
+    if path not in _FILES:
+        with open(path, encoding="utf-8") as file:
+            _FILES[path] = json.load(file)
+    return _FILES[path]
 
 
-@cache
 def byte_letters() -> tuple[str, ...]:
     """The printable letter that stands for each byte: itself if printable in Latin-1, else the next of U+0100 and up."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -31,9 +35,11 @@ def byte_letters() -> tuple[str, ...]:
     return tuple(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256))
 
 
-@lru_cache(maxsize=None)
 def _unsettled(letter: str) -> bool:
-    return unicodedata.category(letter) == "Cn"
+    known = _UNSETTLED.get(letter)
+    if known is None:
+        known = _UNSETTLED[letter] = unicodedata.category(letter) == "Cn"
+    return known
 
 
 def settled(text: str) -> bool:
