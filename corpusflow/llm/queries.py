@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, licenses, packing
-from corpusflow.llm.common import spread_read
+from corpusflow.llm import ann, bpe, langid, licenses, lines, neardup, packing, quality, rules, toxicity
+from corpusflow.llm.common import fold, spread_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,57 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
         joined(F.concat(base, F.col("spans.label"))).alias("labels"),
         F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0))).alias("score"),
     )
+
+
+@query
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), size=4)
+
+
+@query
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold("key", 5) != 0)
+    found = langid.label(docs.drop("lang"), model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    return quality.fit(docs, labels, "quality", fold("key", 5) != 0)
+
+
+#: Fixed by contract: the score from which on a text counts as good.
+GOOD = 0.3
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.score(docs, quality_model(docs, labels))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_dedup(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("source")
+
+
+SQL["op6_lines"] = lines.SQL
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, "toxic", fold("key", 3) != 1))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.quality_rules(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
