@@ -75,7 +75,7 @@ def set_number(shingles: np.ndarray) -> int | None:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``key, n_shingles, number, signature``: the set's size, its name, and its signature."""
+    """``key, row, n_shingles, number, signature``: a hash of the text, the set's size, its name, and its signature."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         words, hashes, known = odd_numbers(size, 11), odd_numbers(CHUNK * CHUNKS, 13), {}
@@ -88,13 +88,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     counts.append(len(shingles))
                     numbers.append(set_number(shingles))
                     signed.append(signature(shingles, hashes).tobytes() if len(shingles) else None)
-            columns = [part.column("key"), pa.array(counts, pa.int64()), pa.array(numbers, pa.int64()), pa.array(signed, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "n_shingles", "number", "signature"])
+            columns = [part.column("key"), part.column("row"), pa.array(counts, pa.int64()), pa.array(numbers, pa.int64()), pa.array(signed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "row", "n_shingles", "number", "signature"])
 
         return one
 
     kind = dict(docs.dtypes)["key"]
-    return map_slices(docs, make, f"key {kind}, n_shingles long, number long, signature binary")
+    return map_slices(docs.withColumn("row", F.xxhash64("text")), make, f"key {kind}, row long, n_shingles long, number long, signature binary")
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
@@ -219,13 +219,24 @@ def components(links: DataFrame) -> DataFrame:
         edges = large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, limit: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, limit: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one document of each component: the one with the smallest key.
+
+    Rows with a null key stay, as do rows that repeat a kept document's key and text.
+    """
+    found = near_duplicates(docs, size, limit, key, text, named=True).filter("not kept").select(F.col(key).alias("gone"), "row").distinct()
+    gone = materialize(found, "gone")
+    return docs.join(gone, (docs[key] == gone["gone"]) & (F.xxhash64(docs[text]) == gone["row"]), "left_anti")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, limit: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
     """Components of documents whose sets of ``size``-word shingles have a similarity of at least ``limit`` (a, b: a/b).
 
     One row per row: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable, itself included), ``kept``
     (whether that is the row's own key).  Equal sets form one class first and are not compared one by one.
     Null and empty texts are linked with nothing.  Rows with a null key are in no component (null ``component_id``)
     and kept.  Rows that repeat a key are separate documents.  Other columns are ignored; no rows give no rows.
+    With ``named`` there is also ``row``, a hash of the text.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = materialize(signatures(source, size), "signatures")
@@ -254,6 +265,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: tuple[int, int] = (4,
     named = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
     by_set = rooted.select("number", "root").join(named, "root").select("number", "component_id")
     lone = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
-    result = signed.select("key", "n_shingles", "number").join(by_set, "number", "left")
-    result = result.select(F.col("key").alias(key), "n_shingles", lone.alias("component_id"))
+    result = signed.select("key", "row", "n_shingles", "number").join(by_set, "number", "left")
+    result = result.select(F.col("key").alias(key), "n_shingles", lone.alias("component_id"), *(["row"] if named else []))
     return result.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+#: The same in SQL for four-word shingles: all pairs that share a shingle, and what can be reached over links.
+SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS part FROM cut
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.part = b.part AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach(x, y) AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, least(d.doc_id, coalesce(low, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY 1) m ON m.x = d.doc_id
+"""

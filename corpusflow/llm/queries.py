@@ -94,7 +94,7 @@ def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_dedup(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("source")
 
 
-SQL["op6_lines"] = lines.SQL
+SQL |= {"op2_neardup": neardup.SQL, "op6_lines": lines.SQL, "op10_rules": rules.SQL}
 
 
 @query

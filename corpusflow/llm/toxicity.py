@@ -76,7 +76,7 @@ class Model:
 
 
 def fit_weights(
-    rows: list[list[int]], swapped: list[list[int]], labels: np.ndarray, size: int, ridge: float = 0.5, steady: float = 1.0, steps: int = 400
+    rows: list[list[int]], swapped: list[list[int]], labels: np.ndarray, size: int, ridge: float = 0.1, steady: float = 1.0, steps: int = 400
 ) -> tuple[np.ndarray, float]:
     """Minimise logistic loss + ridge + ``steady`` x squared score change under swaps (gradient steps with momentum).
 
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int
         + part(n_clean - F.col("clean"), (total - having) * n_clean / total)
     )
     terms = [f for term in swaps() for f in word_features(term)]
-    told = counts.filter(having >= 3).withColumn("gain", score).filter((F.col("gain") > 3.0) | F.col("feature").isin(terms))
+    # Only features that lean towards toxic texts tell one; identity terms are there so that swaps of them can be felt.
+    leaning = (F.col("gain") > 3.0) & (F.col("toxic") * total > having * n_toxic)
+    told = counts.filter(having >= 3).withColumn("gain", score).filter(leaning | F.col("feature").isin(terms))
     kept = [r["feature"] for r in told.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
     numbers, change = {f: i for i, f in enumerate(kept)}, swaps()
 
