@@ -128,14 +128,14 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
 def distance(histogram: str, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a histogram of counts to shares; null for an empty histogram."""
     total = F.aggregate(histogram, F.lit(0).cast("long"), lambda s, x: s + x)
-    shares = F.transform(histogram, lambda x: x / F.when(total > 0, total))
+    shares = F.transform(histogram, lambda x: x / total)
 
     def part(p: Column, q: Column) -> Column:
         middle = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / middle)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / middle)).otherwise(0.0)
 
     terms = F.zip_with(shares, F.array(*[F.lit(x) for x in reference]), part)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))))
 
 
 def judge(measured: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -> DataFrame:

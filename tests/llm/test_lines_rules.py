@@ -91,7 +91,7 @@ def test_distance_equals_brute_force(spark):
 
 def test_divergent_texts_go_and_short_or_plain_ones_stay(spark):
     plain = "the house of the river and the night that was in a garden with this water from it "
-    rows = [(i, (plain * 8).replace("river", f"river{i}"), "en") for i in range(30)]
+    rows = [(i, (plain * (8 + i)).replace("river", f"river{i}"), "en") for i in range(30)]
     rows += [(100, (plain * 8).upper().replace("HOUSE", "X1"), "en"), (101, " ".join(f"w{i} |" for i in range(200)), "en")]
     rows = [(i, " ".join(f"{w}{'abcdefgh'[(j * (i + 3)) % 8]}" if j % 3 == 0 else w for j, w in enumerate(t.split())) if i < 100 else t, lang) for i, t, lang in rows]
     got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
