@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.search import indexed_docs, items, whole_docs
-from catalog.sql import ANY, fulltext as ft, ranked, tokens
+from catalog.sql import ANY, PAIRS, fulltext as ft, ranked, tokens
 from catalog.texts import conversation_pairs
 from corpusflow.operators import fulltext, rerank, routing
 
@@ -85,20 +85,16 @@ def reduce_pending(spark, folder):
 
 @query(
     "rendezvous",
-    """WITH first AS (SELECT user_id AS request_id, event_type, arg_min(event_id, event_id) AS event_id, arg_min(value, event_id) AS value
-                      FROM events GROUP BY 1, 2)
-       SELECT a.request_id, a.event_id AS request_event, b.event_id AS response_event, b.value AS value
-       FROM first a JOIN first b USING (request_id) WHERE a.event_type = 'click' AND b.event_type = 'purchase'""",
+    """WITH asked AS (SELECT user_id AS request_id, min(event_id) AS request_event FROM events WHERE event_type = 'click' GROUP BY 1)
+       SELECT request_id, request_event, event_id AS response_event, value FROM asked JOIN events ON user_id = request_id WHERE event_type = 'purchase'""",
 )
 def rendezvous(spark, folder):
     events = messages(spark, folder).select(F.col("user_id").alias("request_id"), "event_id", "value", "kind")
 
-    def first(kind: str):
-        return routing.first_message(events.filter(F.col("kind") == kind).drop("kind"), "request_id", ["event_id"])
-
-    requests = first("click").select("request_id", F.col("event_id").alias("request_event"))
-    responses = first("purchase").withColumnRenamed("event_id", "response_event")
-    return routing.rendezvous(requests, responses)
+    requests = events.filter("kind = 'click'").select("request_id", F.col("event_id").alias("request_event"))
+    hits = events.filter("kind = 'purchase'").select("request_id", F.col("event_id").alias("response_event"), "value")
+    # Every response row arrives twice and counts once; a response of several rows keeps them all.
+    return routing.rendezvous(requests, hits.unionByName(hits), order=["request_event"], within=["response_event"])
 
 
 _RERANK = f"""
@@ -133,9 +129,9 @@ def _pairs(spark, folder):
 
 
 def _idf(spark, folder):
-    indexed = indexed_docs(spark, folder)
-    n = table(spark, folder, "documents").count()
-    return fulltext.term_stats(indexed).select("term", fulltext.idf(F.lit(n), F.col("df")).alias("idf"))
+    index = indexed_docs(spark, folder)
+    n = index.size
+    return index.term_stats().select("term", fulltext.idf(F.lit(n), F.col("df")).alias("idf"))
 
 
 @query(
@@ -160,13 +156,21 @@ def rerank_score(spark, folder):
 def rerank_topk(spark, folder):
     rows = rerank.pair_features(_pairs(spark, folder))
     scored = rows.select("request_id", "doc_id", F.round(rerank.linear_score(WEIGHTS), 6).alias("score"))
-    best = rerank.rerank(scored, (3 + F.col("request_id") % 3), k_max=5)
+    best = rerank.rerank(scored, (3 + F.col("request_id") % 3))
     return best.select("request_id", "rank", "doc_id", "score")
 
 
-@query("rerank_fit")
+FITTED = f"""
+  WITH {PAIRS},
+  sets AS (SELECT *, list_distinct({tokens('query')}) AS q, list_distinct({tokens('candidate')}) AS c FROM pairs),
+  rated AS (SELECT *, CASE WHEN len(list_distinct(list_concat(q, c))) > 0 THEN len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) ELSE 0 END AS jaccard FROM sets),
+  line AS (SELECT regr_slope(label, jaccard) AS slope, regr_intercept(label, jaccard) AS intercept, count(*) AS examples FROM rated)"""
+
+
+@query("rerank_fit", f"{FITTED} SELECT conv_id, turn, label, round(intercept + slope * jaccard, 6) + 0.0 AS score FROM rated, line")
 def rerank_fit(spark, folder):
+    """A scorer fitted to one feature without a penalty: the least-squares line."""
     pairs = conversation_pairs(spark, folder)
-    model, _ = rerank.fit_scorer(pairs.select("query", "candidate", "label"))
+    model, _ = rerank.fit_scorer(pairs.select("query", "candidate", "label"), reg=0.0, features=["jaccard"])
     scored = rerank.score_pairs(pairs, model)
-    return scored.select("conv_id", "turn", "label", F.round("score", 6).alias("score"))
+    return scored.select("conv_id", "turn", "label", (F.round("score", 6) + 0.0).alias("score"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.sql import ALL, ANY, KEYWORD_HITS, fulltext as ft, ranked, sentence_rows, tokens
+from catalog.sql import ALL, ANY, KEYWORD_HITS, fulltext as ft, ranked, sentence_rows, starts, tokens
 from corpusflow.functions import text as X
 from corpusflow.operators import chunks as C
 from corpusflow.operators import docstore, fulltext, keyword, vectors
-from corpusflow.session import scratch_path
+from corpusflow.session import materialize, scratch_path
+from corpusflow.sources import tables
 
 
 def documents(spark, folder):
@@ -37,8 +39,24 @@ def item_index(spark, folder):
     return keyword.build_index(item_chunks(spark, folder))
 
 
-def indexed_docs(spark, folder, **analysis):
-    return fulltext.indexed_chunks(whole_docs(spark, folder), **analysis)
+_INDEXES: dict[tuple, fulltext.TextIndex] = {}
+
+
+def standing(spark, folder, name, build):
+    """The standing index of that name over a folder's documents, built by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    return _INDEXES[key]
+
+
+def indexed_docs(spark, folder, name="plain", **analysis):
+    return standing(spark, folder, name, lambda: fulltext.build(whole_docs(spark, folder), **analysis))
+
+
+def asked_items(spark, folder):
+    """Benchmark texts as search requests, each with a number of hits of its own."""
+    return items(spark, folder).withColumn("top_k", (F.col("request_id") % 5 + 1).cast("int"))
 
 
 # ---- keyword ------------------------------------------------------------------------------------
@@ -68,27 +86,69 @@ def keyword_match(spark, folder):
     return keyword.match(doc_queries(spark, folder), item_index(spark, folder))
 
 
-@query("keyword_match_grams", _MATCH)
-def keyword_match_grams(spark, folder):
-    return keyword.match(doc_queries(spark, folder), item_index(spark, folder), plan="grams")
-
-
 @query(
     "keyword_topk",
-    f'WITH {KEYWORD_HITS} SELECT request_id, rank, doc_id, "offset", weight, relevance FROM ranked WHERE rank <= 5',
+    f'WITH {KEYWORD_HITS} SELECT request_id, rank, doc_id, "offset", weight, relevance FROM ranked WHERE rank <= 1 + request_id % 3',
 )
 def keyword_topk(spark, folder):
-    return keyword.search(doc_queries(spark, folder), item_index(spark, folder), 5)
+    asked = doc_queries(spark, folder).withColumn("top_k", (1 + F.col("request_id") % 3).cast("int"))
+    return keyword.search(asked, item_index(spark, folder))
+
+
+@query(
+    "keyword_match_short",
+    f"""WITH patterns AS (SELECT DISTINCT substr(p_name, 1 + (p_partkey % 3)::INT, 1 + (p_partkey % 7)::INT) AS text FROM part),
+        named AS (SELECT text, hash_id FROM (SELECT text, row_number() OVER (ORDER BY text) - 1 AS hash_id FROM patterns) WHERE text <> ''),
+        asked AS (SELECT s_nationkey AS request_id, s_suppkey, s_name || s_name || coalesce(s_name[1:9], '') AS text FROM supplier
+                  UNION ALL SELECT n_nationkey, -1, n_name || ' ' || n_name FROM nation
+                  UNION ALL SELECT p_partkey % 50, p_partkey, p_name FROM part WHERE p_partkey % 5 = 0),
+        found AS (SELECT a.request_id::BIGINT AS request_id, p.hash_id AS doc_id, {starts('a.text', 'p.text')} AS pos, length(p.text)::INT AS pattern_length
+                  FROM asked a JOIN named p ON contains(a.text, p.text))
+        SELECT request_id, doc_id, sum(len(pos))::DOUBLE AS relevance, min(pos[1] - 1 + pattern_length)::BIGINT AS first_end,
+               min(pattern_length) AS pattern_length FROM found GROUP BY ALL""",
+)
+def keyword_match_short(spark, folder):
+    """Short patterns that overlap themselves and each other, and several texts under one request id."""
+    part, supplier, nation = (table(spark, folder, n) for n in ("part", "supplier", "nation"))
+    cut = F.expr("substring(p_name, cast(1 + p_partkey % 3 as int), cast(1 + p_partkey % 7 as int))")
+    patterns = part.select(cut.alias("text")).distinct()
+    numbered = tables.assign_doc_ids(patterns, ["text"], start=0).filter("text <> ''")
+    index = keyword.build_index(numbered.select("doc_id", F.lit(0).alias("offset"), "text"))
+    names = supplier.select(F.col("s_nationkey").cast("long").alias("request_id"), F.expr("s_name || s_name || substring(s_name, 1, 9)").alias("text"))
+    names = names.unionByName(nation.select(F.col("n_nationkey").cast("long").alias("request_id"), F.expr("n_name || ' ' || n_name").alias("text")))
+    parts = part.filter("p_partkey % 5 = 0").select((F.col("p_partkey") % 50).cast("long").alias("request_id"), F.col("p_name").alias("text"))
+    hits = keyword.match(names.unionByName(parts), index)
+    return hits.select("request_id", "doc_id", "relevance", "first_end", "pattern_length")
+
+
+def _refused(build) -> bool:
+    try:
+        build()
+    except TypeError:
+        return True
+    return False
 
 
 @query(
     "index_guards",
-    "SELECT item_id AS request_id, 0::BIGINT AS hits FROM benchmark",
+    f"""WITH {KEYWORD_HITS}, counts AS (SELECT request_id, count(*) AS n FROM hits WHERE doc_id % 2 = 0 GROUP BY 1)
+        SELECT d.doc_id AS request_id, 0::BIGINT AS hits_in_empty, coalesce(n, 0)::BIGINT AS hits_in_mixed, true AS refuses_numbers, true AS refuses_binary
+        FROM documents d LEFT JOIN counts c ON c.request_id = d.doc_id""",
 )
 def index_guards(spark, folder):
-    empty = keyword.build_index(item_chunks(spark, folder).filter("text = ''"))
-    hits = keyword.search(items(spark, folder), empty, 5)
-    return items(spark, folder).join(hits, "request_id", "left").groupBy("request_id").agg(F.count("doc_id").alias("hits"))
+    """An index of empty texts finds nothing; one of empty and other texts finds the others; wrong types are refused."""
+    asked, chunks = doc_queries(spark, folder), item_chunks(spark, folder)
+    blank = chunks.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit("")))
+    counted = []
+    for name, rows in (("hits_in_empty", blank.withColumn("text", F.lit(""))), ("hits_in_mixed", blank)):
+        counted.append(keyword.match(asked, keyword.build_index(rows)).groupBy("request_id").agg(F.count(F.lit(1)).alias(name)))
+    result = asked.select("request_id")
+    for counts in counted:
+        result = result.join(counts, "request_id", "left")
+    numbers = _refused(lambda: keyword.build_index(chunks.withColumn("text", F.length("text"))))
+    binary = _refused(lambda: keyword.match(asked.withColumn("text", F.encode("text", "utf-8")), keyword.build_index(chunks)))
+    result = result.fillna(0, ["hits_in_empty", "hits_in_mixed"])
+    return result.withColumns({"refuses_numbers": F.lit(numbers), "refuses_binary": F.lit(binary)})
 
 
 # ---- full text ----------------------------------------------------------------------------------
@@ -101,13 +161,13 @@ def index_guards(spark, folder):
         GROUP BY 1, 2""",
 )
 def postings(spark, folder):
-    rows = fulltext.postings(indexed_docs(spark, folder))
+    rows = fulltext.build(whole_docs(spark, folder)).postings()
     return rows.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
 @query("term_stats", f"WITH {ft()} SELECT term, df FROM dfs")
 def term_stats(spark, folder):
-    return fulltext.term_stats(indexed_docs(spark, folder))
+    return indexed_docs(spark, folder).term_stats()
 
 
 @query("search_all", f"WITH {ft()}, {ranked(ALL, 5)} SELECT * FROM best")
@@ -115,14 +175,24 @@ def search_all(spark, folder):
     return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5)
 
 
-@query("search_all_by_term", f"WITH {ft()}, {ranked(ALL, 5)} SELECT * FROM best")
-def search_all_by_term(spark, folder):
-    return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5, plan="term")
+@query("search_any", f"WITH {ft()}, {ranked(ANY, '1 + request_id % 5')} SELECT * FROM best")
+def search_any(spark, folder):
+    return fulltext.search(indexed_docs(spark, folder), asked_items(spark, folder), match="any")
 
 
-@query("search_any", f"WITH {ft()}, {ranked(ANY, 5)} SELECT * FROM best")
-def search_any(spark, folder):
-    return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5, match="any")
+@query(
+    "index_add_search",
+    f"""WITH {ft().replace("FROM documents)", "FROM later)", 1).replace("FROM documents)", "FROM later)")}, {ranked(ANY, 5)} SELECT * FROM best""".replace(
+        "WITH", "WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'updated ' || lang || ' ' || source ELSE text END AS text FROM documents),", 1
+    ),
+)
+def index_add_search(spark, folder):
+    """An index of half of the documents, to which the rest and then updates are added, searched."""
+    docs = documents(spark, folder)
+    index = fulltext.build(C.unary_chunks(docs.filter("doc_id % 2 = 0")))
+    index = index.add(C.unary_chunks(docs.filter("doc_id % 2 = 1")))
+    updates = docs.filter("doc_id % 10 = 0").withColumn("text", F.concat_ws(" ", F.lit("updated"), "lang", "source"))
+    return fulltext.search(index.add(C.unary_chunks(updates)), items(spark, folder), 5, match="any")
 
 
 STEM = """CASE WHEN suffix(term, 'ies') AND NOT suffix(term, 'eies') AND NOT suffix(term, 'aies') THEN left(term, length(term) - 3) || 'y'
@@ -132,16 +202,19 @@ STEM = """CASE WHEN suffix(term, 'ies') AND NOT suffix(term, 'eies') AND NOT suf
 
 @query("search_stemmed", f"WITH {ft(STEM)}, {ranked(ANY, 5)} SELECT * FROM best")
 def search_stemmed(spark, folder):
-    return fulltext.search(indexed_docs(spark, folder, stem=X.s_stem), items(spark, folder), 5, match="any", stem=X.s_stem)
+    index = indexed_docs(spark, folder, "s-stem", stem=X.s_stem)
+    return fulltext.search(index, items(spark, folder), 5, match="any", stem=X.s_stem)
 
 
 @query("search_porter")
 def search_porter(spark, folder):
-    indexed = fulltext.porter_terms(indexed_docs(spark, folder))
+    index = standing(
+        spark, folder, "porter", lambda: fulltext.build_terms(fulltext.porter_terms(fulltext.chunk_terms(whole_docs(spark, folder))))
+    )
     queries = items(spark, folder).select(F.col("request_id").alias("doc_id"), F.lit(0).alias("offset"), "text")
-    stems = fulltext.porter_terms(fulltext.indexed_chunks(queries))
+    stems = fulltext.porter_terms(fulltext.chunk_terms(queries))
     clauses = stems.select(F.col("doc_id").alias("request_id"), F.explode(F.array_distinct("terms")).alias("term"))
-    return fulltext.best_hits(fulltext.score(indexed, clauses.withColumn("clause", F.lit("should"))), 5)
+    return fulltext.best_hits(fulltext.score(index, clauses.withColumn("clause", F.lit("should"))), 5)
 
 
 _CLAUSES = f"""
@@ -183,11 +256,6 @@ def search_bool(spark, folder):
     return fulltext.bool_search(indexed_docs(spark, folder), bool_clauses(spark, folder), 5)
 
 
-@query("search_bool_by_term", _BOOL)
-def search_bool_by_term(spark, folder):
-    return fulltext.bool_search(indexed_docs(spark, folder), bool_clauses(spark, folder), 5, plan="term")
-
-
 @query(
     "search_phrase",
     f"""WITH {ft()},
@@ -202,11 +270,18 @@ def search_phrase(spark, folder):
 
 @query(
     "joint_search",
-    f"WITH {ft()}, {ranked(ANY, 5)} SELECT request_id, rank, doc_id, score, lang, text FROM best JOIN documents USING (doc_id)",
+    f"""WITH {ft()}, {ranked(ANY, 5)} SELECT request_id, rank, doc_id, score, lang, text, s.doc_id IS NOT NULL AS found
+        FROM best LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 <> 0) s USING (doc_id)""",
 )
 def joint_search(spark, folder):
-    hits = search_any(spark, folder).select("request_id", "rank", "doc_id", "score")
-    return docstore.joint_search(hits, table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    """Hits with their documents, one document in seven not being stored."""
+    hits = search_items(spark, folder).select("request_id", "rank", "doc_id", "score")
+    stored = table(spark, folder, "documents").filter("doc_id % 7 <> 0").select("doc_id", "lang", "text")
+    return docstore.joint_search(hits, stored)
+
+
+def search_items(spark, folder):
+    return fulltext.search(indexed_docs(spark, folder), items(spark, folder), 5, match="any")
 
 
 # ---- document store -----------------------------------------------------------------------------
@@ -286,6 +361,18 @@ def vector_topk_cosine(spark, folder):
     return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5, metric="cosine")
 
 
-@query("vector_ann")
+@query("vector_ann", "SELECT vec_id AS request_id, least(5, (SELECT count(*) FROM embeddings))::BIGINT AS n, true AS exact_distances, true AS in_order, true AS enough_recall FROM embeddings")
 def vector_ann(spark, folder):
-    return vectors.nearest_approximate(vector_queries(spark, folder), vector_table(spark, folder), 5)
+    """Per request: its number of hits, whether their distances and order are right; and the recall over all, half at least."""
+    asked, stored = vector_queries(spark, folder), vector_table(spark, folder)
+    found = materialize(vectors.nearest_approximate(asked, stored, 5), "approximate")
+    both = found.join(asked.withColumnRenamed("vector", "q"), "request_id").join(stored, "vec_id")
+    right = F.round(vectors.distance(F.col("q"), F.col("vector")), 6) == F.col("distance")
+    exact = vectors.nearest(asked, stored, 5).select("request_id", "vec_id")
+    recall = found.join(exact, ["request_id", "vec_id"]).count() / max(1, exact.count())
+    earlier = F.lag("distance").over(Window.partitionBy("request_id").orderBy("rank"))
+    rows = both.withColumns({"right": right, "earlier": earlier})
+    summed = rows.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n"), F.every("right").alias("exact_distances"), F.every(F.coalesce(F.col("earlier") <= F.col("distance"), F.lit(True))).alias("in_order")
+    )
+    return summed.withColumn("enough_recall", F.lit(recall >= 0.5))

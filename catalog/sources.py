@@ -23,21 +23,27 @@ def table_scan_limit(spark, folder):
 
 
 def _contract_sql(name: str, key: str, start: int) -> str:
-    return f"""SELECT '{name}' AS source, n, min_id, max_id, n_distinct, max_id - min_id + 1 - n_distinct AS n_missing,
+    return f"""SELECT '{name}' AS source, n, min_id, max_id, n_distinct, n - n_inside AS n_missing,
         n = n_distinct AND min_id = {start} AND max_id = {start} + n - 1 AS ok
-        FROM (SELECT count(*) AS n, min({key}) AS min_id, max({key}) AS max_id, count(DISTINCT {key}) AS n_distinct FROM {name})"""
+        FROM (SELECT count(*) AS n, min({key}) AS min_id, max({key}) AS max_id, count(DISTINCT {key}) AS n_distinct,
+              count(DISTINCT CASE WHEN {key} BETWEEN {start} AND {start} + total - 1 THEN {key} END) AS n_inside
+              FROM {name}, (SELECT count(*) AS total FROM {name}))"""
+
+
+#: Tables whose ids start where they should, earlier and later, with gaps and with repeats.
+CONTRACTS = (("documents", "doc_id", 0), ("labels", "doc_id", 0), ("conversations", "conv_id", 0), ("orders", "o_orderkey", 1), ("nation", "n_nationkey", 3), ("region", "r_regionkey", -2))
 
 
 @query(
     "id_contract",
     " UNION ALL ".join(
-        _contract_sql(*t) for t in (("documents", "doc_id", 0), ("labels", "doc_id", 0), ("conversations", "conv_id", 0))
+        _contract_sql(*t) for t in CONTRACTS
     ),
 )
 def id_contract(spark, folder):
     rows = None
-    for name, key in (("documents", "doc_id"), ("labels", "doc_id"), ("conversations", "conv_id")):
-        report = tables.id_contract(table(spark, folder, name), key, 0).select(F.lit(name).alias("source"), "*")
+    for name, key, start in CONTRACTS:
+        report = tables.id_contract(table(spark, folder, name), key, start).select(F.lit(name).alias("source"), "*")
         rows = report if rows is None else rows.unionByName(report)
     return rows
 
@@ -139,11 +145,15 @@ def top1_text(spark, folder):
     return requests.top_answers(hits, chunks)
 
 
-@query("chunk_fetch", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 1000")
+@query(
+    "chunk_fetch",
+    """SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS page, (row_number() OVER (ORDER BY o_orderkey) - 1) % 1000 AS slot
+       FROM (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 1000)""",
+)
 def chunk_fetch(spark, folder):
     rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    names, fetched = tables.fetch(rows, "o_totalprice > 1000")
-    return fetched.select(*names)
+    names, fetched = tables.fetch(rows, "o_orderkey", 1000, "o_totalprice > 1000")
+    return fetched.select(*names, "page", "slot")
 
 
 @query("bulk_insert", "SELECT * FROM labels UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels")

@@ -60,8 +60,8 @@ def fulltext(terms: str = "term") -> str:
     GROUP BY ALL)"""
 
 
-def ranked(source: str, k: int, name: str = "best") -> str:
-    """CTE: top k of (request_id, doc_id, offset, raw_score)."""
+def ranked(source: str, k: int | str, name: str = "best") -> str:
+    """CTE: top k (a number or an expression over request_id) of (request_id, doc_id, offset, raw_score)."""
     return f"""
   {name} AS (
     SELECT request_id, rank, doc_id, "offset", 1.0::DOUBLE AS weight, score FROM (

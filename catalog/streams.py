@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.flows import INDEXED_SQL, index_messages, index_summary
-from catalog.search import indexed_docs
-from catalog.sql import ALL, fulltext as ft, ranked
+from catalog.routing import FITTED
+from catalog.search import indexed_docs, items
+from catalog.sql import ALL, ANY, fulltext as ft, ranked
 from catalog.texts import conversation_pairs
-from corpusflow.operators import examples
+from corpusflow.operators import examples, fulltext
 from corpusflow.session import scratch_path
 from corpusflow.streaming import jobs
 
@@ -19,6 +20,14 @@ def stream(spark, folder, name):
     return jobs.read_files(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
 
 
+def batches(spark, rows, parts):
+    """A table as a stream of several micro-batches, in order of its ``part`` column."""
+    path = scratch_path(spark, "stream")
+    for part in range(parts):
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_files(spark, path, rows.drop("part").schema, "*.parquet", per_batch=1)
+
+
 def finish(running):
     running.awaitTermination()
     if running.exception():
@@ -32,6 +41,27 @@ def stream_ingest(spark, folder):
     return index_summary(*jobs.read_index(spark, path))
 
 
+@query(
+    "stream_ingest_search",
+    f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'updated ' || lang || ' ' || source ELSE text END AS text FROM documents),
+        {ft().replace("FROM documents)", "FROM later)")}, {ranked(ANY, 5)} SELECT * FROM best""",
+)
+def stream_ingest_search(spark, folder):
+    """Documents in two micro-batches, each write there twice; updates of some in a later one, which also
+    brings back an older write; then a search of the streamed index."""
+    docs = table(spark, folder, "documents").select(F.lit("index").alias("kind"), "doc_id", "text", "lang", "source")
+    first = docs.withColumns({"seq": F.lit(1), "part": (F.col("doc_id") % 2).cast("int")})
+    older = first.withColumns({"seq": F.lit(0), "text": F.concat(F.lit("an older text "), "text")})
+    some = docs.filter("doc_id % 10 = 0").withColumn("part", F.lit(2))
+    update = some.withColumns({"seq": F.lit(5), "text": F.concat_ws(" ", F.lit("updated"), "lang", "source")})
+    stale = some.withColumns({"seq": F.lit(2), "text": F.lit("between the two")})
+    rows = first.unionByName(older).unionByName(update).unionByName(stale).drop("lang", "source")
+    path, state = scratch_path(spark, "index"), scratch_path(spark, "state")
+    finish(jobs.ingest(batches(spark, rows, 3), path, state))
+    index, _ = jobs.read_index(spark, path)
+    return fulltext.search(index, items(spark, folder), 5, match="any")
+
+
 @query("stream_block", "SELECT event_id, event_type AS kind, value FROM events WHERE event_type <> 'view'")
 def stream_block(spark, folder):
     path, state = scratch_path(spark, "kept"), scratch_path(spark, "state")
@@ -67,13 +97,15 @@ def stream_rendezvous(spark, folder):
     return spark.read.parquet(path)
 
 
-@query("stream_train")
+@query("stream_train", f"{FITTED} SELECT 'SUCCESS' AS status, examples, round(intercept, 6) AS intercept, 'jaccard' AS feature, round(slope, 6) AS weight FROM line")
 def stream_train(spark, folder):
+    """The scorer after the last micro-batch, fitted to one feature without a penalty."""
     source, path, state = (scratch_path(spark, p) for p in ("records", "scorer", "state"))
     pairs = conversation_pairs(spark, folder)
     record = F.to_json(F.struct(F.col("query").alias("Query"), F.col("candidate").alias("Candidate"), F.col("label").alias("Label")))
     pairs.select(record.alias("value")).write.text(source)
     good, _ = examples.parse_train_records(spark.readStream.text(source))
-    finish(jobs.train_scorer(good, path, state))
-    status = spark.read.parquet(f"{path}/status")
-    return status.select("step", "status", "examples", F.round("intercept", 6).alias("intercept"), F.explode("weights").alias("feature", "weight"))
+    finish(jobs.train_scorer(good, path, state, ["jaccard"], reg=0.0))
+    last = spark.read.parquet(f"{path}/status").orderBy(F.desc("step")).limit(1)
+    rows = last.select("status", "examples", F.round("intercept", 6).alias("intercept"), F.explode("weights").alias("feature", "weight"))
+    return rows.withColumn("weight", F.round("weight", 6))

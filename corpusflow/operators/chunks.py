@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators.scale import each, with_position
+from corpusflow.operators.scale import each, join_alike, with_position
 
 
 def unary_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -42,7 +42,7 @@ def pad_to_batch(df: DataFrame, batch: str, tokens: str, pad: int | str = 0, nam
     longest = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("_longest"))
     element = df.schema[tokens].dataType.elementType
     filler = F.array_repeat(F.lit(pad).cast(element), F.col("_longest") - F.size(tokens))
-    return df.join(longest, batch).withColumn(name, F.concat(F.col(tokens), filler)).drop("_longest")
+    return join_alike(df, longest, [batch]).withColumn(name, F.concat(F.col(tokens), filler)).drop("_longest")
 
 
 def batch_ids(df: DataFrame, order: Sequence[str | Column], size: int, name: str = "batch_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import md5_int
-from corpusflow.operators.scale import ordered_runs, salted_join, top_k
+from corpusflow.operators.scale import group_key, join_alike, ordered_runs, salted_join, top_k
 
 
 def log_softmax_array(scores: Column) -> Column:
@@ -48,7 +48,7 @@ def probabilities(df: DataFrame, group: Sequence[str], logit: str, item: str) ->
         F.sum(scaled).over(whole).alias("_z"),
         F.coalesce(F.sum(scaled).over(earlier), F.lit(0.0)).alias("_before"),
     )
-    rows = runs.join(sums, part)
+    rows = join_alike(runs, sums, part)
     weight = F.col("_e") * F.col("_scale")
     running = F.sum(weight).over(local.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.select(
@@ -64,11 +64,8 @@ def top_k_filter(df: DataFrame, group: Sequence[str], logit: str, item: str, k:
     if k <= 0:
         return df
     best = top_k(df, group, [F.desc(logit), F.asc(item)], k, "_rank")
-    least = best.groupBy(*group).agg(F.min(logit).alias("_least"))
-    if len(group) == 1:
-        rows = salted_join(df, least, group[0])
-    else:
-        rows = df.join(least, list(group))
+    least = best.groupBy(group_key(group).alias("_group")).agg(F.min(logit).alias("_least"))
+    rows = salted_join(df.withColumn("_group", group_key(group)), least, "_group")
     return rows.filter(F.col(logit) >= F.col("_least")).select(*df.columns)
 
 

@@ -44,9 +44,15 @@ def bucket_of(key: Column, buckets: int) -> Column:
 
 
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", buckets: int = 64, mode: str = "append") -> None:
-    """Parquet partitioned by key bucket; about one file per bucket and write."""
+    """Parquet partitioned by key bucket.
+
+    The rows of a bucket are dealt to enough tasks that all shuffle partitions write: one file per bucket where there
+    are as many buckets as partitions, more where a job has more partitions.
+    """
     rows = docs.withColumn("bucket", bucket_of(F.col(key), buckets))
-    rows.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(-(-parts // buckets)))
+    rows.repartition(parts, "bucket", salt).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, seq: str | None = "seq", key: str = "doc_id") -> DataFrame:
@@ -57,15 +63,18 @@ def read_store(spark: SparkSession, path: str, seq: str | None = "seq", key: str
 
 def get(spark: SparkSession, path: str, keys: list[int], buckets: int = 64, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     """A few documents by key, reading only their buckets."""
-    wanted = sorted({spark.range(1).select(bucket_of(F.lit(k).cast("long"), buckets)).first()[0] for k in keys})
+    numbers = spark.range(1).select(F.explode(F.array(*[F.lit(k).cast("long") for k in keys]) if keys else F.array().cast("array<long>")).alias("key"))
+    wanted = sorted(r[0] for r in numbers.select(bucket_of(F.col("key"), buckets)).distinct().collect())  # few keys are given
     rows = spark.read.parquet(path).filter(F.col("bucket").isin(wanted) & F.col(key).isin(keys))
     return upsert(None, rows.drop("bucket"), key, seq)
 
 
 def joint_search(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Search hits with their stored documents attached; hits whose document is not stored are left out.
+    """Search hits with their stored documents attached, and ``found``; a hit whose document is not stored keeps its row.
 
-    The hits are stored first: with a known size, Spark ships a few hits to the documents and does not
-    shuffle the documents to the hits.
+    The hits are stored first: with a known size, Spark ships the few hits to the documents and does not
+    shuffle the documents to the hits.  The documents found are then joined back to the hits.
     """
-    return materialize(hits, "hits").join(docs, "doc_id")
+    stored = materialize(hits, "hits")
+    wanted = docs.join(stored.select("doc_id").distinct(), "doc_id", "left_semi")
+    return lookup(stored, materialize(wanted, "documents"))

@@ -1,26 +1,33 @@
-"""Full-text index: tokens, postings, TF-IDF search, and boolean terms given as tables."""
+"""Full-text index: standing tables of postings, TF-IDF search, and boolean terms given as tables.
+
+An index is a folder of segments.  Each call that adds chunks writes one segment: its postings, in buckets by term and sorted by
+term, and the keys of its chunks.  A chunk added again replaces what earlier segments hold of it.  A search reads
+the buckets of its terms only; texts are cut into terms once, when they are added.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators.scale import each, salted_join, small_enough, top_k
-from corpusflow.session import materialize
+from corpusflow.operators.scale import best_of, each, salted_join, small_enough
+from corpusflow.session import materialize, scratch_path
 
-#: Query terms and texts up to this size are shipped to the documents; beyond it terms are joined by shuffle.
+#: Tables of terms and clauses up to this size are sent to all tasks; larger ones are joined by shuffle.
 QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
 
 #: A must term narrows a request down when its postings are at most this fraction of all the request's.
 SELECTIVE = 16
 
 KEY = ["doc_id", "offset"]
-#: A chunk with the shard that holds it; grouping by it needs no further shuffle.
-SHARD_KEY = ["shard", *KEY]
+#: Buckets of terms in each segment.
+BUCKETS = 32
 
 
 def stop_words(language: str = "english") -> list[str]:
@@ -35,154 +42,186 @@ def analyze(text: Column, stem: Callable[[Column], Column] | None = None, stop:
     return F.transform(terms, lambda t: stem(t)) if stem else terms
 
 
-def latest_chunks(chunks: DataFrame, seq: str) -> DataFrame:
-    """One row per (doc_id, offset): the chunk added last replaces earlier ones."""
-    rows = chunks.groupBy(*KEY).agg(F.max_by("text", seq).alias("text"))
-    return rows.select(*KEY, "text")
-
+def chunk_terms(chunks: DataFrame, **analysis) -> DataFrame:
+    """(doc_id, offset, terms): the index terms of each chunk, in order."""
+    return chunks.select(*KEY, analyze(F.col("text"), **analysis).alias("terms"))
 
-def indexed_chunks(chunks: DataFrame, **analysis) -> DataFrame:
-    """(shard, doc_id, offset, terms): the index as shards of chunks.
-
-    Hash-partitioned once, moving only the texts; everything counted per chunk afterwards stays in its
-    partition.  The shard is a hash of the whole chunk key, so a document of very many chunks spreads.
-    """
-    placed = chunks.select(F.xxhash64(*KEY).alias("shard"), *KEY, "text").repartition("shard")
-    return placed.select(*SHARD_KEY, analyze(F.col("text"), **analysis).alias("terms"))
 
+def porter_terms(terms: DataFrame) -> DataFrame:
+    """Replace all terms by Porter stems: the stemmer runs once per distinct term, the result is joined back."""
+    spread = terms.select(*KEY, F.posexplode_outer("terms").alias("pos", "term"))
+    stems = spread.select("term").distinct().select("term", X.porter_stem("term").alias("stem"))
+    if small_enough(stems, "term"):
+        stemmed = spread.join(F.broadcast(stems), "term", "left")
+    else:
+        stemmed = salted_join(materialize(spread, "tokens"), stems, "term", "left")
+    ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
+    return stemmed.groupBy(*KEY).agg(ordered.alias("s")).select(*KEY, F.col("s.stem").alias("terms"))
 
-def store_index(indexed: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
-    """Keep the shards as a table bucketed by shard: searches of it shuffle neither texts nor postings."""
-    writer = indexed.write.mode("overwrite").format("parquet").bucketBy(buckets, "shard").option("path", path)
-    writer.saveAsTable(table)
-    return indexed.sparkSession.table(table)
 
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """(term, doc_id, offset, tf, positions): one row per term and chunk; positions in order."""
-    spread = each(indexed, F.col("terms"), "term", SHARD_KEY, "pos")
-    lists = spread.groupBy("term", *SHARD_KEY).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return lists.select("term", *KEY, F.size("positions").alias("tf"), "positions")
 
+def write_segment(terms: DataFrame, path: str, segment: int, seq: str | None = None) -> None:
+    """Write chunks (doc_id, offset, terms[, seq]) as one segment; writing it again replaces it.
 
-def counted_terms(indexed: DataFrame) -> DataFrame:
-    """(term, shard, doc_id, offset, tf), without positions."""
-    spread = each(indexed, F.col("terms"), "term", SHARD_KEY)
-    return spread.groupBy("term", *SHARD_KEY).agg(F.count(F.lit(1)).alias("tf"))
+    Each chunk must be there once.  Tokens move once, dealt by bucket and by a hash of the chunk, so a frequent term
+    is spread over tasks; grouping and sorting need no further shuffle.
+    """
+    number = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
+    # The texts may be costly to read and are needed twice.
+    held = materialize(terms.select(*KEY, "terms", number.alias("seq")), "terms")
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*KEY), F.lit(-(-parts // BUCKETS)))
+    tokens = each(held, F.col("terms"), "term", KEY, "pos")
+    dealt = tokens.withColumns({"bucket": term_bucket(F.col("term")), "salt": salt}).repartition(parts, "bucket", "salt")
+    lists = dealt.groupBy("bucket", "salt", "term", *KEY).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = lists.select("bucket", "term", *KEY, F.size("positions").alias("tf"), "positions").sortWithinPartitions("bucket", "term")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    # The chunks are written last: a segment without them does not count.
+    held.select(*KEY, "seq", F.size("terms").alias("n_terms")).write.mode("overwrite").parquet(f"{path}/chunks/segment={segment}")
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A standing index below ``path``, as its segments are now."""
+
+    spark: SparkSession
+    path: str
+
+    @cached_property
+    def _written(self) -> DataFrame:
+        schema = "doc_id long, offset int, seq long, n_terms int, segment int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
+
+    @cached_property
+    def segments(self) -> list[int]:
+        return sorted(r[0] for r in self._written.select("segment").distinct().collect())  # one row per call that added
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """(doc_id, offset, n_terms, segment): the newest form of each chunk, by ``seq``, then by segment."""
+        if len(self.segments) < 2:
+            return self._written.drop("seq")
+        newest = self._written.groupBy(*KEY).agg(F.max(F.struct("seq", "segment", "n_terms")).alias("m"))
+        return materialize(newest.select(*KEY, "m.n_terms", "m.segment"), "chunks")
+
+    @cached_property
+    def size(self) -> int:
+        return self.chunks.count()
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, doc_id, offset, tf, positions) of all chunks, or of a table (term) only.
+
+        For given terms only their buckets are read, and in them the row groups that may hold them.
+        """
+        schema = "term string, doc_id long, offset int, tf int, positions array<int>, segment int, bucket int"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").filter(F.col("segment").isin(self.segments))
+        if terms is not None:
+            wanted = terms.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
+            buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most BUCKETS
+            sent = F.broadcast(wanted) if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) else wanted
+            rows = rows.filter(F.col("bucket").isin(buckets)).join(sent, ["bucket", "term"], "left_semi")
+        if len(self.segments) > 1:
+            live = self.chunks.select(*KEY, "segment")
+            rows = rows.join(live, [*KEY, "segment"], "left_semi")
+        return rows.select("term", *KEY, "tf", "positions")
+
+    def term_stats(self) -> DataFrame:
+        """(term, df): in how many chunks a term occurs."""
+        return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def add(self, chunks: DataFrame, seq: str | None = None, **analysis) -> TextIndex:
+        """The index with more chunks (doc_id, offset, text[, seq]); a chunk of the same key is replaced.
+
+        Of a key given several times the one with the highest ``seq`` counts; without ``seq``, the last call does.
+        """
+        rows = latest_chunks(chunks, seq) if seq else chunks
+        terms = rows.select(*KEY, analyze(F.col("text"), **analysis).alias("terms"), *([seq] if seq else []))
+        write_segment(terms, self.path, max(self.segments, default=-1) + 1, seq)
+        return TextIndex(self.spark, self.path)
+
+
+def build(chunks: DataFrame, path: str | None = None, seq: str | None = None, **analysis) -> TextIndex:
+    """A standing index of chunks (doc_id, offset, text[, seq]) below ``path`` (a scratch folder if not given)."""
+    rows = latest_chunks(chunks, seq) if seq else chunks
+    terms = rows.select(*KEY, analyze(F.col("text"), **analysis).alias("terms"), *([seq] if seq else []))
+    return build_terms(terms, path, seq)
+
+
+def build_terms(terms: DataFrame, path: str | None = None, seq: str | None = None) -> TextIndex:
+    """The same from terms (doc_id, offset, terms[, seq])."""
+    spark = terms.sparkSession
+    index = TextIndex(spark, path or scratch_path(spark, "fulltext"))
+    write_segment(terms, index.path, 0, seq)
+    return index
 
 
-def term_stats(indexed: DataFrame) -> DataFrame:
-    """(term, df): in how many chunks a term occurs."""
-    return each(indexed, F.array_distinct("terms"), "term", []).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def latest_chunks(chunks: DataFrame, seq: str) -> DataFrame:
+    """One row per (doc_id, offset): the chunk with the highest ``seq`` (of several of one seq, the greatest text)."""
+    rows = chunks.groupBy(*KEY).agg(F.max(F.struct(seq, "text")).alias("m"))
+    return rows.select(*KEY, "m.text", F.col(f"m.{seq}").alias(seq))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1))
 
 
-def porter_terms(indexed: DataFrame) -> DataFrame:
-    """Replace all terms by Porter stems: the stemmer runs once per distinct term, the result is joined back."""
-    spread = indexed.select(*SHARD_KEY, F.posexplode_outer("terms").alias("pos", "term"))
-    stems = spread.select("term").distinct().select("term", X.porter_stem("term").alias("stem"))
-    if small_enough(stems, "term"):
-        stemmed = spread.join(F.broadcast(stems), "term", "left")
-    else:
-        stemmed = salted_join(materialize(spread, "tokens"), stems, "term", "left")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
-    return stemmed.groupBy(*SHARD_KEY).agg(ordered.alias("s")).select(*SHARD_KEY, F.col("s.stem").alias("terms"))
-
-
 def query_terms(queries: DataFrame, **analysis) -> DataFrame:
     """(request_id, term): the distinct terms of each query text."""
     return each(queries, F.array_distinct(analyze(F.col("text"), **analysis)), "term", ["request_id"])
 
 
-def weighted_terms(indexed: DataFrame, clauses: DataFrame, small: bool, stats: DataFrame | None = None) -> DataFrame:
+def _weighted(clauses: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """The clause rows with their term's df and idf, and ``need``, the request's number of must terms.
 
-    A term no chunk holds has df 0.  Document frequencies are counted for the query terms only, unless
-    stored statistics are given.  ``small`` says that the clauses may be broadcast.
+    A term no chunk holds has df 0.
     """
-    if stats is None:
-        wanted = clauses.select("term").distinct()
-        held = each(indexed, F.array_distinct("terms"), "term", [])
-        if small:
-            held = held.join(F.broadcast(wanted), "term", "left_semi")
-        stats = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     need = clauses.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
-    joined = clauses.join(stats.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return joined.withColumn("idf", idf(F.lit(indexed.count()), F.col("df"))).join(need, "request_id")
-
-
-def _score_must_by_shard(indexed: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Chunks that qualify for requests with a rare must term, found and scored where they lie.
-
-    A chunk is looked at for a request only when it holds the request's rarest must term, and then
-    checked and scored from its own term list; nothing of the index is shuffled.  The clauses must be
-    proven small.
-    """
-
-    def clause(name: str) -> Column:
-        return F.collect_list(F.when(F.col("clause") == name, F.col("term"))).alias(name)
-
-    scored = F.when(F.col("clause") != "must_not", F.struct("term", "idf"))
-    plans = weighted.groupBy("request_id").agg(
-        clause("must"), clause("must_not"), F.sort_array(F.collect_list(scored)).alias("scored")
-    )
-    plans = plans.join(_rarest(weighted), "request_id").withColumnRenamed("term", "anchor")
-    words = [r[0] for r in plans.select("anchor").distinct().collect()]
-    held = F.array_intersect("terms", F.array(*[F.lit(t) for t in words]).cast("array<string>"))
-    looked_at = each(indexed, held, "anchor", [*KEY, "terms"]).join(F.broadcast(plans), "anchor")
-    fits = (F.size(F.array_except("must", "terms")) == 0) & ~F.arrays_overlap("must_not", "terms")
-
-    def tf(term: Column) -> Column:
-        return F.size("terms") - F.size(F.array_remove("terms", term))
-
-    score = F.aggregate("scored", F.lit(0.0), lambda total, q: total + tf(q["term"]) * q["idf"])
-    return looked_at.filter(fits).select("request_id", *KEY, score.alias("score"))
+    joined = clauses.join(stats, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return joined.withColumn("idf", idf(F.lit(n), F.col("df"))).join(need, "request_id")
 
 
 def _sums(hits: DataFrame) -> DataFrame:
     """Qualifying chunks from joined (clause, posting) rows."""
     kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in ("must", "should", "must_not")]
     part = F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))
-    summed = hits.groupBy("request_id", "need", *SHARD_KEY).agg(F.sum(part).alias("score"), *kinds)
+    summed = hits.groupBy("request_id", "need", *KEY).agg(F.sum(part).alias("score"), *kinds)
     fits = "n_must = need AND n_must_not = 0 AND (need > 0 OR n_should > 0)"
     return summed.filter(fits).select("request_id", *KEY, "score")
 
 
-def _score_by_sum(counted: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
-    """Sums over all clauses a chunk meets.  Small clauses are shipped, and the sums then stay in the shard."""
-    return _sums(counted.join(F.broadcast(weighted), "term") if small else salted_join(counted, weighted, "term"))
-
-
 def _rarest(weighted: DataFrame) -> DataFrame:
     """(request_id, term): the must term held by the fewest chunks."""
     rare = weighted.filter("clause = 'must'").groupBy("request_id").agg(F.min(F.struct("df", "term")).alias("r"))
     return rare.select("request_id", "r.term")
 
 
-def _score_must_by_term(counted: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Requests with a rare must term, by shuffle: for query sets too large to ship.
-
-    Candidates come from the rarest must term only, so a request's common terms never multiply; the
-    other terms are looked up per candidate.
-    """
-    candidates = salted_join(counted.drop("tf"), _rarest(weighted), "term").drop("term")
-    return _sums(candidates.join(weighted, "request_id").join(counted, ["term", *SHARD_KEY]))
+def _by_rarest(found: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
+    """Requests with a rare must term: candidates come from its postings only, so a request's common terms never
+    multiply; the other terms are looked up per candidate."""
+    rare = _rarest(weighted)
+    keys = found.drop("tf")
+    candidates = (keys.join(F.broadcast(rare), "term") if small else salted_join(keys, rare, "term")).drop("term")
+    stored = materialize(candidates, "candidates")
+    clauses = stored.join(F.broadcast(weighted), "request_id") if small else salted_join(stored, weighted, "request_id")
+    return _sums(clauses.join(found, ["term", *KEY]))
 
 
-def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None, plan: str | None = None) -> DataFrame:
+def score(index: TextIndex, clauses: DataFrame) -> DataFrame:
     """TF-IDF of every qualifying chunk: (request_id, doc_id, offset, score).
 
     ``clauses`` is a table (request_id, clause, term), each row once, clause in must / should / must_not.
     A chunk qualifies when it holds all must terms (or, without must terms, at least one should term)
     and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over the must and should rows it holds.
-    ``plan`` is ``shard`` or ``term``; by default the size of the clauses decides.
+    Only the postings of the clauses' terms are read; document frequencies are counted on them.
     """
-    small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS) if plan is None else plan == "shard"
-    # Read several times below, and each time would count document frequencies again.
-    weighted = materialize(weighted_terms(indexed, clauses, small, stats), "clauses")
+    clauses = materialize(clauses, "asked")
+    small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS)
+    found = materialize(index.postings(clauses).select("term", *KEY, "tf"), "postings")
+    weighted = materialize(_weighted(clauses, found, index.size), "clauses")
     # A request whose rarest must term is rare against all its postings is answered from the chunks with
     # that term; any other by summing its postings.
     requests = weighted.groupBy("request_id").agg(
@@ -192,68 +231,51 @@ def score(indexed: DataFrame, clauses: DataFrame, stats: DataFrame | None = None
     requests = requests.select("request_id", selective.alias("selective"))
     n_selective, n_other = requests.agg(F.count_if("selective"), F.count_if(~F.col("selective"))).first()
     picked = requests.filter("selective").select("request_id")
-    # The term plan joins the postings several times and looks for their hot terms first.
-    counted = counted_terms(indexed) if small else materialize(counted_terms(indexed), "postings")
     results = []
     if n_selective:
-        chosen = weighted.join(picked, "request_id", "left_semi")
-        results.append(_score_must_by_shard(indexed, chosen) if small else _score_must_by_term(counted, chosen))
+        results.append(_by_rarest(found, weighted.join(picked, "request_id", "left_semi"), small))
     if n_other or not n_selective:
-        results.append(_score_by_sum(counted, weighted.join(picked, "request_id", "left_anti"), small))
+        rest = weighted.join(picked, "request_id", "left_anti")
+        results.append(_sums(found.join(F.broadcast(rest), "term") if small else salted_join(found, rest, "term")))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
-def best_hits(scored: DataFrame, k: int) -> DataFrame:
-    """Top k chunks per request by score rounded to six places, then key."""
+def best_hits(scored: DataFrame, k: int | None, requests: DataFrame | None = None) -> DataFrame:
+    """Top k chunks per request by score rounded to six places, then key; without ``k``, each request's own ``top_k``."""
     rounded = scored.withColumn("score", F.round("score", 6))
-    best = top_k(rounded, ["request_id"], [F.desc("score"), F.asc("doc_id"), F.asc("offset")], k)
+    best = best_of(rounded, requests, [F.desc("score"), F.asc("doc_id"), F.asc("offset")], k)
     return best.select("request_id", "rank", *KEY, F.lit(1.0).alias("weight"), "score")
 
 
-def search(
-    indexed: DataFrame,
-    queries: DataFrame,
-    k: int,
-    match: str = "all",
-    stats: DataFrame | None = None,
-    plan: str | None = None,
-    **analysis,
-) -> DataFrame:
+def search(index: TextIndex, queries: DataFrame, k: int | None = None, match: str = "all", **analysis) -> DataFrame:
     """Top k chunks per query text: (request_id, rank, doc_id, offset, weight 1.0, score).
 
-    ``match='all'`` needs every distinct term of the query in the chunk, ``'any'`` at least one.
+    Without ``k`` each request's own ``top_k`` column counts.  ``match='all'`` needs every distinct term of the query
+    in the chunk, ``'any'`` at least one.
     """
     clause = {"all": "must", "any": "should"}[match]
     clauses = query_terms(queries, **analysis).withColumn("clause", F.lit(clause))
-    return best_hits(score(indexed, clauses, stats, plan), k)
+    return best_hits(score(index, clauses.distinct()), k, queries)
 
 
-def bool_search(
-    indexed: DataFrame, clauses: DataFrame, k: int, stats: DataFrame | None = None, plan: str | None = None
-) -> DataFrame:
+def bool_search(index: TextIndex, clauses: DataFrame, k: int | None, requests: DataFrame | None = None) -> DataFrame:
     """Top k chunks per request of boolean clauses (request_id, clause, term)."""
-    return best_hits(score(indexed, clauses.select("request_id", "clause", "term").distinct(), stats, plan), k)
+    return best_hits(score(index, clauses.select("request_id", "clause", "term").distinct()), k, requests)
 
 
-def phrase_search(
-    indexed: DataFrame,
-    phrases: DataFrame,
-    k: int,
-    stats: DataFrame | None = None,
-    plan: str | None = None,
-    **analysis,
-) -> DataFrame:
+def phrase_search(index: TextIndex, phrases: DataFrame, k: int | None, **analysis) -> DataFrame:
     """Chunks holding the whole phrase, its terms adjacent and in order; ranked by TF-IDF of its terms.
 
-    Chunks holding all terms are found first; only those are checked for adjacency.
+    Chunks holding all terms are found first; for those the postings' positions tell whether the terms follow each
+    other: position less place in the phrase is the same for all.
     """
-
-    def line(terms: Column) -> Column:
-        return F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
-
-    phrase = phrases.select("request_id", line(analyze(F.col("text"), **analysis)).alias("phrase"))
-    clauses = query_terms(phrases, **analysis).withColumn("clause", F.lit("must"))
-    # Stored, the few candidates have a known size, and a small side is shipped instead of the index.
-    scored = materialize(score(indexed, clauses, stats, plan), "candidates").join(phrase, "request_id")
-    hits = scored.join(indexed, KEY).filter(F.contains(line(F.col("terms")), F.col("phrase")))
-    return best_hits(hits.select("request_id", *KEY, "score"), k)
+    placed = each(phrases, analyze(F.col("text"), **analysis), "term", ["request_id"], "place")
+    placed = materialize(placed, "phrases")
+    clauses = placed.select("request_id", "term").distinct().withColumn("clause", F.lit("must"))
+    scored = materialize(score(index, clauses), "candidates")
+    lengths = placed.groupBy("request_id").agg(F.count(F.lit(1)).alias("length"))
+    asked = scored.select("request_id", *KEY).join(placed, "request_id")
+    spots = asked.join(index.postings(clauses).select("term", *KEY, "positions"), ["term", *KEY])
+    starts = spots.select("request_id", *KEY, F.explode("positions").alias("pos"), "place").withColumn("start", F.col("pos") - F.col("place"))
+    runs = starts.groupBy("request_id", *KEY, "start").agg(F.count(F.lit(1)).alias("n")).join(lengths, "request_id").filter("n = length")
+    return best_hits(scored.join(runs.select("request_id", *KEY).distinct(), ["request_id", *KEY], "left_semi"), k, phrases)

@@ -4,28 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.scale import small_enough, spread_join, top_k
+from corpusflow.operators.scale import best_of, small_enough, spread_join
 from corpusflow.schema import require
 from corpusflow.session import materialize
 
-#: Largest total length of the patterns for one automaton per task (some tens of bytes per letter).
-AUTOMATON_CHARS = 2_000_000
 #: Window classes of the gram plan: patterns at least this long share a class (fixed values).
 CLASSES = (1, 2, 4, 8, 16, 32, 64)
 GRAM = 8
-#: What a plan counts per query and pattern key.
-COUNTS = "doc_id long, offset int, n long, first_end long, pattern_length int"
-COUNT_COLUMNS = ["doc_id", "offset", "n", "first_end", "pattern_length"]
-
-
-def _typed(df: DataFrame, columns: Sequence[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def build_index(chunks: DataFrame, seq: str | None = None) -> DataFrame:
@@ -47,31 +37,6 @@ def index_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("patterns"), F.coalesce(F.sum("added"), F.lit(0)).alias("size"))
 
 
-def _with_automaton(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
-    """Occurrences by one automaton per task; ``index`` must be proven small."""
-    rows = index.select("text", "doc_id", "offset").collect()
-    counts = f"{_typed(queries, key)}, {COUNTS}"
-    if not rows:
-        return queries.sparkSession.createDataFrame([], counts)
-    words = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for text, doc_id, offset in words.value:
-            automaton.add_word(text, (doc_id, offset, len(text)))
-        automaton.make_automaton()
-        for frame in frames:
-            hits = []
-            for *request, text in frame[[*key, "text"]].itertuples(index=False):
-                found: dict[tuple[int, int], list[int]] = {}
-                for last, (doc_id, offset, length) in automaton.iter(text):
-                    found.setdefault((doc_id, offset), [0, last + 1, length])[0] += 1
-                hits.extend((*request, *pattern, *values) for pattern, values in found.items())
-            yield pd.DataFrame(hits, columns=[*key, *COUNT_COLUMNS])
-
-    return queries.mapInPandas(count, counts)
-
-
 def _gram_hashes(letters: np.ndarray, width: int) -> np.ndarray:
     """One polynomial hash per position of the ``width``-letter grams."""
     hashes = np.zeros(len(letters) - width + 1, dtype=np.uint64)
@@ -120,12 +85,13 @@ def _anchor_frames(
         yield merged()
 
 
-def _with_grams(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
-    """Occurrences by an equi-join on anchor grams, for pattern sets too large to broadcast.
+def _occurrences(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """Counts per query row and pattern by an equi-join on anchor grams: (row, doc_id, offset, n, first_end, pattern_length).
 
     A pattern is keyed by one anchor of its windows; a query text emits (class, hash, position)
     of all its anchors, few of its positions when the patterns are long.  Equal windows have equal
-    anchors, so every occurrence is a candidate exactly once; each is then compared with the text.
+    anchors, so every occurrence is a candidate exactly once; each is then compared with the text.  The texts do not
+    travel: candidates, few against all positions, are stored and brought to them.
     """
 
     def pattern_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,11 +103,11 @@ def _with_grams(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFra
                 yield found.rename(columns={"cls": "p_cls", "pos": "at"})
 
     lengths = F.greatest(*[F.when(F.length("text") >= c, c) for c in CLASSES], F.lit(0))
-    classes = [r[0] for r in index.select(lengths.alias("c")).distinct().collect()]
+    classes = [r[0] for r in index.select(lengths.alias("c")).distinct().collect()]  # at most one per class
 
     def text_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield from _anchor_frames(frame, "text", lambda _: classes, key)
+            yield from _anchor_frames(frame, "text", lambda _: classes, ["row"])
 
     numbered = materialize(
         index.select("doc_id", "offset", F.col("text").alias("pattern")).withColumn("number", F.monotonically_increasing_id()),
@@ -155,48 +121,43 @@ def _with_grams(queries: DataFrame, index: DataFrame, key: list[str]) -> DataFra
     rarest = anchors.join(shared, ["p_cls", "gram"]).groupBy("number", "p_cls").agg(
         F.min(F.struct("n", "at", "gram")).alias("a")
     )
-    patterns = rarest.select("number", "p_cls", "a.at", "a.gram").join(numbered, "number").drop("number")
-    grams = queries.mapInPandas(text_anchors, f"cls int, gram long, pos long, {_typed(queries, key)}")
-    candidates = (
-        spread_join(grams, patterns, "gram")
-        .filter("cls = p_cls")
-        .select(*key, "doc_id", "offset", "pattern", (F.col("pos") - F.col("at")).alias("start"))
-        .filter("start >= 0")
-    )
+    keyed = materialize(rarest.select("number", F.col("p_cls").alias("cls"), "a.at", "a.gram"), "anchors")
+    grams = queries.mapInPandas(text_anchors, "cls int, gram long, pos long, row long")
+    # The grams of the patterns reach the texts first: what matches no pattern is not shuffled further.
+    spread = grams.join(F.broadcast(keyed), ["cls", "gram"]) if small_enough(keyed) else spread_join(grams, keyed.withColumnRenamed("cls", "p_cls"), "gram").filter("cls = p_cls")
+    candidates = materialize(spread.select("row", "number", (F.col("pos") - F.col("at")).alias("start")).filter("start >= 0"), "candidates")
+    patterns = candidates.join(numbered, "number").select("row", "doc_id", "offset", "pattern", "start")
     length = F.length("pattern")
     same = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), length) == F.col("pattern")
     ends = F.struct((F.col("start") + length).alias("first_end"), (-length).alias("less"))
-    verified = candidates.join(queries, key).filter(same)
-    counts = verified.groupBy(*key, "doc_id", "offset").agg(
-        F.count(F.lit(1)).alias("n"), F.min(ends).alias("e")
-    )
-    return counts.select(*key, "doc_id", "offset", "n", "e.first_end", (-F.col("e.less")).alias("pattern_length"))
+    verified = patterns.join(queries.select("row", "text"), "row").filter(same)
+    counts = verified.groupBy("row", "doc_id", "offset").agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("e"))
+    return counts.select("row", "doc_id", "offset", "n", "e.first_end", (-F.col("e.less")).alias("pattern_length"))
 
 
-def match(
-    queries: DataFrame, index: DataFrame, plan: str | None = None, key: Sequence[str] = ("request_id",)
-) -> DataFrame:
+def match(queries: DataFrame, index: DataFrame, key: Sequence[str] = ("request_id",)) -> DataFrame:
     """All occurrences, overlapping ones included, of every pattern in every query text.
 
-    ``queries`` holds a text and key columns that identify it, by default (request_id, text).  Result:
-    (*key, doc_id, offset, weight 1.0, relevance = occurrences, first_end, pattern_length); queries
-    without a match have no row.  ``plan`` is ``automaton`` or ``grams``; by default the size of the
-    index decides.
+    ``queries`` holds a text and key columns, by default (request_id, text); rows of one key are searched one by one
+    and their occurrences added.  Result: (*key, doc_id, offset, weight 1.0, relevance = occurrences,
+    first_end = the earliest end in any of them, pattern_length); queries without a match have no row.
     """
     require(queries, text="string")
     require(index, doc_id="bigint", offset="int", text="string")
     key = list(key)
-    plan = plan or ("automaton" if small_enough(index, "text", chars=AUTOMATON_CHARS) else "grams")
-    texts = queries.select(*key, "text").filter("text is not null")
-    counts = {"automaton": _with_automaton, "grams": _with_grams}[plan](texts, index, key)
-    return counts.select(
+    # Rows get numbers of their own, so texts that share a key are never checked against each other's positions.
+    texts = materialize(queries.select(*key, "text").filter("text is not null").withColumn("row", F.monotonically_increasing_id()), "texts")
+    counts = materialize(_occurrences(texts.select("row", "text"), index), "occurrences").join(texts.select("row", *key), "row")
+    first = F.min(F.struct("first_end", (-F.col("pattern_length")).alias("less")))
+    summed = counts.groupBy(*key, "doc_id", "offset").agg(F.sum("n").alias("n"), first.alias("e"))
+    return summed.select(
         *key,
         "doc_id",
         "offset",
         F.lit(1.0).alias("weight"),
         F.col("n").cast("double").alias("relevance"),
-        F.col("first_end").cast("long").alias("first_end"),
-        F.col("pattern_length").cast("int").alias("pattern_length"),
+        F.col("e.first_end").cast("long").alias("first_end"),
+        (-F.col("e.less")).cast("int").alias("pattern_length"),
     )
 
 
@@ -204,8 +165,11 @@ def match(
 HIT_ORDER = ("relevance DESC", "first_end", "pattern_length DESC", "doc_id", "offset")
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, plan: str | None = None) -> DataFrame:
-    """Top k patterns per query: (request_id, rank, doc_id, offset, weight, relevance)."""
+def search(queries: DataFrame, index: DataFrame, k: int | None = None) -> DataFrame:
+    """Top k patterns per query: (request_id, rank, doc_id, offset, weight, relevance).
+
+    Without ``k`` each request's own ``top_k`` column counts; requests of one id must agree on it.
+    """
     order = [F.desc(c.split()[0]) if c.endswith("DESC") else F.asc(c) for c in HIT_ORDER]
-    best = top_k(match(queries, index, plan), ["request_id"], order, k)
+    best = best_of(match(queries, index), queries, order, k)
     return best.select("request_id", "rank", "doc_id", "offset", "weight", "relevance")

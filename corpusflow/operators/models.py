@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.examples import index_labels, numeric_labels
@@ -31,9 +31,11 @@ def fingerprint(config: Mapping | str) -> str:
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (n_rows, checksum): a hash of the table that does not depend on row order."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    part = F.conv(F.left(F.md5(row), F.lit(8)), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).alias("checksum"))
+    # JSON keeps columns and nulls apart; the whole hash is summed, in two halves that a decimal holds exactly.
+    row = F.md5(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])))
+    halves = [F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+    sums = [F.coalesce(F.sum(half).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string") for half in halves]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("checksum"))
 
 
 @dataclass
@@ -178,6 +180,21 @@ def best_checkpoint(history: DataFrame, task: str = "classification") -> DataFra
     return history.filter("loss IS NOT NULL").agg(best.alias("b")).select("b.step", F.col("b.loss").alias("value"))
 
 
+def training_history(
+    examples: DataFrame, test: DataFrame, labels: Sequence[str], steps: Sequence[int], **options
+) -> tuple[DataFrame, dict[int, TextModel]]:
+    """(step, acc, loss) of classifiers trained for ``steps`` epochs, scored on separate test rows, and the models by step."""
+    known, _ = index_labels(test, labels)
+    rows, fitted = None, {}
+    for step in steps:
+        fitted[step] = train(examples, "classification", labels, epochs=step, **options)
+        loss = negative_log_likelihood(F.col("scores"), F.col("label_index"))
+        scored = evaluate(fitted[step].transform(known), loss=loss)
+        row = scored.groupBy(F.lit(step).alias("step")).pivot("metric", ["acc", "loss"]).agg(F.first("value"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows, fitted
+
+
 def predict(model: TextModel, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(id, prediction): the last column is the id, the one or two before it the inputs."""
     columns = list(columns or df.columns)
@@ -192,13 +209,13 @@ def predict(model: TextModel, df: DataFrame, columns: Sequence[str] | None = Non
 def predict_job(model: TextModel, df: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, float]:
     """Predict and hand the rows to a writer; returns rows, seconds and rows per second.
 
-    Every input row gives one prediction, so the rows are counted on the input, which for a stored
-    table reads no data columns.
+    The rows are counted while they are written; nothing is read twice.
     """
-    rows = df.count()
+    seen = Observation()
     started = time.monotonic()
-    write(predict(model, df))
+    write(predict(model, df).observe(seen, F.count(F.lit(1)).alias("rows")))
     seconds = time.monotonic() - started
+    rows = seen.get["rows"]
     return {"rows": rows, "seconds": seconds, "rate": rows / seconds if seconds else 0.0}
 
 

@@ -45,17 +45,25 @@ def reduce_parts(parts: DataFrame, num_part: int, k: int) -> tuple[DataFrame, Da
     return merged.select("request_id", "rank", "doc_id", "offset", "score"), arrived.filter(F.col("arrived") < num_part)
 
 
-def rendezvous(requests: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
-    """Pair each request with its response, whichever came first; each pair once.
-
-    A repeated message of one side is dropped, so pairs cannot multiply; ``top_k`` and the query text
-    come from the request, the hits from the response.
+def rendezvous(
+    requests: DataFrame, responses: DataFrame, key: str = "request_id", order: Sequence[str] = (), within: Sequence[str] = ()
+) -> DataFrame:
+    """Pair each request with the rows of its response, whichever came first; each pair once.
+
+    ``top_k`` and the query text come from the request, the hits from the response.  Of repeated messages the first
+    stays: of requests the first per key by ``order`` (by all other columns if not given), of response rows one per
+    (key, *``within``), so a response of several hits keeps them all when ``within`` names what tells them
+    apart, such as the rank.
     """
-    return requests.dropDuplicates([key]).join(responses.dropDuplicates([key]), key)
-
-
-def first_message(messages: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The earliest message per key, combined map-side."""
-    rest = [c for c in messages.columns if c not in (key, *order)]
-    first = messages.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("m"))
-    return first.select(key, *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)])
+    asked = first_message(requests, [key], order)
+    return asked.join(first_message(responses, [key, *within], ()), key)
+
+
+def first_message(messages: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The earliest message per key by ``order``, then by all other columns; combined map-side."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in messages.columns if c not in (*keys, *order)]
+    if not rest and not order:
+        return messages.distinct()
+    first = messages.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("m"))
+    return first.select(*keys, *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)])

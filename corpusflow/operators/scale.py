@@ -26,24 +26,41 @@ def top_k(
     order: Sequence[Column],
     k: int | Column,
     rank: str = "rank",
-    k_max: int | None = None,
 ) -> DataFrame:
     """First ``k`` rows of each group under a total order, numbered from 1.
 
-    Each map task keeps at most k rows per group before the shuffle (Catalyst's window group limit),
-    so a group holding a large part of the rows still sends only k rows per task.  ``k`` may be a
-    column (k per request) when ``k_max`` bounds it.  Beyond the bound Catalyst prunes, rows are
-    first ranked inside salted parts of the group, which cuts them the same way.
+    ``k`` is a number, or a column of the rows that is the same in all rows of a group (k per request);
+    a null k gives none.  For a number, each map task keeps at most k rows per group before the shuffle (Catalyst's
+    window group limit), so a group holding a large part of the rows still sends only k rows per task.  For
+    a column, and beyond the number Catalyst prunes, rows are first ranked inside salted parts of the
+    group, which cuts them the same way.
     """
-    bound = k if isinstance(k, int) else k_max
-    if bound is None or bound > PRUNED_RANK:
+    if not isinstance(k, int) or k > PRUNED_RANK:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
         part = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = salted.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= k).drop("_salt", rank)
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    if bound is not None:
-        ranked = ranked.filter(F.col(rank) <= bound)
-    return ranked if isinstance(k, int) else ranked.filter(F.col(rank) <= k)
+    return ranked.filter(F.col(rank) <= k)
+
+
+def best_of(hits: DataFrame, requests: DataFrame, order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The best hits of each request: ``k`` for all, or, without it, each request's own ``top_k``."""
+    if k is not None:
+        return top_k(hits, ["request_id"], order, k, rank)
+    wanted = requests.groupBy("request_id").agg(F.max("top_k").alias("_k"))
+    return top_k(hits.join(wanted, "request_id"), ["request_id"], order, F.col("_k"), rank).drop("_k")
+
+
+def group_key(group: Sequence[str]) -> Column:
+    """One never-null value that is equal exactly for rows of one group, null being a value like others."""
+    return F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+
+
+def join_alike(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the columns are those of the left side."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in columns})
+    condition = [left[c].eqNullSafe(named[f"_r_{c}"]) for c in columns]
+    return left.join(named, condition, how).drop(*[f"_r_{c}" for c in columns])
 
 
 def each(df: DataFrame, array: Column, name: str, keep: Sequence[str], pos: str | None = None) -> DataFrame:
@@ -110,7 +127,7 @@ def running_totals(
     earlier = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*part, *[F.coalesce(F.sum(f"_s{v}").over(earlier), F.lit(0)).alias(f"_o{v}") for v in values])
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = runs.join(offsets, part).withColumns({n: F.sum(f"_v_{n}").over(local) + F.col(f"_o_v_{n}") for n in totals})
+    joined = join_alike(runs, offsets, part).withColumns({n: F.sum(f"_v_{n}").over(local) + F.col(f"_o_v_{n}") for n in totals})
     return joined.select(*df.columns, *totals)
 
 
@@ -135,9 +152,10 @@ def hot_keys(df: DataFrame, key: str, parts: int = 64) -> list:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 64) -> DataFrame:
-    """Equi-join on ``key`` that spreads the left rows of hot keys over ``parts`` tasks.
+    """Equi-join on ``key`` that spreads the left rows of hot keys over tasks.
 
-    Only the right rows of the (fewer than ``parts``) hot keys are repeated, so nothing is dropped
+    A key counts as hot from 1/``parts`` of the rows on; its rows are dealt to as many parts as there are
+    shuffle partitions (``parts`` at least), so the spread grows with the job.  Only the right rows of the (fewer than ``parts``) hot keys are repeated, so nothing is dropped
     and the repetition is bounded.  Finding the hot keys reads the left key column once more, so the
     left side should be a stored table.  Supports inner, left, left_semi and left_anti joins.
     """
@@ -145,9 +163,10 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
-    spread = F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    salts = max(parts, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     salted_left = left.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.withColumn("_salt", F.explode(salts))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 

@@ -45,12 +45,36 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0)
 
 
+def _error_bound(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """How far ``_distances`` may be off, per query: rounding of sums of products of these lengths, with room to spare."""
+    size, tiny = q.shape[1], np.finfo(np.float64).eps
+    if metric == "cosine":
+        return np.full((len(q), 1), 16 * (size + 4) * tiny)
+    largest = np.sqrt((v * v).sum(1)).max(initial=0.0)
+    return 8 * (size + 4) * tiny * (np.sqrt((q * q).sum(1))[:, None] + largest) ** 2
+
+
+def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of pairs (row by row): sums of squared differences, not differences of large squares."""
+    if metric == "l2":
+        return ((q - v) ** 2).sum(1)
+    norms = np.sqrt((q * q).sum(1) * (v * v).sum(1))
+    return np.where(norms > 0, 1 - (q * v).sum(1) / np.where(norms > 0, norms, 1), 1.0)
+
+
 def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple:
-    """Pairs (request ids, vector ids, rounded distances) of one block: per query its k nearest and their ties."""
-    rounded = np.round(_distances(q, v, metric), 6) + 0.0
-    last = min(k, len(vid)) - 1
-    row, col = np.nonzero(rounded <= np.partition(rounded, last, axis=1)[:, last : last + 1])
-    return qid[row], vid[col], rounded[row, col]
+    """Pairs (request ids, vector ids, rounded distances) of one block: per query its k nearest and their ties.
+
+    The matrix product proposes all pairs that can be among these within its error; they are scored again exactly.
+    """
+    rough, last = _distances(q, v, metric), min(k, len(vid)) - 1
+    room = 2 * _error_bound(q, v, metric) + 2e-6  # the last part keeps pairs that are equal after rounding
+    row, col = np.nonzero(rough <= np.partition(rough, last, axis=1)[:, last : last + 1] + room)
+    rounded = np.empty(len(row))
+    for at in range(0, len(row), 100_000):
+        some = slice(at, at + 100_000)
+        rounded[some] = np.round(_exact(q[row[some]], v[col[some]], metric), 6) + 0.0
+    return qid[row], vid[col], rounded
 
 
 def _best(pairs: list[tuple], k: int) -> pd.DataFrame:
@@ -206,7 +230,8 @@ def nearest_approximate(
 ) -> DataFrame:
     """Nearest vectors among those sharing a random-projection bucket with the query, distances exact.
 
-    Result as ``nearest``; a query may get fewer than k.  ``width`` should be about twice the distance of a
+    Result as ``nearest``.  A query whose buckets hold fewer than k vectors is answered by the exact search, so every
+    query gets its k (or all there are).  ``width`` should be about twice the distance of a
     near neighbour (2 suits unit vectors).  More tables, fewer cuts or wider buckets raise
     the recall and the cost.  Inside a bucket only the k best per query and block leave a task.
     """
@@ -219,4 +244,10 @@ def nearest_approximate(
         return exploded.select(F.xxhash64("table", "cell").alias("bucket"), key, "vector")
 
     found = _by_buckets(hashed(queries, "request_id"), hashed(vectors, "vec_id"), k, metric, block_rows)
-    return top_k(found.distinct(), ["request_id"], [F.asc("distance"), F.asc("vec_id")], k)
+    best = materialize(top_k(found.distinct(), ["request_id"], [F.asc("distance"), F.asc("vec_id")], k), "nearest")
+    enough = best.groupBy("request_id").count().filter(F.col("count") >= k)
+    short = materialize(queries.join(enough, "request_id", "left_anti").select("request_id", "vector"), "short")
+    if short.isEmpty():
+        return best
+    rest = nearest(short, vectors, k, metric, block_rows=block_rows)
+    return best.join(enough, "request_id", "left_semi").unionByName(rest)

@@ -63,29 +63,35 @@ def insert_rows(df: DataFrame, path: str, truncate: bool = False) -> None:
     df.write.mode("overwrite" if truncate else "append").parquet(path)
 
 
-def fetch(df: DataFrame, where: str | None = None) -> tuple[list[str], DataFrame]:
-    """Column names of a result and the result, kept distributed for chunk-wise use."""
+def fetch(df: DataFrame, key: str, size: int, where: str | None = None) -> tuple[list[str], DataFrame]:
+    """Column names of a result, and the result in pages: its rows with ``page`` and ``slot``, by order of ``key``.
+
+    A page holds ``size`` rows, the last one the rest; ``page = n`` then reads one chunk.  ``key`` must be unique.
+    """
     rows = df.filter(where) if where else df
-    return rows.columns, rows
+    numbered = with_position(rows, [key], "_position")
+    pages = numbered.withColumns({"page": F.floor(F.col("_position") / size), "slot": F.pmod("_position", F.lit(size))})
+    return rows.columns, pages.drop("_position")
 
 
 def id_contract(df: DataFrame, id_column: str, start: int = 1) -> DataFrame:
     """One row telling whether the ids are exactly ``start, start+1, ...``, each once.
 
-    Columns n, min_id, max_id, n_distinct, n_missing, ok.  Counts are combined per id first, so the
-    distinct count does not need a second pass; for an empty table ok is true.
+    Columns n, min_id, max_id, n_distinct, n_missing, ok; n_missing counts the ids of ``start .. start + n - 1``
+    that are not there.  Counts are combined per id first; for an empty table ok is true.
     """
+    rows = F.lit(df.agg(F.count(F.lit(1))).first()[0])
     per_id = df.groupBy(F.col(id_column).alias("id")).agg(F.count(F.lit(1)).alias("c"))
     totals = per_id.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.min("id").alias("min_id"),
         F.max("id").alias("max_id"),
         F.count("id").alias("n_distinct"),
+        F.count_if(F.col("id").between(start, F.lit(start) + rows - 1)).alias("n_inside"),
     )
     top = F.lit(start) + F.col("n") - 1
     dense = (F.col("n") == F.col("n_distinct")) & (F.col("min_id") == start) & (F.col("max_id") == top)
-    span = F.coalesce(F.col("max_id") - F.col("min_id") + 1, F.lit(0))
-    return totals.withColumn("n_missing", span - F.col("n_distinct")).withColumn(
+    return totals.withColumn("n_missing", F.col("n") - F.col("n_inside")).drop("n_inside").withColumn(
         "ok", (F.col("n") == 0) | F.coalesce(dense, F.lit(False))
     )
 

@@ -34,28 +34,32 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def ingest(messages: DataFrame, path: str, checkpoint: str, once: bool = True, **analysis) -> StreamingQuery:
-    """Index messages (kind, doc_id, text): each micro-batch appends to the full-text shards and the store.
+    """Index messages (kind, doc_id, text, seq): each micro-batch adds a segment to the full-text index and to the store.
 
-    Both tables carry ``batch_id``; the newest write of a document wins when they are read (``read_index``).
+    Of a document's writes the one with the highest ``seq`` wins, in whichever order and batches they come (of equal
+    ``seq`` in one batch the greatest text, in several batches the last); index and store choose alike.
     """
-    docs = routing.block(messages, ["train"]).select("doc_id", "text")
+    docs = routing.block(messages, ["train"]).select("doc_id", "text", "seq")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        indexed = fulltext.indexed_chunks(C.unary_chunks(batch), **analysis)
-        write_batch(indexed, f"{path}/fulltext", batch_id)
-        write_batch(batch, f"{path}/store", batch_id)
-        batch.unpersist()
+        last = batch.groupBy("doc_id").agg(F.max(F.struct("seq", "text")).alias("m")).select("doc_id", "m.text", "m.seq")
+        last = last.persist()
+        try:
+            chunks = C.unary_chunks(last).join(last.select("doc_id", "seq"), "doc_id")
+            terms = chunks.select("doc_id", "offset", "seq", fulltext.analyze(F.col("text"), **analysis).alias("terms"))
+            write_batch(last, f"{path}/store", batch_id)
+            fulltext.write_segment(terms, f"{path}/fulltext", batch_id, "seq")
+        finally:
+            last.unpersist()
 
     return start(docs, handle, checkpoint, once)
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(full-text shards, document store), each with the newest write per key."""
-    shards = spark.read.parquet(f"{path}/fulltext")
-    newest = shards.groupBy("doc_id", "offset").agg(F.max_by("terms", "batch_id").alias("terms"))
-    store = docstore.upsert(None, spark.read.parquet(f"{path}/store"), seq="batch_id").select("doc_id", "text")
-    return newest, store
+def read_index(spark: SparkSession, path: str) -> tuple[fulltext.TextIndex, DataFrame]:
+    """(full-text index, document store (doc_id, text)), each with the newest write per key."""
+    writes = spark.read.parquet(f"{path}/store").withColumn("at", F.struct("seq", "batch_id"))
+    store = docstore.upsert(None, writes.select("doc_id", "text", "at"), seq="at").select("doc_id", "text")
+    return fulltext.TextIndex(spark, f"{path}/fulltext"), store
 
 
 def block(messages: DataFrame, kinds: Sequence[str], path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -67,20 +71,24 @@ def block(messages: DataFrame, kinds: Sequence[str], path: str, checkpoint: str,
 
 def search(
     queries: DataFrame,
-    indexed: DataFrame,
-    k: int,
+    index: fulltext.TextIndex,
+    k: int | None,
     path: str,
     checkpoint: str,
     match: str = "all",
-    stats: DataFrame | None = None,
     once: bool = True,
 ) -> StreamingQuery:
-    """Search a stream of (request_id, text) in a standing index; the top k of a request is in its micro-batch."""
+    """Search a stream of (request_id, text[, top_k]) in a standing index; the best hits of a request are in its micro-batch.
+
+    A micro-batch reads the postings of its own terms.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        write_batch(fulltext.search(indexed, batch, k, match, stats), path, batch_id)
-        batch.unpersist()
+        asked = batch.persist()
+        try:
+            write_batch(fulltext.search(index, asked, k, match), path, batch_id)
+        finally:
+            asked.unpersist()
 
     return start(queries, handle, checkpoint, once)
 
@@ -121,31 +129,39 @@ def solve(moments: Mapping[str, float], features: Sequence[str], reg: float = 1e
 
     n = moment("one", "one")
     system = np.array([[moment(a, b) for b in names] for a in names]) / n
-    system[1:, 1:] += reg * np.eye(len(features))
+    # The batch fit penalises in units of the label's deviation; so does this one.
+    deviation = np.sqrt(max(moment("label", "label") / n - (moment("one", "label") / n) ** 2, 0.0))
+    system[1:, 1:] += (reg / deviation if deviation > 0 else reg) * np.eye(len(features))
     solution = np.linalg.lstsq(system, np.array([moment(a, "label") for a in names]) / n, rcond=None)[0]
     return dict(zip(features, solution[1:].tolist())), float(solution[0])
 
 
 def train_scorer(
-    pairs: DataFrame, path: str, checkpoint: str, features: Sequence[str] = rerank.FEATURES, once: bool = True
+    pairs: DataFrame,
+    path: str,
+    checkpoint: str,
+    features: Sequence[str] = rerank.FEATURES,
+    once: bool = True,
+    stats: DataFrame | None = None,
+    reg: float = 1e-3,
 ) -> StreamingQuery:
     """Keep the rerank scorer up to date from a stream of (query, candidate, label).
 
     A micro-batch adds one row of moments, and the weights after it are solved from the sum of all rows
-    so far, which equals a refit on all pairs without reading them again.  ``path/status`` gets one row
+    so far, which equals a refit on all pairs (``rerank.fit_scorer``) without reading them again.  ``path/status`` gets one row
     per micro-batch: (step, status, examples, intercept, weights).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parts = _moments(features, "label")
-        row = rerank.pair_features(batch).agg(*[F.coalesce(v, F.lit(0.0)).alias(name) for name, v in parts.items()])
+        row = rerank.pair_features(batch, stats).agg(*[F.coalesce(v, F.lit(0.0)).alias(name) for name, v in parts.items()])
         write_batch(row, f"{path}/moments", batch_id)
         seen = spark.read.parquet(f"{path}/moments").filter(F.col("batch_id") <= batch_id)
         sums = seen.agg(*[F.sum(F.col(f"`{name}`")).alias(name) for name in parts]).first().asDict()
         if not sums["one*one"]:
             return
-        weights, intercept = solve(sums, features)
+        weights, intercept = solve(sums, features, reg)
         status = spark.createDataFrame(
             [(batch_id, "SUCCESS", int(sums["one*one"]), intercept, weights)],
             "step long, status string, examples long, intercept double, weights map<string,double>",

@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from corpusflow.session import local_session  # noqa: E402
+from corpusflow.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,4 +15,5 @@ def spark(tmp_path_factory):
     session = local_session(8, "tests", **{"spark.sql.warehouse.dir": str(warehouse), "spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
+    clear_scratch(session)
     session.stop()

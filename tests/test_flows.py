@@ -18,41 +18,58 @@ def messages(spark):
     return spark.createDataFrame(rows, "kind string, doc_id long, text string, seq int")
 
 
+def search_messages(spark):
+    rows = [("search", 1, "red rose", 2), ("search", 1, "red rose", 2), ("search", 2, "unheard", 2), ("train", 3, "red", 2), ("search", 4, "nothing", 5)]
+    return spark.createDataFrame(rows, "kind string, request_id long, text string, top_k int")
+
+
 def test_index_then_query(spark):
-    index = flows.index_flow(messages(spark))
-    assert {r["doc_id"]: r["text"] for r in index.store.collect()} == dict(enumerate(TEXTS))
-    asked = spark.createDataFrame([("search", 1, "red rose"), ("search", 2, "unheard"), ("train", 3, "red")], "kind string, request_id long, text string")
-    hits = flows.query_flow(asked, index, WEIGHTS, 2, match="any").orderBy("request_id", "rank").collect()
-    assert [(r["request_id"], r["doc_id"], r["text"]) for r in hits] == [(1, 0, "the red rose"), (1, 1, "a red car")]
-    all_terms = flows.query_flow(asked, index, WEIGHTS, 2).collect()
-    assert [(r["request_id"], r["doc_id"]) for r in all_terms] == [(1, 0)]
     path = scratch_path(spark, "index")
-    index.write(path, buckets=2)
-    assert spark.read.parquet(f"{path}/store").count() == 4 == spark.read.parquet(f"{path}/fulltext").count()
+    index = flows.index_flow(messages(spark), path=path)
+    assert {r["doc_id"]: r["text"] for r in index.store.collect()} == dict(enumerate(TEXTS))
+    assert spark.read.parquet(f"{path}/store").count() == 4 == index.fulltext.size
+    asked = search_messages(spark)
+    hits = flows.query_flow(asked, index, WEIGHTS, match="any").collect()
+    got = sorted((r["request_id"], r["rank"], r["doc_id"], r["text"]) for r in hits if r["found"])
+    assert got == [(1, 1, 0, "the red rose"), (1, 2, 1, "a red car"), (4, 1, 3, "nothing at all")]
+    assert [(r["request_id"], r["doc_id"]) for r in hits if not r["found"]] == [(2, None)]
+    partly = flows.CorpusIndex(index.store.filter("doc_id not in (1, 3)"), index.fulltext)
+    lost = [(r["request_id"], r["doc_id"], r["rank"]) for r in flows.query_flow(asked, partly, WEIGHTS, match="any").collect() if not r["found"]]
+    assert sorted(lost, key=str) == [(1, 1, None), (2, None, None), (4, 3, None)]
+    all_terms = flows.query_flow(asked, index, WEIGHTS).filter("found").collect()
+    assert sorted((r["request_id"], r["doc_id"]) for r in all_terms) == [(1, 0), (4, 3)]
 
 
 def test_byte_transport_cuts_only_when_asked(spark):
-    index = flows.index_flow(messages(spark), max_bytes=7)
-    assert sorted(r["terms"] for r in index.fulltext.collect())[0] == ["a", "red", "c"]
-    assert max(len(r["terms"]) for r in flows.index_flow(messages(spark)).fulltext.collect()) == 4
+    index = flows.index_flow(messages(spark), max_bytes=7).fulltext
+    assert {r["term"] for r in index.postings().filter("doc_id = 1").collect()} == {"a", "red", "c"}
+    assert flows.index_flow(messages(spark)).fulltext.chunks.agg(F.max("n_terms")).first()[0] == 4
 
 
 def test_fact_flows(spark):
     payload = spark.createDataFrame([(i, json.dumps({"data": t})) for i, t in enumerate(["Red. Rose.", "Red.", "{}"])], "doc_id long, payload string")
-    payload = payload.unionByName(spark.createDataFrame([(8, "broken")], "doc_id long, payload string"))
-    index, store, receipts = flows.fact_index_flow(payload)
+    payload = payload.unionByName(spark.createDataFrame([(8, "broken"), (0, "aaa"), (9, None)], "doc_id long, payload string"))
+    index, store, receipts, pending = flows.fact_index_flow(payload)
     assert {r["text"]: (r["doc_id"], r["added"]) for r in index.collect()} == {"Red.": (1, 2), "Rose.": (0, 1), "{}": (2, 1)}
-    assert sorted(map(tuple, receipts.collect())) == [(0, 2), (1, 1), (2, 1)]
+    assert sorted(map(tuple, receipts.collect())) == [(0, 2), (1, 1), (2, 1), (8, 0)]
+    assert [r["doc_id"] for r in pending.collect()] == [9] and store.count() == 5
     asked = spark.createDataFrame([(5, "Red. A Rose. Red."), (6, "none")], "request_id long, text string")
-    got = flows.fact_query_flow(asked, index, store, 5).orderBy("rank").collect()
-    assert [(r["request_id"], r["doc_id"], r["offset"], r["relevance"], r["found"]) for r in got] == [(5, 1, 0, 2.0, True), (5, 0, 1, 1.0, True)]
+    got = flows.fact_query_flow(asked, index, store.filter("doc_id <> 0"), 5).orderBy("request_id", "rank").collect()
+    assert [(r["request_id"], r["doc_id"], r["offset"], r["relevance"], r["found"]) for r in got] == [(5, 1, 0, 2.0, True), (5, 0, 1, 1.0, False), (6, None, None, None, False)]
+    assert [r["payload"] for r in got] == ['{"data": "Red."}', None, None] and all(len(r["embedding"]) == 64 for r in got)
 
 
 def test_keyword_rerank(spark):
     chunks = spark.createDataFrame([(1, 0, "rose"), (2, 0, "red rose"), (3, 0, "car")], "doc_id long, offset int, text string")
-    asked = spark.createDataFrame([(1, "a red rose")], "request_id long, text string")
-    got = flows.keyword_rerank_flow(asked, chunks, WEIGHTS, 2).orderBy("rank").collect()
-    assert [r["doc_id"] for r in got] == [2, 1]
+    asked = spark.createDataFrame([(1, "a red rose", 2), (2, "a red rose", 1), (3, "none", 4)], "request_id long, text string, top_k int")
+    got = flows.keyword_rerank_flow(asked, chunks, WEIGHTS).collect()
+    assert sorted(((r["request_id"], r["rank"], r["doc_id"]) for r in got), key=str) == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (3, None, None)]
+
+
+def test_as_many_hits_as_a_request_wants(spark):
+    chunks = spark.createDataFrame([(i, 0, f"word{i:03d}") for i in range(150)], "doc_id long, offset int, text string")
+    asked = spark.createDataFrame([(1, " ".join(f"word{i:03d}" for i in range(150)), 150)], "request_id long, text string, top_k int")
+    assert flows.keyword_rerank_flow(asked, chunks, WEIGHTS).count() == 150
 
 
 def test_train_flow(spark):
@@ -90,10 +107,16 @@ def test_streamed_index_equals_batch(spark):
     update = spark.createDataFrame([("index", 1, "a green car", 2)], rows.schema)
     more = scratch_path(spark, "more")
     update.write.parquet(more)
-    fulltext, store = jobs.read_index(spark, path)
+    index, store = jobs.read_index(spark, path)
     assert {r["doc_id"]: r["text"] for r in store.collect()} == dict(enumerate(TEXTS))
     batch = flows.index_flow(rows)
-    assert sorted((r["doc_id"], r["terms"]) for r in fulltext.collect()) == sorted((r["doc_id"], r["terms"]) for r in batch.fulltext.collect())
+    assert sorted(map(str, index.postings().collect())) == sorted(map(str, batch.fulltext.postings().collect()))
+    run(jobs.ingest(jobs.read_files(spark, more, rows.schema, "*.parquet"), f"{path}-more", f"{state}-more"))
+    run(jobs.ingest(parts(spark, rows.unionByName(update), "both"), f"{path}-both", f"{state}-both"))
+    index, store = jobs.read_index(spark, f"{path}-both")
+    assert {r["doc_id"]: r["text"] for r in store.collect()}[1] == "a green car"
+    terms = {r["term"] for r in index.postings().filter("doc_id = 1").collect()}
+    assert terms == {"a", "green", "car"}
 
 
 def test_streamed_search_equals_batch(spark):
@@ -131,7 +154,8 @@ def test_streamed_training_equals_one_fit(spark):
     features = rerank.pair_features(pairs)
     scored = features.withColumn("score", rerank.linear_score(weights, intercept)).collect()
     one = rerank.score_pairs(pairs, rerank.fit_scorer(pairs)[0]).collect()
-    assert max(abs(a["score"] - b["score"]) for a, b in zip(scored, one)) < 0.05
+    one = {r["candidate"]: r["score"] for r in one}
+    assert max(abs(r["score"] - one[r["candidate"]]) for r in scored) < 1e-6
 
 
 def test_streamed_block(spark):

@@ -3,12 +3,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators import fulltext as T
 
 WORDS = "the a of rose time summer winter eyes thou cats cat".split()
-PLANS = ["shard", "term"]
 
 
 def make(seed=1, n=40):
@@ -50,8 +50,7 @@ def scores(df):
 
 
 @pytest.mark.parametrize("selective", [0, 16, 10**6])
-@pytest.mark.parametrize("plan", PLANS)
-def test_boolean_scores(spark, monkeypatch, plan, selective):
+def test_boolean_scores(spark, monkeypatch, selective):
     """All ways of answering a request agree: by its rarest term (0), by sums (10**6), or as its terms suggest."""
     monkeypatch.setattr(T, "SELECTIVE", selective)
     texts = make()
@@ -61,19 +60,18 @@ def test_boolean_scores(spark, monkeypatch, plan, selective):
         (5, "must", "thou"), (5, "should", "thou"),
     ]
     table = spark.createDataFrame(clauses, "request_id long, clause string, term string")
-    got = scores(T.score(T.indexed_chunks(chunks(spark, texts)), table, plan=plan))
+    got = scores(T.score(T.build(chunks(spark, texts)), table))
     assert got == pytest.approx(brute(texts, clauses))
 
 
-@pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("match", ["all", "any"])
-def test_search_matches_brute_force(spark, plan, match):
+def test_search_matches_brute_force(spark, match):
     texts, asked = make(3), ["rose time", "the the of", "winter eyes cat", "nowhere"]
     clauses = [(q, {"all": "must", "any": "should"}[match], t) for q, text in enumerate(asked) for t in sorted(set(tokens(text)))]
     want = {}
     for (q, d, o), s in sorted(brute(texts, clauses).items(), key=lambda e: (e[0][0], -e[1], e[0][1:])):
         want.setdefault(q, []).append((d, o, s))
-    rows = T.search(T.indexed_chunks(chunks(spark, texts)), queries(spark, asked), 3, match, plan=plan).collect()
+    rows = T.search(T.build(chunks(spark, texts)), queries(spark, asked), 3, match).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r["request_id"], r["rank"])):
         got.setdefault(r["request_id"], []).append((r["doc_id"], r["offset"], r["score"]))
@@ -84,53 +82,95 @@ def test_each_line_finds_itself(spark):
     rng = random.Random(2)
     lines = [f"line{i} " + " ".join(rng.choice(WORDS) for _ in range(5)) for i in range(98)]
     rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "doc_id long, offset int, text string")
-    hits = T.search(T.indexed_chunks(rows), queries(spark, lines), 1).collect()
+    hits = T.search(T.build(rows), queries(spark, lines), 1).collect()
     assert sorted((r["request_id"], r["doc_id"]) for r in hits) == [(i, i) for i in range(98)]
 
 
-def test_shards_are_not_shuffled_again(spark):
-    indexed = T.indexed_chunks(chunks(spark, make()))
-    assert T.postings(indexed)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
-
-
-def test_stored_index_needs_no_shuffle(spark, tmp_path):
-    indexed = T.indexed_chunks(chunks(spark, make()))
-    stored = T.store_index(indexed, "kept_index", str(tmp_path / "index"), 4)
-    plan = T.counted_terms(stored)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    assert sorted(map(str, T.counted_terms(stored).collect())) == sorted(map(str, T.counted_terms(indexed).collect()))
-    stats = T.term_stats(stored)
-    with_stats = scores(T.score(stored, spark.createDataFrame([(1, "should", "rose")], "request_id long, clause string, term string"), stats))
-    assert with_stats == pytest.approx(brute(make(), [(1, "should", "rose")]))
-    spark.sql("DROP TABLE kept_index")
+def test_postings_have_positions(spark):
+    rows = T.build(chunks(spark, ["a rose is a rose", "rose"])).postings().collect()
+    got = {(r["term"], r["doc_id"], r["offset"]): (r["tf"], r["positions"]) for r in rows}
+    assert got == {("a", 0, 0): (2, [0, 3]), ("rose", 0, 0): (2, [1, 4]), ("is", 0, 0): (1, [2]), ("rose", 0, 1): (1, [0])}
+
+
+def test_search_reads_the_buckets_of_its_terms_only(spark):
+    index = T.build(chunks(spark, make()))
+    terms = spark.createDataFrame([("rose",)], "term string")
+    found = index.postings(terms)
+    bucket = terms.select(T.term_bucket(F.col("term"))).first()[0]
+    read = {path.split("bucket=")[1].split("/")[0] for path in found.inputFiles()}
+    assert str(bucket) in read
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("\n")[0]
+    assert "bucket#" in filters and f"{bucket}" in filters
+    assert plan.count("Exchange hashpartitioning") == 1 and "regexp_extract_all" not in plan  # of the few terms
+
+
+def test_added_chunks_replace_earlier_ones(spark):
+    texts = make(7, 30)
+    index = T.build(chunks(spark, texts[:20]))
+    index = index.add(chunks(spark, texts).filter("doc_id >= 10"))
+    changed = {2: "rose rose summer", 25: "eyes"}
+    update = spark.createDataFrame([(i // 2, i % 2, t) for i, t in changed.items()], "doc_id long, offset int, text string")
+    index = index.add(update)
+    final = [changed.get(i, t) for i, t in enumerate(texts)]
+    assert index.segments == [0, 1, 2] and index.size == 30
+    for text in ("rose", "summer eyes", "the of"):
+        clauses = [(0, "should", t) for t in tokens(text)]
+        table = spark.createDataFrame(clauses, "request_id long, clause string, term string")
+        assert scores(T.score(index, table)) == pytest.approx(brute(final, clauses))
+
+
+def test_seq_decides_between_writes(spark):
+    rows = [(1, 0, "old rose", 1), (1, 0, "new eyes", 3), (2, 0, "rose", 2)]
+    schema = "doc_id long, offset int, text string, seq int"
+    index = T.build(spark.createDataFrame(rows, schema), seq="seq")
+    index = index.add(spark.createDataFrame([(1, 0, "late rose", 2), (2, 0, "time", 9)], schema), seq="seq")
+    got = {r["term"]: r["doc_id"] for r in index.postings().collect()}
+    assert got == {"new": 1, "eyes": 1, "time": 2}
+
+
+def test_each_request_has_its_own_top_k(spark):
+    texts = ["rose " * (i + 1) for i in range(150)] + ["time"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, offset int, text string")
+    asked = spark.createDataFrame([(1, "rose", 150), (2, "rose", 2), (3, "time", 5)], "request_id long, text string, top_k int")
+    hits = T.search(T.build(rows), asked, match="any").groupBy("request_id").count().collect()
+    assert {r["request_id"]: r["count"] for r in hits} == {1: 150, 2: 2, 3: 1}
+
+
+def test_large_question_tables_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(T, "QUERY_ROWS", 0)
+    texts = make()
+    clauses = [(0, "must", "rose"), (0, "must", "the"), (1, "should", "time"), (1, "must_not", "winter"), (2, "must", "eyes")]
+    table = spark.createDataFrame(clauses, "request_id long, clause string, term string")
+    assert scores(T.score(T.build(chunks(spark, texts)), table)) == pytest.approx(brute(texts, clauses))
 
 
 def test_phrase(spark):
     texts = ["the rose of summer", "summer rose of the", "of summer the rose of summer time", "rose  of, SUMMER"]
-    rows = T.phrase_search(T.indexed_chunks(chunks(spark, texts)), queries(spark, ["rose of summer"]), 10).collect()
+    rows = T.phrase_search(T.build(chunks(spark, texts)), queries(spark, ["rose of summer"]), 10).collect()
     assert {r["doc_id"] * 2 + r["offset"] for r in rows} == {0, 2, 3}
 
 
 def test_stems_and_stop_words(spark):
     texts = ["the cats sat", "a cat sat", "dogs ran"]
     asked = queries(spark, ["cat"])
-    plain = T.search(T.indexed_chunks(chunks(spark, texts)), asked, 5)
-    stemmed = T.search(T.indexed_chunks(chunks(spark, texts), stem=X.s_stem), asked, 5, stem=X.s_stem)
+    plain = T.search(T.build(chunks(spark, texts)), asked, 5)
+    stemmed = T.search(T.build(chunks(spark, texts), stem=X.s_stem), asked, 5, stem=X.s_stem)
     assert (plain.count(), stemmed.count()) == (1, 2)
-    porter = T.porter_terms(T.indexed_chunks(chunks(spark, ["running cats", "", "ran"]))).collect()
+    porter = T.porter_terms(T.chunk_terms(chunks(spark, ["running cats", "", "ran"]))).collect()
     assert sorted(r["terms"] for r in porter) == [[], ["ran"], ["run", "cat"]]
-    kept = T.indexed_chunks(chunks(spark, texts), stop=T.stop_words())
+    kept = T.chunk_terms(chunks(spark, texts), stop=T.stop_words())
     assert sorted(r["terms"] for r in kept.collect()) == [["cat", "sat"], ["cats", "sat"], ["dogs", "ran"]]
 
 
 def test_latest_chunk_replaces(spark):
     rows = spark.createDataFrame([(1, 0, "old", 1), (1, 0, "new", 2), (1, 1, "x", 1)], "doc_id long, offset int, text string, seq int")
-    assert sorted(tuple(r) for r in T.latest_chunks(rows, "seq").collect()) == [(1, 0, "new"), (1, 1, "x")]
+    assert sorted(tuple(r) for r in T.latest_chunks(rows, "seq").collect()) == [(1, 0, "new", 2), (1, 1, "x", 1)]
 
 
 def test_empty_sides(spark):
-    none = T.indexed_chunks(chunks(spark, []))
+    none = T.build(chunks(spark, []))
     assert T.search(none, queries(spark, ["a"]), 3).collect() == []
-    assert T.search(T.indexed_chunks(chunks(spark, ["a"])), queries(spark, []), 3).collect() == []
+    assert T.search(T.build(chunks(spark, ["a"])), queries(spark, []), 3).collect() == []
     with pytest.raises(KeyError):
         T.search(none, queries(spark, ["a"]), 3, match="some")

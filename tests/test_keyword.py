@@ -6,8 +6,6 @@ from hypothesis import strategies as st
 
 from corpusflow.operators import keyword
 
-PLANS = ["automaton", "grams"]
-
 
 def chunks(spark, texts):
     return spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, offset int, text string")
@@ -32,12 +30,11 @@ def found(df):
     return {(r["request_id"], r["doc_id"]): (int(r["relevance"]), r["first_end"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("plan", PLANS)
-def test_overlaps_nesting_and_length_classes(spark, plan):
+def test_overlaps_nesting_and_length_classes(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 9, 60, 300, 900)] + ["aaaa", "", "né😀né😀", "x" * 500]
     patterns = ["a", "aa", "ab", "aba", "né", "é😀", "x" * 70, "nothing"] + [texts[4][i : i + n] for i, n in ((3, 8), (100, 17), (200, 40), (300, 200))]
-    got = found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns)), plan))
+    got = found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns))))
     assert got == brute(texts, patterns)
     assert got[5, 1] == (3, 2)  # aa in aaaa
 
@@ -47,29 +44,25 @@ def test_overlaps_nesting_and_length_classes(spark, plan):
     st.lists(st.text("abc ", max_size=80), min_size=5, max_size=10),
     st.lists(st.text("abc ", min_size=1, max_size=12), min_size=5, max_size=10, unique=True),
 )
-def test_plans_agree_with_brute_force(spark, texts, patterns):
+def test_any_texts_agree_with_brute_force(spark, texts, patterns):
     index = keyword.build_index(chunks(spark, patterns))
-    want = brute(texts, patterns)
-    for plan in PLANS:
-        assert found(keyword.match(queries(spark, texts), index, plan)) == want
+    assert found(keyword.match(queries(spark, texts), index)) == brute(texts, patterns)
 
 
-@pytest.mark.parametrize("plan", PLANS)
-def test_each_line_finds_itself(spark, plan):
+def test_each_line_finds_itself(spark):
     rng = random.Random(2)
     lines = sorted({" ".join(rng.choice(["rose", "thou", "summer", "eyes", "time"]) + str(rng.randrange(1000)) for _ in range(6)) for _ in range(98)})
-    hits = keyword.search(queries(spark, lines), keyword.build_index(chunks(spark, lines)), 1, plan).collect()
+    hits = keyword.search(queries(spark, lines), keyword.build_index(chunks(spark, lines)), 1).collect()
     assert sorted((r["request_id"], r["doc_id"]) for r in hits) == [(i, i) for i in range(len(lines))]
     assert all(r["weight"] == 1.0 and r["rank"] == 1 for r in hits)
 
 
-@pytest.mark.parametrize("plan", PLANS)
-def test_hot_patterns_and_copied_texts(spark, plan):
+def test_hot_patterns_and_copied_texts(spark):
     """A third of the texts are copies, and patterns share long beginnings."""
     head = "the same long beginning of very many lines, word for word, again and again and once more; "
     patterns = [head + f"ending number {i}" for i in range(40)]
     texts = [patterns[7] + " tail"] * 30 + [f"other {i}" for i in range(60)]
-    got = found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns)), plan))
+    got = found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns))))
     assert got == brute(texts, patterns)
 
 
@@ -87,11 +80,10 @@ def test_index_last_key_wins(spark):
     assert tuple(keyword.index_stats(index).first()) == (2, 4)
 
 
-@pytest.mark.parametrize("plan", PLANS)
-def test_empty_sides(spark, plan):
+def test_empty_sides(spark):
     none, some = chunks(spark, []), chunks(spark, ["a"])
-    assert keyword.search(queries(spark, ["a"]), keyword.build_index(none), 3, plan).collect() == []
-    assert keyword.search(queries(spark, []), keyword.build_index(some), 3, plan).collect() == []
+    assert keyword.search(queries(spark, ["a"]), keyword.build_index(none), 3).collect() == []
+    assert keyword.search(queries(spark, []), keyword.build_index(some), 3).collect() == []
     assert keyword.index_stats(keyword.build_index(none)).first()["size"] == 0
 
 
@@ -102,11 +94,27 @@ def test_types_are_checked(spark):
         keyword.match(spark.createDataFrame([(1, 5)], "request_id long, text int"), keyword.build_index(chunks(spark, ["a"])))
 
 
-def test_composite_key_and_size_choice(spark, monkeypatch):
+def test_composite_key(spark):
     asked = spark.createDataFrame([(1, 0, "ab"), (1, 1, "abab")], "request_id long, part int, text string")
-    index = keyword.build_index(chunks(spark, ["ab"]))
-    want = [(1, 0, 1.0), (1, 1, 2.0)]
-    for limit in (1000, 0):
-        monkeypatch.setattr(keyword, "AUTOMATON_CHARS", limit)
-        rows = keyword.match(asked, index, key=["request_id", "part"]).collect()
-        assert sorted((r["request_id"], r["part"], r["relevance"]) for r in rows) == want
+    rows = keyword.match(asked, keyword.build_index(chunks(spark, ["ab"])), key=["request_id", "part"]).collect()
+    assert sorted((r["request_id"], r["part"], r["relevance"]) for r in rows) == [(1, 0, 1.0), (1, 1, 2.0)]
+
+
+def test_texts_that_share_a_request_are_searched_one_by_one(spark):
+    asked = spark.createDataFrame([(1, "abab"), (1, "xxab")], "request_id long, text string")
+    rows = keyword.match(asked, keyword.build_index(chunks(spark, ["ab"]))).collect()
+    assert [(r["request_id"], r["relevance"], r["first_end"]) for r in rows] == [(1, 3.0, 2)]
+
+
+def test_each_request_has_its_own_top_k(spark):
+    patterns = [f"word{i:03d}" for i in range(150)]
+    asked = spark.createDataFrame([(1, " ".join(patterns), 150), (2, " ".join(patterns), 3), (3, patterns[0], 0)], "request_id long, text string, top_k int")
+    hits = keyword.search(asked, keyword.build_index(chunks(spark, patterns)))
+    assert {r["request_id"]: r["count"] for r in hits.groupBy("request_id").count().collect()} == {1: 150, 2: 3}
+
+
+def test_shuffled_anchors_give_the_same(spark, monkeypatch):
+    patterns = ["a", "ab", "aba", "b" * 20, "abab" * 9]
+    texts = ["abab" * 30, "b" * 50, "aba", ""]
+    monkeypatch.setattr(keyword, "small_enough", lambda *args, **kwargs: False)
+    assert found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns)))) == brute(texts, patterns)

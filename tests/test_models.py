@@ -94,6 +94,8 @@ def test_fingerprints_and_feature_cache(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     whole = M.table_fingerprint(df, ["a", "b"]).first()
     assert whole == M.table_fingerprint(df.repartition(3).orderBy(F.desc("a")), ["a", "b"]).first() and whole["n_rows"] == 2
+    apart = [spark.createDataFrame(rows, "a string, b string") for rows in ([("a|b", "c")], [("a", "b|c")], [("a", None)], [("a", "")])]
+    assert len({M.table_fingerprint(one, ["a", "b"]).first()["checksum"] for one in apart}) == 4
     where, built = scratch_path(spark, "cache"), []
 
     def build(n):

@@ -35,6 +35,9 @@ def test_rendezvous_pairs_once(spark):
     requests = spark.createDataFrame([(1, "q1", 5), (1, "q1", 5), (2, "q2", 3)], "request_id long, text string, top_k int")
     responses = spark.createDataFrame([(1, "h1"), (3, "h3"), (1, "h1")], "request_id long, hits string")
     assert [tuple(r) for r in routing.rendezvous(requests, responses).collect()] == [(1, "q1", 5, "h1")]
+    rows = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 1, 7), (3, 1, 9)], "request_id long, rank int, doc_id long")
+    both = routing.rendezvous(requests, rows, order=["top_k"], within=["rank"]).collect()
+    assert sorted((r["request_id"], r["text"], r["rank"], r["doc_id"]) for r in both) == [(1, "q1", 1, 7), (1, "q1", 2, 8)]
 
 
 def test_first_message(spark):
@@ -81,3 +84,11 @@ def test_rerank_returns_min_k_n(spark, n, k):
     df = spark.createDataFrame(rows, "request_id long, doc_id long, score double")
     got = [(r["doc_id"], r["score"]) for r in rerank.rerank(df, k).orderBy("rank").collect()]
     assert got == [(i, s) for _, i, s in sorted(rows, key=lambda r: (-r[2], r[1]))[:k]]
+
+
+def test_rerank_reports_requests_without_candidates(spark):
+    scored = spark.createDataFrame([(1, i, float(i), 10) for i in range(20)], "request_id long, doc_id long, score double, k int")
+    requests = spark.createDataFrame([(1,), (2,), (2,)], "request_id long")
+    rows = rerank.rerank(scored, F.col("k"), requests).collect()
+    assert sorted((r["request_id"], r["rank"]) for r in rows if r["rank"]) == [(1, i) for i in range(1, 11)]
+    assert [r["doc_id"] for r in rows if r["request_id"] == 2] == [None]

@@ -31,7 +31,7 @@ def test_top_k_beyond_the_pruned_rank(spark):
 
 def test_top_k_per_row(spark):
     df = spark.range(100).select((F.col("id") % 4).alias("g"), "id")
-    got = scale.top_k(df, ["g"], [F.asc("id")], F.col("g") + 1, k_max=4).groupBy("g").count().collect()
+    got = scale.top_k(df, ["g"], [F.asc("id")], F.col("g") + 1).groupBy("g").count().collect()
     assert {r["g"]: r["count"] for r in got} == {0: 1, 1: 2, 2: 3, 3: 4}
 
 
@@ -98,8 +98,22 @@ def test_each_equals_explode_without_inferred_filter(spark):
 def test_scratch_follows_the_session():
     def session_with(setting, master):
         conf = SimpleNamespace(get=lambda key, default: setting if key == "spark.checkpoint.dir" else default)
-        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId="app"))
 
-    assert session.scratch_path(session_with("hdfs://shared/", "yarn"), "x").startswith("hdfs://shared/x-")
+    assert session.scratch_path(session_with("hdfs://shared/", "yarn"), "x").startswith("hdfs://shared/app/x-")
     with pytest.raises(RuntimeError):
         session.scratch_path(session_with(None, "yarn"), "x")
+
+
+def test_joins_and_sums_keep_the_null_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v int")
+    got = scale.running_totals(df, [F.asc("v")], {"total": F.col("v")}, ["g"]).collect()
+    assert sorted((str(r["g"]), r["total"]) for r in got) == [("None", 1), ("None", 3), ("a", 3)]
+    keys = spark.createDataFrame([(None, None, 1), ("a", None, 2), (None, "a", 3), ("a,b", "c", 4), ("a", "b,c", 5)], "a string, b string, n int")
+    assert keys.select(scale.group_key(["a", "b"]).alias("k")).distinct().count() == 5
+
+
+def test_cleared_scratch_is_gone(spark):
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.sparkContext.applicationId in path and spark.read.parquet(path).count() == 3

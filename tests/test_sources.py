@@ -33,6 +33,21 @@ def test_id_violations(spark):
     assert got == {(1, "duplicate"), (2, "missing"), (4, "missing"), (9, "outside")}
 
 
+@pytest.mark.parametrize("ids, start, missing", [([5, 6, 7, 8, 9, 10], 1, 4), ([1, 2, 3], 1, 0), ([0, 1, 1, 9], 0, 2), ([], 1, 0)])
+def test_missing_ids_are_those_of_the_contract(spark, ids, start, missing):
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    assert tables.id_contract(df, "id", start).first()["n_missing"] == missing
+    assert tables.id_violations(df, "id", start).filter("problem = 'missing'").count() == missing
+
+
+def test_fetch_pages(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(25)], "id long, v int")
+    names, pages = tables.fetch(df, "id", 4, "v = 1")
+    assert names == ["id", "v"]
+    assert [r["id"] for r in pages.filter("page = 1").orderBy("slot").collect()] == [9, 11, 13, 15]
+    assert pages.filter("page = 2").count() == 4 and pages.count() == 12
+
+
 def test_jdbc_options():
     whole = tables.jdbc_options("jdbc:x", table="t", partition=("id", 1, 100, 4))
     assert whole["dbtable"] == "t" and whole["partitionColumn"] == "id" and whole["numPartitions"] == "4"
@@ -44,7 +59,7 @@ def test_jdbc_options():
 
 
 def test_csv_round_trip_keeps_hard_cells(spark):
-    rows = [("1", 'say "hi", you'), ("2", "two\nlines"), ("3", ""), ("4", "tab\there")]
+    rows = [("1", 'say "hi", you'), ("2", "two\nlines"), ("3", ""), ("4", "tab\there"), ("5", "back\\\\slash \\n\\\n\r\\")]
     path = scratch_path(spark, "csv")
     delimited.write_csv(spark.createDataFrame(rows, "id string, t string"), path)
     assert sorted(map(tuple, delimited.read_csv(spark, path).collect())) == rows

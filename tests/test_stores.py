@@ -98,3 +98,30 @@ def test_approximate_recall_on_clusters(spark):
         recall = np.mean([len(set(got.get(i, [])) & set(want[i])) / 5 for i in want])
         assert recall > 0.9
         assert all(len(set(ids)) == len(ids) for ids in got.values())
+
+@pytest.mark.parametrize("plan", ["ship", "blocks"])
+def test_distances_of_long_vectors_are_exact(spark, plan):
+    """Coordinates near 1e5 and differences near 1e-3: differences of squares would lose them."""
+    step = 0.0078125  # a multiple of the spacing of floats near 1e5
+    points = np.array([[1e5 + step * i, -1e5, 1e5 - step * i] for i in range(12)], dtype=np.float32)
+    q, v = frames(spark, points)
+    got = V.nearest(q, v, 4, plan=plan).collect()
+    exactly = points.astype(np.float64)
+    for r in got:
+        assert r["distance"] == round(float(((exactly[r["request_id"]] - exactly[r["vec_id"]]) ** 2).sum()), 6) + 0.0
+    assert neighbours(V.nearest(q, v, 4, plan=plan)) == exact(exactly, 4, "l2")
+
+
+def test_approximate_search_gives_everyone_k(spark):
+    rng = np.random.default_rng(4)
+    points = np.vstack([rng.normal(size=(40, 8)), rng.normal(size=(5, 8)) * 100]).astype(np.float32)
+    q, v = frames(spark, points)
+    got = neighbours(V.nearest_approximate(q, v, 6, width=0.5))
+    assert set(got) == set(range(45)) and all(len(ids) == 6 for ids in got.values())
+
+
+def test_joint_search_keeps_hits_without_a_document(spark):
+    hits = spark.createDataFrame([(1, 1, 5), (1, 2, 9), (2, 1, 5)], "request_id long, rank int, doc_id long")
+    docs = spark.createDataFrame([(5, "five"), (6, "six")], "doc_id long, text string")
+    rows = D.joint_search(hits, docs).collect()
+    assert sorted((r["request_id"], r["doc_id"], r["text"], r["found"]) for r in rows) == [(1, 5, "five", True), (1, 9, None, False), (2, 5, "five", True)]
