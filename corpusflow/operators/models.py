@@ -14,11 +14,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.examples import index_labels, numeric_labels
 from corpusflow.operators.scale import running_totals
+from corpusflow.session import materialize
 
 TASKS = ("classification", "regression")
 
@@ -209,13 +210,14 @@ def predict(model: TextModel, df: DataFrame, columns: Sequence[str] | None = Non
 def predict_job(model: TextModel, df: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, float]:
     """Predict and hand the rows to a writer; returns rows, seconds and rows per second.
 
-    The rows are counted while they are written; nothing is read twice.
+    The predictions, an id and a label each, are stored first; they are counted and handed on from there, so the
+    input is read once.
     """
-    seen = Observation()
     started = time.monotonic()
-    write(predict(model, df).observe(seen, F.count(F.lit(1)).alias("rows")))
+    stored = materialize(predict(model, df), "predictions")
+    write(stored)
     seconds = time.monotonic() - started
-    rows = seen.get["rows"]
+    rows = stored.count()
     return {"rows": rows, "seconds": seconds, "rate": rows / seconds if seconds else 0.0}
 
 
