@@ -63,7 +63,7 @@ def test_keyword_rerank(spark):
     chunks = spark.createDataFrame([(1, 0, "rose"), (2, 0, "red rose"), (3, 0, "car")], "doc_id long, offset int, text string")
     asked = spark.createDataFrame([(1, "a red rose", 2), (2, "a red rose", 1), (3, "none", 4)], "request_id long, text string, top_k int")
     got = flows.keyword_rerank_flow(asked, chunks, WEIGHTS).collect()
-    assert sorted(((r["request_id"], r["rank"], r["doc_id"]) for r in got), key=str) == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (3, None, None)]
+    assert sorted(((r["request_id"], r["rank"], r["doc_id"]) for r in got), key=str) == [(1, 1, 2), (1, 2, 1), (2, 1, 2), (3, None, None)]
 
 
 def test_as_many_hits_as_a_request_wants(spark):
