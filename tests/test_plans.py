@@ -12,7 +12,7 @@ def plan(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["keyword_match_grams", "search_all", "search_bool", "search_bool_by_term", "vector_topk_blocks", "vector_ann", "rerank_topk", "reduce_parts"]
+    "name", ["keyword_match", "search_all", "search_bool", "search_phrase", "vector_topk_blocks", "rerank_topk", "reduce_parts"]
 )
 def test_no_cross_joins(spark, name):
     text = plan(spark, name)
