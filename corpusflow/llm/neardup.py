@@ -262,8 +262,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: tuple[int, int] = (4,
     # A component's name is its smallest document.
     rooted = classes.select("number", "key").join(found, "number", "left").withColumn("root", F.coalesce("root", "number"))
     rooted = materialize(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
-    by_set = rooted.select("number", "root").join(named, "root").select("number", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
+    by_set = rooted.select("number", "root").join(smallest, "root").select("number", "component_id")
     lone = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     result = signed.select("key", "row", "n_shingles", "number").join(by_set, "number", "left")
     result = result.select(F.col("key").alias(key), "n_shingles", lone.alias("component_id"), *(["row"] if named else []))
