@@ -200,19 +200,43 @@ def nearest(
     return top_k(partial, ["request_id"], [F.asc("distance"), F.asc("vec_id")], k)
 
 
-def projection_buckets(vector: Column, tables: int, cuts: int, width: float, seed: int) -> Column:
-    """One bucket key per table: ``cuts`` random projections, each cut into steps of ``width`` (Datar et al. 2004)."""
+def _probed(inside: np.ndarray, probes: int) -> np.ndarray:
+    """The changes of steps (rows, tables, probes, cuts) to the buckets nearest to where vectors lie inside their own.
+
+    ``inside`` (rows, tables, cuts) is from 0 to 1.  The own bucket comes first; at most two steps change, by one each.
+    """
+    cuts = inside.shape[2]
+    single = np.vstack([np.eye(cuts, dtype=np.int64), -np.eye(cuts, dtype=np.int64)])
+    double = [a + b for i, a in enumerate(single) for b in single[i + 1 :] if np.abs(a + b).sum() == 2 and np.abs(a + b).max() == 1]
+    changes = np.vstack([np.zeros((1, cuts), dtype=np.int64), single, *double])
+    away = inside**2 @ (changes == -1).T + (1 - inside) ** 2 @ (changes == 1).T
+    return changes[np.argsort(away, axis=2, kind="stable")[:, :, :probes]]
+
+
+def projection_buckets(vector: Column, tables: int, cuts: int, width: float, seed: int, probes: int = 1) -> Column:
+    """Bucket keys: ``cuts`` random projections per table, each cut into steps of ``width`` (Datar et al. 2004).
+
+    Each table gives ``probes`` keys in a row, the vector's own bucket and then the nearest others (Lv et al. 2007).
+    """
 
     @F.pandas_udf("array<long>")
     def keys(vectors: pd.Series) -> pd.Series:
         values = _matrix(vectors)
         random = np.random.default_rng(seed)
         directions = random.normal(size=(values.shape[1], tables * cuts))
-        steps = np.floor((values @ directions + random.uniform(0, width, tables * cuts)) / width).astype(np.int64)
-        key = np.zeros((len(values), tables), dtype=np.int64)
-        for c in range(cuts):
-            key = key * np.int64(1_000_003) + steps[:, c::cuts][:, :tables]
-        return pd.Series(list(key))
+        places = ((values @ directions + random.uniform(0, width, tables * cuts)) / width).reshape(-1, tables, cuts)
+        steps = np.floor(places)
+        found = []
+        for at in range(0, len(values), BLOCK):
+            some = slice(at, at + BLOCK)
+            asked = steps[some].astype(np.int64)[:, :, None, :]
+            if probes > 1:
+                asked = asked + _probed(places[some] - steps[some], probes)
+            key = np.zeros(asked.shape[:3], dtype=np.int64)
+            for c in range(cuts):
+                key = key * np.int64(1_000_003) + asked[..., c]
+            found += list(key.reshape(len(key), -1))
+        return pd.Series(found)
 
     return keys(vector)
 
@@ -227,23 +251,26 @@ def nearest_approximate(
     width: float = 2.0,
     seed: int = 42,
     block_rows: int = 20_000,
+    probes: int = 2,
 ) -> DataFrame:
-    """Nearest vectors among those sharing a random-projection bucket with the query, distances exact.
+    """Nearest vectors among those in the random-projection buckets that the query asks, distances exact.
 
-    Result as ``nearest``.  A query whose buckets hold fewer than k vectors is answered by the exact search, so every
-    query gets its k (or all there are).  ``width`` should be about twice the distance of a
-    near neighbour (2 suits unit vectors).  More tables, fewer cuts or wider buckets raise
-    the recall and the cost.  Inside a bucket only the k best per query and block leave a task.
+    Result as ``nearest``.  In each table a query asks its own bucket and the nearest others, ``probes`` in
+    all.  A query whose buckets hold fewer than k vectors is answered by the exact search, so every query gets
+    its k (or all there are).  ``width`` should be about twice the distance of a near neighbour (2 suits unit
+    vectors).  More tables or probes, fewer cuts or wider buckets raise the recall and the cost.  Inside a
+    bucket only the k best per query and block leave a task.
     """
 
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        keys = projection_buckets(F.col("vector"), tables, cuts, width, seed)
+    def hashed(df: DataFrame, key: str, per_table: int) -> DataFrame:
+        keys = projection_buckets(F.col("vector"), tables, cuts, width, seed, per_table)
         # Read several times below: stored with its keys, a vector is projected once.
         stored = materialize(df.select(key, "vector", keys.alias("keys")), "projected")
-        exploded = stored.select(key, "vector", F.posexplode("keys").alias("table", "cell"))
-        return exploded.select(F.xxhash64("table", "cell").alias("bucket"), key, "vector")
+        exploded = stored.select(key, "vector", F.posexplode("keys").alias("place", "cell"))
+        return exploded.select(F.xxhash64(F.floor(F.col("place") / per_table), "cell").alias("bucket"), key, "vector")
 
-    found = _by_buckets(hashed(queries, "request_id"), hashed(vectors, "vec_id"), k, metric, block_rows)
+    probes = min(probes, 1 + 2 * cuts + 2 * cuts * (cuts - 1))
+    found = _by_buckets(hashed(queries, "request_id", probes), hashed(vectors, "vec_id", 1), k, metric, block_rows)
     best = materialize(top_k(found.distinct(), ["request_id"], [F.asc("distance"), F.asc("vec_id")], k), "nearest")
     enough = best.groupBy("request_id").count().filter(F.col("count") >= k)
     short = materialize(queries.join(enough, "request_id", "left_anti").select("request_id", "vector"), "short")

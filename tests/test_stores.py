@@ -120,6 +120,19 @@ def test_approximate_search_gives_everyone_k(spark):
     assert set(got) == set(range(45)) and all(len(ids) == 6 for ids in got.values())
 
 
+def test_approximate_recall_on_scattered_unit_vectors(spark):
+    """Neighbours hardly nearer than others; each query's own vector does not count."""
+    points = np.random.default_rng(5).normal(size=(600, 64))
+    q, v = frames(spark, (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32))
+    want, got = neighbours(V.nearest(q, v, 5)), neighbours(V.nearest_approximate(q, v, 5))
+    assert np.mean([len(set(got[i]) & set(want[i]) - {i}) / 4 for i in want]) >= 0.9
+
+
+def test_probed_buckets():
+    changes = V._probed(np.array([[[0.1, 0.7]]]), 20)[0, 0].tolist()
+    assert changes == [[0, 0], [-1, 0], [0, 1], [-1, 1], [0, -1], [-1, -1], [1, 0], [1, 1], [1, -1]]
+
+
 def test_joint_search_keeps_hits_without_a_document(spark):
     hits = spark.createDataFrame([(1, 1, 5), (1, 2, 9), (2, 1, 5)], "request_id long, rank int, doc_id long")
     docs = spark.createDataFrame([(5, "five"), (6, "six")], "doc_id long, text string")
