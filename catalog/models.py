@@ -69,6 +69,33 @@ def model_reload(spark, folder):
     return before.join(after, "id").select("id", (F.col("before") == F.col("prediction")).alias("same"))
 
 
+def all_documents(spark, folder):
+    return table(spark, folder, "documents", spread=True).select("text", "doc_id")
+
+
+@query("batch_predict_all")
+def batch_predict_all(spark, folder):
+    """Every document through the prediction job, with its prediction; the floor is that of the held-out ones alone."""
+    model = classifier(spark, folder)
+    path = scratch_path(spark, "predictions") + ".tsv"
+    models.predict_job(model, all_documents(spark, folder), lambda rows: delimited.write_rows(rows, path))
+    rows = delimited.read_rows(spark, path).select(F.col("_c0").cast("long").alias("id"), F.col("_c1").alias("prediction"))
+    held = languages(spark, folder, True).select(F.col("doc_id").alias("id"), "label")
+    share = rows.join(held, "id").agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    return rows.withColumn("reaches_floor", F.lit(share >= FLOOR if share is not None else None).cast("boolean"))
+
+
+@query("model_reload_all")
+def model_reload_all(spark, folder):
+    """Every document's prediction by a model read back from its version folder, next to that from before it was saved."""
+    where, trained = scratch_path(spark, "models"), classifier(spark, folder)
+    models.save(trained, where, CONFIG)
+    inputs = all_documents(spark, folder)
+    before = models.predict(trained, inputs).withColumnRenamed("prediction", "before")
+    after = models.predict(models.load(spark, where, CONFIG), inputs)
+    return before.join(after, "id").select("id", "prediction", F.col("before").eqNullSafe(F.col("prediction")).alias("same"))
+
+
 @query(
     "train_regression",
     """SELECT regr_count(l_extendedprice, l_quantity)::BIGINT AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,

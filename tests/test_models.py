@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from corpusflow.operators import distributions as D
 from corpusflow.operators import models as M
 from corpusflow.session import scratch_path
@@ -193,3 +194,15 @@ def test_draws_follow_the_distribution(spark):
 def test_log_softmax_array(spark):
     df = spark.createDataFrame([([1.0, 2.0, 1000.0],)], "s array<double>")
     assert df.select(D.log_softmax_array(F.col("s"))).first()[0] == pytest.approx([-999.0, -998.0, 0.0])
+
+
+def test_every_document_is_predicted(spark):
+    folder = "/root/testdata/sf0.001"
+    english = {r["doc_id"]: "1" if r["lang"] == "en" else "0" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    written = contract.queries()["batch_predict_all"](spark, folder).collect()
+    reloaded = contract.queries()["model_reload_all"](spark, folder).collect()
+    assert sorted(r["id"] for r in written) == sorted(r["id"] for r in reloaded) == sorted(english)
+    assert {r["id"]: r["prediction"] for r in written} == {r["id"]: r["prediction"] for r in reloaded}
+    held = [r["prediction"] == english[r["id"]] for r in written if r["id"] % 5 == 0]
+    assert {r["reaches_floor"] for r in written} == {sum(held) >= 0.95 * len(held)} == {True}
+    assert all(r["same"] for r in reloaded)
