@@ -20,16 +20,17 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import map_slices, sliced
 from corpusflow.session import materialize
 
-#: Labelled rows that a fit uses at most per language, stretches per row, words per stretch; languages at most.
+#: Labelled rows that a fit uses at most per language, stretches per row, words per stretch.
 MOST_ROWS = 400
 STRETCHES = 4
 STRETCH_WORDS = 30
-MOST_LANGUAGES = 64
 #: Hashed letter n-grams.
 BITS = 16
 LEXICON_WORDS = 20_000
 #: Words whose scores a task keeps at most before it starts afresh.
 KEPT_WORDS = 300_000
+#: Word scores that a fit's forward-backward handles at a time.
+FIT_CELLS = 4_000_000
 #: Words that forward-backward handles in lockstep.
 BLOCK = 64
 MARKS = ".,;:!?()[]{}<>\"'|*#$%&/\\-_=+~^`@…«»“”„’‘—–"
@@ -165,8 +166,8 @@ def _pair_counts(scores: np.ndarray, moves: np.ndarray, width: int) -> tuple[np.
     posterior /= posterior.sum(axis=2, keepdims=True)
     expected = np.zeros((k, k))
     for t in range(1, width):
-        pair = ahead[:, t - 1, :, None] * step * (gain[:, t] * behind[:, t])[:, None, :]
-        expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        left, right = ahead[:, t - 1], gain[:, t] * behind[:, t]
+        expected += step * ((left / ((left @ step) * right).sum(axis=1, keepdims=True)).T @ right)
     return posterior.reshape(-1, k), expected
 
 
@@ -177,9 +178,8 @@ def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate
     language inside; the transitions learnt are those of code-switched text.  Gradients are exact (expected minus
     seen); steps are scaled by each weight's own history.
     """
-    languages = [w for w, _ in Counter(language for language, _ in stretches).most_common(MOST_LANGUAGES)]
-    known = {language: i for i, language in enumerate(sorted(languages))}
-    chosen = [(known[language], words) for language, words in stretches if language in known and words]
+    known = {language: i for i, language in enumerate(sorted({language for language, _ in stretches}))}
+    chosen = [(known[language], words) for language, words in stretches if words]
     k = len(known)
     if not k:
         return Model([], np.zeros((1 << BITS, 0)), {}, np.zeros((1, 0)), np.zeros((0, 0)))
@@ -200,13 +200,19 @@ def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate
     rows = np.fromiter((lexicon.get(w, -1) for w in kinds), dtype=np.int64, count=len(kinds))
     seen_moves = np.zeros((k, k))
     inside = np.arange(n) % width > 0
+    some = max(1, FIT_CELLS // (k * width)) * width
     np.add.at(seen_moves, (truth[:-1][inside[1:]], truth[1:][inside[1:]]), 1)
     history = [np.full_like(p, 1e-8) for p in (model.grams, model.words, model.moves)]
     for _ in range(rounds):
         by_kind = model.scores(list(kinds))
-        posterior, expected = _pair_counts(by_kind[kind], model.moves, width)
-        posterior[np.arange(n), truth] -= 1.0
-        error = np.stack([np.bincount(kind, posterior[:, j], minlength=len(kinds)) for j in range(k)], axis=1) / n
+        error, expected = np.zeros((len(kinds), k)), np.zeros((k, k))
+        for at in range(0, n, some):  # whole sequences
+            here, right = kind[at : at + some], truth[at : at + some]
+            posterior, moved = _pair_counts(by_kind[here], model.moves, width)
+            posterior[np.arange(len(here)), right] -= 1.0
+            error += np.stack([np.bincount(here, posterior[:, j], minlength=len(kinds)) for j in range(k)], axis=1)
+            expected += moved
+        error /= n
         grams = np.stack([np.bincount(code, (error[:, j] * scale)[owner], minlength=1 << BITS) for j in range(k)], axis=1)
         words = np.zeros_like(model.words)
         words[rows[rows >= 0]] = error[rows >= 0]
@@ -220,14 +226,14 @@ def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate
 def fit(docs: DataFrame, train: Column, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", language: str = "lang") -> Model:
     """Fit on at most ``most`` rows per language, chosen by a hash of the key among those that ``train`` admits.
 
-    Of each row a fixed number of stretches, spread over the whole text, comes here.
+    Every language that such a row names can be predicted.  Of each row at most ``STRETCHES`` stretches of
+    ``STRETCH_WORDS`` words, spread over the whole text, come here; the other words of long texts are not learnt from.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(language).alias("lang"), F.col(text).alias("text"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("key").isNotNull() & F.col("text").isNotNull()).filter(train)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key", F.lit(23)), "key")
     picked = usable.select("key", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    common = picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    chosen = materialize(picked.join(F.broadcast(common), "lang").select("key").distinct(), "langid-rows")
+    chosen = materialize(picked.select("key").distinct(), "langid-rows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):

@@ -78,3 +78,15 @@ def test_awkward_rows(awkward, nothing):
     empty = langid.fit(nothing, fold("key", 5) != 0)
     assert {r["lang_pred"] for r in langid.label(awkward, empty).collect()} == {"und"}
     assert langid.label(nothing, model).count() == 0
+
+
+def test_more_than_64_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_CELLS", 20_000)
+    draw = random.Random(7)
+    words = {f"l{i:02}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for i in range(70)}
+    rows = [(100 * n + i, " ".join(draw.choices(words[name], k=12)), name) for n, name in enumerate(words) for i in range(8 if n < 64 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, fold("key", 1) == 0)
+    named = langid.label(docs, model).collect()
+    assert model.languages == sorted(words)
+    assert {r["lang_pred"] for r in named} == set(words) and sum(r["lang"] == r["lang_pred"] for r in named) >= 0.97 * len(named)
