@@ -174,3 +174,12 @@ def rerank_fit(spark, folder):
     model, _ = rerank.fit_scorer(pairs.select("query", "candidate", "label"), reg=0.0, features=["jaccard"])
     scored = rerank.score_pairs(pairs, model)
     return scored.select("conv_id", "turn", "label", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query("rerank_fit_all")
+def rerank_fit_all(spark, folder):
+    """A scorer fitted to all features, term statistics among them, with the ridge."""
+    pairs, stats = conversation_pairs(spark, folder), _idf(spark, folder)
+    model, _ = rerank.fit_scorer(pairs.select("query", "candidate", "label"), stats)
+    scored = rerank.score_pairs(pairs, model, stats)
+    return scored.select("conv_id", "turn", "label", *rerank.FEATURES, "score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.flows import INDEXED_SQL, index_messages, index_summary
-from catalog.routing import FITTED
+from catalog.routing import FITTED, _idf
 from catalog.search import indexed_docs, items
 from catalog.sql import ALL, ANY, fulltext as ft, ranked
 from catalog.texts import conversation_pairs
@@ -100,12 +100,22 @@ def stream_rendezvous(spark, folder):
 @query("stream_train", f"{FITTED} SELECT 'SUCCESS' AS status, examples, round(intercept, 6) AS intercept, 'jaccard' AS feature, round(slope, 6) AS weight FROM line")
 def stream_train(spark, folder):
     """The scorer after the last micro-batch, fitted to one feature without a penalty."""
+    rows = _streamed_scorer(spark, folder, features=["jaccard"], reg=0.0)
+    return rows.withColumns({c: F.round(c, 6) for c in ("intercept", "weight")})
+
+
+@query("stream_train_all")
+def stream_train_all(spark, folder):
+    """The scorer after the last micro-batch, fitted to all features, term statistics among them, with the ridge."""
+    return _streamed_scorer(spark, folder, stats=_idf(spark, folder))
+
+
+def _streamed_scorer(spark, folder, **options):
     source, path, state = (scratch_path(spark, p) for p in ("records", "scorer", "state"))
     pairs = conversation_pairs(spark, folder)
     record = F.to_json(F.struct(F.col("query").alias("Query"), F.col("candidate").alias("Candidate"), F.col("label").alias("Label")))
     pairs.select(record.alias("value")).write.text(source)
     good, _ = examples.parse_train_records(spark.readStream.text(source))
-    finish(jobs.train_scorer(good, path, state, ["jaccard"], reg=0.0))
+    finish(jobs.train_scorer(good, path, state, **options))
     last = spark.read.parquet(f"{path}/status").orderBy(F.desc("step")).limit(1)
-    rows = last.select("status", "examples", F.round("intercept", 6).alias("intercept"), F.explode("weights").alias("feature", "weight"))
-    return rows.withColumn("weight", F.round("weight", 6))
+    return last.select("status", "examples", "intercept", F.explode("weights").alias("feature", "weight"))

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from corpusflow.operators import rerank, routing
 
 
@@ -92,3 +94,22 @@ def test_rerank_reports_requests_without_candidates(spark):
     rows = rerank.rerank(scored, F.col("k"), requests).collect()
     assert sorted((r["request_id"], r["rank"]) for r in rows if r["rank"]) == [(1, i) for i in range(1, 11)]
     assert [r["doc_id"] for r in rows if r["request_id"] == 2] == [None]
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_all_features_are_fitted(spark, streamed):
+    folder = "/root/testdata/sf0.001"
+    rows = contract.queries()["rerank_fit_all"](spark, folder).collect()
+    x, y = np.array([[r[f] for f in rerank.FEATURES] for r in rows]), np.array([r["label"] for r in rows])
+    assert all(x[:, rerank.FEATURES.index(f)].std() > 0 for f in ("shared", "idf_overlap", "jaccard", "length_ratio"))
+    # Least squares with the ridge (in units of the label's deviation) as further rows, the intercept free of it.
+    system = np.vstack([x - x.mean(axis=0), np.sqrt(1e-3 / y.std() * len(x)) * np.eye(x.shape[1])])
+    weights = np.linalg.lstsq(system, np.concatenate([y - y.mean(), np.zeros(x.shape[1])]), rcond=None)[0]
+    intercept = y.mean() - x.mean(axis=0) @ weights
+    if streamed:
+        last = contract.queries()["stream_train_all"](spark, folder).collect()
+        got = {r["feature"]: r["weight"] for r in last}
+        assert [got[f] for f in rerank.FEATURES] == pytest.approx(weights.tolist(), abs=1e-6)
+        assert last[0]["intercept"] == pytest.approx(intercept, abs=1e-6) and last[0]["examples"] == len(rows)
+    else:
+        assert [r["score"] for r in rows] == pytest.approx((x @ weights + intercept).tolist(), abs=1e-6)
