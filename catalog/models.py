@@ -257,6 +257,12 @@ def fingerprint(spark, folder):
     return models.table_fingerprint(part, ["p_partkey", "p_name", "p_brand", "size"])
 
 
+@query("fingerprint_documents")
+def fingerprint_documents(spark, folder):
+    """Of whole documents, their texts included."""
+    return models.table_fingerprint(table(spark, folder, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
+
+
 @query(
     "feature_cache",
     f"""SELECT doc_id, CASE WHEN lang = 'en' THEN '1' ELSE '0' END AS label, doc_id % 5 = 0 AS evaluation, len(t)::INT AS n_terms, len(list_distinct(t))::INT AS n_distinct,

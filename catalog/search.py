@@ -109,6 +109,16 @@ def keyword_topk(spark, folder):
 )
 def keyword_match_short(spark, folder):
     """Short patterns that overlap themselves and each other, and several texts under one request id."""
+    return _match_short(spark, folder, table(spark, folder, "part").filter("p_partkey % 5 = 0"))
+
+
+@query("keyword_match_short_all")
+def keyword_match_short_all(spark, folder):
+    """The same patterns in the names of all parts."""
+    return _match_short(spark, folder, table(spark, folder, "part"))
+
+
+def _match_short(spark, folder, asked):
     part, supplier, nation = (table(spark, folder, n) for n in ("part", "supplier", "nation"))
     cut = F.expr("substring(p_name, cast(1 + p_partkey % 3 as int), cast(1 + p_partkey % 7 as int))")
     patterns = part.select(cut.alias("text")).distinct()
@@ -116,7 +126,7 @@ def keyword_match_short(spark, folder):
     index = keyword.build_index(numbered.select("doc_id", F.lit(0).alias("offset"), "text"))
     names = supplier.select(F.col("s_nationkey").cast("long").alias("request_id"), F.expr("s_name || s_name || substring(s_name, 1, 9)").alias("text"))
     names = names.unionByName(nation.select(F.col("n_nationkey").cast("long").alias("request_id"), F.expr("n_name || ' ' || n_name").alias("text")))
-    parts = part.filter("p_partkey % 5 = 0").select((F.col("p_partkey") % 50).cast("long").alias("request_id"), F.col("p_name").alias("text"))
+    parts = asked.select((F.col("p_partkey") % 50).cast("long").alias("request_id"), F.col("p_name").alias("text"))
     hits = keyword.match(names.unionByName(parts), index)
     return hits.select("request_id", "doc_id", "relevance", "first_end", "pattern_length")
 

@@ -1,9 +1,11 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import __spark_entry__ as contract
 from corpusflow.operators import keyword
 
 
@@ -118,3 +120,20 @@ def test_shuffled_anchors_give_the_same(spark, monkeypatch):
     texts = ["abab" * 30, "b" * 50, "aba", ""]
     monkeypatch.setattr(keyword, "small_enough", lambda *args, **kwargs: False)
     assert found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns)))) == brute(texts, patterns)
+
+
+def test_short_patterns_are_searched_in_all_parts(spark):
+    folder = "/root/testdata/sf0.001"
+    part, supplier, nation = (pq.read_table(f"{folder}/{n}.parquet").to_pylist() for n in ("part", "supplier", "nation"))
+    patterns = sorted({p["p_name"][p["p_partkey"] % 3 :][: 1 + p["p_partkey"] % 7] for p in part})
+    asked = [(p["p_partkey"] % 50, p["p_name"]) for p in part] + [(n["n_nationkey"], f"{n['n_name']} {n['n_name']}") for n in nation]
+    asked += [(s["s_nationkey"], s["s_name"] * 2 + s["s_name"][:9]) for s in supplier]
+    want = {}
+    for request, text in asked:
+        for i, p in enumerate(patterns):
+            at = [a for a in range(len(text) - len(p) + 1) if text.startswith(p, a)] if p else []
+            if at:
+                n, first = want.get((request, i), (0, 1 << 30))
+                want[request, i] = (n + len(at), min(first, at[0] + len(p) - 1 + 1))
+    rows = contract.queries()["keyword_match_short_all"](spark, folder).collect()
+    assert {(r["request_id"], r["doc_id"]): (r["relevance"], r["first_end"]) for r in rows} == want and len(rows) == len(want)

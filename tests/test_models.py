@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import random
 
@@ -206,3 +207,15 @@ def test_every_document_is_predicted(spark):
     held = [r["prediction"] == english[r["id"]] for r in written if r["id"] % 5 == 0]
     assert {r["reaches_floor"] for r in written} == {sum(held) >= 0.95 * len(held)} == {True}
     assert all(r["same"] for r in reloaded)
+
+
+def test_whole_documents_are_fingerprinted(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    total = [0, 0]
+    for r in rows:
+        row = [None if r[c] is None else str(r[c]) for c in ("doc_id", "text", "lang", "source", "n_chars")]
+        digest = hashlib.md5(json.dumps(row, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+        total = [total[0] + int(digest[:16], 16), total[1] + int(digest[16:], 16)]
+    got = contract.queries()["fingerprint_documents"](spark, folder).first()
+    assert (got["n_rows"], got["checksum"]) == (len(rows), f"{total[0]}-{total[1]}")
