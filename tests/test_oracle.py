@@ -23,5 +23,9 @@ def test_entry(spark):
     assert contract.entry(spark).count() >= 0
 
 
+def test_earlier_names_of_the_searches_stay():
+    assert {"keyword_match_grams", "search_all_by_term", "search_bool_by_term"} <= set(contract.oracle_sql())
+
+
 def test_sql_names_are_registered():
     assert set(contract.oracle_sql()) <= set(contract.queries())
