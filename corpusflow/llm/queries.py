@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann, bpe, langid, licenses, lines, neardup, packing, quality, rules, toxicity
+from corpusflow.llm import ann, bpe, langid, licenses, lines, neardup, packing, quality, rules, spelling, toxicity
 from corpusflow.llm.common import fold, spread_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), damage=31)
+
+
+SQL["op13_spelling"] = spelling.SQL
