@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann, bpe, langid, licenses, lines, neardup, packing, quality, rules, spelling, toxicity
+from corpusflow.llm import ann, bpe, langid, licenses, lines, neardup, negatives, packing, quality, rules, spelling, toxicity
 from corpusflow.llm.common import fold, spread_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,15 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+SQL["op11_negatives"] = negatives.SQL
+
+
 @query
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"), damage=31)
