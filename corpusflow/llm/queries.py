@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann, bpe, langid, licenses, lines, neardup, negatives, packing, quality, rules, spelling, toxicity
+from corpusflow.llm import ann, bpe, grouping, langid, licenses, lines, neardup, negatives, packing, quality, rules, spelling, toxicity
 from corpusflow.llm.common import fold, spread_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,12 @@ def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op11_negatives"] = negatives.SQL
 
 
+@query
+def op12_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    packed = grouping.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"), damage=31)
