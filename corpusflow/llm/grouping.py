@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm import pretoken
 from corpusflow.llm.common import sliced
 from corpusflow.llm.packing import byte_encoder
 from corpusflow.session import materialize
@@ -27,9 +28,11 @@ from corpusflow.session import materialize
 #: Pieces of a group, about.
 GROUP = 2000
 #: Islands of a group; epochs between which individuals migrate; generations of an epoch.
-ISLANDS, EPOCHS, GENERATIONS = 3, 3, 20
+ISLANDS, EPOCHS, GENERATIONS = 2, 3, 6
 #: Individuals of an island, children of a generation, and individuals that move on.
-PEOPLE, CHILDREN, ELITE = 6, 4, 2
+PEOPLE, CHILDREN, ELITE = 4, 3, 1
+#: Share of a parent's well-filled windows that a child takes.
+INJECTED = 0.15
 #: A window filled less than this share is dissolved for the next level.
 WELL = 0.97
 
@@ -75,9 +78,9 @@ def fresh(order: list[int], lengths: list[int], size: int) -> Bins:
 
 
 def crossed(a: Bins, b: Bins, lengths: list[int], size: int, draw: random.Random) -> Bins:
-    """A child of ``a`` with about half of the best-filled windows of ``b``."""
+    """A child of ``a`` with some of the well-filled windows of ``b``."""
     mean = sum(b.fills) / len(b.fills)
-    chosen = [i for i, f in enumerate(b.fills) if f >= mean and draw.random() < 0.5]
+    chosen = [i for i, f in enumerate(b.fills) if f >= mean and draw.random() < INJECTED]
     taken = {piece for i in chosen for piece in b.bins[i]}
     bins, fills, displaced = [b.bins[i][:] for i in chosen], [b.fills[i] for i in chosen], []
     for pieces, fill in zip(a.bins, a.fills):
@@ -234,25 +237,46 @@ def place(pieces: DataFrame, size: int, group: int = GROUP, seed: int = 1) -> Da
     return placed
 
 
+def id_bytes(path: str) -> int:
+    """Bytes an id takes while it is stored and moved: two for vocabularies that fit."""
+    file = pretoken.spec(path)
+    return 2 if max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])]) < 1 << 16 else 4
+
+
+def widened(rows: DataFrame) -> DataFrame:
+    """The rows with ``ids`` of four bytes instead of two; a batch is one array, so no row is handled alone."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ids = part.column("ids")
+            ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            data = np.frombuffer(ids.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]].view("<u2").astype("<u4")
+            wide = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((ends - ends[0]) * 2).astype(np.int32)), pa.py_buffer(data)])
+            yield part.set_column(part.schema.get_field_index("ids"), "ids", wide)
+
+    return rows.mapInArrow(widen, rows.schema)
+
+
 def cut(docs: DataFrame, path: str, size: int, end_id: int, key: str, text: str) -> DataFrame:
-    """``key, piece, start, length, ids``: each document's ids and ``end_id``, cut where they are longer than ``size``."""
+    """``key, piece, start, length, ids``: each document's ids (of ``id_bytes``) and ``end_id``, cut where they are longer than ``size``."""
     kind = dict(docs.dtypes)[key]
-    end = np.array([end_id], dtype="<u4").tobytes()
+    width = id_bytes(path)
+    end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_encoder(path)
+        encode = byte_encoder(path, width)
         for part in sliced(batches):
             owner, number, start, length, ids = [], [], [], [], []
             for i, own in enumerate(encode(part.column("text").to_pylist())):
                 own += end
-                tokens = len(own) // 4
+                tokens = len(own) // width
                 begins = [0, *range((tokens - 1) % size + 1, tokens, size)]
                 for n, (begin, stop) in enumerate(zip(begins, [*begins[1:], tokens])):
                     owner.append(i)
                     number.append(n)
                     start.append(begin)
                     length.append(stop - begin)
-                    ids.append(own[4 * begin : 4 * stop])
+                    ids.append(own[width * begin : width * stop])
             columns = [part.column("key").take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64())]
             columns += [pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids"])
@@ -270,4 +294,5 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, key: str
     """
     stored = materialize(cut(docs, path, size, end_id, key, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed = materialize(place(stored.select("row", "length"), size, group, seed), "sequences")
-    return stored.join(placed, "row").drop("row").withColumnRenamed("key", key)
+    packed = stored.join(placed, "row").drop("row").withColumnRenamed("key", key)
+    return widened(packed) if id_bytes(path) == 2 else packed

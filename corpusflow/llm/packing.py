@@ -7,6 +7,8 @@ emitted.  The windows left open at the end of the tasks are merged afterwards, a
 
 from __future__ import annotations
 
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -28,8 +30,8 @@ MERGED_TASKS = 128
 PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Ids (little-endian unsigned 32-bit) of whole texts by a byte-level tokenizer file.
+def byte_encoder(path: str, width: int = 4) -> Callable[[list[str | None]], list[bytes]]:
+    """Ids (little-endian unsigned, of ``width`` bytes) of whole texts by a byte-level tokenizer file.
 
     A task's words repeat, so the ids of each are kept.  New words go to a rank encoder over the same vocabulary
     where the file's ids follow the order of its merges, else to the library.  Texts with special tokens or
@@ -53,24 +55,30 @@ def byte_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
         word_ids = ranked.encode_ordinary
     else:
         word_ids = lambda word: library.encode(word, add_special_tokens=False).ids
-    words_of = regex.compile(pretoken.BYTE_PATTERN).findall
-    known: dict[str, bytes] = {}
+    code = "H" if width == 2 else "I"
+
+    class Words(dict):
+        """The ids of the words met so far; those of a new word are found when it is first asked for."""
+
+        def __missing__(self, word: str) -> bytes:
+            ids = self[word] = array(code, word_ids(word)).tobytes()
+            return ids
+
+    known = Words()
+    words_of, ascii_words_of = regex.compile(pretoken.BYTE_PATTERN).findall, re.compile(pretoken.ASCII_PATTERN, re.ASCII).findall
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        lists: list = []
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        get, out = known.__getitem__, []
         for text in texts:
             if not text:
-                lists.append([])
+                out.append(b"")
             elif not pretoken.settled(text) or (special and "<|" in text and special.search(text)):
-                lists.append(np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                out.append(array(code, library.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                lists.append(words_of(text))
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for word in set().union(*[x for x in lists if isinstance(x, list)]).difference(known):
-            known[word] = np.array(word_ids(word), dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, x)) if isinstance(x, list) else x for x in lists]
+                out.append(b"".join(map(get, (ascii_words_of if text.isascii() else words_of)(text))))
+        return out
 
     return encode
 

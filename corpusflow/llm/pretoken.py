@@ -13,6 +13,8 @@ import regex
 
 #: The split patterns of the two public tokenizer files.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same in texts of ASCII characters only.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 
 
 #: Tokenizer files, and which letters are unsettled, as far as this task has met them.
