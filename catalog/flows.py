@@ -85,9 +85,7 @@ def flow_fact_index(spark, folder):
     return done.unionByName(pending.select("doc_id", nothing.alias("chunks"), nothing.alias("patterns"), F.lit(False).alias("complete")))
 
 
-@query(
-    "flow_fact_query",
-    f"""WITH patterns AS (SELECT text, arg_max(doc_id, (doc_id, "offset")) AS doc_id, arg_max("offset", (doc_id, "offset")) AS "offset"
+_FACT_QUERY = f"""WITH patterns AS (SELECT text, arg_max(doc_id, (doc_id, "offset")) AS doc_id, arg_max("offset", (doc_id, "offset")) AS "offset"
                           FROM ({sentence_rows('benchmark', 'item_id')}) t(doc_id, "offset", text) GROUP BY 1),
         asked AS (SELECT doc_id AS request_id, text FROM ({sentence_rows('documents', 'doc_id')})),
         hits AS (SELECT a.request_id, p.doc_id, p."offset", sum(len({starts('a.text', 'p.text')}))::DOUBLE AS relevance
@@ -100,12 +98,24 @@ def flow_fact_index(spark, folder):
         SELECT d.doc_id AS request_id, rank, r.doc_id, "offset", relevance, r.doc_id IS NOT NULL AND r.doc_id % 5 <> 0 AS found,
                CASE WHEN r.doc_id % 5 <> 0 THEN md5('{{"data":' || to_json(b.text) || '}}') END AS digest, coalesce(norm1, 0) AS norm1, coalesce(weighted, 0) AS weighted
         FROM documents d LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.request_id = d.doc_id LEFT JOIN norms n ON n.request_id = d.doc_id
-        LEFT JOIN benchmark b ON b.item_id = r.doc_id""",
-)
+        LEFT JOIN benchmark b ON b.item_id = r.doc_id"""
+
+
+@query("flow_fact_query", _FACT_QUERY)
 def flow_fact_query(spark, folder):
+    return _fact_query(spark, folder, doc_queries(spark, folder), 5)
+
+
+@query("flow_fact_query_own_k", _FACT_QUERY.replace("WHERE rank <= 5", "WHERE rank <= 1 + request_id % 4"))
+def flow_fact_query_own_k(spark, folder):
+    """The same with a number of hits per request."""
+    return _fact_query(spark, folder, doc_queries(spark, folder).withColumn("top_k", (1 + F.col("request_id") % 4).cast("int")), None)
+
+
+def _fact_query(spark, folder, asked, k):
     facts = payloads(table(spark, folder, "benchmark").withColumnRenamed("item_id", "doc_id"))
     index, store, _, _ = flows.fact_index_flow(facts)
-    rows = flows.fact_query_flow(doc_queries(spark, folder), index, store.filter("doc_id % 5 <> 0"), 5)
+    rows = flows.fact_query_flow(asked, index, store.filter("doc_id % 5 <> 0"), k)
     # The whole documents and vectors come back; they are compared by sums that tell their cells apart.
     norm1 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
     weighted = F.aggregate(F.transform("embedding", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)

@@ -78,6 +78,20 @@ def reduce_parts(spark, folder):
     return routing.reduce_parts(_parts(spark, folder), 5, 3)[0]
 
 
+@query(
+    "reduce_parts_own_k",
+    f"""WITH {_PARTS},
+        merged AS (SELECT request_id, doc_id, "offset", max(score) AS score FROM parts
+                   WHERE request_id IN (SELECT request_id FROM arrived WHERE arrived = 5) GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id, "offset")::INT AS rank FROM merged)
+        WHERE rank <= request_id % 4""",
+)
+def reduce_parts_own_k(spark, folder):
+    """The same with a number of hits per request, none for some."""
+    own = (F.col("request_id") % 4).cast("int")
+    return routing.reduce_parts(_parts(spark, folder).withColumn("top_k", own), 5, None)[0]
+
+
 @query("reduce_pending", f"WITH {_PARTS} SELECT request_id, arrived FROM arrived WHERE arrived < 5")
 def reduce_pending(spark, folder):
     return routing.reduce_parts(_parts(spark, folder), 5, 3)[1]

@@ -10,6 +10,7 @@ from catalog.sql import ALL, ANY, KEYWORD_HITS, fulltext as ft, ranked, sentence
 from corpusflow.functions import text as X
 from corpusflow.operators import chunks as C
 from corpusflow.operators import docstore, fulltext, keyword, vectors
+from corpusflow.operators.segments import Folder
 from corpusflow.session import materialize, scratch_path
 from corpusflow.sources import tables
 
@@ -42,10 +43,20 @@ def item_index(spark, folder):
 _INDEXES: dict[tuple, fulltext.TextIndex] = {}
 
 
+def _stamp(spark, path):
+    """Size and last change of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(at).getLength(), files.getFileStatus(at).getModificationTime()
+
+
 def standing(spark, folder, name, build):
-    """The standing index of that name over a folder's documents, built by the first query that asks for it."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _INDEXES:
+    """The standing index of that name over a folder's documents, built by the first query that asks for it.
+
+    It is built again when the table has changed or the index has been deleted.
+    """
+    key = (spark.sparkContext.applicationId, folder, name, _stamp(spark, f"{folder}/documents.parquet"))
+    if key not in _INDEXES or not Folder(spark, _INDEXES[key].path).manifest().version:
         _INDEXES[key] = build()
     return _INDEXES[key]
 
@@ -178,7 +189,7 @@ def postings(spark, folder):
 
 @query("term_stats", f"WITH {ft()} SELECT term, df FROM dfs")
 def term_stats(spark, folder):
-    return indexed_docs(spark, folder).term_stats()
+    return indexed_docs(spark, folder).term_stats().select("term", "df")
 
 
 @query("search_all_by_term", f"WITH {ft()}, {ranked(ALL, 5)} SELECT * FROM best")
@@ -192,19 +203,32 @@ def search_any(spark, folder):
     return fulltext.search(indexed_docs(spark, folder), asked_items(spark, folder), match="any")
 
 
-@query(
-    "index_add_search",
-    f"""WITH {ft().replace("FROM documents)", "FROM later)", 1).replace("FROM documents)", "FROM later)")}, {ranked(ANY, 5)} SELECT * FROM best""".replace(
-        "WITH", "WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'updated ' || lang || ' ' || source ELSE text END AS text FROM documents),", 1
-    ),
+_LATER = f"""WITH {ft().replace("FROM documents)", "FROM later)", 1).replace("FROM documents)", "FROM later)")}, {ranked(ANY, 5)} SELECT * FROM best""".replace(
+    "WITH", "WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'updated ' || lang || ' ' || source ELSE text END AS text FROM documents),", 1
 )
-def index_add_search(spark, folder):
-    """An index of half of the documents, to which the rest and then updates are added, searched."""
+
+
+def _updated(spark, folder):
+    """An index of half of the documents, to which the rest and then updates are added."""
     docs = documents(spark, folder)
     index = fulltext.build(C.unary_chunks(docs.filter("doc_id % 2 = 0")))
     index = index.add(C.unary_chunks(docs.filter("doc_id % 2 = 1")))
     updates = docs.filter("doc_id % 10 = 0").withColumn("text", F.concat_ws(" ", F.lit("updated"), "lang", "source"))
-    return fulltext.search(index.add(C.unary_chunks(updates)), items(spark, folder), 5, match="any")
+    return index.add(C.unary_chunks(updates))
+
+
+@query("index_add_search", _LATER)
+def index_add_search(spark, folder):
+    """Search of an index with several segments and replaced chunks."""
+    return fulltext.search(_updated(spark, folder), items(spark, folder), 5, match="any")
+
+
+@query("index_compact_search", _LATER)
+def index_compact_search(spark, folder):
+    """The same after all segments were merged into one and older files deleted."""
+    index = _updated(spark, folder).compact()
+    index.vacuum()
+    return fulltext.search(index, items(spark, folder), 5, match="any")
 
 
 STEM = """CASE WHEN suffix(term, 'ies') AND NOT suffix(term, 'eies') AND NOT suffix(term, 'aies') THEN left(term, length(term) - 3) || 'y'
@@ -364,6 +388,16 @@ def vector_topk(spark, folder):
     return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5)
 
 
+@query("vector_topk_own_k", _L2.replace("WHERE rank <= 5", "WHERE rank <= request_id % 6"))
+def vector_topk_own_k(spark, folder):
+    """The same with a number of hits per request, none for some."""
+    return vectors.nearest(_own_k(spark, folder), vector_table(spark, folder), None)
+
+
+def _own_k(spark, folder):
+    return vector_queries(spark, folder).withColumn("top_k", (F.col("request_id") % 6).cast("int"))
+
+
 @query("vector_topk_blocks", _L2)
 def vector_topk_blocks(spark, folder):
     return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5, plan="blocks")
@@ -381,11 +415,21 @@ ENOUGH = 0.9
 @query("vector_ann", "SELECT vec_id AS request_id, least(5, (SELECT count(*) FROM embeddings))::BIGINT AS n, true AS exact_distances, true AS in_order, true AS enough_recall FROM embeddings")
 def vector_ann(spark, folder):
     """Per request: its number of hits, whether their distances and order are right; and whether the recall over all is 0.9 at least."""
-    asked, stored = vector_queries(spark, folder), vector_table(spark, folder)
-    found = materialize(vectors.nearest_approximate(asked, stored, 5), "approximate")
-    both = found.join(asked.withColumnRenamed("vector", "q"), "request_id").join(stored, "vec_id")
+    return _approximate(spark, folder, vector_queries(spark, folder), 5)
+
+
+@query("vector_ann_own_k", "SELECT vec_id AS request_id, least(vec_id % 6, (SELECT count(*) FROM embeddings))::BIGINT AS n, true AS exact_distances, true AS in_order, true AS enough_recall FROM embeddings WHERE vec_id % 6 > 0")
+def vector_ann_own_k(spark, folder):
+    """The same with a number of hits per request, none for some."""
+    return _approximate(spark, folder, _own_k(spark, folder), None)
+
+
+def _approximate(spark, folder, asked, k):
+    stored = vector_table(spark, folder)
+    found = materialize(vectors.nearest_approximate(asked, stored, k), "approximate")
+    both = found.join(asked.select("request_id", F.col("vector").alias("q")), "request_id").join(stored, "vec_id")
     right = F.round(vectors.distance(F.col("q"), F.col("vector")), 6) == F.col("distance")
-    exact = vectors.nearest(asked, stored, 5).select("request_id", "vec_id")
+    exact = vectors.nearest(asked, stored, k).select("request_id", "vec_id")
     recall = found.join(exact, ["request_id", "vec_id"]).count() / max(1, exact.count())
     earlier = F.lag("distance").over(Window.partitionBy("request_id").orderBy("rank"))
     rows = both.withColumns({"right": right, "earlier": earlier})

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import query, table
+from catalog import SQL, query, table
 from catalog.flows import INDEXED_SQL, index_messages, index_summary
-from catalog.routing import FITTED, _idf
+from catalog.routing import FITTED, _idf, _parts
 from catalog.search import indexed_docs, items
-from catalog.sql import ALL, ANY, fulltext as ft, ranked
+from catalog.sql import ALL, ANY, fulltext as ft, ranked, tokens
 from catalog.texts import conversation_pairs
+from corpusflow.operators import chunks as C
 from corpusflow.operators import examples, fulltext
 from corpusflow.session import scratch_path
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, state
 
 
 def stream(spark, folder, name):
@@ -97,6 +98,80 @@ def stream_rendezvous(spark, folder):
     return spark.read.parquet(path)
 
 
+@query(
+    "stream_rendezvous_hits",
+    """SELECT u.conv_id || '#' || u.turn AS request_id, md5(u.text) AS query, (a.turn - u.turn)::INT AS rank, md5(a.text) AS answer
+       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - u.turn BETWEEN 1 AND 3 WHERE u.role = 'user'""",
+)
+def stream_rendezvous_hits(spark, folder):
+    """Up to three hits a request, in two micro-batches: of half of the conversations the requests come first, of the others the
+    responses; what came in the first comes again in the second."""
+    turns = table(spark, folder, "conversations")
+    key = F.concat_ws("#", F.col("conv_id").cast("string"), (F.col("turn") - F.col("rank")).cast("string"))
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
+    asked = turns.filter("role = 'user'").withColumn("rank", F.lit(0)).select(key.alias("request_id"), when.alias("ts"), F.md5("text").alias("query"), (F.col("conv_id") % 2).cast("int").alias("part"))
+    heard = turns.withColumn("rank", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter("turn >= rank")
+    heard = heard.select(key.alias("request_id"), when.alias("ts"), "rank", F.md5("text").alias("answer"), ((F.col("conv_id") + 1) % 2).cast("int").alias("part"))
+    sides = [side.unionByName(side.filter("part = 0").withColumn("part", F.lit(1))) for side in (asked, heard)]
+    path, at = scratch_path(spark, "pairs"), scratch_path(spark, "state")
+    requests, responses = (batches(spark, side, 2) for side in sides)
+    finish(jobs.write_stream(state.rendezvous(requests, responses, "10 minutes", ["rank"]), path, at))
+    return spark.read.parquet(path).select("request_id", "query", "rank", "answer")
+
+
+def _streamed_parts(spark, folder, last):
+    """Partial results in three micro-batches, a request's parts spread over all of them; with ``last``, a much later message."""
+    rows = _parts(spark, folder).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    rows = rows.withColumn("part_no", F.pmod(F.xxhash64("request_id", "part"), F.lit(3)).cast("int"))
+    if last:
+        later = rows.limit(1).withColumns({"request_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit(1_800_000_000)), "part_no": F.lit(3)})
+        rows = rows.unionByName(later)
+    path, at = scratch_path(spark, "merged"), scratch_path(spark, "state")
+    source = batches(spark, rows.withColumnsRenamed({"part": "name", "part_no": "part"}), 4).withColumnRenamed("name", "part")
+    finish(jobs.write_stream(state.reduce_parts(source, 5, 3, "10 minutes"), path, at))
+    return spark.read.parquet(path)
+
+
+@query("stream_reduce", SQL["reduce_parts"])
+def stream_reduce(spark, folder):
+    return _streamed_parts(spark, folder, False).filter("arrived is null").drop("arrived")
+
+
+@query("stream_reduce_pending", SQL["reduce_pending"])
+def stream_reduce_pending(spark, folder):
+    """Requests of which parts are missing when their time is over."""
+    return _streamed_parts(spark, folder, True).filter("arrived is not null").select("request_id", "arrived")
+
+
+@query(
+    "stream_search_newest",
+    f"""WITH {ft()}, old AS (SELECT item_id AS request_id FROM benchmark WHERE item_id % 2 = 0),
+        early AS (SELECT * FROM documents WHERE doc_id % 2 = 0),
+        raw1 AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM early),
+        post1 AS (SELECT term, doc_id, 0::INT AS "offset", count(*) AS tf FROM raw1 GROUP BY 1, 2),
+        dfs1 AS (SELECT term, count(*) AS df FROM post1 GROUP BY 1), n1 AS (SELECT count(*) AS n FROM early),
+        scored1 AS (SELECT q.request_id, p.doc_id, p."offset", sum(p.tf * ln((n1.n + 1) / (d.df + 1))) AS raw_score
+                    FROM qt q JOIN post1 p ON q.term = p.term JOIN dfs1 d ON d.term = p.term CROSS JOIN n1 GROUP BY ALL),
+        both_ AS (SELECT request_id, doc_id, "offset", raw_score FROM scored1 WHERE request_id IN (SELECT request_id FROM old)
+                  UNION ALL SELECT request_id, doc_id, "offset", raw_score FROM scored WHERE request_id NOT IN (SELECT request_id FROM old)),
+        {ranked("SELECT * FROM both_", 5)} SELECT * FROM best""",
+)
+def stream_search_newest(spark, folder):
+    """Requests in two micro-batches; between them half of the documents are added, which only the second one finds."""
+    docs = table(spark, folder, "documents", spread=True)
+    path, hits, at = (scratch_path(spark, p) for p in ("growing", "hits", "state"))
+    fulltext.build(C.unary_chunks(docs.filter("doc_id % 2 = 0")), path)
+    asked = items(spark, folder).withColumn("part", (F.col("request_id") % 2).cast("int"))
+    source = scratch_path(spark, "asked")
+    for part in (0, 1):
+        asked.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+        queries = jobs.read_files(spark, source, asked.drop("part").schema, "*.parquet")
+        finish(jobs.search(queries, path, 5, hits, at, match="any"))
+        if part == 0:
+            fulltext.TextIndex(spark, path).add(C.unary_chunks(docs.filter("doc_id % 2 = 1")))
+    return spark.read.parquet(hits).drop("batch_id")
+
+
 @query("stream_train", f"{FITTED} SELECT 'SUCCESS' AS status, examples, round(intercept, 6) AS intercept, 'jaccard' AS feature, round(slope, 6) AS weight FROM line")
 def stream_train(spark, folder):
     """The scorer after the last micro-batch, fitted to one feature without a penalty."""

@@ -1,8 +1,9 @@
 """Full-text index: standing tables of postings, TF-IDF search, and boolean terms given as tables.
 
-An index is a folder of segments.  Each call that adds chunks writes one segment: its postings, in buckets by term and sorted by
-term, and the keys of its chunks.  A chunk added again replaces what earlier segments hold of it.  A search reads
-the buckets of its terms only; texts are cut into terms once, when they are added.
+An index is a folder of segments (``segments``): each call that adds chunks writes one, and a chunk added again replaces what earlier
+ones hold of it.  A search reads the files that may hold its terms, and of these only what its best hits need: the counts of its
+terms come from the index, candidates from the postings of terms that a hit cannot do without, and what other
+terms add to them from the candidates' own chunks.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators.scale import best_of, each, salted_join, small_enough
+from corpusflow.operators import segments as S
+from corpusflow.operators.scale import best_of, each, salted_join, small_enough, top_k, wanted_hits
+from corpusflow.operators.segments import KEY
 from corpusflow.session import materialize, scratch_path
 
 #: Tables of terms and clauses up to this size are sent to all tasks; larger ones are joined by shuffle.
@@ -24,10 +27,10 @@ QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
 
 #: A must term narrows a request down when its postings are at most this fraction of all the request's.
 SELECTIVE = 16
-
-KEY = ["doc_id", "offset"]
-#: Buckets of terms in each segment.
-BUCKETS = 32
+#: Share of a request's postings, its rarest terms first, from which its first threshold comes; and the postings, at least.
+SEED_SHARE, SEED_LEAST = 0.05, 200
+#: Scores are compared with bounds with this margin (they are rounded to six places).
+MARGIN = 1e-5
 
 
 def stop_words(language: str = "english") -> list[str]:
@@ -59,103 +62,100 @@ def porter_terms(terms: DataFrame) -> DataFrame:
     return stemmed.groupBy(*KEY).agg(ordered.alias("s")).select(*KEY, F.col("s.stem").alias("terms"))
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def write_segment(terms: DataFrame, path: str, segment: int, seq: str | None = None) -> None:
-    """Write chunks (doc_id, offset, terms[, seq]) as one segment; writing it again replaces it.
-
-    Each chunk must be there once.  Tokens move once, dealt by bucket and by a hash of the chunk, so a frequent term
-    is spread over tasks; grouping and sorting need no further shuffle.
-    """
-    number = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
-    # The texts may be costly to read and are needed twice.
-    held = materialize(terms.select(*KEY, "terms", number.alias("seq")), "terms")
-    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(*KEY), F.lit(-(-parts // BUCKETS)))
-    tokens = each(held, F.col("terms"), "term", KEY, "pos")
-    dealt = tokens.withColumns({"bucket": term_bucket(F.col("term")), "salt": salt}).repartition(parts, "bucket", "salt")
-    lists = dealt.groupBy("bucket", "salt", "term", *KEY).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    rows = lists.select("bucket", "term", *KEY, F.size("positions").alias("tf"), "positions").sortWithinPartitions("bucket", "term")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
-    # The chunks are written last: a segment without them does not count.
-    held.select(*KEY, "seq", F.size("terms").alias("n_terms")).write.mode("overwrite").parquet(f"{path}/chunks/segment={segment}")
-
-
 @dataclass(frozen=True)
 class TextIndex:
-    """A standing index below ``path``, as its segments are now."""
+    """A standing index below ``path`` as its newest manifest described it when it was opened; later writes do not show."""
 
     spark: SparkSession
     path: str
 
     @cached_property
-    def _written(self) -> DataFrame:
-        schema = "doc_id long, offset int, seq long, n_terms int, segment int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
+    def state(self) -> S.State:
+        folder = S.Folder(self.spark, self.path)
+        return S.State(folder, folder.manifest())
 
-    @cached_property
-    def segments(self) -> list[int]:
-        return sorted(r[0] for r in self._written.select("segment").distinct().collect())  # one row per call that added
+    def _of(self, state: S.State) -> TextIndex:
+        index = TextIndex(self.spark, self.path)
+        index.__dict__["state"] = state
+        return index
 
-    @cached_property
-    def chunks(self) -> DataFrame:
-        """(doc_id, offset, n_terms, segment): the newest form of each chunk, by ``seq``, then by segment."""
-        if len(self.segments) < 2:
-            return self._written.drop("seq")
-        newest = self._written.groupBy(*KEY).agg(F.max(F.struct("seq", "segment", "n_terms")).alias("m"))
-        return materialize(newest.select(*KEY, "m.n_terms", "m.segment"), "chunks")
+    @property
+    def segments(self) -> list[int]:
+        return [s.number for s in self.state.manifest.segments]
 
-    @cached_property
+    @property
     def size(self) -> int:
-        return self.chunks.count()
+        return self.state.size
+
+    @property
+    def chunks(self) -> DataFrame:
+        """(doc_id, offset, n_terms, segment): the live form of each chunk."""
+        return self.state.live(self.state.read("chunks")).select(*KEY, F.size("terms").alias("n_terms"), "segment")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, doc_id, offset, tf, positions) of all chunks, or of a table (term) only.
+        """(term, doc_id, offset, tf, positions) of all live chunks, or of the terms of a table (term) only.
 
-        For given terms only their buckets are read, and in them the row groups that may hold them.
+        For given terms only the files between whose smallest and largest term one of them lies are read.
         """
-        schema = "term string, doc_id long, offset int, tf int, positions array<int>, segment int, bucket int"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").filter(F.col("segment").isin(self.segments))
+        if terms is None:
+            return self.state.live(self.state.read("postings")).select("term", *KEY, "tf", "positions")
+        wanted = terms.select("term").distinct()
+        rows = self.state.read("postings", self._names(wanted))
+        sent = F.broadcast(wanted) if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) else wanted
+        return self.state.live(rows.join(sent, "term", "left_semi")).select("term", *KEY, "tf", "positions")
+
+    def _names(self, terms: DataFrame) -> list[tuple] | None:
+        if not small_enough(terms, "term", QUERY_ROWS, QUERY_CHARS):
+            return None
+        return [(r[0],) for r in terms.select("term").distinct().collect() if r[0] is not None]
+
+    def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df, most): in how many live chunks a term occurs, and how often at most in one (dead ones included)."""
+        rows = self.state.read("terms", None if terms is None else self._names(terms)).select("term", "df", "most")
+        if self.state.has_dead:
+            rows = rows.unionByName(self.state.dead_terms().select("term", (-F.col("df")).alias("df"), F.lit(0).alias("most")))
         if terms is not None:
-            wanted = terms.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
-            buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most BUCKETS
-            sent = F.broadcast(wanted) if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) else wanted
-            rows = rows.filter(F.col("bucket").isin(buckets)).join(sent, ["bucket", "term"], "left_semi")
-        if len(self.segments) > 1:
-            live = self.chunks.select(*KEY, "segment")
-            rows = rows.join(live, [*KEY, "segment"], "left_semi")
-        return rows.select("term", *KEY, "tf", "positions")
-
-    def term_stats(self) -> DataFrame:
-        """(term, df): in how many chunks a term occurs."""
-        return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-    def add(self, chunks: DataFrame, seq: str | None = None, **analysis) -> TextIndex:
+            wanted = terms.select("term").distinct()
+            rows = rows.join(F.broadcast(wanted) if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) else wanted, "term", "left_semi")
+        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most")).filter("df > 0")
+
+    def terms_of(self, keys: DataFrame) -> DataFrame:
+        """(doc_id, offset, terms) of some live chunks, from the files that may hold their keys."""
+        sent = F.broadcast(keys.select(*KEY).distinct()) if small_enough(keys) else keys.select(*KEY).distinct()
+        rows = self.state.read("chunks", self.state.documents(keys)).join(sent, KEY, "left_semi")
+        return self.state.live(rows).select(*KEY, "terms")
+
+    def add(self, chunks: DataFrame, seq: str | None = None, batch: int | None = None, **analysis) -> TextIndex:
         """The index with more chunks (doc_id, offset, text[, seq]); a chunk of the same key is replaced.
 
-        Of a key given several times the one with the highest ``seq`` counts; without ``seq``, the last call does.
+        Of a key given several times the one with the highest ``seq`` counts; without ``seq``, the last call does.  Segments are
+        merged as they come together.  ``batch`` numbers streamed writes: one that is in the index already changes nothing.
         """
         rows = latest_chunks(chunks, seq) if seq else chunks
-        terms = rows.select(*KEY, analyze(F.col("text"), **analysis).alias("terms"), *([seq] if seq else []))
-        write_segment(terms, self.path, max(self.segments, default=-1) + 1, seq)
-        return TextIndex(self.spark, self.path)
+        return self.add_terms(rows.select(*KEY, analyze(F.col("text"), **analysis).alias("terms"), *([seq] if seq else [])), seq, batch)
+
+    def add_terms(self, terms: DataFrame, seq: str | None = None, batch: int | None = None) -> TextIndex:
+        """The same with terms (doc_id, offset, terms[, seq]); each key once."""
+        number = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
+        return self._of(S.add(self.state, terms.select(*KEY, "terms", number.alias("seq")), batch))
+
+    def compact(self) -> TextIndex:
+        """The index with all its live chunks in one segment, and nothing dead."""
+        return self._of(S.compact(self.state, everything=True))
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete files that only older manifests name."""
+        S.vacuum(self.state, keep)
 
 
 def build(chunks: DataFrame, path: str | None = None, seq: str | None = None, **analysis) -> TextIndex:
     """A standing index of chunks (doc_id, offset, text[, seq]) below ``path`` (a scratch folder if not given)."""
-    rows = latest_chunks(chunks, seq) if seq else chunks
-    terms = rows.select(*KEY, analyze(F.col("text"), **analysis).alias("terms"), *([seq] if seq else []))
-    return build_terms(terms, path, seq)
+    return TextIndex(chunks.sparkSession, path or scratch_path(chunks.sparkSession, "fulltext")).add(chunks, seq, **analysis)
 
 
 def build_terms(terms: DataFrame, path: str | None = None, seq: str | None = None) -> TextIndex:
     """The same from terms (doc_id, offset, terms[, seq])."""
-    spark = terms.sparkSession
-    index = TextIndex(spark, path or scratch_path(spark, "fulltext"))
-    write_segment(terms, index.path, 0, seq)
-    return index
+    return TextIndex(terms.sparkSession, path or scratch_path(terms.sparkSession, "fulltext")).add_terms(terms, seq)
 
 
 def latest_chunks(chunks: DataFrame, seq: str) -> DataFrame:
@@ -173,71 +173,159 @@ def query_terms(queries: DataFrame, **analysis) -> DataFrame:
     return each(queries, F.array_distinct(analyze(F.col("text"), **analysis)), "term", ["request_id"])
 
 
-def _weighted(clauses: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """The clause rows with their term's df and idf, and ``need``, the request's number of must terms.
+def _weighted(clauses: DataFrame, index: TextIndex) -> DataFrame:
+    """The clause rows with their term's df and idf, ``bound``, the most it can add to a score, and ``need``, the request's number
+    of must terms.
 
     A term no chunk holds has df 0.
     """
-    stats = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     need = clauses.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
-    joined = clauses.join(stats, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return joined.withColumn("idf", idf(F.lit(n), F.col("df"))).join(need, "request_id")
+    joined = clauses.join(index.term_stats(clauses), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    weight = idf(F.lit(index.size), F.col("df"))
+    bound = F.when(F.col("clause") == "must_not", 0.0).otherwise(weight * F.coalesce("most", F.lit(0)))
+    return joined.withColumns({"idf": weight, "bound": bound}).join(need, "request_id").drop("most")
 
 
-def _sums(hits: DataFrame) -> DataFrame:
+def _sums(hits: DataFrame, *more: str) -> DataFrame:
     """Qualifying chunks from joined (clause, posting) rows."""
     kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in ("must", "should", "must_not")]
     part = F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))
-    summed = hits.groupBy("request_id", "need", *KEY).agg(F.sum(part).alias("score"), *kinds)
+    summed = hits.groupBy("request_id", "need", *KEY, *more).agg(F.sum(part).alias("score"), *kinds)
     fits = "n_must = need AND n_must_not = 0 AND (need > 0 OR n_should > 0)"
-    return summed.filter(fits).select("request_id", *KEY, "score")
+    return summed.filter(fits).select("request_id", *KEY, "score", *more)
 
 
-def _rarest(weighted: DataFrame) -> DataFrame:
-    """(request_id, term): the must term held by the fewest chunks."""
-    rare = weighted.filter("clause = 'must'").groupBy("request_id").agg(F.min(F.struct("df", "term")).alias("r"))
-    return rare.select("request_id", "r.term")
+def _asked(postings: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
+    """Joined (clause, posting) rows."""
+    rows = postings.select("term", *KEY, "tf")
+    return rows.join(F.broadcast(clauses), "term") if small else salted_join(materialize(rows, "postings"), clauses, "term")
+
+
+def _looked_up(index: TextIndex, candidates: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
+    """(clause, posting) rows of candidates (request_id, doc_id, offset) for the clauses, from the candidates' own chunks.
+
+    A chunk's terms are counted once, whichever requests ask for it; only asked terms are counted.
+    """
+    words = clauses.select("term").distinct()
+    tokens = each(index.terms_of(candidates), F.col("terms"), "term", KEY)
+    tokens = tokens.join(F.broadcast(words) if small else words, "term", "left_semi")
+    counts = tokens.groupBy(*KEY, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    wanted = candidates.join(F.broadcast(clauses), "request_id") if small else salted_join(candidates, clauses, "request_id")
+    return wanted.join(counts, [*KEY, "term"])
 
 
-def _by_rarest(found: DataFrame, weighted: DataFrame, small: bool) -> DataFrame:
-    """Requests with a rare must term: candidates come from its postings only, so a request's common terms never
-    multiply; the other terms are looked up per candidate."""
-    rare = _rarest(weighted)
-    keys = found.drop("tf")
-    candidates = (keys.join(F.broadcast(rare), "term") if small else salted_join(keys, rare, "term")).drop("term")
+def _by_rarest(index: TextIndex, weighted: DataFrame, small: bool) -> DataFrame:
+    """Requests with a rare must term: its postings are the candidates; their own chunks say what other terms add."""
+    rare = weighted.filter("clause = 'must'").groupBy("request_id").agg(F.min(F.struct("df", "term")).alias("r"))
+    rare = materialize(rare.select("request_id", "r.term"), "rarest")
+    keys = index.postings(rare).select("term", *KEY)
+    candidates = (keys.join(F.broadcast(rare), "term") if small else salted_join(materialize(keys, "keys"), rare, "term")).drop("term")
     stored = materialize(candidates, "candidates")
-    clauses = stored.join(F.broadcast(weighted), "request_id") if small else salted_join(stored, weighted, "request_id")
-    return _sums(clauses.join(found, ["term", *KEY]))
+    return _sums(_looked_up(index, stored, weighted, small))
+
+
+def _kth(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(request_id, low): the score that a request's last wanted hit has so far; none where there are fewer."""
+    most = wanted.agg(F.max("k")).first()[0] or 0
+    ranked = top_k(hits, ["request_id"], [F.desc("score")], most, "rank").join(wanted, "request_id")
+    return ranked.filter("rank = k").select("request_id", F.col("score").alias("low"))
+
+
+def _best_any(index: TextIndex, weighted: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """Chunks that can be among the best ``k`` of requests without must terms, with their scores.
+
+    Two rounds.  The postings of a request's rarest terms give its first threshold: so much its last hit has at least.  Terms
+    that together cannot reach it, however often they occur in a chunk, find no hit by themselves and stay unread;
+    the others are read and raise the threshold.  Chunks that can still reach it get what the unread terms add from their own
+    terms, or from the postings after all, if these are fewer.
+    """
+    plan = _plan(weighted)
+    seeds = plan.filter("seed or clause = 'must_not'")
+    first = materialize(_asked(index.postings(seeds), seeds, small), "seeds")
+    low = _kth(_sums(first), wanted)
+    plan = materialize(_unread(plan.join(low, "request_id", "left")), "plan")
+    more = plan.filter("not seed and clause <> 'must_not' and not unread")
+    hits, columns = first, ["request_id", "need", "clause", *KEY, "tf", "idf"]
+    if not more.isEmpty():
+        hits = materialize(first.select(*columns).unionByName(_asked(index.postings(more), more, small).select(*columns)), "read")
+    unread = plan.filter("unread")
+    if unread.isEmpty():
+        return _sums(hits)
+    rest = unread.groupBy("request_id").agg(F.sum("bound").alias("rest"))
+    partial = materialize(_sums(hits), "partial")
+    able = partial.join(rest, "request_id", "left").join(_kth(partial, wanted), "request_id", "left")
+    able = able.filter(F.col("low").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("low") - MARGIN))
+    able = materialize(able.select("request_id", *KEY, "score"), "able")
+    postings, chunks = unread.select("term", "df").distinct().agg(F.sum("df")).first()[0] or 0, able.select(*KEY).distinct().count()
+    if chunks * index.state.tokens <= postings * max(1, index.size):
+        late = _looked_up(index, able.select("request_id", *KEY), unread, small)
+    else:
+        late = _asked(index.postings(unread), unread, small).join(able.select("request_id", *KEY), ["request_id", *KEY], "left_semi")
+    added = late.select("request_id", *KEY, (F.col("tf") * F.col("idf")).alias("score"))
+    return able.unionByName(added).groupBy("request_id", *KEY).agg(F.sum("score").alias("score"))
+
+
+def _plan(weighted: DataFrame) -> DataFrame:
+    """The clause rows with ``seed``: the request's rarest terms, up to a share of its postings."""
+    wanted = F.col("clause") != "must_not"
+    rarest = Window.partitionBy("request_id").orderBy(wanted.desc(), "df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("request_id")
+    before, total = F.coalesce(F.sum("df").over(rarest), F.lit(0)), F.sum(F.when(wanted, F.col("df")).otherwise(0)).over(all_)
+    return weighted.withColumn("seed", wanted & (before <= F.greatest(total * SEED_SHARE, F.lit(SEED_LEAST))))
+
+
+def _unread(plan: DataFrame) -> DataFrame:
+    """The plan with ``unread``: terms, those of smallest bound first, that together stay below the request's threshold ``low``."""
+    open_ = (~F.col("seed")) & (F.col("clause") != "must_not")
+    least = Window.partitionBy("request_id").orderBy(F.when(open_, 0).otherwise(1), "bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    together = F.sum(F.when(open_, F.col("bound")).otherwise(0.0)).over(least)
+    return plan.withColumn("unread", F.coalesce(open_ & (together < F.col("low") - MARGIN), F.lit(False)))
+
+
+def read_share(index: TextIndex, clauses: DataFrame, k: int) -> float:
+    """Share of all postings that a search of requests without must terms reads as postings (for reports)."""
+    weighted = materialize(_weighted(clauses, index), "clauses")
+    wanted = weighted.select("request_id").distinct().withColumn("k", F.lit(k))
+    plan = _plan(weighted)
+    seeds = plan.filter("seed or clause = 'must_not'")
+    low = _kth(_sums(_asked(index.postings(seeds), seeds, True)), wanted)
+    read = _unread(plan.join(low, "request_id", "left")).filter("not unread").select("term", "df").distinct()
+    return (read.agg(F.sum("df")).first()[0] or 0) / max(1, index.term_stats().agg(F.sum("df")).first()[0] or 0)
 
 
-def score(index: TextIndex, clauses: DataFrame) -> DataFrame:
-    """TF-IDF of every qualifying chunk: (request_id, doc_id, offset, score).
+def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """TF-IDF of qualifying chunks: (request_id, doc_id, offset, score).
 
     ``clauses`` is a table (request_id, clause, term), each row once, clause in must / should / must_not.
     A chunk qualifies when it holds all must terms (or, without must terms, at least one should term)
     and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over the must and should rows it holds.
-    Only the postings of the clauses' terms are read; document frequencies are counted on them.
+    With ``wanted`` (request_id, k) chunks that cannot be among a request's best k may be left out.
+    Only files that may hold the clauses' terms are read; document frequencies are kept by the index.
     """
     clauses = materialize(clauses, "asked")
     small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS)
-    found = materialize(index.postings(clauses).select("term", *KEY, "tf"), "postings")
-    weighted = materialize(_weighted(clauses, found, index.size), "clauses")
+    weighted = materialize(_weighted(clauses, index), "clauses")
     # A request whose rarest must term is rare against all its postings is answered from the chunks with
-    # that term; any other by summing its postings.
+    # that term; one without must terms from the terms its best hits need; any other by summing its postings.
     requests = weighted.groupBy("request_id").agg(
         F.min(F.when(F.col("clause") == "must", F.col("df"))).alias("rarest"), F.sum("df").alias("total")
     )
-    selective = F.coalesce(F.col("rarest") * SELECTIVE <= F.col("total"), F.lit(False))
-    requests = requests.select("request_id", selective.alias("selective"))
-    n_selective, n_other = requests.agg(F.count_if("selective"), F.count_if(~F.col("selective"))).first()
-    picked = requests.filter("selective").select("request_id")
+    way = F.when(F.col("rarest") * SELECTIVE <= F.col("total"), "rare").when(F.col("rarest").isNull() & F.lit(wanted is not None), "best").otherwise("sums")
+    requests = materialize(requests.select("request_id", way.alias("way")), "ways")
+    ways = {r[0] for r in requests.select("way").distinct().collect()} or {"sums"}  # three at most
     results = []
-    if n_selective:
-        results.append(_by_rarest(found, weighted.join(picked, "request_id", "left_semi"), small))
-    if n_other or not n_selective:
-        rest = weighted.join(picked, "request_id", "left_anti")
-        results.append(_sums(found.join(F.broadcast(rest), "term") if small else salted_join(found, rest, "term")))
-    return results[0] if len(results) == 1 else results[0].unionByName(results[1])
+    for name in sorted(ways):
+        rows = weighted.join(requests.filter(F.col("way") == name).select("request_id"), "request_id", "left_semi") if len(ways) > 1 else weighted
+        if name == "rare":
+            results.append(_by_rarest(index, rows, small))
+        elif name == "best":
+            results.append(_best_any(index, rows, wanted, small))
+        else:
+            results.append(_sums(_asked(index.postings(rows), rows, small)))
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def best_hits(scored: DataFrame, k: int | None, requests: DataFrame | None = None) -> DataFrame:
@@ -254,28 +342,28 @@ def search(index: TextIndex, queries: DataFrame, k: int | None = None, match: st
     in the chunk, ``'any'`` at least one.
     """
     clause = {"all": "must", "any": "should"}[match]
-    clauses = query_terms(queries, **analysis).withColumn("clause", F.lit(clause))
-    return best_hits(score(index, clauses.distinct()), k, queries)
+    clauses = materialize(query_terms(queries, **analysis).withColumn("clause", F.lit(clause)).distinct(), "clauses")
+    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else queries, k)[0]), k, queries)
 
 
 def bool_search(index: TextIndex, clauses: DataFrame, k: int | None, requests: DataFrame | None = None) -> DataFrame:
     """Top k chunks per request of boolean clauses (request_id, clause, term)."""
-    return best_hits(score(index, clauses.select("request_id", "clause", "term").distinct()), k, requests)
+    clauses = materialize(clauses.select("request_id", "clause", "term").distinct(), "clauses")
+    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else requests, k)[0]), k, requests)
 
 
 def phrase_search(index: TextIndex, phrases: DataFrame, k: int | None, **analysis) -> DataFrame:
     """Chunks holding the whole phrase, its terms adjacent and in order; ranked by TF-IDF of its terms.
 
-    Chunks holding all terms are found first; for those the postings' positions tell whether the terms follow each
-    other: position less place in the phrase is the same for all.
+    Chunks holding all terms are found first; their own terms tell whether a phrase stands in them.
     """
-    placed = each(phrases, analyze(F.col("text"), **analysis), "term", ["request_id"], "place")
-    placed = materialize(placed, "phrases")
-    clauses = placed.select("request_id", "term").distinct().withColumn("clause", F.lit("must"))
+    phrase = analyze(F.col("text"), **analysis)
+    placed = materialize(phrases.select("request_id", phrase.alias("phrase")).filter(F.size("phrase") > 0), "phrases")
+    clauses = placed.select("request_id", F.explode("phrase").alias("term")).distinct().withColumn("clause", F.lit("must"))
     scored = materialize(score(index, clauses), "candidates")
-    lengths = placed.groupBy("request_id").agg(F.count(F.lit(1)).alias("length"))
-    asked = scored.select("request_id", *KEY).join(placed, "request_id")
-    spots = asked.join(index.postings(clauses).select("term", *KEY, "positions"), ["term", *KEY])
-    starts = spots.select("request_id", *KEY, F.explode("positions").alias("pos"), "place").withColumn("start", F.col("pos") - F.col("place"))
-    runs = starts.groupBy("request_id", *KEY, "start").agg(F.count(F.lit(1)).alias("n")).join(lengths, "request_id").filter("n = length")
-    return best_hits(scored.join(runs.select("request_id", *KEY).distinct(), ["request_id", *KEY], "left_semi"), k, phrases)
+    # Terms hold letters and digits only, so a blank separates them.
+    line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
+    lines = index.terms_of(scored).select(*KEY, line.alias("line"))
+    asked = placed.select("request_id", F.concat(F.lit(" "), F.array_join("phrase", " "), F.lit(" ")).alias("phrase"))
+    met = scored.join(lines, KEY).join(asked, "request_id").filter(F.contains("line", "phrase"))
+    return best_hits(met.select("request_id", *KEY, "score").distinct(), k, phrases)

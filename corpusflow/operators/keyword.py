@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.operators import grams
 from corpusflow.operators.scale import best_of, small_enough, spread_join
 from corpusflow.schema import require
 from corpusflow.session import materialize
@@ -16,6 +19,10 @@ from corpusflow.session import materialize
 #: Window classes of the gram plan: patterns at least this long share a class (fixed values).
 CLASSES = (1, 2, 4, 8, 16, 32, 64)
 GRAM = 8
+#: Patterns up to this number and total length are sent to the tasks.
+PATTERN_ROWS, PATTERN_CHARS = 100_000, 8_000_000
+#: Letters searched at a time inside a task; address bits of the filter for larger sets of patterns.
+SLICE_LETTERS, FILTER_BITS = 1_000_000, 24
 
 
 def build_index(chunks: DataFrame, seq: str | None = None) -> DataFrame:
@@ -85,11 +92,22 @@ def _anchor_frames(
         yield merged()
 
 
-def _occurrences(queries: DataFrame, index: DataFrame) -> DataFrame:
+def _bitmap(keyed: DataFrame) -> np.ndarray:
+    """Which addresses (the lowest bits of a hash) the patterns' anchors have: ``2 ** FILTER_BITS`` bits, whatever their number."""
+    address = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    page = 1 << 15  # bits that one aggregate holds
+    parts = keyed.groupBy(F.shiftright(address, 15).alias("page")).agg(F.bitmap_construct_agg(address % page).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // page * (page >> 3), dtype=np.uint8)
+    for row in parts.collect():  # one row per page at most
+        out[row["page"] * (page >> 3) : (row["page"] + 1) * (page >> 3)] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def _occurrences(queries: DataFrame, patterns: DataFrame) -> DataFrame:
     """Counts per query row and pattern by an equi-join on anchor grams: (row, doc_id, offset, n, first_end, pattern_length).
 
-    A pattern is keyed by one anchor of its windows; a query text emits (class, hash, position)
-    of all its anchors, few of its positions when the patterns are long.  Equal windows have equal
+    A pattern is keyed by one anchor of its windows; a query text emits (class, hash, position) of those of its anchors
+    that a bitmap of the patterns' anchors lets pass.  Equal windows have equal
     anchors, so every occurrence is a candidate exactly once; each is then compared with the text.  The texts do not
     travel: candidates, few against all positions, are stored and brought to them.
     """
@@ -102,17 +120,17 @@ def _occurrences(queries: DataFrame, index: DataFrame) -> DataFrame:
             for found in _anchor_frames(frame, "pattern", of, ["number"]):
                 yield found.rename(columns={"cls": "p_cls", "pos": "at"})
 
-    lengths = F.greatest(*[F.when(F.length("text") >= c, c) for c in CLASSES], F.lit(0))
-    classes = [r[0] for r in index.select(lengths.alias("c")).distinct().collect()]  # at most one per class
+    lengths = F.greatest(*[F.when(F.length("pattern") >= c, c) for c in CLASSES], F.lit(0))
+    classes = [r[0] for r in patterns.select(lengths.alias("c")).distinct().collect()]  # at most one per class
 
     def text_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield from _anchor_frames(frame, "text", lambda _: classes, ["row"])
+            for found in _anchor_frames(frame, "text", lambda _: classes, ["row"]):
+                address = found["gram"].to_numpy() & ((1 << FILTER_BITS) - 1)
+                held = np.unpackbits(sent.value[address >> 3][:, None], axis=1, bitorder="little")
+                yield found[held[np.arange(len(found)), address & 7] > 0]
 
-    numbered = materialize(
-        index.select("doc_id", "offset", F.col("text").alias("pattern")).withColumn("number", F.monotonically_increasing_id()),
-        "patterns",
-    )
+    numbered = materialize(patterns.withColumn("number", F.monotonically_increasing_id()), "numbered")
     anchors = numbered.select("number", "pattern").mapInPandas(
         pattern_anchors, "number long, p_cls int, gram long, at long"
     )
@@ -122,9 +140,9 @@ def _occurrences(queries: DataFrame, index: DataFrame) -> DataFrame:
         F.min(F.struct("n", "at", "gram")).alias("a")
     )
     keyed = materialize(rarest.select("number", F.col("p_cls").alias("cls"), "a.at", "a.gram"), "anchors")
-    grams = queries.mapInPandas(text_anchors, "cls int, gram long, pos long, row long")
-    # The grams of the patterns reach the texts first: what matches no pattern is not shuffled further.
-    spread = grams.join(F.broadcast(keyed), ["cls", "gram"]) if small_enough(keyed) else spread_join(grams, keyed.withColumnRenamed("cls", "p_cls"), "gram").filter("cls = p_cls")
+    sent = queries.sparkSession.sparkContext.broadcast(_bitmap(keyed))
+    anchored = queries.mapInPandas(text_anchors, "cls int, gram long, pos long, row long")
+    spread = spread_join(anchored, keyed.withColumnRenamed("cls", "p_cls"), "gram").filter("cls = p_cls")
     candidates = materialize(spread.select("row", "number", (F.col("pos") - F.col("at")).alias("start")).filter("start >= 0"), "candidates")
     patterns = candidates.join(numbered, "number").select("row", "doc_id", "offset", "pattern", "start")
     length = F.length("pattern")
@@ -135,19 +153,57 @@ def _occurrences(queries: DataFrame, index: DataFrame) -> DataFrame:
     return counts.select("row", "doc_id", "offset", "n", "e.first_end", (-F.col("e.less")).alias("pattern_length"))
 
 
+def _shipped(queries: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
+    """Occurrences per query row and pattern, found inside the tasks, to which all patterns are sent (they are proven few).
+
+    Only hits leave a task: (*key, doc_id, offset, n, first_end, pattern_length).
+    """
+    rows = patterns.collect()
+    table = grams.GramTable([r["pattern"] for r in rows])
+    sent = queries.sparkSession.sparkContext.broadcast((table, pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["offset"] for r in rows], pa.int32())))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, docs, offsets = sent.value
+        for batch in batches:
+            letters = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            part = letters // SLICE_LETTERS
+            starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                some = batch.slice(start, end - start)
+                text, pattern, n, first = table.counts([t or "" for t in some.column("text").to_pylist()])
+                at, which = pa.array(text), pa.array(pattern)
+                length = table.lengths[pattern]
+                columns = [some.column(c).take(at) for c in key] + [docs.take(which), offsets.take(which)]
+                columns += [pa.array(n), pa.array(first + length), pa.array(length, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "doc_id", "offset", "n", "first_end", "pattern_length"])
+
+    kinds = dict(queries.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", doc_id long, offset int, n long, first_end long, pattern_length int"
+    return queries.mapInArrow(search, schema)
+
+
 def match(queries: DataFrame, index: DataFrame, key: Sequence[str] = ("request_id",)) -> DataFrame:
     """All occurrences, overlapping ones included, of every pattern in every query text.
 
     ``queries`` holds a text and key columns, by default (request_id, text); rows of one key are searched one by one
     and their occurrences added.  Result: (*key, doc_id, offset, weight 1.0, relevance = occurrences,
     first_end = the earliest end in any of them, pattern_length); queries without a match have no row.
+
+    Patterns up to ``PATTERN_ROWS`` and ``PATTERN_CHARS`` are sent to the tasks, where a gram table finds them; more of them
+    meet the texts in a join on gram hashes.
     """
     require(queries, text="string")
     require(index, doc_id="bigint", offset="int", text="string")
     key = list(key)
-    # Rows get numbers of their own, so texts that share a key are never checked against each other's positions.
-    texts = materialize(queries.select(*key, "text").filter("text is not null").withColumn("row", F.monotonically_increasing_id()), "texts")
-    counts = materialize(_occurrences(texts.select("row", "text"), index), "occurrences").join(texts.select("row", *key), "row")
+    texts = queries.select(*key, "text").filter("text is not null")
+    patterns = materialize(index.select("doc_id", "offset", F.col("text").alias("pattern")).filter("pattern <> ''"), "patterns")
+    if small_enough(patterns, "pattern", PATTERN_ROWS, PATTERN_CHARS):
+        counts = _shipped(texts, patterns, key)
+    else:
+        # Rows get numbers of their own, so texts that share a key are never checked against each other's positions.
+        texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+        found = _occurrences(texts.select("row", "text"), patterns)
+        counts = materialize(found, "occurrences").join(texts.select("row", *key), "row")
     first = F.min(F.struct("first_end", (-F.col("pattern_length")).alias("less")))
     summed = counts.groupBy(*key, "doc_id", "offset").agg(F.sum("n").alias("n"), first.alias("e"))
     return summed.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.scale import top_k
+from corpusflow.operators.scale import best_of
 
 
 def block(messages: DataFrame, kinds: Sequence[str], column: str = "kind") -> DataFrame:
@@ -27,19 +27,20 @@ def dispatch(messages: DataFrame, handlers: Mapping[str, Callable[[DataFrame], D
     return {kind: handler(messages.filter(F.col(column) == kind)) for kind, handler in handlers.items()}
 
 
-def reduce_parts(parts: DataFrame, num_part: int, k: int) -> tuple[DataFrame, DataFrame]:
+def reduce_parts(parts: DataFrame, num_part: int, k: int | None, requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge partial results once all ``num_part`` distinct parts of a request have arrived.
 
     ``parts`` is (request_id, part, doc_id, offset, score); a part without hits arrives as one row with a
     null doc_id.  Returns the merged top k (highest score per chunk, ranked again) and the requests still
-    pending with the number of parts they have.
+    pending with the number of parts they have.  Without ``k`` each request's own ``top_k`` counts, from ``requests``
+    (request_id, top_k) or, without them, from the parts.
     """
     arrived = parts.groupBy("request_id", "part").agg(F.count(F.lit(1)).alias("n"))
     arrived = arrived.groupBy("request_id").agg(F.count(F.lit(1)).alias("arrived"))
     hits = parts.filter("doc_id IS NOT NULL").groupBy("request_id", "doc_id", "offset").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.asc("doc_id"), F.asc("offset")]
     # The top k comes first: joining the completeness of a request then moves k rows per request only.
-    best = top_k(hits, ["request_id"], order, k)
+    best = best_of(hits, parts if requests is None else requests, order, k)
     complete = arrived.filter(F.col("arrived") >= num_part).select("request_id")
     merged = best.join(complete, "request_id", "left_semi")
     return merged.select("request_id", "rank", "doc_id", "offset", "score"), arrived.filter(F.col("arrived") < num_part)

@@ -31,11 +31,14 @@ def top_k(
 
     ``k`` is a number, or a column of the rows that is the same in all rows of a group (k per request);
     a null k gives none.  For a number, each map task keeps at most k rows per group before the shuffle (Catalyst's
-    window group limit), so a group holding a large part of the rows still sends only k rows per task.  For
-    a column, and beyond the number Catalyst prunes, rows are first ranked inside salted parts of the
-    group, which cuts them the same way.
+    window group limit), so a group holding a large part of the rows still sends only k rows per task.  A column's
+    largest value is read first and cuts all groups so; then each keeps its own k.  Beyond the number Catalyst prunes, rows
+    are first ranked inside salted parts of the group.
     """
-    if not isinstance(k, int) or k > PRUNED_RANK:
+    if not isinstance(k, int):
+        most = df.agg(F.max(k)).first()[0] or 0
+        return top_k(df, group, order, most, rank).filter(F.col(rank) <= k)
+    if k > PRUNED_RANK:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
         part = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = salted.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= k).drop("_salt", rank)
@@ -43,12 +46,23 @@ def top_k(
     return ranked.filter(F.col(rank) <= k)
 
 
+def wanted_hits(requests: DataFrame, k: int | None) -> tuple[DataFrame, int]:
+    """(request_id, k) of each request, and the largest k: ``k`` for all, or, without it, each request's own ``top_k``."""
+    own = F.coalesce(F.max("top_k"), F.lit(0)) if k is None else F.lit(k)
+    wanted = requests.groupBy("request_id").agg(own.cast("int").alias("k"))
+    return wanted, (wanted.agg(F.max("k")).first()[0] or 0) if k is None else k
+
+
 def best_of(hits: DataFrame, requests: DataFrame, order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
-    """The best hits of each request: ``k`` for all, or, without it, each request's own ``top_k``."""
+    """The best hits of each request: ``k`` for all, or, without it, each request's own ``top_k``.
+
+    The hits are cut by the largest number first, where they are; only what is left meets the requests.
+    """
     if k is not None:
         return top_k(hits, ["request_id"], order, k, rank)
-    wanted = requests.groupBy("request_id").agg(F.max("top_k").alias("_k"))
-    return top_k(hits.join(wanted, "request_id"), ["request_id"], order, F.col("_k"), rank).drop("_k")
+    wanted, most = wanted_hits(requests, None)
+    cut = top_k(hits, ["request_id"], order, most, rank)
+    return cut.join(wanted.withColumnRenamed("k", "_k"), "request_id").filter(F.col(rank) <= F.col("_k")).drop("_k")
 
 
 def group_key(group: Sequence[str]) -> Column:
@@ -157,12 +171,14 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     A key counts as hot from 1/``parts`` of the rows on; its rows are dealt to as many parts as there are
     shuffle partitions (``parts`` at least), so the spread grows with the job.  Only the right rows of the (fewer than ``parts``) hot keys are repeated, so nothing is dropped
     and the repetition is bounded.  Finding the hot keys reads the left key column once more, so the
-    left side should be a stored table.  Supports inner, left, left_semi and left_anti joins.
+    left side should be a stored table.  Where there are hot keys it is stored here: a row's place in it is part of its salt, so
+    that equal rows are spread too, and must not change when a lost task runs again.  Supports inner, left, left_semi and left_anti joins.
     """
     hot = hot_keys(left, key, parts)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
+    left = materialize(left, "salted")
     salts = max(parts, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     salted_left = left.withColumn("_salt", F.when(is_hot, spread).otherwise(0))

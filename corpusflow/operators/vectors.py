@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.scale import top_k
+from corpusflow.operators.scale import best_of, top_k, wanted_hits
 from corpusflow.session import materialize
 
 METRICS = ("l2", "cosine")
@@ -180,12 +180,12 @@ def _by_buckets(queries: DataFrame, vectors: DataFrame, k: int, metric: str, blo
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", plan: str | None = None, block_rows: int = 20_000
+    queries: DataFrame, vectors: DataFrame, k: int | None, metric: str = "l2", plan: str | None = None, block_rows: int = 20_000
 ) -> DataFrame:
     """Exact k nearest vectors per query: (request_id, rank, vec_id, distance), ties by id.
 
-    ``queries`` is (request_id, vector), ``vectors`` is (vec_id, vector); distances are rounded to six
-    places.  ``plan`` is ``ship`` (queries go to every task) or ``blocks``; by default the size of the
+    ``queries`` is (request_id, vector[, top_k]), ``vectors`` is (vec_id, vector); without ``k`` each request's own ``top_k``
+    counts.  Distances are rounded to six places.  ``plan`` is ``ship`` (queries go to every task) or ``blocks``; by default the size of the
     queries decides.
     """
     if metric not in METRICS:
@@ -193,11 +193,13 @@ def nearest(
     if plan is None:
         cells = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
         plan = "ship" if cells <= QUERY_CELLS else "blocks"
+    most = k if k is not None else wanted_hits(queries, None)[1]
+    asked = queries.select("request_id", "vector")
     if plan == "ship":
-        partial = _with_shipped_queries(queries, vectors, k, metric)
+        partial = _with_shipped_queries(asked, vectors, most, metric)
     else:
-        partial = _by_blocks(queries, vectors, k, metric, block_rows)
-    return top_k(partial, ["request_id"], [F.asc("distance"), F.asc("vec_id")], k)
+        partial = _by_blocks(asked, vectors, most, metric, block_rows)
+    return best_of(partial, queries, [F.asc("distance"), F.asc("vec_id")], k)
 
 
 def _probed(inside: np.ndarray, probes: int) -> np.ndarray:
@@ -244,7 +246,7 @@ def projection_buckets(vector: Column, tables: int, cuts: int, width: float, see
 def nearest_approximate(
     queries: DataFrame,
     vectors: DataFrame,
-    k: int,
+    k: int | None,
     metric: str = "l2",
     tables: int = 16,
     cuts: int = 4,
@@ -270,10 +272,12 @@ def nearest_approximate(
         return exploded.select(F.xxhash64(F.floor(F.col("place") / per_table), "cell").alias("bucket"), key, "vector")
 
     probes = min(probes, 1 + 2 * cuts + 2 * cuts * (cuts - 1))
-    found = _by_buckets(hashed(queries, "request_id", probes), hashed(vectors, "vec_id", 1), k, metric, block_rows)
-    best = materialize(top_k(found.distinct(), ["request_id"], [F.asc("distance"), F.asc("vec_id")], k), "nearest")
-    enough = best.groupBy("request_id").count().filter(F.col("count") >= k)
-    short = materialize(queries.join(enough, "request_id", "left_anti").select("request_id", "vector"), "short")
+    wanted, most = wanted_hits(queries, k)
+    found = _by_buckets(hashed(queries, "request_id", probes), hashed(vectors, "vec_id", 1), most, metric, block_rows)
+    best = materialize(best_of(found.distinct(), queries, [F.asc("distance"), F.asc("vec_id")], k), "nearest")
+    counts = wanted.join(best.groupBy("request_id").count(), "request_id", "left")
+    enough = counts.filter(F.coalesce("count", F.lit(0)) >= F.col("k")).select("request_id")
+    short = materialize(queries.join(enough, "request_id", "left_anti").select("request_id", "vector", *(["top_k"] if k is None else [])), "short")
     if short.isEmpty():
         return best
     rest = nearest(short, vectors, k, metric, block_rows=block_rows)

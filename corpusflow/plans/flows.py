@@ -110,14 +110,14 @@ def fact_index_flow(
 
 
 def fact_query_flow(
-    queries: DataFrame, index: DataFrame, store: DataFrame, k: int, max_bytes: int | None = None, dim: int = 64
+    queries: DataFrame, index: DataFrame, store: DataFrame, k: int | None, max_bytes: int | None = None, dim: int = 64
 ) -> DataFrame:
-    """Fact check (request_id, text): sentences, keyword hits, their stored documents, and ``dim``-d embeddings, reduced.
+    """Fact check (request_id, text[, top_k]): sentences, keyword hits, their stored documents, and ``dim``-d embeddings, reduced.
 
     One row per request and hit: (request_id, rank, doc_id, offset, relevance, found, payload, embedding).
     Relevance sums the occurrences over the request's sentences; ``payload`` is the stored document (null, and ``found``
     false, if it is not stored); ``embedding`` is the request's character embedding.  A request without hits has one
-    row with its embedding.
+    row with its embedding.  Without ``k`` each request's own ``top_k`` counts.
     """
     renamed = queries.select(F.col("request_id").alias("doc_id"), "text")
     sentences = C.sentence_chunks(renamed).select(F.col("doc_id").alias("request_id"), F.col("offset").alias("sentence"), "text")
@@ -130,7 +130,7 @@ def fact_query_flow(
     without = vectors.select("request_id").join(hits, "request_id", "left_anti").select("request_id", *none)
     parts = hits.unionByName(without).withColumn("part", F.lit("keyword"))
     parts = parts.unionByName(vectors.select("request_id", *none).withColumn("part", F.lit("embedding")))
-    merged, _ = routing.reduce_parts(parts, 2, k)
+    merged, _ = routing.reduce_parts(parts, 2, k, queries if k is None else None)
     attached = docstore.joint_search(merged.withColumnRenamed("score", "relevance"), store.select("doc_id", "payload"))
     rows = vectors.join(attached, "request_id", "left")
     return rows.select("request_id", "rank", "doc_id", "offset", "relevance", F.coalesce("found", F.lit(False)).alias("found"), "payload", "embedding")

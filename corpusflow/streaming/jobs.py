@@ -34,9 +34,10 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def ingest(messages: DataFrame, path: str, checkpoint: str, once: bool = True, **analysis) -> StreamingQuery:
-    """Index messages (kind, doc_id, text, seq): each micro-batch adds a segment to the full-text index and to the store.
+    """Index messages (kind, doc_id, text, seq): each micro-batch adds a segment to the full-text index and writes to the store.
 
-    Of a document's writes the one with the highest ``seq`` wins, in whichever order and batches they come (of equal
+    Segments are merged as they come together, so their number grows with the logarithm of the number of micro-batches; a batch that
+    the index has already, after a failure, changes nothing.  Of a document's writes the one with the highest ``seq`` wins, in whichever order and batches they come (of equal
     ``seq`` in one batch the greatest text, in several batches the last); index and store choose alike.
     """
     docs = routing.block(messages, ["train"]).select("doc_id", "text", "seq")
@@ -46,9 +47,8 @@ def ingest(messages: DataFrame, path: str, checkpoint: str, once: bool = True, *
         last = last.persist()
         try:
             chunks = C.unary_chunks(last).join(last.select("doc_id", "seq"), "doc_id")
-            terms = chunks.select("doc_id", "offset", "seq", fulltext.analyze(F.col("text"), **analysis).alias("terms"))
             write_batch(last, f"{path}/store", batch_id)
-            fulltext.write_segment(terms, f"{path}/fulltext", batch_id, "seq")
+            fulltext.TextIndex(batch.sparkSession, f"{path}/fulltext").add(chunks, "seq", batch_id, **analysis)
         finally:
             last.unpersist()
 
@@ -71,7 +71,7 @@ def block(messages: DataFrame, kinds: Sequence[str], path: str, checkpoint: str,
 
 def search(
     queries: DataFrame,
-    index: fulltext.TextIndex,
+    index: fulltext.TextIndex | str,
     k: int | None,
     path: str,
     checkpoint: str,
@@ -80,13 +80,15 @@ def search(
 ) -> StreamingQuery:
     """Search a stream of (request_id, text[, top_k]) in a standing index; the best hits of a request are in its micro-batch.
 
-    A micro-batch reads the postings of its own terms.
+    A micro-batch reads the postings of its own terms.  With a path in place of an index each micro-batch searches the newest
+    state of the index there, so documents that come in between are found by later requests.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         asked = batch.persist()
+        newest = fulltext.TextIndex(batch.sparkSession, index) if isinstance(index, str) else index
         try:
-            write_batch(fulltext.search(index, asked, k, match), path, batch_id)
+            write_batch(fulltext.search(newest, asked, k, match), path, batch_id)
         finally:
             asked.unpersist()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators import fulltext as T
+from corpusflow.operators import segments as S
 
 WORDS = "the a of rose time summer winter eyes thou cats cat".split()
 
@@ -92,17 +93,106 @@ def test_postings_have_positions(spark):
     assert got == {("a", 0, 0): (2, [0, 3]), ("rose", 0, 0): (2, [1, 4]), ("is", 0, 0): (1, [2]), ("rose", 0, 1): (1, [0])}
 
 
-def test_search_reads_the_buckets_of_its_terms_only(spark):
+@pytest.fixture
+def small_files(monkeypatch):
+    """Many small files, so that pruning shows at this size."""
+    monkeypatch.setattr(S, "FILE_TOKENS", 12)
+
+
+def test_search_reads_the_files_of_its_terms_only(spark, small_files):
     index = T.build(chunks(spark, make()))
     terms = spark.createDataFrame([("rose",)], "term string")
     found = index.postings(terms)
-    bucket = terms.select(T.term_bucket(F.col("term"))).first()[0]
-    read = {path.split("bucket=")[1].split("/")[0] for path in found.inputFiles()}
-    assert str(bucket) in read
+    files = index.state.files("postings", 0)
+    assert len(files) > 5 and 0 < len(found.inputFiles()) < len(files) / 2
+    assert found.count() == index.postings().filter("term = 'rose'").count() > 0
+    assert 0 < index.state.share("postings", [("rose",)]) < 0.5 and index.state.share("postings", [("zebra",)]) == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters") :].split("\n")[0]
-    assert "bucket#" in filters and f"{bucket}" in filters
     assert plan.count("Exchange hashpartitioning") == 1 and "regexp_extract_all" not in plan  # of the few terms
+    # Chunks are found by key, too.
+    keys = spark.createDataFrame([(3, 1), (17, 0)], "doc_id long, offset int")
+    own = index.terms_of(keys)
+    assert len(own.inputFiles()) < len(index.state.files("chunks", 0)) and sorted(r["doc_id"] for r in own.collect()) == [3, 17]
+
+
+def test_best_hits_need_few_postings(spark, monkeypatch):
+    """Requests of many terms: those that cannot make a hit stay unread, and the hits are those of the definition."""
+    monkeypatch.setattr(T, "SEED_LEAST", 3)
+    rng = random.Random(11)
+    common = [f"common{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(5, 15))) + f" rare{i % 40} " * 3 for i in range(160)]
+    asked = [" ".join([*common, f"rare{i}", f"rare{i + 1}"]) for i in range(6)]
+    index = T.build(chunks(spark, texts))
+    requests = queries(spark, asked).withColumn("top_k", F.lit(4))
+    clauses = T.query_terms(requests).withColumn("clause", F.lit("should"))
+    banned = spark.createDataFrame([(2, "must_not", "rare2"), (4, "must_not", "common3")], "request_id long, clause string, term string")
+    clauses = clauses.unionByName(banned.select("request_id", "term", "clause")).join(banned.filter("clause = 'x'"), ["request_id", "term"], "left_anti")
+    rows = [(r["request_id"], r["clause"], r["term"]) for r in clauses.collect()]
+    monkeypatch.setattr("tests.test_fulltext.WORDS", sorted({w for t in texts for w in tokens(t)}))
+    want = {}
+    for (q, d, o), score in sorted(brute(texts, rows).items(), key=lambda e: (e[0][0], -e[1], e[0][1:])):
+        want.setdefault(q, []).append((d, o, score))
+    got = {}
+    for r in sorted(T.bool_search(index, clauses, None, requests).collect(), key=lambda r: (r["request_id"], r["rank"])):
+        got.setdefault(r["request_id"], []).append((r["doc_id"], r["offset"], r["score"]))
+    assert got == {q: hits[:4] for q, hits in want.items()}
+    assert T.read_share(index, clauses.filter("clause = 'should'"), 4) < 0.6
+
+
+def test_common_terms_come_from_chunks_or_postings(spark, monkeypatch):
+    """Both ways to what unread terms add give the same scores."""
+    monkeypatch.setattr(T, "SEED_LEAST", 1)
+    texts = [f"the of a {'rose ' * (i % 7)} {'time ' * (i % 3)} unique{i % 9}" for i in range(60)]
+    index = T.build(chunks(spark, texts))
+    asked = queries(spark, ["the of a rose unique4", "time a unique2 unique3"])
+    plain = T.search(index, asked, 5, "any").collect()
+    monkeypatch.setattr(S.State, "tokens", property(lambda self: 10**12))
+    assert sorted(map(tuple, T.search(index, asked, 5, "any").collect())) == sorted(map(tuple, plain)) and len(plain) == 10
+
+
+def test_segments_are_merged_as_they_come_together(spark, monkeypatch):
+    monkeypatch.setattr(S, "FAN", 3)
+    texts = make(13, 24)
+    index = T.build(chunks(spark, texts[:2]))
+    for i in range(2, 24, 2):
+        index = index.add(chunks(spark, texts[: i + 2]).filter(F.col("doc_id") == i // 2))
+        assert len(index.segments) <= 2 + 2 * math.log(i + 2, 3)
+    assert index.size == 24 and max(index.segments) > 11
+    table = spark.createDataFrame([(0, "should", "rose"), (0, "should", "time")], "request_id long, clause string, term string")
+    assert scores(T.score(index, table)) == pytest.approx(brute(texts, [tuple(r) for r in table.collect()]))
+    # Nothing but the live segment is left after a whole merge and a clean-up.
+    one = index.compact()
+    one.vacuum()
+    assert len(one.segments) == 1 and len(one.state.folder.names("segments")) == 1 and one.state.folder.names("dead") == []
+    assert scores(T.score(T.TextIndex(spark, one.path), table)) == scores(T.score(one, table))
+
+
+def test_dead_chunks_do_not_count(spark):
+    texts = make(15, 20)
+    index = T.build(chunks(spark, texts))
+    for turn in range(2):
+        changed = {i: f"eyes time {'rose ' * turn}" for i in range(0, 20, 5)}
+        texts = [changed.get(i, t) for i, t in enumerate(texts)]
+        index = index.add(spark.createDataFrame([(i // 2, i % 2, t) for i, t in changed.items()], "doc_id long, offset int, text string"))
+    clauses = [(0, "should", "rose"), (0, "should", "eyes"), (1, "must", "time"), (1, "must", "eyes")]
+    table = spark.createDataFrame(clauses, "request_id long, clause string, term string")
+    want = {w: sum(w in tokens(t) for t in texts) for w in {w for t in texts for w in tokens(t)}}
+    for form in (index, index.compact()):
+        assert {r["term"]: r["df"] for r in form.term_stats().collect()} == want
+        assert form.size == 20 == form.chunks.count() and scores(T.score(form, table)) == pytest.approx(brute(texts, clauses))
+        assert T.search(form, queries(spark, ["rose"]), 9).filter("doc_id = 0 and offset = 0").count() == 1
+
+
+def test_manifest_versions(spark):
+    index = T.build(chunks(spark, ["a rose", "the rose"]))
+    again = T.TextIndex(spark, index.path)
+    assert again.segments == [0]
+    more = index.add(chunks(spark, ["a rose", "the rose", "eyes"]).filter("doc_id = 1"), batch=7)
+    # An opened index does not change; a new one sees the write; a writer that did not is refused; a batch counts once.
+    assert index.size == again.size == 2 and T.TextIndex(spark, index.path).size == more.size == 3
+    with pytest.raises(S.Conflict):
+        again.add(chunks(spark, ["late"]))
+    assert more.add(chunks(spark, ["twice"]), batch=7).segments == more.segments
 
 
 def test_added_chunks_replace_earlier_ones(spark):

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import __spark_entry__ as contract
-from corpusflow.operators import keyword
+from corpusflow.operators import grams, keyword
 
 
 def chunks(spark, texts):
@@ -122,6 +122,29 @@ def test_shuffled_anchors_give_the_same(spark, monkeypatch):
     assert found(keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, patterns)))) == brute(texts, patterns)
 
 
+def test_gram_table_finds_what_find_does(monkeypatch):
+    monkeypatch.setattr(grams, "POSITIONS", 50)
+    monkeypatch.setattr(grams, "COMPARED", 64)
+    rng = random.Random(9)
+    for turn in range(20):
+        alphabet = "abé😀"[: 1 + turn % 4]
+        patterns = list({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 20))) for _ in range(30)})
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) for _ in range(15)]
+        text, pattern, n, first = grams.GramTable(patterns).counts(texts)
+        got = {(t, p): (k, s + len(patterns[p])) for t, p, k, s in zip(text.tolist(), pattern.tolist(), n.tolist(), first.tolist())}
+        assert got == brute(texts, patterns)
+    assert [len(c) for c in grams.GramTable([]).counts(["a"])] == [0] * 4
+
+
+def test_only_hits_leave_the_tasks(spark):
+    """No row per position: what is shuffled are pairs with an occurrence."""
+    texts = ["word " * 2000] * 50
+    rows = keyword.match(queries(spark, texts), keyword.build_index(chunks(spark, ["word word", "absent"])))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" in plan and "Join" not in plan
+    assert rows.count() == 50
+
+
 def test_short_patterns_are_searched_in_all_parts(spark):
     folder = "/root/testdata/sf0.001"
     part, supplier, nation = (pq.read_table(f"{folder}/{n}.parquet").to_pylist() for n in ("part", "supplier", "nation"))
