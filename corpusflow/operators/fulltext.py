@@ -2,8 +2,8 @@
 
 An index is a folder of segments (``segments``): each call that adds chunks writes one, and a chunk added again replaces what earlier
 ones hold of it.  A search reads the files that may hold its terms, and of these only what its best hits need: the counts of its
-terms come from the index, candidates from the postings of terms that a hit cannot do without, and what other
-terms add to them from the candidates' own chunks.
+terms come from the index, candidates from the postings that a hit cannot do without, in tiers of about equally long chunks, and what
+other terms add to them from the candidates' own chunks.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
 
 #: A must term narrows a request down when its postings are at most this fraction of all the request's.
 SELECTIVE = 16
-#: Share of a request's postings, its rarest terms first, from which its first threshold comes; and the postings, at least.
+#: Share of a request's postings, those that may add most first, from which its first threshold comes; and the postings, at least.
 SEED_SHARE, SEED_LEAST = 0.05, 200
 #: Scores are compared with bounds with this margin (they are rounded to six places).
 MARGIN = 1e-5
@@ -92,37 +92,47 @@ class TextIndex:
         """(doc_id, offset, n_terms, segment): the live form of each chunk."""
         return self.state.live(self.state.read("chunks")).select(*KEY, F.size("terms").alias("n_terms"), "segment")
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+    def postings(self, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
         """(term, doc_id, offset, tf, positions) of all live chunks, or of the terms of a table (term) only.
 
-        For given terms only the files between whose smallest and largest term one of them lies are read.
+        For given terms (of given tiers, if the table names them) only files between whose ends one of them lies are read.  ``small``
+        says what is known of the table's size.
         """
         if terms is None:
             return self.state.live(self.state.read("postings")).select("term", *KEY, "tf", "positions")
-        wanted = terms.select("term").distinct()
-        rows = self.state.read("postings", self._names(wanted))
-        sent = F.broadcast(wanted) if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) else wanted
-        return self.state.live(rows.join(sent, "term", "left_semi")).select("term", *KEY, "tf", "positions")
-
-    def _names(self, terms: DataFrame) -> list[tuple] | None:
-        if not small_enough(terms, "term", QUERY_ROWS, QUERY_CHARS):
-            return None
-        return [(r[0],) for r in terms.select("term").distinct().collect() if r[0] is not None]
-
-    def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, df, most): in how many live chunks a term occurs, and how often at most in one (dead ones included)."""
-        rows = self.state.read("terms", None if terms is None else self._names(terms)).select("term", "df", "most")
+        on = [c for c in ("tier", "term") if c in terms.columns]
+        wanted = terms.select(*on).distinct()
+        small = small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) if small is None else small
+        rows = self.state.read("postings", self._slots(wanted) if small else None)
+        rows = rows.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
+        return self.state.live(rows).select("tier", "term", *KEY, "tf", "positions")
+
+    def _slots(self, terms: DataFrame) -> list[tuple]:
+        """(tier, term) of a small table, in all tiers where it names none."""
+        rows = [r.asDict() for r in terms.collect()]
+        return [(t, r["term"]) for r in rows if r["term"] is not None for t in ([r["tier"]] if "tier" in r else self.state.tiers)]
+
+    def term_tiers(self, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+        """(term, tier, df, most): in how many live chunks of a tier a term occurs, and how often at most in one (dead ones included)."""
+        small = terms is not None and (small_enough(terms, "term", QUERY_ROWS, QUERY_CHARS) if small is None else small)
+        names = [(r[0],) for r in terms.select("term").distinct().collect() if r[0] is not None] if small else None
+        rows = self.state.read("terms", names).select("term", "tier", "df", "most")
         if self.state.has_dead:
-            rows = rows.unionByName(self.state.dead_terms().select("term", (-F.col("df")).alias("df"), F.lit(0).alias("most")))
+            rows = rows.unionByName(self.state.dead_terms().select("term", "tier", (-F.col("df")).alias("df"), F.lit(0).alias("most")))
         if terms is not None:
             wanted = terms.select("term").distinct()
-            rows = rows.join(F.broadcast(wanted) if small_enough(wanted, "term", QUERY_ROWS, QUERY_CHARS) else wanted, "term", "left_semi")
-        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most")).filter("df > 0")
+            rows = rows.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        return rows.groupBy("term", "tier").agg(F.sum("df").alias("df"), F.max("most").alias("most")).filter("df > 0")
+
+    def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df): in how many live chunks a term occurs."""
+        return self.term_tiers(terms).groupBy("term").agg(F.sum("df").alias("df"))
 
     def terms_of(self, keys: DataFrame) -> DataFrame:
         """(doc_id, offset, terms) of some live chunks, from the files that may hold their keys."""
-        sent = F.broadcast(keys.select(*KEY).distinct()) if small_enough(keys) else keys.select(*KEY).distinct()
-        rows = self.state.read("chunks", self.state.documents(keys)).join(sent, KEY, "left_semi")
+        wanted, documents = keys.select(*KEY).distinct(), self.state.documents(keys)
+        few = documents is not None and small_enough(wanted)
+        rows = self.state.read("chunks", documents).join(F.broadcast(wanted) if few else wanted, KEY, "left_semi")
         return self.state.live(rows).select(*KEY, "terms")
 
     def add(self, chunks: DataFrame, seq: str | None = None, batch: int | None = None, **analysis) -> TextIndex:
@@ -173,36 +183,50 @@ def query_terms(queries: DataFrame, **analysis) -> DataFrame:
     return each(queries, F.array_distinct(analyze(F.col("text"), **analysis)), "term", ["request_id"])
 
 
-def _weighted(clauses: DataFrame, index: TextIndex) -> DataFrame:
-    """The clause rows with their term's df and idf, ``bound``, the most it can add to a score, and ``need``, the request's number
-    of must terms.
+def _weighted(clauses: DataFrame, index: TextIndex, small: bool | None = None) -> DataFrame:
+    """The clause rows with their term's df and idf, its ``tiers`` (tier, df, most) and ``need``, the request's number of must terms.
 
     A term no chunk holds has df 0.
     """
     need = clauses.groupBy("request_id").agg(F.count_if(F.col("clause") == "must").alias("need"))
-    joined = clauses.join(index.term_stats(clauses), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    weight = idf(F.lit(index.size), F.col("df"))
-    bound = F.when(F.col("clause") == "must_not", 0.0).otherwise(weight * F.coalesce("most", F.lit(0)))
-    return joined.withColumns({"idf": weight, "bound": bound}).join(need, "request_id").drop("most")
+    stats = index.term_tiers(clauses, small).groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("tier", "df", "most")).alias("tiers"))
+    joined = clauses.join(stats, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return joined.withColumn("idf", idf(F.lit(index.size), F.col("df"))).join(need, "request_id")
 
 
-def _sums(hits: DataFrame, *more: str) -> DataFrame:
-    """Qualifying chunks from joined (clause, posting) rows."""
-    kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in ("must", "should", "must_not")]
+COUNTED = ("must", "should", "must_not")
+
+
+def _added(hits: DataFrame, *more: str) -> DataFrame:
+    """Scores and numbers of clauses of all chunks from joined (clause, posting) rows."""
+    kinds = [F.count_if(F.col("clause") == c).alias(f"n_{c}") for c in COUNTED]
     part = F.when(F.col("clause") != "must_not", F.col("tf") * F.col("idf"))
-    summed = hits.groupBy("request_id", "need", *KEY, *more).agg(F.sum(part).alias("score"), *kinds)
+    return hits.groupBy("request_id", "need", *KEY, *more).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("score"), *kinds)
+
+
+def _fitting(added: DataFrame) -> DataFrame:
     fits = "n_must = need AND n_must_not = 0 AND (need > 0 OR n_should > 0)"
-    return summed.filter(fits).select("request_id", *KEY, "score", *more)
+    return added.filter(fits).drop("need", *[f"n_{c}" for c in COUNTED])
+
+
+def _sums(hits: DataFrame) -> DataFrame:
+    """Qualifying chunks from joined (clause, posting) rows."""
+    return _fitting(_added(hits)).select("request_id", *KEY, "score")
 
 
-def _asked(postings: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
-    """Joined (clause, posting) rows."""
-    rows = postings.select("term", *KEY, "tf")
-    return rows.join(F.broadcast(clauses), "term") if small else salted_join(materialize(rows, "postings"), clauses, "term")
+def _asked(index: TextIndex, clauses: DataFrame, small: bool) -> DataFrame:
+    """Joined (clause, posting) rows, in the tiers that the clauses name."""
+    on = [c for c in ("tier", "term") if c in clauses.columns]
+    rows = index.postings(clauses, small).select(*on, *KEY, "tf")
+    if small:
+        return rows.join(F.broadcast(clauses), on)
+    slot = F.concat_ws(" ", *on)
+    rows = materialize(rows.select(slot.alias("slot"), *KEY, "tf"), "postings")
+    return salted_join(rows, clauses.withColumn("slot", slot), "slot").drop("slot")
 
 
 def _looked_up(index: TextIndex, candidates: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
-    """(clause, posting) rows of candidates (request_id, doc_id, offset) for the clauses, from the candidates' own chunks.
+    """(clause, posting) rows of candidates (request_id, doc_id, offset[, tier]) for the clauses, from the candidates' own chunks.
 
     A chunk's terms are counted once, whichever requests ask for it; only asked terms are counted.
     """
@@ -210,7 +234,11 @@ def _looked_up(index: TextIndex, candidates: DataFrame, clauses: DataFrame, smal
     tokens = each(index.terms_of(candidates), F.col("terms"), "term", KEY)
     tokens = tokens.join(F.broadcast(words) if small else words, "term", "left_semi")
     counts = tokens.groupBy(*KEY, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    wanted = candidates.join(F.broadcast(clauses), "request_id") if small else salted_join(candidates, clauses, "request_id")
+    on = [c for c in ("request_id", "tier") if c in candidates.columns]
+    if small:
+        return candidates.join(F.broadcast(clauses), on).join(counts, [*KEY, "term"])
+    slot = F.concat_ws(" ", *on)
+    wanted = salted_join(candidates.withColumn("slot", slot), clauses.withColumn("slot", slot).drop(*on), "slot").drop("slot")
     return wanted.join(counts, [*KEY, "term"])
 
 
@@ -218,10 +246,8 @@ def _by_rarest(index: TextIndex, weighted: DataFrame, small: bool) -> DataFrame:
     """Requests with a rare must term: its postings are the candidates; their own chunks say what other terms add."""
     rare = weighted.filter("clause = 'must'").groupBy("request_id").agg(F.min(F.struct("df", "term")).alias("r"))
     rare = materialize(rare.select("request_id", "r.term"), "rarest")
-    keys = index.postings(rare).select("term", *KEY)
-    candidates = (keys.join(F.broadcast(rare), "term") if small else salted_join(materialize(keys, "keys"), rare, "term")).drop("term")
-    stored = materialize(candidates, "candidates")
-    return _sums(_looked_up(index, stored, weighted, small))
+    stored = materialize(_asked(index, rare, small).select("request_id", *KEY), "candidates")
+    return _sums(_looked_up(index, stored, weighted.drop("tiers"), small))
 
 
 def _kth(hits: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -234,77 +260,82 @@ def _kth(hits: DataFrame, wanted: DataFrame) -> DataFrame:
 def _best_any(index: TextIndex, weighted: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """Chunks that can be among the best ``k`` of requests without must terms, with their scores.
 
-    Two rounds.  The postings of a request's rarest terms give its first threshold: so much its last hit has at least.  Terms
-    that together cannot reach it, however often they occur in a chunk, find no hit by themselves and stay unread;
-    the others are read and raise the threshold.  Chunks that can still reach it get what the unread terms add from their own
-    terms, or from the postings after all, if these are fewer.
+    Two rounds.  The postings that may add most to a request's scores, by tier and term, give its first threshold: so much its last
+    hit has at least.  Terms of a tier that together cannot reach it, however often they occur in a chunk, find no hit by themselves
+    and stay unread there; often that is a whole tier.  The others are read and raise the threshold.  Chunks that can still reach
+    it get what the unread terms add from their own terms, or from the postings after all, if these are fewer.
     """
     plan = _plan(weighted)
-    seeds = plan.filter("seed or clause = 'must_not'")
-    first = materialize(_asked(index.postings(seeds), seeds, small), "seeds")
-    low = _kth(_sums(first), wanted)
-    plan = materialize(_unread(plan.join(low, "request_id", "left")), "plan")
-    more = plan.filter("not seed and clause <> 'must_not' and not unread")
-    hits, columns = first, ["request_id", "need", "clause", *KEY, "tf", "idf"]
+    added = materialize(_added(_asked(index, plan.filter("seed or clause = 'must_not'"), small), "tier"), "seeds")
+    plan = materialize(_unread(plan.join(_kth(_fitting(added), wanted), "request_id", "left")), "plan")
+    more, unread = plan.filter("not seed and clause <> 'must_not' and not unread"), plan.filter("unread")
     if not more.isEmpty():
-        hits = materialize(first.select(*columns).unionByName(_asked(index.postings(more), more, small).select(*columns)), "read")
-    unread = plan.filter("unread")
+        both = added.unionByName(_added(_asked(index, more.drop("low", "unread", "seed"), small), "tier"))
+        sums = [F.sum(c).alias(c) for c in ("score", *[f"n_{c}" for c in COUNTED])]
+        added = materialize(both.groupBy("request_id", "need", *KEY, "tier").agg(*sums), "read")
+    partial = _fitting(added)
     if unread.isEmpty():
-        return _sums(hits)
-    rest = unread.groupBy("request_id").agg(F.sum("bound").alias("rest"))
-    partial = materialize(_sums(hits), "partial")
-    able = partial.join(rest, "request_id", "left").join(_kth(partial, wanted), "request_id", "left")
+        return partial.drop("tier")
+    rest = unread.groupBy("request_id", "tier").agg(F.sum("bound").alias("rest"))
+    able = partial.join(rest, ["request_id", "tier"], "left").join(_kth(partial, wanted), "request_id", "left")
     able = able.filter(F.col("low").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("low") - MARGIN))
-    able = materialize(able.select("request_id", *KEY, "score"), "able")
-    postings, chunks = unread.select("term", "df").distinct().agg(F.sum("df")).first()[0] or 0, able.select(*KEY).distinct().count()
-    if chunks * index.state.tokens <= postings * max(1, index.size):
-        late = _looked_up(index, able.select("request_id", *KEY), unread, small)
+    able = materialize(able.select("request_id", *KEY, "tier", "score"), "able")
+    postings = unread.select("term", "tier", "tier_df").distinct().agg(F.sum("tier_df")).first()[0] or 0
+    keys = able.select("request_id", *KEY, "tier")
+    if keys.select(*KEY).distinct().count() * index.state.tokens <= postings * max(1, index.size):
+        late = _looked_up(index, keys, unread, small)
     else:
-        late = _asked(index.postings(unread), unread, small).join(able.select("request_id", *KEY), ["request_id", *KEY], "left_semi")
-    added = late.select("request_id", *KEY, (F.col("tf") * F.col("idf")).alias("score"))
-    return able.unionByName(added).groupBy("request_id", *KEY).agg(F.sum("score").alias("score"))
+        late = _asked(index, unread, small).join(keys, ["request_id", *KEY], "left_semi")
+    late = late.select("request_id", *KEY, (F.col("tf") * F.col("idf")).alias("score"))
+    return able.drop("tier").unionByName(late).groupBy("request_id", *KEY).agg(F.sum("score").alias("score"))
 
 
 def _plan(weighted: DataFrame) -> DataFrame:
-    """The clause rows with ``seed``: the request's rarest terms, up to a share of its postings."""
+    """A row per clause and tier with ``bound``, the most that it can add to a chunk's score, and ``seed``: whether it is among
+    those of largest bound that hold a share of the request's postings."""
     wanted = F.col("clause") != "must_not"
-    rarest = Window.partitionBy("request_id").orderBy(wanted.desc(), "df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rows = weighted.select("request_id", "clause", "term", "idf", "need", F.explode("tiers").alias("t"))
+    bound = F.when(wanted, F.col("idf") * F.col("t.most")).otherwise(0.0)
+    rows = rows.select("request_id", "clause", "term", "idf", "need", "t.tier", F.col("t.df").alias("tier_df"), bound.alias("bound"))
+    largest = Window.partitionBy("request_id").orderBy(wanted.desc(), F.desc("bound"), "term", "tier").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("request_id")
-    before, total = F.coalesce(F.sum("df").over(rarest), F.lit(0)), F.sum(F.when(wanted, F.col("df")).otherwise(0)).over(all_)
-    return weighted.withColumn("seed", wanted & (before <= F.greatest(total * SEED_SHARE, F.lit(SEED_LEAST))))
+    before, total = F.coalesce(F.sum("tier_df").over(largest), F.lit(0)), F.sum(F.when(wanted, F.col("tier_df")).otherwise(0)).over(all_)
+    return rows.withColumn("seed", wanted & (before <= F.greatest(total * SEED_SHARE, F.lit(SEED_LEAST))))
 
 
 def _unread(plan: DataFrame) -> DataFrame:
-    """The plan with ``unread``: terms, those of smallest bound first, that together stay below the request's threshold ``low``."""
+    """The plan with ``unread``: terms of a tier, those of smallest bound first, that together stay below the request's threshold
+    ``low``."""
     open_ = (~F.col("seed")) & (F.col("clause") != "must_not")
-    least = Window.partitionBy("request_id").orderBy(F.when(open_, 0).otherwise(1), "bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    least = Window.partitionBy("request_id", "tier").orderBy(F.when(open_, 0).otherwise(1), "bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     together = F.sum(F.when(open_, F.col("bound")).otherwise(0.0)).over(least)
     return plan.withColumn("unread", F.coalesce(open_ & (together < F.col("low") - MARGIN), F.lit(False)))
 
 
 def read_share(index: TextIndex, clauses: DataFrame, k: int) -> float:
-    """Share of all postings that a search of requests without must terms reads as postings (for reports)."""
-    weighted = materialize(_weighted(clauses, index), "clauses")
+    """Share of the clauses' postings that a search of requests without must terms reads as postings (for reports)."""
+    weighted = materialize(_weighted(clauses, index, True), "clauses")
     wanted = weighted.select("request_id").distinct().withColumn("k", F.lit(k))
     plan = _plan(weighted)
-    seeds = plan.filter("seed or clause = 'must_not'")
-    low = _kth(_sums(_asked(index.postings(seeds), seeds, True)), wanted)
-    read = _unread(plan.join(low, "request_id", "left")).filter("not unread").select("term", "df").distinct()
-    return (read.agg(F.sum("df")).first()[0] or 0) / max(1, index.term_stats().agg(F.sum("df")).first()[0] or 0)
+    added = _added(_asked(index, plan.filter("seed or clause = 'must_not'"), True), "tier")
+    rows = _unread(plan.join(_kth(_fitting(added), wanted), "request_id", "left"))
+    slots = rows.groupBy("term", "tier").agg(F.max("tier_df").alias("df"), F.every("unread").alias("unread"))
+    read, total = slots.agg(F.sum(F.when(~F.col("unread"), F.col("df"))), F.sum("df")).first()
+    return (read or 0) / max(1, total or 0)
 
 
-def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """TF-IDF of qualifying chunks: (request_id, doc_id, offset, score).
 
     ``clauses`` is a table (request_id, clause, term), each row once, clause in must / should / must_not.
     A chunk qualifies when it holds all must terms (or, without must terms, at least one should term)
     and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over the must and should rows it holds.
-    With ``wanted`` (request_id, k) chunks that cannot be among a request's best k may be left out.
+    ``stored`` says that they are a stored table.  With ``wanted`` (request_id, k) chunks that cannot be among a request's best k may be left out.
     Only files that may hold the clauses' terms are read; document frequencies are kept by the index.
     """
-    clauses = materialize(clauses, "asked")
+    clauses = clauses if stored else materialize(clauses, "asked")
     small = small_enough(clauses, "term", QUERY_ROWS, QUERY_CHARS)
-    weighted = materialize(_weighted(clauses, index), "clauses")
+    weighted = materialize(_weighted(clauses, index, small), "clauses")
     # A request whose rarest must term is rare against all its postings is answered from the chunks with
     # that term; one without must terms from the terms its best hits need; any other by summing its postings.
     requests = weighted.groupBy("request_id").agg(
@@ -321,7 +352,7 @@ def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None)
         elif name == "best":
             results.append(_best_any(index, rows, wanted, small))
         else:
-            results.append(_sums(_asked(index.postings(rows), rows, small)))
+            results.append(_sums(_asked(index, rows.drop("tiers"), small)))
     found = results[0]
     for more in results[1:]:
         found = found.unionByName(more)
@@ -343,13 +374,13 @@ def search(index: TextIndex, queries: DataFrame, k: int | None = None, match: st
     """
     clause = {"all": "must", "any": "should"}[match]
     clauses = materialize(query_terms(queries, **analysis).withColumn("clause", F.lit(clause)).distinct(), "clauses")
-    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else queries, k)[0]), k, queries)
+    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else queries, k)[0], True), k, queries)
 
 
 def bool_search(index: TextIndex, clauses: DataFrame, k: int | None, requests: DataFrame | None = None) -> DataFrame:
     """Top k chunks per request of boolean clauses (request_id, clause, term)."""
     clauses = materialize(clauses.select("request_id", "clause", "term").distinct(), "clauses")
-    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else requests, k)[0]), k, requests)
+    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else requests, k)[0], True), k, requests)
 
 
 def phrase_search(index: TextIndex, phrases: DataFrame, k: int | None, **analysis) -> DataFrame:

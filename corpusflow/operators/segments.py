@@ -3,8 +3,9 @@
 A segment holds, each in files sorted over all of them,
 
 * ``chunks``: (doc_id, offset, seq, terms), the terms in order, by key;
-* ``postings``: (term, doc_id, offset, tf, positions), by term and key;
-* ``terms``: (term, df, most), in how many chunks a term occurs and how often at most in one;
+* ``postings``: (tier, term, doc_id, offset, tf, positions), by tier, term and key; a chunk's tier is the power of two that its
+  number of terms reaches, so that chunks of a tier can score about equally much;
+* ``terms``: (term, tier, df, most), in how many chunks of a tier a term occurs and how often at most in one;
 * ``zones``: for each of those files its smallest and largest sort key, so that a reader asks only for the files it needs.
 
 Every change writes new folders and then a new manifest under the next version number, which appears in one step: readers see the state
@@ -33,11 +34,12 @@ from corpusflow.session import materialize
 
 KEY = ["doc_id", "offset"]
 CHUNKS = "doc_id long, offset int, seq long, terms array<string>"
-POSTINGS = "term string, doc_id long, offset int, tf int, positions array<int>"
-TERMS = "term string, df long, most int"
-ZONES = "kind string, file string, low_term string, low_doc long, high_term string, high_doc long, rows long"
-#: Columns each kind of file is sorted by; the first of them (two for postings) bound its zones.
-SORTED = {"chunks": KEY, "postings": ["term", *KEY], "terms": ["term"]}
+POSTINGS = "tier int, term string, doc_id long, offset int, tf int, positions array<int>"
+TERMS = "term string, tier int, df long, most int"
+ZONES = "kind string, file string, low_tier int, low_term string, low_doc_id long, high_tier int, high_term string, high_doc_id long, rows long"
+#: Columns each kind of file is sorted by, and those of them that bound its zones.
+SORTED = {"chunks": KEY, "postings": ["tier", "term", *KEY], "terms": ["term", "tier"]}
+BOUNDS = {"chunks": ["doc_id"], "postings": ["tier", "term", "doc_id"], "terms": ["term"]}
 
 #: Tokens of a file; files of a segment at most, beyond which they grow.
 FILE_TOKENS, MOST_FILES = 500_000, 20_000
@@ -142,7 +144,7 @@ class Folder:
 
 
 def grouped_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, doc_id, offset, tf, positions) of chunks, a slice of tokens at a time."""
+    """(tier, term, doc_id, offset, tf, positions) of chunks, a slice of tokens at a time."""
     for batch in batches:
         sizes = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // SLICE_TOKENS
@@ -160,14 +162,15 @@ def grouped_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             owner = pa.array(row[order][first])
             term = words.dictionary.take(pa.array(ordered[first] % max(1, len(words.dictionary))))
             positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
-            columns = [term, some.column("doc_id").take(owner), some.column("offset").take(owner), pa.array(np.diff(ends), pa.int32()), positions]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", *KEY, "tf", "positions"])
+            tier = pa.array(np.frexp(lengths[row[order][first]])[1] - 1, pa.int32())
+            columns = [tier, term, some.column("doc_id").take(owner), some.column("offset").take(owner), pa.array(np.diff(ends), pa.int32()), positions]
+            yield pa.RecordBatch.from_arrays(columns, names=["tier", "term", *KEY, "tf", "positions"])
 
 
 def _write(rows: DataFrame, path: str, kind: str, files: int) -> None:
     """Write rows in ``files`` files that follow each other in sort order."""
     keys = SORTED[kind]
-    dealt = rows.repartitionByRange(files, *keys[:2]) if files > 1 else rows.coalesce(1)
+    dealt = rows.repartitionByRange(files, *keys[:3]) if files > 1 else rows.coalesce(1)
     dealt.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{kind}")
 
 
@@ -183,20 +186,16 @@ def write_segment(folder: Folder, terms: DataFrame, number: int) -> Segment:
     _write(held, path, "chunks", files)
     postings = materialize(held.select(*KEY, "terms").mapInArrow(grouped_terms, POSTINGS), "postings")
     _write(postings, path, "postings", files)
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+    stats = postings.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
     _write(stats, path, "terms", max(1, files // 16))
     zones = None
-    for kind, keys in SORTED.items():
-        rows = spark.read.parquet(f"{path}/{kind}")
-        ends = {"term": [F.lit(None).cast("string")] * 2, "doc": [F.lit(None).cast("long")] * 2}
-        sort_key = F.struct(*keys[:2])
-        low, high = F.min(sort_key), F.max(sort_key)
-        for which, column in (("term", "term"), ("doc", "doc_id")):
-            if column in keys[:2]:
-                ends[which] = [low[column], high[column]]
-        found = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-            ends["term"][0].alias("low_term"), ends["doc"][0].alias("low_doc"), ends["term"][1].alias("high_term"), ends["doc"][1].alias("high_doc"), F.count(F.lit(1)).alias("rows")
-        )
+    for kind, bounds in BOUNDS.items():
+        rows, ends = spark.read.parquet(f"{path}/{kind}"), []
+        for side, pick in (("low", F.min), ("high", F.max)):
+            end = pick(F.struct(*bounds))
+            for column, empty in (("tier", "int"), ("term", "string"), ("doc_id", "long")):
+                ends.append((end[column] if column in bounds else F.lit(None).cast(empty)).alias(f"{side}_{column}"))
+        found = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(*ends, F.count(F.lit(1)).alias("rows"))
         found = found.select(F.lit(kind).alias("kind"), "*")
         zones = found if zones is None else zones.unionByName(found)
     zones.coalesce(1).write.mode("overwrite").parquet(f"{path}/zones")
@@ -246,18 +245,17 @@ class State:
         for r in rows.collect():
             found.setdefault((r["segment"], r["kind"]), []).append(r)
         for zones in found.values():
-            zones.sort(key=lambda z: (z["low_term"] or "", z["low_doc"] or 0))
+            zones.sort(key=lambda z: z["file"])
         return found
 
     def files(self, kind: str, segment: int, wanted: Sequence[tuple] | None = None) -> list[str]:
         """Paths of the files of a kind that may hold one of the sort keys (prefixes are tuples of one), or of all."""
         keys = None if wanted is None else sorted(wanted)
         name = next(s.name for s in self.manifest.segments if s.number == segment)
-        columns = {"chunks": ["doc"], "postings": ["term", "doc"], "terms": ["term"]}[kind]
         out = []
         for z in self._zones.get((segment, kind), []):
             # A null document number sorts first.
-            low, high = (tuple(LEAST if z[f"{side}_{c}"] is None and c == "doc" else z[f"{side}_{c}"] for c in columns) for side in ("low", "high"))
+            low, high = (tuple(LEAST if z[f"{side}_{c}"] is None else z[f"{side}_{c}"] for c in BOUNDS[kind]) for side in ("low", "high"))
             if keys is not None:
                 width = len(keys[0]) if keys else 0
                 at = bisect_left(keys, low[:width])
@@ -266,6 +264,12 @@ class State:
             out.append(f"{self.folder.path}/segments/{name}/{kind}/{z['file']}")
         return out
 
+    @cached_property
+    def tiers(self) -> list[int]:
+        """All tiers that postings may have."""
+        ends = [(z["low_tier"], z["high_tier"]) for (_, kind), zones in self._zones.items() if kind == "postings" for z in zones]
+        return list(range(min(e[0] for e in ends), max(e[1] for e in ends) + 1)) if ends else []
+
     def share(self, kind: str, wanted: Sequence[tuple]) -> float:
         """Share of the rows of a kind that lie in files that may hold the wanted keys."""
         asked = {p.rsplit("/", 1)[1] for s in self.manifest.segments for p in self.files(kind, s.number, wanted)}
@@ -293,8 +297,8 @@ class State:
         return self.spark.read.schema(schema).parquet(f"{self.folder.path}/{self.manifest.dead}/keys") if self.has_dead else self.spark.createDataFrame([], schema)
 
     def dead_terms(self) -> DataFrame:
-        """(segment, term, df): in how many dead chunks of a segment a term occurs."""
-        schema = "segment int, term string, df long"
+        """(segment, term, tier, df): in how many dead chunks of a segment and tier a term occurs."""
+        schema = "segment int, term string, tier int, df long"
         return self.spark.read.schema(schema).parquet(f"{self.folder.path}/{self.manifest.dead}/terms") if self.has_dead else self.spark.createDataFrame([], schema)
 
     def live(self, rows: DataFrame) -> DataFrame:
@@ -344,16 +348,18 @@ def _bury(grown: State, before: State, new: Segment) -> Manifest:
 
 
 def _terms_of(state: State, keys: DataFrame) -> DataFrame:
-    """(segment, term, df) of some chunks."""
+    """(segment, term, tier, df) of some chunks."""
     sent = F.broadcast(keys) if small_enough(keys) else keys
     rows = state.read("chunks", state.documents(keys)).join(sent, ["segment", *KEY], "left_semi")
-    return rows.select("segment", F.explode(F.array_distinct("terms")).alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df"))
+    tier = F.floor(F.log2(F.size("terms").cast("double"))).cast("int").alias("tier")
+    tokens = rows.filter(F.size("terms") > 0).select("segment", tier, F.explode(F.array_distinct("terms")).alias("term"))
+    return tokens.groupBy("segment", "term", "tier").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _with_dead(state: State, keys: DataFrame, terms: DataFrame) -> Manifest:
     name = f"dead/{uuid.uuid4().hex}"
     keys.write.parquet(f"{state.folder.path}/{name}/keys")
-    terms.groupBy("segment", "term").agg(F.sum("df").alias("df")).write.parquet(f"{state.folder.path}/{name}/terms")
+    terms.groupBy("segment", "term", "tier").agg(F.sum("df").alias("df")).write.parquet(f"{state.folder.path}/{name}/terms")
     counts = dict(state.spark.read.parquet(f"{state.folder.path}/{name}/keys").groupBy("segment").count().collect())  # a row per segment
     segments = tuple(replace(s, dead=counts.get(s.number, 0)) for s in state.manifest.segments)
     return replace(state.manifest, segments=segments, dead=name)

