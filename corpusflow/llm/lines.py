@@ -26,7 +26,7 @@ BLANKS = " \t\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """``key, site, row, row_check, code, check, at, first_here`` of every line that is not blank."""
+    """``key, site, row, row_check, code, check, at`` of every line that is not blank."""
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)))
     named = F.transform(trimmed, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("code"), F.hash(x).alias("check"))))
     rows = docs.select(
@@ -36,9 +36,8 @@ def lines_of(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
         F.hash(text, key).alias("row_check"),
         named.alias("lines"),
     )
-    spread = each(rows, F.col("lines"), "line", ["key", "site", "row", "row_check", "lines"], "at")
-    first = F.array_position("lines", F.col("line")) == F.col("at") + 1
-    return spread.select("key", "site", "row", "row_check", "line.code", "line.check", "at", first.alias("first_here"))
+    spread = each(rows, F.col("lines"), "line", ["key", "site", "row", "row_check"], "at")
+    return spread.select("key", "site", "row", "row_check", "line.code", "line.check", "at")
 
 
 def boilerplate(lines: DataFrame, least: int) -> DataFrame:
@@ -63,7 +62,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST_SITES, key: str = "doc_id", t
     Lines are compared without blanks around them; blank lines stay.  Texts without boilerplate stay byte for byte;
     null texts stay null.  Rows with a null key hold no line but lose boilerplate like others; a boilerplate line that
     only such rows have goes from all of them.  Rows that are alike in key and text are treated alike.  A column
-    ``n_removed`` is replaced.
+    ``n_removed`` is replaced.  The work on a text grows with its number of lines, however many of them are equal.
     """
     docs = docs.drop("n_removed")
     lines = lines_of(docs, key, text, site)
@@ -73,13 +72,18 @@ def line_dedup(docs: DataFrame, least: int = LEAST_SITES, key: str = "doc_id", t
         hits = lines.join(F.broadcast(known), ["code", "check"])
     else:
         hits = salted_join(lines, known.withColumnRenamed("check", "known_check"), "code").filter("check = known_check")
-    gone = hits.filter(~(F.col("key").eqNullSafe(F.col("holder")) & F.col("first_here") & F.col("key").isNotNull()))
-    places = gone.groupBy("row", "row_check").agg(F.collect_set("at").alias("gone"))  # no more than a text has lines
+    # The places of one boilerplate line in one text; in the holder's text the first of them stays.
+    same = hits.groupBy("row", "row_check", "code", "check").agg(F.collect_set("at").alias("places"), F.min("at").alias("first"), F.first("key").alias("key"), F.first("holder").alias("holder"))
+    stays = F.col("key").eqNullSafe(F.col("holder")) & F.col("key").isNotNull()
+    lost = same.select("row", "row_check", F.when(stays, F.array_remove("places", F.col("first"))).otherwise(F.col("places")).alias("lost"))
+    places = lost.groupBy("row", "row_check").agg(F.flatten(F.collect_list("lost")).alias("gone")).filter(F.size("gone") > 0)
     # The row travels as one value, so that none of its columns can clash with the names used here.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(key, text).alias("row"), F.hash(text, key).alias("row_check"))
     joined = whole.join(places, ["row", "row_check"], "left")
     body = F.col("doc").getField(text)
-    rest = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    # The lines are bound once (as the one element of an array) and then picked by the places that are left.
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    rest = F.transform(F.array(F.split(body, "\n")), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))[0]
     cut = F.when(F.col("gone").isNull(), body).otherwise(rest)
     columns = [(cut if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -36,6 +37,17 @@ def test_spread_over_hashed_join_is_the_same(spark, monkeypatch):
     assert sorted(map(str, lines.line_dedup(docs).collect())) == sent
 
 
+def test_many_equal_lines_take_time_in_proportion(spark):
+    """Texts of 200,000 equal lines each on twelve sites, and one of as many lines of which one goes."""
+    docs = spark.range(12).selectExpr("id as doc_id", "repeat('the same line\n', 200000) as text", "concat('s', id) as source")
+    own = spark.range(1).selectExpr("100 as doc_id", "array_join(transform(sequence(1, 200000), i -> concat('line ', i)), '\n') || '\nthe same line' as text", "'own' as source")
+    started = time.monotonic()
+    rows = {r["doc_id"]: r for r in lines.line_dedup(docs.unionByName(own)).selectExpr("doc_id", "n_removed", "length(text) as size", "left(text, 20) as start").collect()}
+    assert time.monotonic() - started < 60
+    assert rows[0]["n_removed"] == 199_999 and rows[0]["start"] == "the same line\n" and all(rows[i]["n_removed"] == 200_000 and rows[i]["size"] == 0 for i in range(1, 12))
+    assert rows[100]["n_removed"] == 1 and rows[100]["start"].startswith("line 1\nline 2")
+
+
 def test_awkward_lines(awkward, nothing):
     cut = lines.line_dedup(awkward, least=1)
     assert cut.columns == [*awkward.columns, "n_removed"] and cut.count() == len(document_rows())
