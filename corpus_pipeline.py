@@ -14,31 +14,52 @@ from corpusflow.session import materialize
 
 #: A document is rejected below this probability of good quality.
 GOOD = 0.3
-#: A document is rejected if no language holds this share of its words' probability, or if it has no letters.
-SURE = 0.35
+#: A document is rejected if it has no letters, if no language holds this share of its words' probability, or if this share of its
+#: words' n-grams, on the mean, was in no text of the fit (letters at random, or a language the fit has not seen).
+SURE, FAMILIAR = 0.35, 0.8
 
 ORACLE_SQL = None  # Fitted models, MinHash and tokenizers are not expressible in SQL; the stages are tested in tests/llm.
 
 
+def beside(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], verdict: Callable[[DataFrame], DataFrame], *names: str) -> DataFrame:
+    """The documents that ``verdict`` keeps of what ``judge`` makes of them, with their columns as they were.
+
+    Columns of theirs that have one of the ``names`` which ``judge`` gives its own are put aside meanwhile.
+    """
+    aside = {}
+    for name in names:
+        if name in docs.columns:
+            aside[name] = f"kept_{name}"
+            while aside[name] in docs.columns:
+                aside[name] = f"kept_{aside[name]}"
+    judged = verdict(judge(docs.withColumnsRenamed(aside)))
+    return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, "quality", fold("key", 5) != 0)
-    return quality.score(docs, model).filter(F.col("score") >= GOOD).select(docs.columns)
+    return beside(docs, lambda d: quality.score(d, model), lambda d: d.filter(F.col("score") >= GOOD), "score")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose words are mostly of some language."""
+    """Documents with letters whose words are mostly of some language that the table names."""
     model = langid.fit(docs, fold("key", 5) != 0)
-    named = langid.label(docs, model)
-    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(docs.columns)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE) & (F.col("familiar") >= FAMILIAR)
+    return beside(docs, lambda d: langid.label(d, model), lambda d: d.filter(known), "lang_pred", "score", "familiar", "spans")
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand on many sites; those that lose all their words go."""
-    cut = lines.line_dedup(docs)
-    kept = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+
+    def kept(cut: DataFrame) -> DataFrame:
+        rows = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \x09-\x0D]"))
+        if "n_chars" not in cut.columns:
+            return rows
+        return rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")))
+
+    return beside(docs, lines.line_dedup, kept, "n_removed")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ STRETCHES = 4
 STRETCH_WORDS = 30
 #: Hashed letter n-grams.
 BITS = 16
+#: Words of the lexicon, for each language.
 LEXICON_WORDS = 20_000
 #: Words whose scores a task keeps at most before it starts afresh.
 KEPT_WORDS = 300_000
@@ -64,23 +65,28 @@ def ngram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages, weights of n-grams and lexicon words (rows) by language (columns), transition weights."""
+    """Languages, weights of n-grams and lexicon words (rows) by language (columns), transition weights, which n-grams were seen."""
 
     languages: list[str]
     grams: np.ndarray
     lexicon: dict[str, int]
     words: np.ndarray
     moves: np.ndarray
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, dtype=bool))
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row of scores per word; zeros for a word without letters."""
+        return self.scores_and_shares(words)[0]
+
+    def scores_and_shares(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the share of each word's n-grams that some word of the fit had."""
         owner, code = ngram_codes(words)
         counts = np.maximum(np.bincount(owner, minlength=len(words)), 1)
         sums = np.stack([np.bincount(owner, self.grams[code, k], minlength=len(words)) for k in range(len(self.languages))], axis=1)
         rows = np.fromiter((self.lexicon.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         out = sums / np.sqrt(counts)[:, None] + np.where(rows[:, None] >= 0, self.words[rows], 0.0)
         out[[not w for w in words]] = 0.0
-        return out
+        return out, np.bincount(owner, self.seen[code], minlength=len(words)) / counts
 
 
 def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -171,8 +177,8 @@ def _pair_counts(scores: np.ndarray, moves: np.ndarray, width: int) -> tuple[np.
     return posterior.reshape(-1, k), expected
 
 
-def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.3, ridge: float = 1e-4, width: int = 24) -> Model:
-    """Fit to (language, words) stretches.
+def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.3, ridge: float = 1e-4, width: int = 24, lexicon_words: int = LEXICON_WORDS) -> Model:
+    """Fit to (language, words) stretches; the lexicon holds up to ``lexicon_words`` words for each language.
 
     Training sequences of ``width`` words are dealt from the stretches in a fixed mixed order, so that many switch
     language inside; the transitions learnt are those of code-switched text.  Gradients are exact (expected minus
@@ -191,11 +197,12 @@ def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate
         flat, truth, n = (flat * width)[:width], np.resize(truth, width), width
     flat, truth = flat[:n], truth[:n]
     counts = Counter(flat)
-    lexicon = {w: i for i, (w, c) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]) if c >= 3}
+    lexicon = {w: i for i, (w, c) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lexicon_words * k]) if c >= 3}
     kinds = {w: i for i, w in enumerate(counts)}
     kind = np.fromiter((kinds[w] for w in flat), dtype=np.int64, count=n)
     model = Model(sorted(known), np.zeros((1 << BITS, k)), lexicon, np.zeros((max(1, len(lexicon)), k)), np.zeros((k, k)))
     owner, code = ngram_codes(list(kinds))
+    model.seen[code] = True
     scale = 1.0 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(kinds)), 1))
     rows = np.fromiter((lexicon.get(w, -1) for w in kinds), dtype=np.int64, count=len(kinds))
     seen_moves = np.zeros((k, k))
@@ -223,11 +230,12 @@ def fit_stretches(stretches: list[tuple[str, list[str]]], rounds: int = 50, rate
     return model
 
 
-def fit(docs: DataFrame, train: Column, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", language: str = "lang") -> Model:
+def fit(docs: DataFrame, train: Column, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", language: str = "lang", stretches: int = STRETCHES, stretch_words: int = STRETCH_WORDS) -> Model:
     """Fit on at most ``most`` rows per language, chosen by a hash of the key among those that ``train`` admits.
 
-    Every language that such a row names can be predicted.  Of each row at most ``STRETCHES`` stretches of
-    ``STRETCH_WORDS`` words, spread over the whole text, come here; the other words of long texts are not learnt from.
+    Every language that such a row names can be predicted.  Of each row at most ``stretches`` stretches of
+    ``stretch_words`` words, spread over the whole text, come here; the other words of long texts are not learnt from.  Of rows
+    that share a key and a language the one whose text has the smallest hash counts.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(language).alias("lang"), F.col(text).alias("text"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("key").isNotNull() & F.col("text").isNotNull()).filter(train)
@@ -237,53 +245,57 @@ def fit(docs: DataFrame, train: Column, most: int = MOST_ROWS, key: str = "doc_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            keys, languages, stretches = [], [], []
+            keys, languages, pieces = [], [], []
             for one, name, value in zip(part.column("key").to_pylist(), part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 words = [w for w in map(plain, value.split()) if w]
-                starts = range(0, len(words), max(STRETCH_WORDS, len(words) // STRETCHES))
-                for start in list(starts)[:STRETCHES]:
+                starts = range(0, len(words), max(stretch_words, len(words) // stretches))
+                for start in list(starts)[:stretches]:
                     keys.append(one)
                     languages.append(name)
-                    stretches.append(" ".join(words[start : start + STRETCH_WORDS]))
+                    pieces.append(" ".join(words[start : start + stretch_words]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, part.column("key").type), pa.array(languages, pa.string()), pa.array(stretches, pa.string())], names=["key", "lang", "words"]
+                [pa.array(keys, part.column("key").type), pa.array(languages, pa.string()), pa.array(pieces, pa.string())], names=["key", "lang", "words"]
             )
 
     kind = dict(rows.dtypes)["key"]
-    sent = usable.join(F.broadcast(chosen), "key", "left_semi").mapInArrow(cut, f"key {kind}, lang string, words string")
+    found = usable.join(F.broadcast(chosen), "key", "left_semi")
+    one = found.groupBy("key", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    sent = one.select("key", "lang", F.col("first.text").alias("text")).mapInArrow(cut, f"key {kind}, lang string, words string")
     return fit_stretches([(r["lang"], r["words"].split(" ")) for r in sorted(sent.collect())])
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``lang_pred``, ``score``, ``spans`` (first and last word, language) of every whole text.
+    """All columns of ``docs``, and ``lang_pred``, ``score``, ``familiar``, ``spans`` (first and last word, language) of every whole text.
 
     Words are runs between white space and count from 0; ``score`` is the mean probability of ``lang_pred`` over the
-    words with letters.  A null text, a text without letters, and any text under a model without languages give
+    words with letters, ``familiar`` the mean share of their n-grams that the fit has seen, low for what is no language it knows.
+    A null text, a text without letters, and any text under a model without languages give
     ``und``, 0.0 and no spans.  Columns of these names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
-    result = "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
+    docs = docs.drop("lang_pred", "score", "familiar", "spans")
+    result = "lang_pred string, score double, familiar double, spans array<struct<first:int,last:int,lang:string>>"
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", {result}"
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         k = len(model.languages)
         known: dict[str, int] = {}
-        table, lettered = np.zeros((0, k)), np.zeros(0, dtype=bool)
+        table, lettered, shares = np.zeros((0, k)), np.zeros(0, dtype=bool), np.zeros(0)
         names = np.array([*model.languages, UNKNOWN], dtype=object)
 
         def learn(new: list[str]) -> None:
-            nonlocal table, lettered
+            nonlocal table, lettered, shares
             words = [plain(w) for w in new]
             known.update(zip(new, range(len(table), len(table) + len(new))))
-            table = np.concatenate([table, model.scores(words)])
+            scores, seen = model.scores_and_shares(words)
+            table, shares = np.concatenate([table, scores]), np.concatenate([shares, seen])
             lettered = np.concatenate([lettered, np.fromiter(map(bool, words), dtype=bool, count=len(words))])
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal table, lettered
+            nonlocal table, lettered, shares
             lists = [(t or "").split() if k else [] for t in part.column(text).to_pylist()]
             if len(known) > KEPT_WORDS:
                 known.clear()
-                table, lettered = np.zeros((0, k)), np.zeros(0, dtype=bool)
+                table, lettered, shares = np.zeros((0, k)), np.zeros(0, dtype=bool), np.zeros(0)
             new = list(set().union(*lists).difference(known))
             if new:
                 learn(new)
@@ -298,6 +310,7 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             means = sums / np.maximum(words, 1)[:, None]
             best = np.where(words > 0, means.argmax(axis=1), k)
             score = np.where(words > 0, np.clip(means.max(axis=1), 0.0, 1.0), 0.0)
+            familiar = np.bincount(owner, shares[kind] * weight, minlength=len(lists)) / np.maximum(words, 1) if len(kind) else np.zeros(len(lists))
             # Spans: runs of one most likely language inside a text that has letters.
             use = words[owner] > 0
             which = posterior.argmax(axis=1) if len(kind) else np.zeros(0, dtype=np.int64)
@@ -310,8 +323,8 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             span = pa.StructArray.from_arrays(
                 [pa.array(place[starts], pa.int32()), pa.array(last, pa.int32()), pa.array(names[which[starts]].tolist() if len(starts) else [], pa.string())], names=["first", "last", "lang"]
             )
-            columns = [pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), span)]
-            return pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "lang_pred", "score", "spans"])
+            columns = [pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(familiar, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), span)]
+            return pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "lang_pred", "score", "familiar", "spans"])
 
         return one
 

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """At most ``most`` labelled rows for fitting: ``key``, ``label`` (0/1), ``text``.
 
-    ``train`` says which keys of ``labels`` may be learnt from.  Rows are taken in the order of a hash of their
-    key, so the sample does not depend on how the table is stored.  Its size is bounded, so it is sent to the texts.
+    ``train`` says which keys of ``labels`` may be learnt from.  Keys are taken in the order of a hash, so the
+    sample does not depend on how the table is stored.  Their number is bounded, so they are sent to the texts; of a key
+    that several rows have, the text of the smallest hash counts.
     """
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     rows = rows.filter(F.col("key").isNotNull() & F.col("label").isin(0, 1)).withColumn("ok", train).filter("ok")
     order = F.xxhash64(F.col("key"), F.lit(17))
     chosen = rows.groupBy("key").agg(F.max("label").alias("label")).orderBy(order, "key").limit(most)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return texts.join(F.broadcast(chosen), "key")
+    found = texts.join(F.broadcast(chosen), "key")
+    one = found.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return one.select("key", "label", F.col("first.text").alias("text"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

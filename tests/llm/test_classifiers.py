@@ -75,6 +75,55 @@ def test_toxicity_is_learnt_and_steady_under_swaps(spark):
     assert scores[1] < 0.5
 
 
+def test_counterfactuals_exchange_or_mention_terms():
+    change = toxicity.others()
+    found = toxicity.counterfactuals({"muslims", "walk", "women"}, change)
+    assert len(found) == 3 and all("walk" in w and not w & {"muslims", "women"} and "men" in w and w & set(change["muslims"]) for w in found)
+    assert found == toxicity.counterfactuals({"women", "muslims", "walk"}, change)
+    plain = toxicity.counterfactuals({"walk"}, change)
+    assert len(plain) == 3 and all(len(w) == 2 and w - {"walk"} <= set(change) for w in plain)
+    assert set(toxicity.counterfactuals(set(), change)[0]) <= set(change)
+
+
+def test_weights_reach_the_optimum_of_loss_and_penalty():
+    """No direction lowers logistic loss + ridge + squared changes (checked against small moves)."""
+    draw = np.random.default_rng(7)
+    rows = [np.unique(draw.integers(0, 12, 5)).tolist() for _ in range(80)]
+    swapped = [[sorted({*r, int(draw.integers(0, 12))}), [f for f in r if f % 3]] for r in rows]
+    labels = np.array([float(0 in r or draw.random() < 0.1) for r in rows])
+
+    def loss(w, b, steady=2.0):
+        margin = np.array([w[r].sum() for r in rows]) + b
+        change = sum((w[s].sum() - w[r].sum()) ** 2 for r, others in zip(rows, swapped) for s in others)
+        return np.logaddexp(0, -np.where(labels > 0, margin, -margin)).sum() + 0.05 * (w @ w) + steady / 2 * change
+
+    weights, offset = toxicity.fit_weights(rows, swapped, labels, 12, steady=2.0, steps=3000)
+    best = loss(weights, offset)
+    assert all(loss(weights + 1e-2 * draw.normal(size=12), offset + 1e-2 * draw.normal()) > best - 1e-4 for _ in range(200))
+
+
+def test_mentions_alone_raise_fewer_scores_with_the_penalty(spark):
+    """Held-out texts in which nothing but a mention is added or exchanged."""
+    data = spark.createDataFrame(toxic_rows(), "doc_id long, text string, toxic int")
+    docs, train = data.select("doc_id", "text"), fold("key", 3) != 1
+    held = docs.filter(fold("doc_id", 3) == 1)
+    changes = {}
+    for steady in (0.0, 1.0):
+        model = toxicity.fit(docs, data, "toxic", train, steady=steady)
+        told = toxicity.steadiness(held, model).collect()
+        changes[steady] = sum(r["change"] for r in told) / len(told)
+        assert len(told) == held.count()
+    assert changes[1.0] < 0.5 * changes[0.0]
+
+
+def test_a_key_repeated_many_times_does_not_swell_the_sample(spark):
+    docs = spark.range(100_000).selectExpr("cast(7 as long) as doc_id", "concat('text ', id % 1000) as text").unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(8, 30)], "doc_id long, text string"))
+    known = spark.createDataFrame([(i, i % 2) for i in range(7, 30)], "doc_id long, toxic int")
+    sample = samples.labelled_sample(docs, known, "toxic", fold("key", 5) >= 0, 15)
+    rows = sample.collect()
+    assert len(rows) <= 15 and len({r["key"] for r in rows}) == len(rows)
+
+
 def test_one_class_and_no_rows_give_constants(spark, awkward, nothing, labels):
     good = labels.filter("quality = 1")
     for docs, known in ((awkward, good), (nothing, labels), (awkward, labels.limit(0))):
