@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.sql import tokens
 from corpusflow.functions import text as X
 from corpusflow.operators import distributions as D
-from corpusflow.operators import examples, models
+from corpusflow.operators import examples, models, training
 from corpusflow.operators.scale import each
 from corpusflow.session import materialize, scratch_path
 from corpusflow.sources import delimited, tables
@@ -45,10 +46,41 @@ def train_classifier(spark, folder):
     return history.select("step", F.lit(best["value"] >= FLOOR).alias("reaches_floor"), F.col("loss").isNotNull().alias("has_loss"), (F.col("step") == 8).alias("last"))
 
 
+def linear_classifier(spark, folder):
+    return training.train_steps(training.Trainer(languages(spark, folder, False), LABELS), [CONFIG["epochs"]])[CONFIG["epochs"]]
+
+
+class LongTexts:
+    """A rule in a model's place: texts of more than 200 terms are 'long'."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.when(F.size(X.tokens(F.col("text_a"))) > 200, "long").otherwise("short"))
+
+
+@query("batch_predict_rule", f"SELECT doc_id AS id, CASE WHEN len({tokens('text')}) > 200 THEN 'long' ELSE 'short' END AS prediction FROM documents")
+def batch_predict_rule(spark, folder):
+    """Every document's prediction by a rule, through the job, its file and back."""
+    path = scratch_path(spark, "predictions") + ".tsv"
+    models.predict_job(LongTexts(), all_documents(spark, folder), lambda rows: delimited.write_rows(rows, path))
+    return delimited.read_rows(spark, path).select(F.col("_c0").cast("long").alias("id"), F.col("_c1").alias("prediction"))
+
+
+@query("train_resumed", "SELECT step, true AS same FROM (VALUES (3), (6)) t(step) WHERE (SELECT count(*) FROM documents) > 0")
+def train_resumed(spark, folder):
+    """A training that stopped after three steps and went on in another run, next to one that never stopped."""
+    path = scratch_path(spark, "checkpoints")
+    rows = materialize(languages(spark, folder, False).select("text_a", "label"), "examples")
+    training.train_steps(training.Trainer(rows, LABELS), [2, 3], path)
+    resumed = training.train_steps(training.Trainer(rows, LABELS), [3, 6], path)
+    straight = training.train_steps(training.Trainer(rows, LABELS), [3, 6])
+    same = [(step, bool(np.allclose(resumed[step].weights, straight[step].weights, rtol=1e-6, atol=1e-9))) for step in (3, 6)]
+    return spark.createDataFrame(same, "step int, same boolean").filter(F.lit(not rows.isEmpty()))
+
+
 @query("batch_predict", "SELECT doc_id AS id, true AS reaches_floor FROM documents WHERE doc_id % 5 = 0")
 def batch_predict(spark, folder):
     """Held-out documents through the prediction job, read back from where it wrote them."""
-    model = classifier(spark, folder)
+    model = linear_classifier(spark, folder)
     path = scratch_path(spark, "predictions") + ".tsv"
     inputs = languages(spark, folder, True)
     models.predict_job(model, inputs.select("text_a", "doc_id"), lambda rows: delimited.write_rows(rows, path))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.examples import index_labels, numeric_labels
 from corpusflow.operators.scale import running_totals
+from corpusflow.operators.training import LinearModel, Trainer, train_steps
 from corpusflow.session import materialize
 
 TASKS = ("classification", "regression")
@@ -182,21 +183,23 @@ def best_checkpoint(history: DataFrame, task: str = "classification") -> DataFra
 
 
 def training_history(
-    examples: DataFrame, test: DataFrame, labels: Sequence[str], steps: Sequence[int], **options
-) -> tuple[DataFrame, dict[int, TextModel]]:
-    """(step, acc, loss) of classifiers trained for ``steps`` epochs, scored on separate test rows, and the models by step."""
+    examples: DataFrame, test: DataFrame, labels: Sequence[str], steps: Sequence[int], path: str | None = None, **options
+) -> tuple[DataFrame, dict[int, LinearModel]]:
+    """(step, acc, loss) of one training looked at after each of ``steps``, scored on separate test rows, and the models by step.
+
+    A later step goes on from the one before it; with a ``path`` also from the last checkpoint that an earlier run left there.
+    """
     known, _ = index_labels(test, labels)
-    rows, fitted = None, {}
-    for step in steps:
-        fitted[step] = train(examples, "classification", labels, epochs=step, **options)
+    rows, fitted = None, train_steps(Trainer(examples, labels, **options), steps, path)
+    for step, model in fitted.items():
         loss = negative_log_likelihood(F.col("scores"), F.col("label_index"))
-        scored = evaluate(fitted[step].transform(known), loss=loss)
+        scored = evaluate(model.transform(known), loss=loss)
         row = scored.groupBy(F.lit(step).alias("step")).pivot("metric", ["acc", "loss"]).agg(F.first("value"))
         rows = row if rows is None else rows.unionByName(row)
     return rows, fitted
 
 
-def predict(model: TextModel, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def predict(model: TextModel | LinearModel, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(id, prediction): the last column is the id, the one or two before it the inputs."""
     columns = list(columns or df.columns)
     inputs, key = columns[:-1], columns[-1]
@@ -207,7 +210,7 @@ def predict(model: TextModel, df: DataFrame, columns: Sequence[str] | None = Non
     return model.transform(rows).select("id", "prediction")
 
 
-def predict_job(model: TextModel, df: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, float]:
+def predict_job(model: TextModel | LinearModel, df: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, float]:
     """Predict and hand the rows to a writer; returns rows, seconds and rows per second.
 
     The predictions, an id and a label each, are stored first; they are counted and handed on from there, so the
