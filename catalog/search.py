@@ -349,6 +349,16 @@ def doc_store_scan(spark, folder):
     return docstore.read_store(spark, path).select("doc_id", "text", "seq")
 
 
+@query("doc_get", "SELECT doc_id, text, source FROM documents WHERE doc_id IN (1, 7, 42, 99, 150, 151, 152, 180, 190, 199, 500, 4321, 99999999)")
+def doc_get(spark, folder):
+    """A few documents by key from the stored form, some of them not there."""
+    path = scratch_path(spark, "store")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", F.lit(1).alias("seq"))
+    docstore.write_store(docs, path, buckets=8)
+    found = docstore.get(spark, path, [1, 7, 42, 99, 150, 151, 152, 180, 190, 199, 500, 4321, 99999999], buckets=8)
+    return found.select("doc_id", "text", "source")
+
+
 @query(
     "doc_lookup",
     """SELECT e.event_id, e.user_id * 10 AS doc_id, md5(d.text) AS digest, d.doc_id IS NOT NULL AS found

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from corpusflow.operators.scale import salted_join
 from corpusflow.session import materialize
 
 
+#: Keys of a row group that its Bloom filter is laid out for; keys of a lookup that are compared one by one with the filters.
+FILTERED_KEYS, COMPARED_KEYS = 50_000, 200
+
+
 def upsert(store: DataFrame | None, added: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     """One row per key: the row with the highest ``seq``.  Old and new rows have the same columns.
 
@@ -47,12 +54,15 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", buckets: int =
     """Parquet partitioned by key bucket.
 
     The rows of a bucket are dealt to enough tasks that all shuffle partitions write: one file per bucket where there
-    are as many buckets as partitions, more where a job has more partitions.
+    are as many buckets as partitions, more where a job has more partitions.  Files are sorted by key and carry Bloom
+    filters of it, so a lookup skips the row groups that cannot hold its keys.
     """
     rows = docs.withColumn("bucket", bucket_of(F.col(key), buckets))
     parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(-(-parts // buckets)))
-    rows.repartition(parts, "bucket", salt).write.mode(mode).partitionBy("bucket").parquet(path)
+    sorted_ = rows.repartition(parts, "bucket", salt).sortWithinPartitions("bucket", key)
+    writer = sorted_.write.mode(mode).option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", FILTERED_KEYS)
+    writer.partitionBy("bucket").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, seq: str | None = "seq", key: str = "doc_id") -> DataFrame:
@@ -62,10 +72,13 @@ def read_store(spark: SparkSession, path: str, seq: str | None = "seq", key: str
 
 
 def get(spark: SparkSession, path: str, keys: list[int], buckets: int = 64, key: str = "doc_id", seq: str = "seq") -> DataFrame:
-    """A few documents by key, reading only their buckets."""
+    """A few documents by key, reading only their buckets, and of these the row groups whose key filters let one of them pass."""
     numbers = spark.range(1).select(F.explode(F.array(*[F.lit(k).cast("long") for k in keys]) if keys else F.array().cast("array<long>")).alias("key"))
     wanted = sorted(r[0] for r in numbers.select(bucket_of(F.col("key"), buckets)).distinct().collect())  # few keys are given
-    rows = spark.read.parquet(path).filter(F.col("bucket").isin(wanted) & F.col(key).isin(keys))
+    # Spark turns a long list into its ends only, single comparisons meet the filters.
+    one = [F.col(key) == k for k in keys]
+    among = reduce(or_, one) if 0 < len(one) <= COMPARED_KEYS else F.col(key).isin(keys)
+    rows = spark.read.parquet(path).filter(F.col("bucket").isin(wanted) & among)
     return upsert(None, rows.drop("bucket"), key, seq)
 
 

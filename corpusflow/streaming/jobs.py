@@ -149,18 +149,21 @@ def train_scorer(
 ) -> StreamingQuery:
     """Keep the rerank scorer up to date from a stream of (query, candidate, label).
 
-    A micro-batch adds one row of moments, and the weights after it are solved from the sum of all rows
-    so far, which equals a refit on all pairs (``rerank.fit_scorer``) without reading them again.  ``path/status`` gets one row
-    per micro-batch: (step, status, examples, intercept, weights).
+    A micro-batch adds its moments to those of all before it, one row, and the weights are solved from the sums,
+    which equals a refit on all pairs (``rerank.fit_scorer``) without reading them again.  Only the rows of the last two
+    micro-batches are kept: one that is run again adds to the row before its own and replaces what it wrote.  ``path/status``
+    gets one row per micro-batch: (step, status, examples, intercept, weights).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parts = _moments(features, "label")
-        row = rerank.pair_features(batch, stats).agg(*[F.coalesce(v, F.lit(0.0)).alias(name) for name, v in parts.items()])
-        write_batch(row, f"{path}/moments", batch_id)
-        seen = spark.read.parquet(f"{path}/moments").filter(F.col("batch_id") <= batch_id)
-        sums = seen.agg(*[F.sum(F.col(f"`{name}`")).alias(name) for name in parts]).first().asDict()
+        sums = rerank.pair_features(batch, stats).agg(*[F.coalesce(v, F.lit(0.0)).alias(name) for name, v in parts.items()]).first().asDict()
+        earlier = _last_row(spark, f"{path}/moments", batch_id)
+        if earlier:
+            sums = {name: value + earlier[name] for name, value in sums.items()}
+        write_batch(spark.createDataFrame([tuple(sums.values())], ", ".join(f"`{name}` double" for name in sums)), f"{path}/moments", batch_id)
+        _forget(spark, f"{path}/moments", batch_id - 1)
         if not sums["one*one"]:
             return
         weights, intercept = solve(sums, features, reg)
@@ -173,6 +176,25 @@ def train_scorer(
     return start(pairs, handle, checkpoint, once)
 
 
+def _last_row(spark: SparkSession, path: str, before: int) -> dict | None:
+    """The row of the last micro-batch before one, in a folder of rows by micro-batch."""
+    try:
+        row = spark.read.parquet(path).filter(F.col("batch_id") < before).orderBy(F.desc("batch_id")).first()
+    except AnalysisException:
+        return None
+    return row.asDict() if row else None
+
+
+def _forget(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the folders of micro-batches before one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("batch_id=") and int(name.split("=")[1]) < before:
+            files.delete(found.getPath(), True)
+
+
 def latest_scorer(spark: SparkSession, path: str) -> tuple[dict[str, float], float]:
     """(weights, intercept) after the last micro-batch; FileNotFoundError before the first."""
     try:

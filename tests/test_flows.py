@@ -158,6 +158,20 @@ def test_streamed_training_equals_one_fit(spark):
     assert max(abs(r["score"] - one[r["candidate"]]) for r in scored) < 1e-6
 
 
+def test_training_state_is_bounded_and_a_repeated_batch_counts_once(spark, monkeypatch):
+    rows = [("test query", f"test query answer {i}" if i % 2 else f"nothing {i} here", float(i % 2)) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "query string, candidate string, label double")
+    handlers = []
+    monkeypatch.setattr(jobs, "start", lambda df, handle, checkpoint, once=True: handlers.append(handle))
+    path = scratch_path(spark, "scorer")
+    jobs.train_scorer(pairs, path, "unused")
+    for batch in (0, 1, 2, 2, 3):  # the third is run twice
+        handlers[0](pairs, batch)
+    kept = {r["batch_id"]: r["one*one"] for r in spark.read.parquet(f"{path}/moments").select("batch_id", "`one*one`").collect()}
+    assert kept == {2: 120.0, 3: 160.0}
+    assert [r["examples"] for r in spark.read.parquet(f"{path}/status").orderBy("step").collect()] == [40, 80, 120, 160]
+
+
 def test_streamed_block(spark):
     path, state = scratch_path(spark, "kept"), scratch_path(spark, "state")
     run(jobs.block(parts(spark, messages(spark), "in"), ["train"], path, state))

@@ -138,3 +138,21 @@ def test_joint_search_keeps_hits_without_a_document(spark):
     docs = spark.createDataFrame([(5, "five"), (6, "six")], "doc_id long, text string")
     rows = D.joint_search(hits, docs).collect()
     assert sorted((r["request_id"], r["doc_id"], r["text"], r["found"]) for r in rows) == [(1, 5, "five", True), (1, 9, None, False), (2, 5, "five", True)]
+
+
+def test_lookup_skips_row_groups(spark):
+    """Sorted files with key filters: the scan of a few keys gives few rows of a bucket."""
+    path = scratch_path(spark, "store")
+    rows = spark.range(40_000).selectExpr("id * 7 as doc_id", "repeat(cast(id as string), 20) as text", "1 as seq")
+    spark.conf.set("parquet.block.size", 16_384)
+    try:
+        D.write_store(rows, path, buckets=2)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    keys = [7 * k for k in (5, 1000, 20_000)] + [8]
+    found = D.get(spark, path, keys, buckets=2)
+    assert {r["doc_id"] for r in found.collect()} == set(keys[:3])
+    among = spark.read.parquet(path).filter(" or ".join(f"doc_id = {k}" for k in keys))
+    among.collect()
+    scan = among._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert 0 < scan.metrics().apply("numOutputRows").value() < 8_000
