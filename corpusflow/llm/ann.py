@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.operators.scale import small_enough
 from corpusflow.session import materialize
 
 #: Centroids per half; vectors that codebooks are fitted on at most; of these, vectors that the walk's length is fitted on.
@@ -25,8 +26,8 @@ PROBES = 100
 #: Share of the sampled neighbours that the walk must reach; distinct vectors that it must pass at least.
 REACHED = 0.95
 LEAST = 2000
-#: Distinct vectors that one task reranks at a time.
-REGION = 4096
+#: Distinct vectors that one task reranks at a time, and queries that meet them there at a time.
+REGION, CROWD = 4096, 32_768
 
 
 @dataclass
@@ -197,15 +198,16 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
 
     # Each distinct query vector is asked once, under the smallest id that asks for it.
     distinct = materialize(asks.groupBy("vector").agg(F.min("id").alias("number")).select("number", F.col("vector").alias("query")), "queries")
-    visits = distinct.mapInArrow(visit, f"region int, cells array<int>, number {id_kind}, query {kind}")
+    visits = materialize(distinct.mapInArrow(visit, f"region int, cells array<int>, number {id_kind}, query {kind}"), "visits")
     plan = rows.sparkSession.createDataFrame([(c, *r) for c, r in regions.items()], "cell int, first int, parts int")
     dealt = index.cells.join(F.broadcast(plan), "cell")  # at most centroids squared rows
     dealt = dealt.select("cell", "vector", "ids", (F.col("first") + F.pmod(F.xxhash64("vector"), "parts")).cast("int").alias("region"))
-    # Many queries may visit a region, so they come to it in crowds of about its own size.
-    crowds = max(1, -(-distinct.count() // REGION))
-    crowd = F.pmod(F.xxhash64("number"), F.lit(crowds)).cast("int")
-    dealt = dealt.withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
-    near = dealt.groupBy("region", "crowd").cogroup(visits.withColumn("crowd", crowd).groupBy("region", "crowd"))
+    # Queries come to a region in crowds; its vectors go once to each crowd, and nowhere if no query visits it.
+    crowds = materialize(visits.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("crowds")), "crowds")
+    sent = F.broadcast(crowds) if small_enough(crowds) else crowds
+    dealt = dealt.join(sent, "region").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).drop("crowds")
+    visits = visits.join(sent, "region").withColumn("crowd", F.pmod(F.xxhash64("number"), F.col("crowds")).cast("int")).drop("crowds")
+    near = dealt.groupBy("region", "crowd").cogroup(visits.groupBy("region", "crowd"))
     found = near.applyInArrow(_rerank(k), f"number {id_kind}, id {id_kind}, score double")
     best = Window.partitionBy("number").orderBy("score", "id")
     found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank")

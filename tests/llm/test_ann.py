@@ -53,6 +53,7 @@ def test_exact_where_all_cells_are_passed(spark):
 
 def test_regions_and_crowds_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ann, "REGION", 16)
+    monkeypatch.setattr(ann, "CROWD", 8)
     rows = awkward_rows()
     got = found(ann.nearest(frame(spark, rows), F.col("id") % 10 == 0))
     same(got, brute(rows, [i for i, *_ in rows if i is not None and i % 10 == 0], 10))
