@@ -9,7 +9,7 @@ from catalog import query, table
 from catalog.sql import ALL, ANY, KEYWORD_HITS, fulltext as ft, ranked, sentence_rows, starts, tokens
 from corpusflow.functions import text as X
 from corpusflow.operators import chunks as C
-from corpusflow.operators import docstore, fulltext, keyword, vectors
+from corpusflow.operators import docstore, fulltext, keyword, pivots, vectors
 from corpusflow.operators.segments import Folder
 from corpusflow.session import materialize, scratch_path
 from corpusflow.sources import tables
@@ -408,6 +408,11 @@ def _own_k(spark, folder):
     return vector_queries(spark, folder).withColumn("top_k", (F.col("request_id") % 6).cast("int"))
 
 
+@query("vector_topk_pivots", _L2)
+def vector_topk_pivots(spark, folder):
+    return pivots.PivotIndex.build(vector_table(spark, folder)).search(vector_queries(spark, folder), 5)
+
+
 @query("vector_topk_blocks", _L2)
 def vector_topk_blocks(spark, folder):
     return vectors.nearest(vector_queries(spark, folder), vector_table(spark, folder), 5, plan="blocks")

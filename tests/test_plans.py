@@ -29,6 +29,12 @@ def test_top_k_is_cut_before_the_shuffle(spark, name):
     assert plan(spark, name).count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("name", ["search_any", "keyword_topk", "rerank_topk", "reduce_parts_own_k", "vector_topk_own_k"])
+def test_a_number_of_hits_per_request_is_cut_before_the_shuffle(spark, name):
+    """The largest number cuts where the hits are; each request's own number follows."""
+    assert plan(spark, name).count("WindowGroupLimit") == 2
+
+
 def test_few_hits_are_shipped_to_the_documents(spark):
     text = plan(spark, "joint_search")
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
