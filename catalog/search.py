@@ -203,6 +203,12 @@ def search_any(spark, folder):
     return fulltext.search(indexed_docs(spark, folder), asked_items(spark, folder), match="any")
 
 
+@query("search_any_bounds", f"WITH {ft()}, {ranked(ANY, '1 + request_id % 5')} SELECT * FROM best")
+def search_any_bounds(spark, folder):
+    """The same hits by thresholds, which leave most postings of common terms unread."""
+    return fulltext.search(indexed_docs(spark, folder), asked_items(spark, folder), match="any", plan="bounds")
+
+
 _LATER = f"""WITH {ft().replace("FROM documents)", "FROM later)", 1).replace("FROM documents)", "FROM later)")}, {ranked(ANY, 5)} SELECT * FROM best""".replace(
     "WITH", "WITH later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'updated ' || lang || ' ' || source ELSE text END AS text FROM documents),", 1
 )
@@ -293,6 +299,11 @@ def search_bool(spark, folder):
     return fulltext.bool_search(indexed_docs(spark, folder), bool_clauses(spark, folder), 5)
 
 
+@query("search_bool_bounds", _BOOL)
+def search_bool_bounds(spark, folder):
+    return fulltext.bool_search(indexed_docs(spark, folder), bool_clauses(spark, folder), 5, plan="bounds")
+
+
 @query(
     "search_phrase",
     f"""WITH {ft()},

@@ -29,6 +29,8 @@ QUERY_ROWS, QUERY_CHARS = 200_000, 8_000_000
 SELECTIVE = 16
 #: Share of a request's postings, those that may add most first, from which its first threshold comes; and the postings, at least.
 SEED_SHARE, SEED_LEAST = 0.05, 200
+#: Matches (request, posting) up to this number are simply summed: thresholds cost several jobs, which less work does not repay.
+SUMMED = 20_000_000
 #: Scores are compared with bounds with this margin (they are rounded to six places).
 MARGIN = 1e-5
 
@@ -324,13 +326,14 @@ def read_share(index: TextIndex, clauses: DataFrame, k: int) -> float:
     return (read or 0) / max(1, total or 0)
 
 
-def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None, stored: bool = False) -> DataFrame:
+def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None, stored: bool = False, plan: str | None = None) -> DataFrame:
     """TF-IDF of qualifying chunks: (request_id, doc_id, offset, score).
 
     ``clauses`` is a table (request_id, clause, term), each row once, clause in must / should / must_not.
     A chunk qualifies when it holds all must terms (or, without must terms, at least one should term)
     and no must_not term.  The score is the sum of tf * ln((N+1)/(df+1)) over the must and should rows it holds.
-    ``stored`` says that they are a stored table.  With ``wanted`` (request_id, k) chunks that cannot be among a request's best k may be left out.
+    ``stored`` says that they are a stored table.  ``plan`` (``sums`` or ``bounds``) says how requests without must terms are
+    answered, by default the number of their matches does.  With ``wanted`` (request_id, k) chunks that cannot be among a request's best k may be left out.
     Only files that may hold the clauses' terms are read; document frequencies are kept by the index.
     """
     clauses = clauses if stored else materialize(clauses, "asked")
@@ -342,8 +345,13 @@ def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None,
         F.min(F.when(F.col("clause") == "must", F.col("df"))).alias("rarest"), F.sum("df").alias("total")
     )
     way = F.when(F.col("rarest") * SELECTIVE <= F.col("total"), "rare").when(F.col("rarest").isNull() & F.lit(wanted is not None), "best").otherwise("sums")
-    requests = materialize(requests.select("request_id", way.alias("way")), "ways")
-    ways = {r[0] for r in requests.select("way").distinct().collect()} or {"sums"}  # three at most
+    requests = requests.select("request_id", way.alias("way"), "total")
+    found = {r["way"]: r["n"] for r in requests.groupBy("way").agg(F.sum("total").alias("n")).collect()}  # three rows at most
+    if "best" in found and plan != "bounds" and (plan == "sums" or found["best"] <= SUMMED):
+        requests = requests.withColumn("way", F.when(F.col("way") == "best", "sums").otherwise(F.col("way")))
+        found["sums"] = found.pop("best")
+    ways = set(found) or {"sums"}
+    requests = materialize(requests, "ways") if len(ways) > 1 else requests
     results = []
     for name in sorted(ways):
         rows = weighted.join(requests.filter(F.col("way") == name).select("request_id"), "request_id", "left_semi") if len(ways) > 1 else weighted
@@ -366,21 +374,21 @@ def best_hits(scored: DataFrame, k: int | None, requests: DataFrame | None = Non
     return best.select("request_id", "rank", *KEY, F.lit(1.0).alias("weight"), "score")
 
 
-def search(index: TextIndex, queries: DataFrame, k: int | None = None, match: str = "all", **analysis) -> DataFrame:
+def search(index: TextIndex, queries: DataFrame, k: int | None = None, match: str = "all", plan: str | None = None, **analysis) -> DataFrame:
     """Top k chunks per query text: (request_id, rank, doc_id, offset, weight 1.0, score).
 
     Without ``k`` each request's own ``top_k`` column counts.  ``match='all'`` needs every distinct term of the query
-    in the chunk, ``'any'`` at least one.
+    in the chunk, ``'any'`` at least one.  ``plan`` as in ``score``.
     """
     clause = {"all": "must", "any": "should"}[match]
     clauses = materialize(query_terms(queries, **analysis).withColumn("clause", F.lit(clause)).distinct(), "clauses")
-    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else queries, k)[0], True), k, queries)
+    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else queries, k)[0], True, plan), k, queries)
 
 
-def bool_search(index: TextIndex, clauses: DataFrame, k: int | None, requests: DataFrame | None = None) -> DataFrame:
+def bool_search(index: TextIndex, clauses: DataFrame, k: int | None, requests: DataFrame | None = None, plan: str | None = None) -> DataFrame:
     """Top k chunks per request of boolean clauses (request_id, clause, term)."""
     clauses = materialize(clauses.select("request_id", "clause", "term").distinct(), "clauses")
-    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else requests, k)[0], True), k, requests)
+    return best_hits(score(index, clauses, wanted_hits(clauses if k is not None else requests, k)[0], True, plan), k, requests)
 
 
 def phrase_search(index: TextIndex, phrases: DataFrame, k: int | None, **analysis) -> DataFrame:

@@ -20,6 +20,7 @@ import json
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
@@ -183,11 +184,14 @@ def write_segment(folder: Folder, terms: DataFrame, number: int) -> Segment:
     held = materialize(terms.select(*KEY, F.col("seq").cast("long").alias("seq"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "terms")
     chunks, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     files = max(1, min(MOST_FILES, -(-tokens // FILE_TOKENS)))
-    _write(held, path, "chunks", files)
-    postings = materialize(held.select(*KEY, "terms").mapInArrow(grouped_terms, POSTINGS), "postings")
-    _write(postings, path, "postings", files)
-    stats = postings.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
-    _write(stats, path, "terms", max(1, files // 16))
+    with ThreadPoolExecutor(2) as pool:  # jobs that do not wait for each other
+        chunks_written = pool.submit(_write, held, path, "chunks", files)
+        postings = materialize(held.select(*KEY, "terms").mapInArrow(grouped_terms, POSTINGS), "postings")
+        stats = postings.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+        chunks_written.result()
+        stats_written = pool.submit(_write, stats, path, "terms", max(1, files // 16))
+        _write(postings, path, "postings", files)
+        stats_written.result()
     zones = None
     for kind, bounds in BOUNDS.items():
         rows, ends = spark.read.parquet(f"{path}/{kind}"), []

@@ -65,14 +65,14 @@ def test_boolean_scores(spark, monkeypatch, selective):
     assert got == pytest.approx(brute(texts, clauses))
 
 
-@pytest.mark.parametrize("match", ["all", "any"])
-def test_search_matches_brute_force(spark, match):
+@pytest.mark.parametrize("match,plan", [("all", None), ("any", "sums"), ("any", "bounds")])
+def test_search_matches_brute_force(spark, match, plan):
     texts, asked = make(3), ["rose time", "the the of", "winter eyes cat", "nowhere"]
     clauses = [(q, {"all": "must", "any": "should"}[match], t) for q, text in enumerate(asked) for t in sorted(set(tokens(text)))]
     want = {}
     for (q, d, o), s in sorted(brute(texts, clauses).items(), key=lambda e: (e[0][0], -e[1], e[0][1:])):
         want.setdefault(q, []).append((d, o, s))
-    rows = T.search(T.build(chunks(spark, texts)), queries(spark, asked), 3, match).collect()
+    rows = T.search(T.build(chunks(spark, texts)), queries(spark, asked), 3, match, plan).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r["request_id"], r["rank"])):
         got.setdefault(r["request_id"], []).append((r["doc_id"], r["offset"], r["score"]))
@@ -133,7 +133,7 @@ def test_best_hits_need_few_postings(spark, monkeypatch):
     for (q, d, o), score in sorted(brute(texts, rows).items(), key=lambda e: (e[0][0], -e[1], e[0][1:])):
         want.setdefault(q, []).append((d, o, score))
     got = {}
-    for r in sorted(T.bool_search(index, clauses, None, requests).collect(), key=lambda r: (r["request_id"], r["rank"])):
+    for r in sorted(T.bool_search(index, clauses, None, requests, "bounds").collect(), key=lambda r: (r["request_id"], r["rank"])):
         got.setdefault(r["request_id"], []).append((r["doc_id"], r["offset"], r["score"]))
     assert got == {q: hits[:4] for q, hits in want.items()}
     assert T.read_share(index, clauses.filter("clause = 'should'"), 4) < 0.6
@@ -145,9 +145,10 @@ def test_common_terms_come_from_chunks_or_postings(spark, monkeypatch):
     texts = [f"the of a {'rose ' * (i % 7)} {'time ' * (i % 3)} unique{i % 9}" for i in range(60)]
     index = T.build(chunks(spark, texts))
     asked = queries(spark, ["the of a rose unique4", "time a unique2 unique3"])
-    plain = T.search(index, asked, 5, "any").collect()
+    plain = sorted(map(tuple, T.search(index, asked, 5, "any", "bounds").collect()))
+    assert plain == sorted(map(tuple, T.search(index, asked, 5, "any", "sums").collect())) and len(plain) == 10
     monkeypatch.setattr(S.State, "tokens", property(lambda self: 10**12))
-    assert sorted(map(tuple, T.search(index, asked, 5, "any").collect())) == sorted(map(tuple, plain)) and len(plain) == 10
+    assert sorted(map(tuple, T.search(index, asked, 5, "any", "bounds").collect())) == plain
 
 
 def test_segments_are_merged_as_they_come_together(spark, monkeypatch):
