@@ -69,6 +69,13 @@ class GramTable:
             bitmap[_cells(grams[first])] = True
             self.tables[width] = grams[first], owner[first], at[first], bitmap
 
+    @classmethod
+    def of(cls, arrays: dict) -> GramTable:
+        """The table whose ``vars`` these are."""
+        table = cls.__new__(cls)
+        table.__dict__.update(arrays)
+        return table
+
     def find(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(text, pattern, start) of all occurrences, overlapping ones too, some at a time."""
         letters, starts = letters_of(texts)

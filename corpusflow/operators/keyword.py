@@ -160,10 +160,13 @@ def _shipped(queries: DataFrame, patterns: DataFrame, key: list[str]) -> DataFra
     """
     rows = patterns.collect()
     table = grams.GramTable([r["pattern"] for r in rows])
-    sent = queries.sparkSession.sparkContext.broadcast((table, pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["offset"] for r in rows], pa.int32())))
+    # Plain arrays are sent; the class itself travels with the function, so executors need no copy of the package.
+    keys = pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["offset"] for r in rows], pa.int32())
+    sent = queries.sparkSession.sparkContext.broadcast((vars(table), *keys))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, docs, offsets = sent.value
+        arrays, docs, offsets = sent.value
+        table = grams.GramTable.of(arrays)
         for batch in batches:
             letters = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             part = letters // SLICE_LETTERS
