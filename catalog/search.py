@@ -9,7 +9,7 @@ from catalog import query, table
 from catalog.sql import ALL, ANY, KEYWORD_HITS, fulltext as ft, ranked, sentence_rows, starts, tokens
 from corpusflow.functions import text as X
 from corpusflow.operators import chunks as C
-from corpusflow.operators import docstore, fulltext, keyword, pivots, vectors
+from corpusflow.operators import docstore, fulltext, keyword, pivots, quantised, vectors
 from corpusflow.operators.segments import Folder
 from corpusflow.session import materialize, scratch_path
 from corpusflow.sources import tables
@@ -463,3 +463,13 @@ def _approximate(spark, folder, asked, k):
         F.count(F.lit(1)).alias("n"), F.every("right").alias("exact_distances"), F.every(F.coalesce(F.col("earlier") <= F.col("distance"), F.lit(True))).alias("in_order")
     )
     return summed.withColumn("enough_recall", F.lit(recall >= ENOUGH))
+
+
+@query("vector_quantised", "SELECT vec_id AS request_id, least(5, (SELECT count(*) FROM embeddings))::BIGINT AS n, true AS enough_recall FROM embeddings")
+def vector_quantised(spark, folder):
+    """Per request its number of hits by product quantisation, and whether their recall over all is 0.9 at least."""
+    asked, stored = vector_queries(spark, folder), vector_table(spark, folder)
+    found = materialize(quantised.QuantisedIndex.build(stored, 5).search(asked, 5), "quantised")
+    exact = vectors.nearest(asked, stored, 5).select("request_id", "vec_id")
+    recall = found.join(exact, ["request_id", "vec_id"]).count() / max(1, exact.count())
+    return found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).withColumn("enough_recall", F.lit(recall >= ENOUGH))
