@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -217,18 +218,32 @@ class FMIndex:
         return pairs // total, pairs % total
 
 
+#: The halves that a search scheme matches exactly.
+END, START = "end", "start"
+
+
 class BidirectionalIndex:
-    """FM-indexes of the words and of the reversed words."""
+    """FM-indexes of the words and of the reversed words, each made when a scheme first needs it."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.left = FMIndex(words)
-        self.right = FMIndex([w[::-1] for w in words])
+
+    @cached_property
+    def left(self) -> FMIndex:
+        return FMIndex(self.words)
+
+    @cached_property
+    def right(self) -> FMIndex:
+        return FMIndex([w[::-1] for w in self.words])
+
+    def one_error_beside(self, queries: list[str], half: str) -> tuple[np.ndarray, np.ndarray]:
+        """(query, word) numbers of all pairs that differ by one edit outside the query's given half."""
+        return self.left.one_error(queries) if half == END else self.right.one_error([q[::-1] for q in queries])
 
     def one_error(self, queries: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, word) numbers of all pairs that differ by one edit, once from each scheme that finds them."""
-        yield self.left.one_error(queries)
-        yield self.right.one_error([q[::-1] for q in queries])
+        for half in (END, START):
+            yield self.one_error_beside(queries, half)
 
 
 # ---------------------------------------------------------------------------------------------- search
@@ -250,12 +265,12 @@ def near_words(words: DataFrame, shard: int = SHARD_WORDS) -> DataFrame:
     words = words.filter("word <> ''").select("word").distinct()
     sized = words.withColumn("size", F.length("word").cast("long"))
     lengths = F.explode(F.expr("array(size - 1, size, size + 1)"))
-    stored = sized.withColumn("length", lengths).filter("length > 0").select("word", F.explode(_halves("word", "length")).alias("key"))
+    stored = sized.withColumn("length", lengths).filter("length > 0").select("word", F.posexplode(_halves("word", "length")).alias("side", "key"))
     stored = stored.distinct()
-    asked = sized.select("word", F.explode(_halves("word", "size")).alias("key"))
+    asked = sized.select("word", F.posexplode(_halves("word", "size")).alias("side", "key"))
     stored = materialize(stored, "halves")
     total = stored.count()
-    shards = max(1, -(-total // shard))
+    shards = max(1, -(-total // (2 * shard)))  # of each side
     crowded = stored.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
     crowded = materialize(crowded.select("key", F.ceil(F.col("n") / shard).cast("int").alias("parts")), "crowded")
     alone = crowded.count() > 0
@@ -263,23 +278,23 @@ def near_words(words: DataFrame, shard: int = SHARD_WORDS) -> DataFrame:
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         """Rows with the cell they meet in: shard, or key and place in the key's grid."""
         if not alone:
-            return rows.select("word", F.pmod("key", F.lit(shards)).alias("shard"), F.lit(0).alias("row"), F.lit(0).alias("column"))
+            return rows.select("word", "side", F.pmod("key", F.lit(shards)).alias("shard"), F.lit(0).alias("row"), F.lit(0).alias("column"))
         split = rows.join(crowded, "key", "left").withColumn("own", F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int"))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         shard_of = F.when(F.col("parts").isNull(), F.pmod("key", F.lit(shards))).otherwise(F.col("key"))
         # A shard's number is far below a hash, but may equal one; the grid keeps them apart.
         grid = F.when(F.col("parts").isNull(), -1).otherwise(F.col(own)), F.when(F.col("parts").isNull(), -1).otherwise(F.col(other))
-        return split.select("word", shard_of.alias("shard"), grid[0].alias("row"), grid[1].alias("column"))
+        return split.select("word", "side", shard_of.alias("shard"), grid[0].alias("row"), grid[1].alias("column"))
 
-    cell = ["shard", "row", "column"]
+    cell = ["side", "shard", "row", "column"]
     index = dealt(stored, "own", "other").distinct()
     queries = dealt(asked, "other", "own").distinct()
     pairs = index.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(_search_shard, "word string, near string")
     return pairs.distinct()
 
 
-def _search_shard(index: pa.Table, queries: pa.Table) -> pa.Table:
-    """Pairs of the queries with the index words of one cell."""
+def _search_shard(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
+    """Pairs of the queries with the index words of one cell, in the direction of the half that the cell's keys name."""
     words, asked = index.column("word").to_pylist(), queries.column("word").to_pylist()
     empty = pa.table({"word": pa.array([], pa.string()), "near": pa.array([], pa.string())})
     if not words or not asked:
@@ -290,8 +305,8 @@ def _search_shard(index: pa.Table, queries: pa.Table) -> pa.Table:
     asked.sort(key=len)
     for start in range(0, len(asked), QUERIES):
         some = asked[start : start + QUERIES]
-        for query, word in both.one_error(some):
-            found.append(pa.table({"word": pa.array(some, pa.string()).take(pa.array(query)), "near": names.take(pa.array(word)).cast(pa.string())}))
+        query, word = both.one_error_beside(some, START if key[0].as_py() else END)
+        found.append(pa.table({"word": pa.array(some, pa.string()).take(pa.array(query)), "near": names.take(pa.array(word)).cast(pa.string())}))
     return pa.concat_tables(found)
 
 
