@@ -11,16 +11,17 @@ Only numbers and lengths take part in this; token ids wait in a stored table.
 
 from __future__ import annotations
 
+import json
 import random
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm import pretoken
 from corpusflow.llm.common import sliced
 from corpusflow.llm.packing import byte_encoder
 from corpusflow.session import materialize
@@ -237,9 +238,14 @@ def place(pieces: DataFrame, size: int, group: int = GROUP, seed: int = 1) -> Da
     return placed
 
 
+@lru_cache
 def id_bytes(path: str) -> int:
-    """Bytes an id takes while it is stored and moved: two for vocabularies that fit."""
-    file = pretoken.spec(path)
+    """Bytes an id takes while it is stored and moved: two for vocabularies that fit.
+
+    The file is read apart from ``pretoken``, whose tables travel to the tasks with the functions that use them.
+    """
+    with open(path, encoding="utf-8") as source:
+        file = json.load(source)
     return 2 if max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])]) < 1 << 16 else 4
 
 
