@@ -39,6 +39,15 @@ def pair_terms(df: DataFrame, features: int) -> Column:
     return F.concat(*sides) if len(sides) > 1 else sides[0]
 
 
+def probabilities(inverse: np.ndarray, weights: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One row of class probabilities per text, given the hashes of all texts in a row."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    value = inverse[ids] / np.sqrt(lengths)[owner]
+    margins = np.stack([np.bincount(owner, w[ids] * value, minlength=len(lengths)) + w[-1] for w in weights], axis=1)
+    raised = np.exp(margins - margins.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
 @dataclass
 class LinearModel:
     """Class weights of hashed terms; ``weights`` has a row per label, its last column is the constant."""
@@ -51,22 +60,15 @@ class LinearModel:
     def features(self) -> int:
         return len(self.inverse)
 
-    def probabilities(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """One row of class probabilities per text, given the hashes of all texts in a row."""
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        value = self.inverse[ids] / np.sqrt(lengths)[owner]
-        margins = np.stack([np.bincount(owner, w[ids] * value, minlength=len(lengths)) + w[-1] for w in self.weights], axis=1)
-        raised = np.exp(margins - margins.max(axis=1, keepdims=True))
-        return raised / raised.sum(axis=1, keepdims=True)
-
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``scores`` (class probabilities) and ``prediction``, the label of the highest (the first on ties)."""
+        inverse, weights = self.inverse, self.weights  # the function takes arrays with it, not this object
 
         @F.pandas_udf("array<double>")
         def scores(terms: pd.Series) -> pd.Series:
             lengths = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
             ids = np.concatenate([np.asarray(t, dtype=np.int64) for t in terms]) if len(terms) else np.empty(0, dtype=np.int64)
-            return pd.Series(list(self.probabilities(ids, lengths)))
+            return pd.Series(list(probabilities(inverse, weights, ids, lengths)))
 
         scored = df.withColumn("scores", scores(pair_terms(df, self.features)))
         at = F.array_position("scores", F.array_max("scores")).cast("int")
@@ -103,7 +105,7 @@ class Trainer:
 
     def loss_and_gradient(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean negative log likelihood with the penalty, and its gradient, in one pass over the stored rows."""
-        model, k, width = LinearModel(self.labels, self.inverse, weights), len(self.labels), weights.shape[1]
+        inverse, k, width = self.inverse, len(self.labels), weights.shape[1]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -114,11 +116,11 @@ class Trainer:
                 ids, truth = part.column("ids").flatten().to_numpy().astype(np.int64), part.column("label").to_numpy()
                 if not len(lengths):
                     continue
-                found = model.probabilities(ids, lengths)
+                found = probabilities(inverse, weights, ids, lengths)
                 loss -= float(np.log(np.maximum(found[np.arange(len(truth)), truth], 1e-300)).sum())
                 found[np.arange(len(truth)), truth] -= 1.0
                 owner = np.repeat(np.arange(len(lengths)), lengths)
-                value = model.inverse[ids] / np.sqrt(lengths)[owner]
+                value = inverse[ids] / np.sqrt(lengths)[owner]
                 for c in range(k):
                     gradient[c, :-1] += np.bincount(ids, found[owner, c] * value, minlength=width - 1)
                     gradient[c, -1] += found[:, c].sum()

@@ -24,8 +24,7 @@ def test_gradient_is_that_of_the_loss(spark, monkeypatch):
         assert (near[0] - near[1]) / 2e-5 == pytest.approx(float((gradient * move).sum()), rel=1e-5)
     # The loss again, from the rows.
     rows = trainer.rows.collect()
-    model = training.LinearModel(["poor", "good"], trainer.inverse, weights)
-    found = model.probabilities(np.array([i for r in rows for i in r["ids"]], dtype=np.int64), np.array([len(r["ids"]) for r in rows]))
+    found = training.probabilities(trainer.inverse, weights, np.array([i for r in rows for i in r["ids"]], dtype=np.int64), np.array([len(r["ids"]) for r in rows]))
     want = -np.mean([np.log(found[i, r["label"]]) for i, r in enumerate(rows)]) + 0.5 * trainer.reg * (weights[:, :-1] ** 2).sum()
     assert loss == pytest.approx(want) and len(rows) == 82
 
@@ -57,6 +56,20 @@ def test_training_lowers_the_loss_and_tells_the_classes(spark):
     assert all(r["prediction"] == r["label"] and sum(r["scores"]) == pytest.approx(1) for r in rows)
 
 
+def test_functions_sent_to_tasks_take_no_modules_with_them(spark):
+    """A module of the package may hold things that cannot be sent, such as functions that Spark has registered."""
+    from corpusflow.functions import text as X
+
+    words = spark.createDataFrame([("running",)], "w string")
+    assert words.select(X.porter_stem("w").alias("s")).first()["s"] == "run"
+    X.held = spark.sparkContext
+    try:
+        trainer = training.Trainer(reviews(spark), ["poor", "good"], features=16)
+        assert trainer.model(trainer.advance(trainer.start(), 1)).transform(reviews(spark)).count() == 83
+    finally:
+        del X.held
+
+
 def test_pairs_and_empty_tables(spark):
     rows = [("what", "cat" if i % 2 else "dog", "c" if i % 2 else "d") for i in range(40)]
     trainer = training.Trainer(spark.createDataFrame(rows, "text_a string, text_b string, label string"), ["c", "d"], features=64)
