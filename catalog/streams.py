@@ -17,8 +17,12 @@ from corpusflow.streaming import jobs, state
 
 
 def stream(spark, folder, name):
-    """A given table as a stream of its files."""
-    return jobs.read_files(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
+    """A given table, one file or a folder of them, as a stream of its files."""
+    at, schema = f"{folder}/{name}.parquet", table(spark, folder, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return jobs.read_files(spark, at, schema)
+    return jobs.read_files(spark, folder, schema, f"{name}.parquet")
 
 
 def batches(spark, rows, parts):
