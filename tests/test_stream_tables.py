@@ -19,3 +19,7 @@ def folder(spark, tmp_path_factory):
 
 def test_stream_ingest_of_a_folder(spark, folder):
     assert streams.stream_ingest(spark, folder).count() == 30
+
+
+def test_stream_rendezvous_of_a_folder(spark, folder):
+    assert streams.stream_rendezvous(spark, folder).count() == 9
