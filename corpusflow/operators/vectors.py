@@ -16,6 +16,8 @@ METRICS = ("l2", "cosine")
 #: Query vectors are shipped to all tasks up to this many cells, and compared in blocks of this many rows.
 QUERY_CELLS = 4_000_000
 BLOCK = 2048
+#: A tile: queries and vectors multiplied at a time, whatever a block holds; and pairs scored exactly at a time.
+TILE_QUERIES, TILE_VECTORS, SCORED = 1024, 2048, 20_000
 CANDIDATES = "request_id long, vec_id long, distance double"
 
 
@@ -40,7 +42,10 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     dots = q @ v.T
     if metric == "l2":
-        return np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * dots, 0.0)
+        dots *= -2
+        dots += (q * q).sum(1)[:, None]
+        dots += (v * v).sum(1)[None, :]
+        return np.maximum(dots, 0.0, out=dots)
     norms = np.sqrt((q * q).sum(1)[:, None] * (v * v).sum(1)[None, :])
     return np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0)
 
@@ -63,18 +68,65 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple:
-    """Pairs (request ids, vector ids, rounded distances) of one block: per query its k nearest and their ties.
+    """Pairs (request ids, vector ids, rounded distances) of one block: the k nearest per query row, ties by id.
 
-    The matrix product proposes all pairs that can be among these within its error; they are scored again exactly.
+    The matrix product proposes all pairs that can be among these within its error; they are scored again exactly.  Both sides
+    are cut into tiles: the k-th distance of the tiles before is the bound for the next one, so memory does not grow with the block.
     """
-    rough, last = _distances(q, v, metric), min(k, len(vid)) - 1
+    if k < 1 or not len(q):
+        return qid[:0], vid[:0], np.empty(0)
+    done = [_nearest_of_tiles(q[i : i + TILE_QUERIES], vid, v, k, metric) for i in range(0, len(q), TILE_QUERIES)]
+    rows = [row + i for (row, _, _), i in zip(done, range(0, len(q), TILE_QUERIES))]
+    return qid[np.concatenate(rows)], np.concatenate([ids for _, ids, _ in done]), np.concatenate([dist for _, _, dist in done])
+
+
+def _nearest_of_tiles(q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple:
+    """(query rows, vector ids, rounded distances) of the k nearest distinct pairs per query, among its k smallest distances and their ties."""
     room = 2 * _error_bound(q, v, metric) + 2e-6  # the last part keeps pairs that are equal after rounding
-    row, col = np.nonzero(rough <= np.partition(rough, last, axis=1)[:, last : last + 1] + room)
-    rounded = np.empty(len(row))
-    for at in range(0, len(row), 100_000):
-        some = slice(at, at + 100_000)
-        rounded[some] = np.round(_exact(q[row[some]], v[col[some]], metric), 6) + 0.0
-    return qid[row], vid[col], rounded
+    row, ids, dist = np.empty(0, dtype=np.int64), vid[:0], np.empty(0)
+    smallest = np.full((len(q), k), np.inf)  # of each query the k smallest distances so far, repeated ones too
+    for at in range(0, len(vid), TILE_VECTORS):
+        tile, names = v[at : at + TILE_VECTORS], vid[at : at + TILE_VECTORS]
+        rough = _distances(q, tile, metric)
+        bound = smallest[:, -1:]
+        if at == 0:
+            last = min(k, len(names)) - 1
+            bound = np.partition(rough, last, axis=1)[:, last : last + 1]
+        new, col = np.nonzero(rough <= bound + room)
+        if not len(new):
+            continue
+        rounded = np.empty(len(new))
+        for i in range(0, len(new), SCORED):
+            some = slice(i, i + SCORED)
+            rounded[some] = np.round(_exact(q[new[some]], tile[col[some]], metric), 6) + 0.0
+        _lower(smallest, new, rounded)
+        row, ids, dist = np.concatenate([row, new]), np.concatenate([ids, names[col]]), np.concatenate([dist, rounded])
+        row, ids, dist = _first_distinct(row, ids, dist, smallest[:, -1], k)
+    return row, ids, dist
+
+
+def _lower(smallest: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """Bring more values into the sorted ``smallest`` of their rows."""
+    order = np.lexsort((values, row))
+    row, values = row[order], values[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    few = place < smallest.shape[1]
+    touched, where = np.unique(row[few], return_inverse=True)
+    more = np.full((len(touched), smallest.shape[1]), np.inf)
+    more[where, place[few]] = values[few]
+    smallest[touched] = np.sort(np.concatenate([smallest[touched], more], axis=1), axis=1)[:, : smallest.shape[1]]
+
+
+def _first_distinct(row: np.ndarray, ids: np.ndarray, dist: np.ndarray, bound: np.ndarray, k: int) -> tuple:
+    """Of each row the first k distinct (distance, id) up to the row's bound."""
+    order = np.lexsort((ids, dist, row))
+    order = order[dist[order] <= bound[row[order]]]
+    row, ids, dist = row[order], ids[order], dist[order]
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (dist[1:] != dist[:-1]) | (ids[1:] != ids[:-1])
+    row, ids, dist = row[fresh], ids[fresh], dist[fresh]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], ids[first], dist[first]
 
 
 def _best(pairs: list[tuple], k: int) -> pd.DataFrame:
