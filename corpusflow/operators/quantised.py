@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by product quantisation: cells of nearest pivots, residual codes, exact distances of a short list.
 
 A vector is its nearest pivot and, for each part of what is left of it, the number of the nearest of 256 code words.  A query meets the
-cells of its nearest pivots; there a table of its distances to all code words gives the distance to every vector by adding up a
-few entries.  Only codes are sent to queries, a byte for each part; vectors are fetched for the short list alone and compared exactly.
+cells of its nearest pivots; there its distances to the points that the codes stand for, one matrix product a cell, rank the vectors.
+Only codes are sent to queries, a byte for each part; vectors are fetched for the short list alone and compared exactly.  Cells
+are packed into regions: a query goes once to each region that it visits and leaves it with one short list.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from corpusflow.session import materialize
 
 #: Cells at most; components of a part; code words of a part.
 MOST_CELLS, PART, WORDS = 1024, 4, 256
-#: Vectors of a cell that one task meets at a time, and queries.
-CELL_ROWS, CROWD = 8192, 4096
+#: Vectors of a region, that one task meets at a time, and queries; and those ranked at a time.
+CELL_ROWS, CROWD, RANKED = 32_768, 8192, 128
 #: Share of the sampled neighbours whose cells a query must meet, sampled probes for it, and the short list per neighbour wanted.
 REACHED, PROBES, SHORT = 0.97, 100, 20
 
 
 @dataclass
 class QuantisedIndex:
-    """Codes (vec_id, cell, part, code), stored; the vectors; pivots, code words by part, cell sizes, and the share to be met."""
+    """Codes (vec_id, cell, code), stored; the vectors; pivots, code words by part, cell sizes, and the share to be met."""
 
     codes: DataFrame
     vectors: DataFrame
@@ -66,9 +67,7 @@ class QuantisedIndex:
         sizes = np.zeros(len(pivots), dtype=np.int64)
         for row in stored.groupBy("cell").count().collect():  # a row per cell
             sizes[row["cell"]] = row["count"]
-        parts = F.array(*[F.lit(int(-(-n // CELL_ROWS)) or 1) for n in sizes])
-        dealt = stored.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("cell") + 1)).cast("int"))
-        return cls(dealt, kept, pivots, words, sizes, _needed_share(sample, pivots, cells, k))
+        return cls(stored, kept, pivots, words, sizes, _needed_share(sample, pivots, cells, k))
 
     def search(self, queries: DataFrame, k: int | None) -> DataFrame:
         """About the k nearest vectors per query (request_id, vector[, top_k]): (request_id, rank, vec_id, distance), ties by id.
@@ -83,6 +82,8 @@ class QuantisedIndex:
         pivots, words, sizes, least = self.pivots, self.words, self.sizes, max(most * SHORT, int(np.ceil(self.share * self.sizes.sum())))
         short = most * SHORT
 
+        region, parts = _regions(sizes)
+
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for at in range(0, len(frame), 512):
@@ -90,30 +91,59 @@ class QuantisedIndex:
                     order = np.argsort(_to_all(_matrix(part["vector"]), pivots), axis=1, kind="stable")
                     held = sizes[order]
                     row, place = np.nonzero((held.cumsum(axis=1) - held < least) & (held > 0))
-                    yield pd.DataFrame({"request_id": part["request_id"].to_numpy()[row], "vector": part["vector"].to_numpy()[row], "cell": order[row, place].astype(np.int32)})
+                    cell = order[row, place].astype(np.int32)
+                    by_region = np.lexsort((cell, region[cell], row))
+                    row, cell = row[by_region], cell[by_region]
+                    starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(region[cell], prepend=-1) != 0))
+                    yield pd.DataFrame(
+                        {
+                            "request_id": part["request_id"].to_numpy()[row[starts]],
+                            "vector": part["vector"].to_numpy()[row[starts]],
+                            "region": region[cell[starts]],
+                            "cells": np.split(cell, starts[1:]) if len(starts) else [],
+                        }
+                    )
 
         def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(left) and len(right):
-                code = np.frombuffer(b"".join(right["code"]), dtype=np.uint8).reshape(len(right), -1)
-                ids, pivot = right["vec_id"].to_numpy(), pivots[int(right["cell"].iloc[0])]
-                for request, vector in zip(left["request_id"], left["vector"]):
-                    rest, sums = np.asarray(vector, dtype=np.float64) - pivot, np.zeros(len(ids))
-                    for j, w in enumerate(words):
-                        sums += ((w - rest[j * PART : (j + 1) * PART]) ** 2).sum(axis=1)[code[:, j]]
-                    best = np.argpartition(sums, short - 1)[:short] if len(sums) > short else np.arange(len(sums))
-                    out.append(pd.DataFrame({"request_id": request, "vec_id": ids[best], "about": sums[best]}))
-            return pd.concat(out) if out else pd.DataFrame({"request_id": [], "vec_id": [], "about": []})
+            if left.empty or right.empty:
+                return pd.DataFrame({"request_id": [], "vec_id": [], "about": []})
+            right = right.sort_values(["cell", "vec_id"])
+            ids, cell, out = right["vec_id"].to_numpy(), right["cell"].to_numpy(), []
+            code = np.frombuffer(b"".join(right["code"]), dtype=np.uint8).reshape(len(right), -1)
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            ends = np.append(starts[1:], len(cell))
+            points = np.hstack([w[code[:, j]] for j, w in enumerate(words)])
+            squares = (points * points).sum(axis=1)
+            for at in range(0, len(left), RANKED):
+                some = left.iloc[at : at + RANKED]
+                asked, sums = _matrix(some["vector"]), np.full((len(some), len(ids)), np.inf)
+                visits = np.repeat(np.arange(len(some)), [len(c) for c in some["cells"]])
+                visited = np.concatenate(some["cells"].to_list())
+                order = np.argsort(visited, kind="stable")
+                visits, visited = visits[order], visited[order]
+                for start, end in zip(starts, ends):
+                    who = visits[np.searchsorted(visited, cell[start]) : np.searchsorted(visited, cell[start], "right")]
+                    if len(who):
+                        rest = asked[who] - pivots[cell[start]]
+                        away = (rest * rest).sum(axis=1)[:, None] + squares[start:end] - 2 * rest @ points[start:end].T
+                        sums[who, start:end] = np.round(away, 9)  # equal codes are equally near
+                best = np.argpartition(sums, short - 1, axis=1)[:, :short] if len(ids) > short else np.tile(np.arange(len(ids)), (len(some), 1))
+                about = np.take_along_axis(sums, best, axis=1)
+                row, place = np.nonzero(~np.isinf(about))
+                out.append(pd.DataFrame({"request_id": some["request_id"].to_numpy()[row], "vec_id": ids[best[row, place]], "about": about[row, place]}))
+            return pd.concat(out)
 
         own, kind = dict(queries.dtypes)["request_id"], queries.schema["vector"].dataType.simpleString()
-        visits = materialize(asked.mapInPandas(meet, f"request_id {own}, vector {kind}, cell int"), "visits")
-        # A cell's codes go once to each crowd of the queries that visit it, part by part.
-        crowds = materialize(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("crowds")), "crowds")  # a row per cell
-        visits = visits.join(F.broadcast(crowds), "cell").withColumn("crowd", F.pmod(F.xxhash64("request_id"), F.col("crowds")).cast("int")).drop("crowds")
-        parts = F.array(*[F.lit(int(-(-n // CELL_ROWS)) or 1) for n in sizes])
-        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell") + 1) - 1)))
-        codes = self.codes.join(F.broadcast(crowds), "cell").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).drop("crowds")
-        key = ["cell", "part", "crowd"]
+        visits = materialize(asked.mapInPandas(meet, f"request_id {own}, vector {kind}, region int, cells array<int>"), "visits")
+        # A region's codes go once to each crowd of the queries that visit it; a cell of more vectors is several parts of its region.
+        places = queries.sparkSession.createDataFrame([(c, int(r), int(parts[r])) for c, r in enumerate(region)], "cell int, region int, parts int")
+        crowds = materialize(visits.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("crowds")), "crowds")  # a row per region
+        visits = visits.join(F.broadcast(crowds), "region").withColumn("crowd", F.pmod(F.xxhash64("request_id"), F.col("crowds")).cast("int")).drop("crowds")
+        visits = visits.join(F.broadcast(places.select("region", "parts").distinct()), "region")
+        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        codes = self.codes.join(F.broadcast(places), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+        codes = codes.join(F.broadcast(crowds), "region").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).drop("crowds")
+        key = ["region", "part", "crowd"]
         listed = visits.groupBy(*key).cogroup(codes.groupBy(*key)).applyInPandas(nearest, f"request_id {own}, vec_id {dict(self.codes.dtypes)['vec_id']}, about double")
         listed = materialize(top_k(listed, ["request_id"], [F.asc("about"), F.asc("vec_id")], short, "place").select("request_id", "vec_id"), "short")
         pairs = listed.join(self.vectors, "vec_id").join(asked.withColumnRenamed("vector", "asked"), "request_id")
@@ -121,6 +151,17 @@ class QuantisedIndex:
         return best_of(scored, queries, [F.asc("distance"), F.asc("vec_id")], k)
 
 
+def _regions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(region of each cell, parts of each region): cells in a row that hold about ``CELL_ROWS`` vectors together, or one that holds more."""
+    region, held, number = np.zeros(len(sizes), dtype=np.int32), 0, 0
+    for cell, n in enumerate(sizes):
+        if held and held + n > CELL_ROWS:
+            number, held = number + 1, 0
+        region[cell], held = number, held + n
+    totals = np.bincount(region, weights=sizes).astype(np.int64)
+    return region, np.maximum(1, -(-totals // CELL_ROWS))
+
+
 def _needed_share(sample: np.ndarray, pivots: np.ndarray, cells: np.ndarray, k: int) -> float:
     """Share of the sample that a query must meet, nearest cells first, to reach ``REACHED`` of its ``k`` nearest."""
     sizes, shares = np.bincount(cells, minlength=len(pivots)), []

@@ -35,3 +35,15 @@ def test_empty_sides(spark):
     assert quantised.QuantisedIndex.build(none).search(some, 3).count() == 0
     index = quantised.QuantisedIndex.build(some.withColumnRenamed("request_id", "vec_id"))
     assert index.search(some.limit(0), 3).count() == 0
+
+
+def test_a_query_goes_once_to_each_region(spark, monkeypatch):
+    """As many rows as regions for each query, not as cells."""
+    stored, keep = {}, quantised.materialize
+    monkeypatch.setattr(quantised, "materialize", lambda df, label: stored.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(quantised, "CELL_ROWS", 200)
+    base, asked = sets("random")
+    index = quantised.QuantisedIndex.build(table(spark, base, "vec_id"), 5)
+    assert index.search(table(spark, asked, "request_id"), 5).count() == 5 * len(asked)
+    regions = len(set(quantised._regions(index.sizes)[0].tolist()))
+    assert regions < len(index.pivots) / 4 and stored["visits"].count() <= len(asked) * regions
