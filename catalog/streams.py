@@ -16,6 +16,10 @@ from corpusflow.session import scratch_path
 from corpusflow.streaming import jobs, state
 
 
+#: Rows of a file, on the mean and at least, of a part that is written by several tasks.
+FILE_ROWS = 5_000
+
+
 def stream(spark, folder, name):
     """A given table, one file or a folder of them, as a stream of its files."""
     at, schema = f"{folder}/{name}.parquet", table(spark, folder, name).schema
@@ -26,11 +30,18 @@ def stream(spark, folder, name):
 
 
 def batches(spark, rows, parts):
-    """A table as a stream of several micro-batches, in order of its ``part`` column."""
+    """A table as a stream of several micro-batches, in order of its ``part`` column.
+
+    Large parts are written by several tasks.  All parts but the last have equally many files, of at least ``FILE_ROWS`` rows on the
+    mean, as a micro-batch is told by its number of files.
+    """
     path = scratch_path(spark, "stream")
+    held = dict(rows.filter(F.col("part") < parts - 1).groupBy("part").count().collect())  # a row per part
+    files = max(1, min(held.get(part, 0) for part in range(parts - 1)) // FILE_ROWS)
     for part in range(parts):
-        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_files(spark, path, rows.drop("part").schema, "*.parquet", per_batch=1)
+        some = rows.filter(F.col("part") == part).drop("part")
+        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").parquet(path)
+    return jobs.read_files(spark, path, rows.drop("part").schema, "*.parquet", per_batch=files)
 
 
 def finish(running):

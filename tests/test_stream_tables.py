@@ -23,3 +23,18 @@ def test_stream_ingest_of_a_folder(spark, folder):
 
 def test_stream_rendezvous_of_a_folder(spark, folder):
     assert streams.stream_rendezvous(spark, folder).count() == 9
+
+
+def test_large_parts_are_written_by_several_tasks(spark, monkeypatch):
+    """And stay one micro-batch each, in order; the last may be small."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 400, 0).when(F.col("id") < 999, 1).otherwise(2).alias("part"))
+    source = streams.batches(spark, rows, 3)
+    seen = {}
+
+    def handle(batch, number):
+        seen[number] = sorted(r["id"] for r in batch.collect()), len(batch.select(F.input_file_name()).distinct().collect())
+
+    streams.finish(streams.jobs.start(source, handle, streams.scratch_path(spark, "state")))
+    assert [seen[n][0] for n in sorted(seen)] == [list(range(400)), list(range(400, 999)), [999]]
+    assert [seen[n][1] for n in sorted(seen)] == [4, 4, 1]
