@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.scale import best_of, wanted_hits
-from corpusflow.operators.vectors import BLOCK, _by_buckets, _matrix
+from corpusflow.operators.vectors import BLOCK, CANDIDATES, _best, _matrix, _nearest
 from corpusflow.session import materialize
 
 #: Pivots at most, vectors they are fitted on at most, and rounds of that.
 MOST_PIVOTS, MOST_FITTED, ROUNDS = 1024, 20_000, 5
 #: Vectors of a ring, about; and how many times the neighbours asked for a query meets at first, at least.
 RING_ROWS, FIRST = 4096, 8
+#: Pairs that a task holds before it keeps the best of each query; vectors of a region, and queries that meet it at a time.
+HELD, REGION_ROWS = 2_000_000, 20_000
 #: Room for the rounding of distances.
 ROOM = 1e-5
 
@@ -48,6 +50,51 @@ def fit_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return pivots
 
 
+def pack(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(region of each group, parts of each region): groups in a row that hold about ``rows`` vectors together, or one that holds more."""
+    region, held, number = np.zeros(len(sizes), dtype=np.int32), 0, 0
+    for group, n in enumerate(sizes):
+        if held and held + n > rows:
+            number, held = number + 1, 0
+        region[group], held = number, held + n
+    totals = np.bincount(region, weights=sizes).astype(np.int64)
+    return region, np.maximum(1, -(-totals // rows))
+
+
+def _compare_regions(visits: DataFrame, vectors: DataFrame, places: DataFrame, k: int, rows: int) -> DataFrame:
+    """The k nearest of each query (request_id, vector, region, buckets) and region among the vectors of these buckets.
+
+    A region's vectors go once to each crowd of about ``rows`` queries that visit it; a bucket of more vectors is cut into parts.
+    """
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pairs: list[tuple] = []
+        if len(left) and len(right):
+            asked, q, vid, v = left["request_id"].to_numpy(), _matrix(left["vector"]), right["vec_id"].to_numpy(), _matrix(right["vector"])
+            met, who = np.concatenate(left["buckets"].to_list()), np.repeat(np.arange(len(left)), [len(b) for b in left["buckets"]])
+            order = np.argsort(met, kind="stable")
+            met, who = met[order], who[order]
+            for bucket, at in right.groupby("bucket").indices.items():
+                some = who[np.searchsorted(met, bucket) : np.searchsorted(met, bucket, "right")]
+                if len(some):
+                    pairs.append(_nearest(asked[some], q[some], vid[at], v[at], k, "l2"))
+                if sum(len(p[0]) for p in pairs) > HELD:
+                    best = _best(pairs, k)
+                    pairs = [tuple(best[c].to_numpy() for c in best.columns)]
+        return _best(pairs, k)
+
+    crowds = materialize(visits.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("crowds")), "crowds")  # a row per region
+    parts = places.select("region", "parts").distinct()
+    visits = visits.join(F.broadcast(crowds), "region").join(F.broadcast(parts), "region")
+    visits = visits.withColumns({"crowd": F.pmod(F.xxhash64("request_id"), F.col("crowds")), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    vectors = vectors.join(F.broadcast(places), "bucket").join(F.broadcast(crowds), "region")
+    vectors = vectors.withColumns({"part": F.pmod(F.xxhash64("vec_id"), F.col("parts")), "crowd": F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))})
+    key = [F.col(c).cast("long").alias(c) for c in ("region", "part", "crowd")]
+    left, right = visits.select(*key, "request_id", "vector", "buckets"), vectors.select(*key, "vec_id", "vector", "bucket")
+    key = ["region", "part", "crowd"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, CANDIDATES)
+
+
 @dataclass
 class PivotIndex:
     """Vectors (vec_id, vector) with their ring as ``bucket``, stored; pivots; and a row per ring (pivot, low, high, count)."""
@@ -88,10 +135,11 @@ class PivotIndex:
     def size(self) -> int:
         return int(self.rings["n"].sum())
 
-    def visits(self, queries: DataFrame, first: int | None) -> DataFrame:
-        """(request_id, vector, bucket) of the rings a query meets: those that may be nearest until they hold ``first`` vectors; or,
-        without it, all others that can hold one within the query's ``reach``."""
+    def visits(self, queries: DataFrame, first: int | None, rows: int = REGION_ROWS) -> DataFrame:
+        """(request_id, vector, region, buckets) of the rings a query meets: those that may be nearest until they hold ``first`` vectors;
+        or, without it, all others that can hold one within the query's ``reach``.  A query has a row per region of about ``rows`` vectors."""
         sent = queries.sparkSession.sparkContext.broadcast((self.pivots, *(self.rings[c].to_numpy() for c in ("bucket", "pivot", "low", "high", "n"))))
+        region, _ = pack(self.rings["n"].to_numpy(), rows)
 
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pivots, bucket, pivot, low, high, n = sent.value
@@ -109,13 +157,16 @@ class PivotIndex:
                     np.put_along_axis(early, order, before - np.take_along_axis(np.broadcast_to(n, bound.shape), order, axis=1) < wanted, axis=1)
                     met = early if first is not None else ~early & (bound <= part["reach"].to_numpy()[:, None] + ROOM)
                     row, ring = np.nonzero(met)
-                    yield pd.DataFrame({"request_id": part["request_id"].to_numpy()[row], "vector": part["vector"].to_numpy()[row], "bucket": bucket[ring]})
+                    starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(region[ring], prepend=-1) != 0))
+                    met = {c: part[c].to_numpy()[row[starts]] for c in ("request_id", "vector")}
+                    if len(starts):
+                        yield pd.DataFrame({**met, "region": region[ring[starts]], "buckets": np.split(bucket[ring], starts[1:])})
 
         kind, own = queries.schema["vector"].dataType.simpleString(), dict(queries.dtypes)["request_id"]
         asked = queries if first is None else queries.withColumn("first", F.lit(first)).withColumn("reach", F.lit(0.0))
-        return asked.select("request_id", "vector", "first", "reach").mapInPandas(meet, f"request_id {own}, vector {kind}, bucket long")
+        return asked.select("request_id", "vector", "first", "reach").mapInPandas(meet, f"request_id {own}, vector {kind}, region int, buckets array<long>")
 
-    def search(self, queries: DataFrame, k: int | None, block_rows: int = 20_000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int | None, block_rows: int = REGION_ROWS) -> DataFrame:
         """Exact k nearest vectors per query (request_id, vector[, top_k]): (request_id, rank, vec_id, distance), ties by id.
 
         As ``vectors.nearest`` by squared Euclidean distance, rounded to six places; without ``k`` each request's own ``top_k``.
@@ -125,14 +176,17 @@ class PivotIndex:
         if not self.size:
             return queries.sparkSession.createDataFrame([], "request_id long, vec_id long, distance double, rank int")
         first = max(1, FIRST * most)
-        early = materialize(_by_buckets(self.visits(asked, first), self.rows, most, "l2", block_rows), "early")
+        region, parts = pack(self.rings["n"].to_numpy(), block_rows)
+        places = queries.sparkSession.createDataFrame([(int(b), int(r), int(parts[r])) for b, r in zip(self.rings["bucket"], region)], "bucket long, region int, parts int")
+        met = materialize(self.visits(asked, first, block_rows), "visits")
+        early = materialize(_compare_regions(met, self.rows, places, most, block_rows), "early")
         order = [F.asc("distance"), F.asc("vec_id")]
         last = best_of(early, wanted.withColumnRenamed("k", "top_k"), order, None).groupBy("request_id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("have"))
         reach = asked.join(wanted, "request_id").join(last, "request_id", "left")
         enough = F.coalesce(F.col("have") >= F.col("k"), F.lit(False))
         reach = reach.withColumns({"first": F.lit(first), "reach": F.when(enough, F.sqrt(F.col("far") + 1e-6)).otherwise(F.lit(float("inf")))})
-        rest = self.visits(materialize(reach.filter("k > 0").select("request_id", "vector", "first", "reach"), "reach"), None)
-        late = _by_buckets(materialize(rest, "visits"), self.rows, most, "l2", block_rows)
+        rest = self.visits(materialize(reach.filter("k > 0").select("request_id", "vector", "first", "reach"), "reach"), None, block_rows)
+        late = _compare_regions(materialize(rest, "visits"), self.rows, places, most, block_rows)
         return best_of(early.unionByName(late), queries, order, k)
 
     def share_met(self, queries: DataFrame, k: int) -> float:
@@ -141,5 +195,5 @@ class PivotIndex:
         hits = self.search(queries, k).groupBy("request_id").agg(F.max("distance").alias("far"))
         reach = asked.join(hits, "request_id").withColumns({"first": F.lit(FIRST * k), "reach": F.sqrt(F.col("far") + 1e-6)})
         sizes = queries.sparkSession.createDataFrame(self.rings[["bucket", "n"]])
-        met = self.visits(asked, FIRST * k).unionByName(self.visits(reach, None)).join(sizes, "bucket")
+        met = self.visits(asked, FIRST * k).unionByName(self.visits(reach, None)).select(F.explode("buckets").alias("bucket")).join(sizes, "bucket")
         return (met.agg(F.sum("n")).first()[0] or 0) / max(1, queries.count() * self.size)

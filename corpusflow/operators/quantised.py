@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.pivots import MOST_FITTED, _to_all, fit_pivots
+from corpusflow.operators.pivots import MOST_FITTED, _to_all, fit_pivots, pack
 from corpusflow.operators.scale import best_of, top_k, wanted_hits
 from corpusflow.operators.vectors import BLOCK, _matrix, distance
 from corpusflow.session import materialize
@@ -82,7 +82,7 @@ class QuantisedIndex:
         pivots, words, sizes, least = self.pivots, self.words, self.sizes, max(most * SHORT, int(np.ceil(self.share * self.sizes.sum())))
         short = most * SHORT
 
-        region, parts = _regions(sizes)
+        region, parts = pack(sizes, CELL_ROWS)
 
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -95,12 +95,14 @@ class QuantisedIndex:
                     by_region = np.lexsort((cell, region[cell], row))
                     row, cell = row[by_region], cell[by_region]
                     starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(region[cell], prepend=-1) != 0))
+                    if not len(starts):
+                        continue
                     yield pd.DataFrame(
                         {
                             "request_id": part["request_id"].to_numpy()[row[starts]],
                             "vector": part["vector"].to_numpy()[row[starts]],
                             "region": region[cell[starts]],
-                            "cells": np.split(cell, starts[1:]) if len(starts) else [],
+                            "cells": np.split(cell, starts[1:]),
                         }
                     )
 
@@ -151,17 +153,6 @@ class QuantisedIndex:
         return best_of(scored, queries, [F.asc("distance"), F.asc("vec_id")], k)
 
 
-def _regions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(region of each cell, parts of each region): cells in a row that hold about ``CELL_ROWS`` vectors together, or one that holds more."""
-    region, held, number = np.zeros(len(sizes), dtype=np.int32), 0, 0
-    for cell, n in enumerate(sizes):
-        if held and held + n > CELL_ROWS:
-            number, held = number + 1, 0
-        region[cell], held = number, held + n
-    totals = np.bincount(region, weights=sizes).astype(np.int64)
-    return region, np.maximum(1, -(-totals // CELL_ROWS))
-
-
 def _needed_share(sample: np.ndarray, pivots: np.ndarray, cells: np.ndarray, k: int) -> float:
     """Share of the sample that a query must meet, nearest cells first, to reach ``REACHED`` of its ``k`` nearest."""
     sizes, shares = np.bincount(cells, minlength=len(pivots)), []

@@ -51,3 +51,21 @@ def test_empty_sides(spark):
     assert pivots.PivotIndex.build(none).search(some, 3).count() == 0
     index = pivots.PivotIndex.build(some.withColumnRenamed("request_id", "vec_id"))
     assert index.search(some.limit(0), 3).count() == 0
+
+
+def test_a_query_goes_once_to_each_region(spark, monkeypatch):
+    """As many rows as regions for each query and round, not as rings."""
+    counts, keep = [], pivots.materialize
+
+    def counted(df, label):
+        stored = keep(df, label)
+        if label == "visits":
+            counts.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(pivots, "materialize", counted)
+    base, asked = sets("random")
+    index = pivots.PivotIndex.build(table(spark, base, "vec_id"))
+    assert index.search(table(spark, asked, "request_id"), 7, block_rows=150).count() == 7 * len(asked)
+    regions = len(set(pivots.pack(index.rings["n"].to_numpy(), 150)[0].tolist()))
+    assert regions < len(index.rings) / 4 and len(counts) == 2 and max(counts) <= len(asked) * regions

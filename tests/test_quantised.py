@@ -45,5 +45,5 @@ def test_a_query_goes_once_to_each_region(spark, monkeypatch):
     base, asked = sets("random")
     index = quantised.QuantisedIndex.build(table(spark, base, "vec_id"), 5)
     assert index.search(table(spark, asked, "request_id"), 5).count() == 5 * len(asked)
-    regions = len(set(quantised._regions(index.sizes)[0].tolist()))
+    regions = len(set(quantised.pack(index.sizes, 200)[0].tolist()))
     assert regions < len(index.pivots) / 4 and stored["visits"].count() <= len(asked) * regions
