@@ -27,6 +27,8 @@ MOST_PIVOTS, MOST_FITTED, ROUNDS = 1024, 20_000, 5
 RING_ROWS, FIRST = 4096, 8
 #: Pairs that a task holds before it keeps the best of each query; vectors of a region, and queries that meet it at a time.
 HELD, REGION_ROWS = 2_000_000, 20_000
+#: Queries of a crowd at least, where regions are few.
+LEAST_CROWD = 256
 #: Room for the rounding of distances.
 ROOM = 1e-5
 
@@ -61,6 +63,14 @@ def pack(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return region, np.maximum(1, -(-totals // rows))
 
 
+def crowds_of(visits: DataFrame, parts: np.ndarray, rows: int) -> DataFrame:
+    """(region, crowds): crowds of about ``rows`` queries; of fewer where regions are too few to keep all cores busy."""
+    busy = -(-2 * visits.sparkSession.sparkContext.defaultParallelism // max(1, int(parts.sum())))
+    count = F.count(F.lit(1))
+    crowds = F.greatest(F.ceil(count / rows), F.least(F.ceil(count / LEAST_CROWD), F.lit(busy)))
+    return materialize(visits.groupBy("region").agg(crowds.cast("int").alias("crowds")), "crowds")  # a row per region
+
+
 def _compare_regions(visits: DataFrame, vectors: DataFrame, places: DataFrame, k: int, rows: int) -> DataFrame:
     """The k nearest of each query (request_id, vector, region, buckets) and region among the vectors of these buckets.
 
@@ -83,8 +93,8 @@ def _compare_regions(visits: DataFrame, vectors: DataFrame, places: DataFrame, k
                     pairs = [tuple(best[c].to_numpy() for c in best.columns)]
         return _best(pairs, k)
 
-    crowds = materialize(visits.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("crowds")), "crowds")  # a row per region
     parts = places.select("region", "parts").distinct()
+    crowds = crowds_of(visits, np.array([r["parts"] for r in parts.collect()]), rows)
     visits = visits.join(F.broadcast(crowds), "region").join(F.broadcast(parts), "region")
     visits = visits.withColumns({"crowd": F.pmod(F.xxhash64("request_id"), F.col("crowds")), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     vectors = vectors.join(F.broadcast(places), "bucket").join(F.broadcast(crowds), "region")

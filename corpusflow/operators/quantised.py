@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.pivots import MOST_FITTED, _to_all, fit_pivots, pack
+from corpusflow.operators.pivots import MOST_FITTED, _to_all, crowds_of, fit_pivots, pack
 from corpusflow.operators.scale import best_of, top_k, wanted_hits
 from corpusflow.operators.vectors import BLOCK, _matrix, distance
 from corpusflow.session import materialize
@@ -139,7 +139,7 @@ class QuantisedIndex:
         visits = materialize(asked.mapInPandas(meet, f"request_id {own}, vector {kind}, region int, cells array<int>"), "visits")
         # A region's codes go once to each crowd of the queries that visit it; a cell of more vectors is several parts of its region.
         places = queries.sparkSession.createDataFrame([(c, int(r), int(parts[r])) for c, r in enumerate(region)], "cell int, region int, parts int")
-        crowds = materialize(visits.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("crowds")), "crowds")  # a row per region
+        crowds = crowds_of(visits, parts, CROWD)
         visits = visits.join(F.broadcast(crowds), "region").withColumn("crowd", F.pmod(F.xxhash64("request_id"), F.col("crowds")).cast("int")).drop("crowds")
         visits = visits.join(F.broadcast(places.select("region", "parts").distinct()), "region")
         visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
