@@ -5,7 +5,8 @@ A segment holds, each in files sorted over all of them,
 * ``chunks``: (doc_id, offset, seq, terms), the terms in order, by key;
 * ``postings``: (tier, term, doc_id, offset, tf, positions), by tier, term and key; a chunk's tier is the power of two that its
   number of terms reaches, so that chunks of a tier can score about equally much;
-* ``terms``: (term, tier, df, most), in how many chunks of a tier a term occurs and how often at most in one;
+* ``terms``: (term, tier, df, most), in how many chunks of a tier a term occurs and how often at most in one, a row for each file
+  of postings that holds the term;
 * ``zones``: for each of those files its smallest and largest sort key, so that a reader asks only for the files it needs.
 
 Every change writes new folders and then a new manifest under the next version number, which appears in one step: readers see the state
@@ -18,8 +19,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from functools import cached_property
@@ -49,6 +50,8 @@ FAN, DEAD_SHARE = 8, 0.25
 #: Keys up to this number are compared with the zones on the driver; with more of them, all files are read.
 LOOKUPS = 200_000
 LEAST = -(2**63)
+#: Postings sampled for the ends of each file, and in all at most.
+SAMPLED, MOST_SAMPLED = 40, 100_000
 #: Tokens grouped at a time inside a task.
 SLICE_TOKENS = 2_000_000
 
@@ -168,6 +171,43 @@ def grouped_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(columns, names=["tier", "term", *KEY, "tf", "positions"])
 
 
+def _cuts(held: DataFrame, tokens: int, files: int) -> list[tuple]:
+    """Sort keys (tier, term, doc_id) at which a segment's files of postings begin, but the first, from a sample."""
+    share = min(1.0, 2 * min(files * SAMPLED, MOST_SAMPLED) / max(1, tokens))
+    # Chunks are sampled, and then, where that leaves few of them, postings of more chunks.
+    some = held if share ** 0.5 >= 1 else held.sample(share**0.5, seed=1)
+    found = some.select(*KEY, "terms").mapInArrow(grouped_terms, POSTINGS).select("tier", "term", F.coalesce("doc_id", F.lit(LEAST)))
+    rows = sorted(tuple(r) for r in (found if share**0.5 >= 1 else found.sample(share**0.5, seed=2)).collect())
+    return sorted({rows[len(rows) * i // files] for i in range(1, files)}) if rows else []
+
+
+def placed_terms(cuts: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``grouped_terms`` with ``part``, the file that a posting lies in: how many of the cuts are not above its key."""
+    docs = np.array([c[2] for c in cuts], dtype=np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped_terms(batches):
+            tier = batch.column("tier").to_numpy()
+            words = batch.column("term").dictionary_encode()
+            texts, width = words.dictionary.to_pylist(), int(tier.max(initial=0)) + 1
+            slots, of = np.unique(words.indices.to_numpy().astype(np.int64) * width + tier, return_inverse=True)
+            keys = [(int(s % width), texts[s // width]) for s in slots]
+            low = np.array([bisect_left(cuts, (*k, LEAST)) for k in keys], dtype=np.int64)
+            high = np.array([bisect_right(cuts, (*k, -LEAST)) for k in keys], dtype=np.int64)
+            part = low[of]
+            doc = pc.fill_null(batch.column("doc_id"), LEAST).to_numpy()
+            # A term that goes over several files is cut by document.
+            several = np.flatnonzero((high > low)[of])
+            several = several[np.argsort(of[several], kind="stable")]
+            for same in np.split(several, np.flatnonzero(np.diff(of[several])) + 1):
+                if len(same):
+                    begin, end = low[of[same[0]]], high[of[same[0]]]
+                    part[same] = begin + np.searchsorted(docs[begin:end], doc[same], side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
+
+    return place
+
+
 def _write(rows: DataFrame, path: str, kind: str, files: int) -> None:
     """Write rows in ``files`` files that follow each other in sort order."""
     keys = SORTED[kind]
@@ -184,24 +224,37 @@ def write_segment(folder: Folder, terms: DataFrame, number: int) -> Segment:
     held = materialize(terms.select(*KEY, F.col("seq").cast("long").alias("seq"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "terms")
     chunks, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     files = max(1, min(MOST_FILES, -(-tokens // FILE_TOKENS)))
-    with ThreadPoolExecutor(2) as pool:  # jobs that do not wait for each other
+    with ThreadPoolExecutor(1) as pool:  # jobs that do not wait for each other
         chunks_written = pool.submit(_write, held, path, "chunks", files)
-        postings = materialize(held.select(*KEY, "terms").mapInArrow(grouped_terms, POSTINGS), "postings")
-        stats = postings.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+        grouped = held.select(*KEY, "terms")
+        if files > 1:
+            # Each text is cut into its postings once: a task knows the file of each of them from the cuts.
+            placed = grouped.mapInArrow(placed_terms(_cuts(held, tokens, files)), f"{POSTINGS}, part int")
+            postings = placed.repartitionById(files, F.col("part")).drop("part")
+        else:
+            postings = grouped.mapInArrow(grouped_terms, POSTINGS).coalesce(1)
+        postings.sortWithinPartitions(*SORTED["postings"]).write.mode("overwrite").parquet(f"{path}/postings")
+        # What terms.parquet and the zones need of the postings is counted in one pass over the sorted files.
+        rows, doc = spark.read.schema(POSTINGS).parquet(f"{path}/postings"), F.coalesce("doc_id", F.lit(LEAST))
+        spans = rows.groupBy("tier", "term", F.col("_metadata.file_name").alias("file")).agg(
+            F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min(doc).alias("low"), F.max(doc).alias("high")
+        )
+        spans = materialize(spans, "spans")
+        _write(spans.select("term", "tier", "df", "most"), path, "terms", max(1, files // 16))
         chunks_written.result()
-        stats_written = pool.submit(_write, stats, path, "terms", max(1, files // 16))
-        _write(postings, path, "postings", files)
-        stats_written.result()
-    zones = None
+    low, high = (pick(F.struct("tier", "term", F.col(side).alias("doc_id"))) for side, pick in (("low", F.min), ("high", F.max)))
+    zones = spans.groupBy("file").agg(low.alias("low"), high.alias("high"), F.sum("df").alias("rows"))
+    zones = zones.select(F.lit("postings").alias("kind"), "file", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("low", "high") for c in BOUNDS["postings"]], "rows")
     for kind, bounds in BOUNDS.items():
+        if kind == "postings":
+            continue
         rows, ends = spark.read.parquet(f"{path}/{kind}"), []
         for side, pick in (("low", F.min), ("high", F.max)):
             end = pick(F.struct(*bounds))
             for column, empty in (("tier", "int"), ("term", "string"), ("doc_id", "long")):
                 ends.append((end[column] if column in bounds else F.lit(None).cast(empty)).alias(f"{side}_{column}"))
         found = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(*ends, F.count(F.lit(1)).alias("rows"))
-        found = found.select(F.lit(kind).alias("kind"), "*")
-        zones = found if zones is None else zones.unionByName(found)
+        zones = zones.unionByName(found.select(F.lit(kind).alias("kind"), "*"))
     zones.coalesce(1).write.mode("overwrite").parquet(f"{path}/zones")
     return Segment(number, name, chunks, tokens)
 
