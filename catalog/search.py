@@ -256,7 +256,7 @@ def search_porter(spark, folder):
     queries = items(spark, folder).select(F.col("request_id").alias("doc_id"), F.lit(0).alias("offset"), "text")
     stems = fulltext.porter_terms(fulltext.chunk_terms(queries))
     clauses = stems.select(F.col("doc_id").alias("request_id"), F.explode(F.array_distinct("terms")).alias("term"))
-    return fulltext.best_hits(fulltext.score(index, clauses.withColumn("clause", F.lit("should"))), 5)
+    return fulltext.bool_search(index, clauses.withColumn("clause", F.lit("should")), 5)
 
 
 _CLAUSES = f"""

@@ -8,17 +8,21 @@ other terms add to them from the candidates' own chunks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
+from corpusflow.operators import blocks
 from corpusflow.operators import segments as S
-from corpusflow.operators.scale import best_of, each, salted_join, small_enough, top_k, wanted_hits
+from corpusflow.operators.scale import best_of, each, join_alike, salted_join, small_enough, top_k, wanted_hits
 from corpusflow.operators.segments import KEY
 from corpusflow.session import materialize, scratch_path
 
@@ -30,7 +34,8 @@ SELECTIVE = 16
 #: Share of a request's postings, those that may add most first, from which its first threshold comes; and the postings, at least.
 SEED_SHARE, SEED_LEAST = 0.05, 200
 #: Matches (request, posting) up to this number are simply summed: thresholds cost several jobs, which less work does not repay.
-SUMMED = 20_000_000
+#: A task adds up some tens of millions a second.
+SUMMED = 5_000_000_000
 #: Scores are compared with bounds with this margin (they are rounded to six places).
 MARGIN = 1e-5
 
@@ -53,15 +58,48 @@ def chunk_terms(chunks: DataFrame, **analysis) -> DataFrame:
 
 
 def porter_terms(terms: DataFrame) -> DataFrame:
-    """Replace all terms by Porter stems: the stemmer runs once per distinct term, the result is joined back."""
-    spread = terms.select(*KEY, F.posexplode_outer("terms").alias("pos", "term"))
-    stems = spread.select("term").distinct().select("term", X.porter_stem("term").alias("stem"))
-    if small_enough(stems, "term"):
-        stemmed = spread.join(F.broadcast(stems), "term", "left")
-    else:
-        stemmed = salted_join(materialize(spread, "tokens"), stems, "term", "left")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
-    return stemmed.groupBy(*KEY).agg(ordered.alias("s")).select(*KEY, F.col("s.stem").alias("terms"))
+    """Replace all terms by Porter stems: inside the tasks, the stemmer running once per distinct term of a batch and of what a task
+    remembers.  Rows of one key are one chunk, its terms in order of their places."""
+    rows = terms.select(*KEY, "terms")
+    again = materialize(rows.groupBy(*KEY).count().filter("count > 1").drop("count"), "repeated")
+    if not again.isEmpty():
+        # Only what is repeated is brought together.
+        rows = materialize(rows, "tokens")
+        repeated = join_alike(rows, again, KEY, "left_semi")
+        rows = join_alike(rows, again, KEY, "left_anti").select(*KEY, "terms")
+        stemmed = repeated.select(*KEY, "terms").mapInArrow(_stemmed, STEMMED)
+        spread = stemmed.select(*KEY, F.posexplode_outer("terms").alias("pos", "stem"))
+        ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
+        merged = spread.groupBy(*KEY).agg(ordered.alias("s")).select(*KEY, F.col("s.stem").alias("terms"))
+        return rows.mapInArrow(_stemmed, STEMMED).unionByName(merged)
+    return rows.mapInArrow(_stemmed, STEMMED)
+
+
+STEMMED = "doc_id long, offset int, terms array<string>"
+#: Stems that a task remembers.
+STEMS = 200_000
+
+
+def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, offset, terms) with the terms' stems; null terms are left out, null lists become empty."""
+    known: dict[str, str] = {}
+    for batch in batches:
+        lists = batch.column("terms")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        words, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), sizes)
+        if words.null_count:
+            row, words = row[words.is_valid().to_numpy(zero_copy_only=False)], words.drop_null()
+        words = words.dictionary_encode()
+        if len(known) > STEMS:
+            known.clear()
+        stems = []
+        for word in words.dictionary.to_pylist():
+            if word not in known:
+                known[word] = X.porter(word)
+            stems.append(known[word])
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+        terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(stems, pa.string()).take(words.indices))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("offset"), terms], names=[*KEY, "terms"])
 
 
 @dataclass(frozen=True)
@@ -109,13 +147,19 @@ class TextIndex:
         rows = rows.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
         return self.state.live(rows).select("tier", "term", *KEY, "tf", "positions")
 
+    def numbered(self, slots: DataFrame) -> DataFrame:
+        """(slot, doc_id, offset, tier, tf) of the live postings of a small table ([tier, ]term, slot)."""
+        on = [c for c in ("tier", "term") if c in slots.columns]
+        rows = self.state.read("postings", self._slots(slots)).join(F.broadcast(slots), on)
+        return self.state.live(rows).select("slot", *KEY, "tier", "tf")
+
     def _slots(self, terms: DataFrame) -> list[tuple]:
         """(tier, term) of a small table, in all tiers where it names none."""
         rows = [r.asDict() for r in terms.collect()]
         return [(t, r["term"]) for r in rows if r["term"] is not None for t in ([r["tier"]] if "tier" in r else self.state.tiers)]
 
-    def term_tiers(self, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
-        """(term, tier, df, most): in how many live chunks of a tier a term occurs, and how often at most in one (dead ones included)."""
+    def _counts(self, terms: DataFrame | None, small: bool | None) -> DataFrame:
+        """(term, tier, df, most) in parts that are to be added up, those of dead chunks below zero."""
         small = terms is not None and (small_enough(terms, "term", QUERY_ROWS, QUERY_CHARS) if small is None else small)
         names = [(r[0],) for r in terms.select("term").distinct().collect() if r[0] is not None] if small else None
         rows = self.state.read("terms", names).select("term", "tier", "df", "most")
@@ -124,11 +168,15 @@ class TextIndex:
         if terms is not None:
             wanted = terms.select("term").distinct()
             rows = rows.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-        return rows.groupBy("term", "tier").agg(F.sum("df").alias("df"), F.max("most").alias("most")).filter("df > 0")
+        return rows
+
+    def term_tiers(self, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+        """(term, tier, df, most): in how many live chunks of a tier a term occurs, and how often at most in one (dead ones included)."""
+        return self._counts(terms, small).groupBy("term", "tier").agg(F.sum("df").alias("df"), F.max("most").alias("most")).filter("df > 0")
 
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df): in how many live chunks a term occurs."""
-        return self.term_tiers(terms).groupBy("term").agg(F.sum("df").alias("df"))
+        return self._counts(terms, None).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
     def terms_of(self, keys: DataFrame) -> DataFrame:
         """(doc_id, offset, terms) of some live chunks, from the files that may hold their keys."""
@@ -227,6 +275,77 @@ def _asked(index: TextIndex, clauses: DataFrame, small: bool) -> DataFrame:
     return salted_join(rows, clauses.withColumn("slot", slot), "slot").drop("slot")
 
 
+def _in_blocks(
+    index: TextIndex,
+    clauses: DataFrame,
+    wanted: DataFrame | None = None,
+    by_tier: bool = False,
+    low: DataFrame | None = None,
+    rest: DataFrame | None = None,
+    rarest: bool = False,
+) -> DataFrame:
+    """(request_id, doc_id, offset[, tier], score) of qualifying chunks for a small table of weighted clauses, [tier,] term by term.
+
+    The postings are read and dealt out by chunk once, whichever requests ask for them, and added up by ``blocks``.  With ``wanted``
+    (request_id, k) hits that cannot be among a request's best k stay in their task; ``low`` (request_id, low) is a score that its
+    last hit has at least, ``rest`` (request_id, tier, rest) what a chunk of a tier may still get.
+    ``rarest`` says that the candidates of a request are the postings of its rarest must term, as in ``_by_rarest``.
+    """
+    spark, on = index.spark, [c for c in ("tier", "term") if c in clauses.columns]
+    rows = clauses.select("request_id", "clause", "idf", "need", "df" if rarest else F.lit(0).alias("df"), *on).collect()  # proven few
+    number: dict = {}
+    slots: dict[tuple, int] = {}
+    for r in rows:
+        number.setdefault(r["request_id"], len(number))
+        slots.setdefault(tuple(r[c] for c in on), len(slots))
+    need, more = np.zeros(len(number), dtype=np.int64), {}
+    for r in rows:
+        need[number[r["request_id"]]] = r["need"]
+    kind = clauses.schema["request_id"].dataType.simpleString()
+    ids = spark.createDataFrame([(i, n) for i, n in number.items()], f"request_id {kind}, request long")
+
+    def values(table: DataFrame, *columns: str) -> list:
+        return [tuple(r) for r in table.join(F.broadcast(ids), "request_id").select("request", *columns).collect()]  # a few rows per request
+
+    if wanted is not None:
+        more["wanted"] = np.zeros(len(number), dtype=np.int64)
+        for request, k in values(wanted, "k"):
+            more["wanted"][request] = k
+    if low is not None:
+        more["low"] = np.full(len(number), -np.inf)
+        for request, least in values(low, "low"):
+            more["low"][request] = least
+    if rest is not None:
+        tiers = index.state.tiers or [0]
+        more["rest"], more["tier"] = np.zeros((len(number), len(tiers))), tiers[0]
+        for request, tier, bound in values(rest, "tier", "rest"):
+            more["rest"][request, tier - tiers[0]] = bound
+    if rarest:
+        first: dict = {}
+        for r in rows:
+            if r["clause"] == "must" and r["term"] is not None:
+                first[r["request_id"]] = min(first.get(r["request_id"], (r["df"], r["term"])), (r["df"], r["term"]))
+        more["rarest"] = [r["clause"] == "must" and first.get(r["request_id"], (0, None))[1] == r["term"] for r in rows]
+    asked = blocks.asked(
+        [slots[tuple(r[c] for c in on)] for r in rows], [number[r["request_id"]] for r in rows], [r["idf"] for r in rows], [r["clause"] for r in rows], need, MARGIN, **more
+    )
+    keys = [*KEY, *(["tier"] if by_tier else [])]
+    named = spark.createDataFrame([(*slot, n) for slot, n in slots.items()], ", ".join(f"{c} {clauses.schema[c].dataType.simpleString()}" for c in on) + ", slot long")
+    sent = spark.sparkContext.broadcast(vars(asked))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in blocks.hits(blocks.Asked(**sent.value), keys, batches):
+            yield from found.select(["request", *keys, "score"]).combine_chunks().to_batches(max_chunksize=100_000)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = index.numbered(named).select("slot", *keys, "tf")
+    postings = postings.dropna(subset=KEY) if rarest else postings
+    dealt = postings.repartition(parts, *KEY).sortWithinPartitions(*keys, "slot")
+    kinds = {"doc_id": "long", "offset": "int", "tier": "int"}
+    found = dealt.mapInArrow(added, "request long, " + ", ".join(f"{c} {kinds[c]}" for c in keys) + ", score double")
+    return found.join(F.broadcast(ids), "request").select("request_id", *keys, "score")
+
+
 def _looked_up(index: TextIndex, candidates: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
     """(clause, posting) rows of candidates (request_id, doc_id, offset[, tier]) for the clauses, from the candidates' own chunks.
 
@@ -268,16 +387,27 @@ def _best_any(index: TextIndex, weighted: DataFrame, wanted: DataFrame, small: b
     it get what the unread terms add from their own terms, or from the postings after all, if these are fewer.
     """
     plan = _plan(weighted)
-    added = materialize(_added(_asked(index, plan.filter("seed or clause = 'must_not'"), small), "tier"), "seeds")
-    plan = materialize(_unread(plan.join(_kth(_fitting(added), wanted), "request_id", "left")), "plan")
-    more, unread = plan.filter("not seed and clause <> 'must_not' and not unread"), plan.filter("unread")
-    if not more.isEmpty():
-        both = added.unionByName(_added(_asked(index, more.drop("low", "unread", "seed"), small), "tier"))
-        sums = [F.sum(c).alias(c) for c in ("score", *[f"n_{c}" for c in COUNTED])]
-        added = materialize(both.groupBy("request_id", "need", *KEY, "tier").agg(*sums), "read")
-    partial = _fitting(added)
-    if unread.isEmpty():
-        return partial.drop("tier")
+    if small:
+        plan = materialize(plan, "plan")
+        first = _in_blocks(index, plan.filter("seed or clause = 'must_not'"), wanted, by_tier=True)
+        plan = materialize(_unread(plan.join(_kth(first, wanted), "request_id", "left")), "plan")
+        unread, low = plan.filter("unread"), plan.filter("low is not null").groupBy("request_id").agg(F.max("low").alias("low"))
+        rest = None if unread.isEmpty() else unread.groupBy("request_id", "tier").agg(F.sum("bound").alias("rest"))
+        partial = _in_blocks(index, plan.filter("not unread"), wanted, True, low, rest)
+        if rest is None:
+            return partial.drop("tier")
+        partial = materialize(partial, "read")
+    else:
+        added = materialize(_added(_asked(index, plan.filter("seed or clause = 'must_not'"), small), "tier"), "seeds")
+        plan = materialize(_unread(plan.join(_kth(_fitting(added), wanted), "request_id", "left")), "plan")
+        more, unread = plan.filter("not seed and clause <> 'must_not' and not unread"), plan.filter("unread")
+        if not more.isEmpty():
+            both = added.unionByName(_added(_asked(index, more.drop("low", "unread", "seed"), small), "tier"))
+            sums = [F.sum(c).alias(c) for c in ("score", *[f"n_{c}" for c in COUNTED])]
+            added = materialize(both.groupBy("request_id", "need", *KEY, "tier").agg(*sums), "read")
+        partial = _fitting(added)
+        if unread.isEmpty():
+            return partial.drop("tier")
     rest = unread.groupBy("request_id", "tier").agg(F.sum("bound").alias("rest"))
     able = partial.join(rest, ["request_id", "tier"], "left").join(_kth(partial, wanted), "request_id", "left")
     able = able.filter(F.col("low").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("low") - MARGIN))
@@ -345,20 +475,31 @@ def score(index: TextIndex, clauses: DataFrame, wanted: DataFrame | None = None,
         F.min(F.when(F.col("clause") == "must", F.col("df"))).alias("rarest"), F.sum("df").alias("total")
     )
     way = F.when(F.col("rarest") * SELECTIVE <= F.col("total"), "rare").when(F.col("rarest").isNull() & F.lit(wanted is not None), "best").otherwise("sums")
-    requests = requests.select("request_id", way.alias("way"), "total")
-    found = {r["way"]: r["n"] for r in requests.groupBy("way").agg(F.sum("total").alias("n")).collect()}  # three rows at most
+    requests = requests.select("request_id", way.alias("way"), "total", "rarest")
+    counts = {r["way"]: r for r in requests.groupBy("way").agg(F.sum("total").alias("n"), F.sum("rarest").alias("rarest")).collect()}  # three rows at most
+    found = {way: r["n"] for way, r in counts.items()}
+    whole = False
+    if small and "rare" in found:
+        # Candidates' chunks are read whole; where that is more than the postings of all the requests' terms, these are added up.
+        terms = weighted.join(requests.filter("way = 'rare'"), "request_id", "left_semi").select("term", "df").distinct()
+        postings = terms.agg(F.sum("df")).first()[0] or 0
+        whole = min(counts["rare"]["rarest"] * index.state.tokens / max(1, index.size), index.state.tokens) > postings
     if "best" in found and plan != "bounds" and (plan == "sums" or found["best"] <= SUMMED):
         requests = requests.withColumn("way", F.when(F.col("way") == "best", "sums").otherwise(F.col("way")))
-        found["sums"] = found.pop("best")
+        found["sums"] = found.get("sums", 0) + found.pop("best")
     ways = set(found) or {"sums"}
     requests = materialize(requests, "ways") if len(ways) > 1 else requests
     results = []
     for name in sorted(ways):
         rows = weighted.join(requests.filter(F.col("way") == name).select("request_id"), "request_id", "left_semi") if len(ways) > 1 else weighted
-        if name == "rare":
+        if name == "rare" and whole:
+            results.append(_in_blocks(index, rows, wanted, rarest=True))
+        elif name == "rare":
             results.append(_by_rarest(index, rows, small))
         elif name == "best":
             results.append(_best_any(index, rows, wanted, small))
+        elif small:
+            results.append(_in_blocks(index, rows, wanted))
         else:
             results.append(_sums(_asked(index, rows.drop("tiers"), small)))
     found = results[0]
