@@ -16,7 +16,7 @@ WIDTHS = (1, 2, 4, 8)
 #: Bits of a bitmap's address.
 BITS = 20
 #: Positions hashed at a time, and letters compared at a time.
-POSITIONS, COMPARED = 1_000_000, 4_000_000
+POSITIONS, COMPARED = 1_000_000, 1_000_000
 
 _ODD = [np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 

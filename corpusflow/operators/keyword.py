@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators import grams
@@ -22,7 +22,9 @@ GRAM = 8
 #: Patterns up to this number and total length are sent to the tasks.
 PATTERN_ROWS, PATTERN_CHARS = 100_000, 8_000_000
 #: Letters searched at a time inside a task; address bits of the filter for larger sets of patterns.
-SLICE_LETTERS, FILTER_BITS = 1_000_000, 24
+SLICE_LETTERS, FILTER_BITS = 200_000, 24
+#: Hits that leave a task at a time.
+HITS = 50_000
 
 
 def build_index(chunks: DataFrame, seq: str | None = None) -> DataFrame:
@@ -147,10 +149,26 @@ def _occurrences(queries: DataFrame, patterns: DataFrame) -> DataFrame:
     patterns = candidates.join(numbered, "number").select("row", "doc_id", "offset", "pattern", "start")
     length = F.length("pattern")
     same = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), length) == F.col("pattern")
-    ends = F.struct((F.col("start") + length).alias("first_end"), (-length).alias("less"))
     verified = patterns.join(queries.select("row", "text"), "row").filter(same)
-    counts = verified.groupBy("row", "doc_id", "offset").agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("e"))
-    return counts.select("row", "doc_id", "offset", "n", "e.first_end", (-F.col("e.less")).alias("pattern_length"))
+    counts = verified.groupBy("row", "doc_id", "offset").agg(F.count(F.lit(1)).alias("n"), _first(F.col("start") + length, length).alias("e"))
+    return counts.select("row", "doc_id", "offset", "n", _end("e").alias("first_end"), _length("e").alias("pattern_length"))
+
+
+#: Letters of a text are numbered below this.
+LETTERS = 1 << 31
+
+
+def _first(end: Column, length: Column) -> Column:
+    """The earliest end, of equal ones that of the longest pattern, as one number: it is aggregated by hash, without sorting the hits."""
+    return F.min(end.cast("long") * LETTERS + (LETTERS - 1 - length.cast("long")))
+
+
+def _end(first: str) -> Column:
+    return F.shiftright(first, 31)
+
+
+def _length(first: str) -> Column:
+    return LETTERS - 1 - F.col(first).bitwiseAND(F.lit(LETTERS - 1))
 
 
 def _shipped(queries: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
@@ -163,6 +181,7 @@ def _shipped(queries: DataFrame, patterns: DataFrame, key: list[str]) -> DataFra
     # Plain arrays are sent; the class itself travels with the function, so executors need no copy of the package.
     keys = pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["offset"] for r in rows], pa.int32())
     sent = queries.sparkSession.sparkContext.broadcast((vars(table), *keys))
+    names = [f"key_{i}" for i in range(len(key))]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, docs, offsets = sent.value
@@ -174,11 +193,16 @@ def _shipped(queries: DataFrame, patterns: DataFrame, key: list[str]) -> DataFra
             for start, end in zip(starts, [*starts[1:], batch.num_rows]):
                 some = batch.slice(start, end - start)
                 text, pattern, n, first = table.counts([t or "" for t in some.column("text").to_pylist()])
-                at, which = pa.array(text), pa.array(pattern)
-                length = table.lengths[pattern]
-                columns = [some.column(c).take(at) for c in key] + [docs.take(which), offsets.take(which)]
-                columns += [pa.array(n), pa.array(first + length), pa.array(length, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*key, "doc_id", "offset", "n", "first_end", "pattern_length"])
+                # Texts of one key are added up here, so that a pattern has one row per key and slice.
+                found = pa.Table.from_arrays([*(some.column(c).take(pa.array(text)) for c in key), pa.array(pattern), pa.array(n), pa.array(first)], names=[*names, "which", "n", "first"])
+                found = found.group_by([*names, "which"]).aggregate([("n", "sum"), ("first", "min")])
+                for begin in range(0, found.num_rows, HITS):
+                    piece = found.slice(begin, HITS).combine_chunks()
+                    which, first = piece.column("which").combine_chunks(), piece.column("first_min").to_numpy()
+                    length = table.lengths[which.to_numpy()]
+                    columns = [piece.column(c).combine_chunks() for c in names] + [docs.take(which), offsets.take(which)]
+                    columns += [piece.column("n_sum").combine_chunks(), pa.array(first + length), pa.array(length, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*key, "doc_id", "offset", "n", "first_end", "pattern_length"])
 
     kinds = dict(queries.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", doc_id long, offset int, n long, first_end long, pattern_length int"
@@ -207,16 +231,15 @@ def match(queries: DataFrame, index: DataFrame, key: Sequence[str] = ("request_i
         texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
         found = _occurrences(texts.select("row", "text"), patterns)
         counts = materialize(found, "occurrences").join(texts.select("row", *key), "row")
-    first = F.min(F.struct("first_end", (-F.col("pattern_length")).alias("less")))
-    summed = counts.groupBy(*key, "doc_id", "offset").agg(F.sum("n").alias("n"), first.alias("e"))
+    summed = counts.groupBy(*key, "doc_id", "offset").agg(F.sum("n").alias("n"), _first(F.col("first_end"), F.col("pattern_length")).alias("e"))
     return summed.select(
         *key,
         "doc_id",
         "offset",
         F.lit(1.0).alias("weight"),
         F.col("n").cast("double").alias("relevance"),
-        F.col("e.first_end").cast("long").alias("first_end"),
-        (-F.col("e.less")).cast("int").alias("pattern_length"),
+        _end("e").alias("first_end"),
+        _length("e").cast("int").alias("pattern_length"),
     )
 
 
