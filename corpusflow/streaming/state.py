@@ -6,6 +6,7 @@ time-out is forgotten.  Messages older than the watermark are dropped by Spark.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
@@ -120,44 +121,55 @@ def rendezvous(
     return paired.select(*out)
 
 
-class _Reducing(_Timed):
-    """Per request: the parts that have arrived, the best score of each chunk so far, and whether it was answered."""
+class _Reducing(StatefulProcessor):
+    """Per request: the parts that have arrived, the best score of each chunk so far, whether it was answered, and its timer.
+
+    All of it is one value, read and written once a micro-batch: every call to the state store is a message to another process.
+    """
 
     def __init__(self, timeout: int, num_part: int, k: int | None):
-        super().__init__(timeout)
-        self.num_part, self.k = num_part, k
+        self.timeout, self.num_part, self.k = timeout, num_part, k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "part string", "at long")
-        self.best = handle.getMapState("best", "doc_id long, offset int", "score double")
-        self.answered = handle.getValueState("answered", "top_k int")
+        self.held = handle.getValueState("held", "body string")
+
+    def close(self) -> None:
+        pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows))
-        self._postpone(int(arrived["at"].max()))
-        if self.answered.exists():
+        arrived = [row for frame in rows for row in zip(*(frame[c].tolist() for c in ("part", "doc_id", "offset", "score", "at", "top_k")))]
+        held = json.loads(self.held.get()[0]) if self.held.exists() else {"until": None, "answered": False, "parts": [], "best": []}
+        # One timer per key, at its latest message's time plus the time-out.
+        until = max(int(row[4]) for row in arrived) + self.timeout
+        if held["until"] is None or until > held["until"]:
+            if held["until"] is not None:
+                self.handle.deleteTimer(held["until"])
+            self.handle.registerTimer(until)
+            held["until"] = until
+        if held["answered"]:
+            self.held.update((json.dumps(held),))
             return
-        for part, at in arrived.groupby("part")["at"].max().items():
-            self.parts.updateValue((part,), (int(at),))
-        hits = arrived[arrived["doc_id"].notna()]
-        for (doc, offset), score in hits.groupby(["doc_id", "offset"])["score"].max().items():
-            place = (int(doc), int(offset))
-            if not self.best.containsKey(place) or self.best.getValue(place)[0] < score:
-                self.best.updateValue(place, (float(score),))
-        if len(list(self.parts.keys())) < self.num_part:
+        parts = dict.fromkeys([*held["parts"], *(row[0] for row in arrived)])
+        best = {(doc, offset): score for doc, offset, score in held["best"]}
+        for _, doc, offset, score, _, _ in arrived:
+            if pd.isna(doc) or pd.isna(offset):
+                continue
+            place, score = (int(doc), int(offset)), float(score)
+            if place not in best or (score == score and not best[place] >= score):
+                best[place] = score
+        if len(parts) < self.num_part:
+            self.held.update((json.dumps(held | {"parts": list(parts), "best": [(*place, score) for place, score in best.items()]}),))
             return
-        k = self.k if self.k is not None else int(arrived["top_k"].max())
-        ranked = sorted((-value[0], *place) for place, value in self.best.iterator())[:k]
-        self.answered.update((k,))
-        self.best.clear()
+        k = self.k if self.k is not None else int(max(row[5] for row in arrived))
+        ranked = sorted((-score, *place) for place, score in best.items())[:k]
+        self.held.update((json.dumps({"until": held["until"], "answered": True, "parts": [], "best": []}),))
         yield pd.DataFrame([(key[0], rank, doc, offset, -less, None) for rank, (less, doc, offset) in enumerate(ranked, 1)], columns=MERGED, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        missing = [] if self.answered.exists() else [(key[0], None, None, None, None, len(list(self.parts.keys())))]
-        self.parts.clear()
-        self.best.clear()
-        self.answered.clear()
+        held = json.loads(self.held.get()[0])
+        self.held.clear()
+        missing = [] if held["answered"] else [(key[0], None, None, None, None, len(held["parts"]))]
         yield pd.DataFrame(missing, columns=MERGED, dtype=object)
 
 
