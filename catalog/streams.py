@@ -44,6 +44,15 @@ def batches(spark, rows, parts):
     return jobs.read_files(spark, path, rows.drop("part").schema, "*.parquet", per_batch=files)
 
 
+def sent_at(conversation=None):
+    """An event time for a turn, as conversations hold none: turns are seconds apart, conversations minutes, or all begin at once.
+
+    Both numbers wrap, so that any ids and numbers of turns give a time, and two turns of a conversation are less than ten minutes apart.
+    """
+    minutes = F.pmod(F.col(conversation), F.lit(1_000_000)) if conversation else F.lit(0)
+    return F.timestamp_seconds(1_700_000_000 + minutes * 60 + F.pmod(F.col("turn"), F.lit(600)))
+
+
 def finish(running):
     running.awaitTermination()
     if running.exception():
@@ -105,8 +114,7 @@ def stream_rendezvous(spark, folder):
     def side(role: str, shift: int, name: str):
         turns = stream(spark, folder, "conversations").filter(F.col("role") == role)
         key = F.concat_ws("#", F.col("conv_id").cast("string"), (F.col("turn") - shift).cast("string"))
-        when = F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 60 + F.col("turn"))
-        return turns.select(key.alias("request_id"), when.alias("ts"), F.md5("text").alias(name))
+        return turns.select(key.alias("request_id"), sent_at("conv_id").alias("ts"), F.md5("text").alias(name))
 
     paired = jobs.rendezvous(side("user", 0, "query"), side("assistant", 1, "answer"), "10 minutes")
     finish(jobs.write_stream(paired.select("request_id", "query", "answer"), path, state))
@@ -123,7 +131,7 @@ def stream_rendezvous_hits(spark, folder):
     responses; what came in the first comes again in the second."""
     turns = table(spark, folder, "conversations")
     key = F.concat_ws("#", F.col("conv_id").cast("string"), (F.col("turn") - F.col("rank")).cast("string"))
-    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
+    when = sent_at()
     asked = turns.filter("role = 'user'").withColumn("rank", F.lit(0)).select(key.alias("request_id"), when.alias("ts"), F.md5("text").alias("query"), (F.col("conv_id") % 2).cast("int").alias("part"))
     heard = turns.withColumn("rank", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter("turn >= rank")
     heard = heard.select(key.alias("request_id"), when.alias("ts"), "rank", F.md5("text").alias("answer"), ((F.col("conv_id") + 1) % 2).cast("int").alias("part"))
