@@ -21,7 +21,6 @@ import json
 import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
@@ -31,8 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators import packed
 from corpusflow.operators.scale import small_enough
-from corpusflow.session import materialize
+from corpusflow.session import freed_shuffles, materialize, scratch_path
 
 KEY = ["doc_id", "offset"]
 CHUNKS = "doc_id long, offset int, seq long, terms array<string>"
@@ -208,57 +208,113 @@ def placed_terms(cuts: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return place
 
 
+def sorted_parts(cuts: list[tuple], keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with ``part``: how many of the cuts are not above their sort key.  A null number sorts first."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in keys]
+            values = zip(*[(c if pa.types.is_string(c.type) else pc.fill_null(c.cast(pa.int64()), LEAST)).to_pylist() for c in columns])
+            part = pa.array([bisect_right(cuts, v) for v in values], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, part], names=[*batch.schema.names, "part"])
+
+    return place
+
+
 def _write(rows: DataFrame, path: str, kind: str, files: int) -> None:
-    """Write rows in ``files`` files that follow each other in sort order."""
-    keys = SORTED[kind]
-    dealt = rows.repartitionByRange(files, *keys[:3]) if files > 1 else rows.coalesce(1)
-    dealt.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{kind}")
+    """Write stored rows in ``files`` files that follow each other in sort order, their ends from a sample."""
+    keys, ddl = SORTED[kind], {"chunks": CHUNKS, "terms": TERMS}[kind]
+    rows = rows.select(*[c.split(" ")[0] for c in ddl.split(", ")])
+    if files > 1:
+        share = min(1.0, 2 * min(files * SAMPLED, MOST_SAMPLED) / max(1, rows.count()))
+        some = rows.select(*[c if c == "term" else F.coalesce(F.col(c).cast("long"), F.lit(LEAST)) for c in keys])
+        found = sorted(tuple(r) for r in (some if share == 1 else some.sample(share, seed=1)).collect())
+        cuts = sorted({found[len(found) * i // files] for i in range(1, files)}) if found else []
+        rows = packed.dealt(rows, sorted_parts(cuts, keys), ddl, files)
+    else:
+        rows = rows.coalesce(1)
+    rows.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{kind}")
+
+
+SPANS = f"{TERMS}, {ZONES}"
+
+
+def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings (file, tier, term, doc_id, tf) a row (term, tier, df, most) for each term of a tier in a file, and one with the
+    file's ends and number of rows; where a batch ends inside of them there are several, to be added up."""
+    schema = packed.arrow_schema(SPANS)
+    for batch in batches:
+        file, tier, term, doc, tf = (batch.column(c) for c in ("file", "tier", "term", "doc_id", "tf"))
 
+        def starts(*columns: pa.Array) -> np.ndarray:
+            new = np.zeros(batch.num_rows, dtype=bool)
+            new[:1] = True
+            for c in columns:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            return np.flatnonzero(new)
 
-def write_segment(folder: Folder, terms: DataFrame, number: int) -> Segment:
-    """Write chunks (doc_id, offset, seq, terms), each once, as a segment."""
+        if not batch.num_rows:
+            continue
+        first, files = starts(file, tier, term), starts(file)
+        last, whole = np.append(files[1:], batch.num_rows) - 1, np.diff(files, append=batch.num_rows)
+        at, low, high = pa.array(first), pa.array(files), pa.array(last)
+        counted = [term.take(at), tier.take(at), pa.array(np.diff(first, append=batch.num_rows)), pa.array(np.maximum.reduceat(tf.to_numpy(), first))]
+        ends = [pa.array(["postings"] * len(files)), file.take(low), *[c.take(side) for side in (low, high) for c in (tier, term, doc)], pa.array(whole)]
+        yield pa.RecordBatch.from_arrays([*counted, *[pa.nulls(len(first), f.type) for f in schema][4:]], schema=schema)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(files), f.type) for f in schema][:4], *ends], schema=schema)
+
+
+def write_segment(folder: Folder, terms: DataFrame, number: int, stored: bool = False) -> Segment:
+    """Write chunks (doc_id, offset, seq, terms), each once, as a segment; ``stored`` says that they are read from stored ones."""
     # Two writers may prepare the same number; only one of them can publish it.
     name = f"{number}-{uuid.uuid4().hex[:8]}"
     spark, path = folder.spark, f"{folder.path}/segments/{name}"
-    # The texts may be costly to read and are needed several times.
-    held = materialize(terms.select(*KEY, F.col("seq").cast("long").alias("seq"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "terms")
-    chunks, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    files = max(1, min(MOST_FILES, -(-tokens // FILE_TOKENS)))
-    with ThreadPoolExecutor(1) as pool:  # jobs that do not wait for each other
-        chunks_written = pool.submit(_write, held, path, "chunks", files)
-        grouped = held.select(*KEY, "terms")
+    held = terms.select(*KEY, F.col("seq").cast("long").alias("seq"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    aside = Folder(spark, scratch_path(spark, "segment"))  # deleted as soon as the segment holds the same
+    with freed_shuffles(spark):
+        if not stored:
+            # The texts may be costly to read and are needed several times.
+            held = _aside(held, aside, "held")
+        chunks, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        files = max(1, min(MOST_FILES, -(-tokens // FILE_TOKENS)))
+        _write(held, path, "chunks", files)
+        aside.drop("held")
+        grouped = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select(*KEY, "terms")
         if files > 1:
             # Each text is cut into its postings once: a task knows the file of each of them from the cuts.
-            placed = grouped.mapInArrow(placed_terms(_cuts(held, tokens, files)), f"{POSTINGS}, part int")
-            postings = placed.repartitionById(files, F.col("part")).drop("part")
+            postings = packed.dealt(grouped, placed_terms(_cuts(grouped, tokens, files)), POSTINGS, files, ["tier", "term"])
         else:
             postings = grouped.mapInArrow(grouped_terms, POSTINGS).coalesce(1)
-        postings.sortWithinPartitions(*SORTED["postings"]).write.mode("overwrite").parquet(f"{path}/postings")
+        postings.sortWithinPartitions(*SORTED["postings"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
         # What terms.parquet and the zones need of the postings is counted in one pass over the sorted files.
-        rows, doc = spark.read.schema(POSTINGS).parquet(f"{path}/postings"), F.coalesce("doc_id", F.lit(LEAST))
-        spans = rows.groupBy("tier", "term", F.col("_metadata.file_name").alias("file")).agg(
-            F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min(doc).alias("low"), F.max(doc).alias("high")
-        )
-        spans = materialize(spans, "spans")
-        _write(spans.select("term", "tier", "df", "most"), path, "terms", max(1, files // 16))
-        chunks_written.result()
-    low, high = (pick(F.struct("tier", "term", F.col(side).alias("doc_id"))) for side, pick in (("low", F.min), ("high", F.max)))
-    zones = spans.groupBy("file").agg(low.alias("low"), high.alias("high"), F.sum("df").alias("rows"))
-    zones = zones.select(F.lit("postings").alias("kind"), "file", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("low", "high") for c in BOUNDS["postings"]], "rows")
-    for kind, bounds in BOUNDS.items():
-        if kind == "postings":
-            continue
-        rows, ends = spark.read.parquet(f"{path}/{kind}"), []
-        for side, pick in (("low", F.min), ("high", F.max)):
-            end = pick(F.struct(*bounds))
-            for column, empty in (("tier", "int"), ("term", "string"), ("doc_id", "long")):
-                ends.append((end[column] if column in bounds else F.lit(None).cast(empty)).alias(f"{side}_{column}"))
-        found = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(*ends, F.count(F.lit(1)).alias("rows"))
-        zones = zones.unionByName(found.select(F.lit(kind).alias("kind"), "*"))
-    zones.coalesce(1).write.mode("overwrite").parquet(f"{path}/zones")
+        rows = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        rows = rows.select(F.col("_metadata.file_name").alias("file"), "tier", "term", F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "tf")
+        found = _aside(rows.mapInArrow(spans, SPANS), aside, "spans")
+        _write(found.filter("file is null"), path, "terms", max(1, files // 16))
+        low, high = (pick(F.struct(*[F.col(f"{side}_{c}").alias(c) for c in BOUNDS["postings"]])) for side, pick in (("low", F.min), ("high", F.max)))
+        zones = found.filter("file is not null").groupBy("file").agg(low.alias("low"), high.alias("high"), F.sum("rows").alias("rows"))
+        zones = zones.select(F.lit("postings").alias("kind"), "file", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("low", "high") for c in BOUNDS["postings"]], "rows")
+        for kind, bounds in BOUNDS.items():
+            if kind == "postings":
+                continue
+            rows, ends = spark.read.parquet(f"{path}/{kind}"), []
+            for side, pick in (("low", F.min), ("high", F.max)):
+                end = pick(F.struct(*bounds))
+                for column, empty in (("tier", "int"), ("term", "string"), ("doc_id", "long")):
+                    ends.append((end[column] if column in bounds else F.lit(None).cast(empty)).alias(f"{side}_{column}"))
+            counts = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(*ends, F.count(F.lit(1)).alias("rows"))
+            zones = zones.unionByName(counts.select(F.lit(kind).alias("kind"), "*"))
+        zones.coalesce(1).write.mode("overwrite").parquet(f"{path}/zones")
+    aside.drop("spans")
     return Segment(number, name, chunks, tokens)
 
 
+def _aside(rows: DataFrame, folder: Folder, name: str) -> DataFrame:
+    """The rows written to a folder and read back from there."""
+    rows.write.option("compression", "zstd").parquet(f"{folder.path}/{name}")
+    return folder.spark.read.schema(rows.schema).parquet(f"{folder.path}/{name}")
+
+
 # ---------------------------------------------------------------------------------------------- reading
 
 
@@ -443,7 +499,7 @@ def _merge(state: State, chosen: list[Segment]) -> State:
     """The state with one segment of the live chunks of some others in their place."""
     manifest, numbers = state.manifest, [s.number for s in chosen]
     rows = state.live(state.read("chunks", segments=numbers))
-    merged = write_segment(state.folder, rows.select(*KEY, "seq", "terms"), manifest.next)
+    merged = write_segment(state.folder, rows.select(*KEY, "seq", "terms"), manifest.next, stored=True)
     kept = tuple(s for s in manifest.segments if s.number not in numbers)
     after = replace(manifest, version=manifest.version + 1, segments=(*kept, merged), next=merged.number + 1, dead=None)
     if any(s.dead for s in kept):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,21 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Whether Spark deletes a job's shuffle files when it has ended, and not when the driver next collects garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files are deleted as each job ends: what it wrote is read from then on."""
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -68,5 +85,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     write, lost executors can be replaced without those values changing.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("error").parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
