@@ -11,8 +11,8 @@ from catalog.search import indexed_docs, items
 from catalog.sql import ALL, ANY, fulltext as ft, ranked, tokens
 from catalog.texts import conversation_pairs
 from corpusflow.operators import chunks as C
-from corpusflow.operators import examples, fulltext
-from corpusflow.session import scratch_path
+from corpusflow.operators import examples, fulltext, packed
+from corpusflow.session import freed_shuffles, scratch_path
 from corpusflow.streaming import jobs, state
 
 
@@ -40,7 +40,8 @@ def batches(spark, rows, parts):
     files = max(1, min(held.get(part, 0) for part in range(parts - 1)) // FILE_ROWS)
     for part in range(parts):
         some = rows.filter(F.col("part") == part).drop("part")
-        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").parquet(path)
+        with freed_shuffles(spark):
+            (packed.spread(some, files) if files > 1 else some.coalesce(1)).write.mode("append").option("compression", "zstd").parquet(path)
     return jobs.read_files(spark, path, rows.drop("part").schema, "*.parquet", per_batch=files)
 
 

@@ -11,14 +11,15 @@ from corpusflow.functions import text as X
 from corpusflow.operators.scale import each, join_alike, with_position
 
 
-def unary_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One chunk per document: (doc_id, offset 0, text, weight 1, doc_type 1 for text)."""
+def unary_chunks(docs: DataFrame, text: str = "text", *more: str) -> DataFrame:
+    """One chunk per document: (doc_id, offset 0, text, weight 1, doc_type 1 for text), and more columns if named."""
     return docs.select(
         "doc_id",
         F.lit(0).alias("offset"),
         F.col(text).alias("text"),
         F.lit(1.0).alias("weight"),
         F.lit(1).alias("doc_type"),
+        *more,
     )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,3 +146,19 @@ def dealt(rows: DataFrame, place: Callable[[Batches], Batches], ddl: str, parts:
 
     sent = rows.mapInArrow(send, "part int, block binary").repartitionById(parts, F.col("part"))
     return sent.select("block").mapInArrow(receive, ddl)
+
+
+def spread(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows dealt out evenly to some partitions; in blocks where all columns are of the types above."""
+    kinds = {name: kind.replace("bigint", "long") for name, kind in rows.dtypes}
+    if not set(kinds.values()) <= set(TYPES):
+        return rows.repartition(parts)
+
+    def place(batches: Batches) -> Batches:
+        at = TaskContext.get().partitionId()  # tasks of few rows do not all begin with the first part
+        for batch in batches:
+            part = np.arange(at, at + batch.num_rows) % parts
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
+            at += batch.num_rows
+
+    return dealt(rows, place, ", ".join(f"{name} {kind}" for name, kind in kinds.items()), parts)

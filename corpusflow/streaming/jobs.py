@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow.operators import chunks as C
 from corpusflow.operators import docstore, fulltext, rerank, routing
+from corpusflow.operators.scale import greatest
+from corpusflow.session import freed_shuffles
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*", per_batch: int | None = None) -> DataFrame:
@@ -30,7 +32,7 @@ def start(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: s
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch_id={batch_id}")
 
 
 def ingest(messages: DataFrame, path: str, checkpoint: str, once: bool = True, **analysis) -> StreamingQuery:
@@ -43,14 +45,15 @@ def ingest(messages: DataFrame, path: str, checkpoint: str, once: bool = True, *
     docs = routing.block(messages, ["train"]).select("doc_id", "text", "seq")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("doc_id").agg(F.max(F.struct("seq", "text")).alias("m")).select("doc_id", "m.text", "m.seq")
-        last = last.persist()
-        try:
-            chunks = C.unary_chunks(last).join(last.select("doc_id", "seq"), "doc_id")
+        spark = batch.sparkSession
+        last = greatest(batch, ["doc_id"], "seq", "text").select("doc_id", "text", "seq")
+        with freed_shuffles(spark):
             write_batch(last, f"{path}/store", batch_id)
-            fulltext.TextIndex(batch.sparkSession, f"{path}/fulltext").add(chunks, "seq", batch_id, **analysis)
-        finally:
-            last.unpersist()
+        # The index reads the texts from the store: each key once, a document without number has no key.
+        stored = spark.read.schema(last.schema).parquet(f"{path}/store/batch_id={batch_id}").filter("doc_id is not null")
+        chunks = C.unary_chunks(stored, "text", "seq")
+        terms = chunks.select("doc_id", "offset", fulltext.analyze(F.col("text"), **analysis).alias("terms"), "seq")
+        fulltext.TextIndex(spark, f"{path}/fulltext").add_terms(terms, "seq", batch_id)
 
     return start(docs, handle, checkpoint, once)
 

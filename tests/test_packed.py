@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import fulltext as T
 from corpusflow.operators import packed, segments
+from corpusflow.operators.scale import greatest
 from corpusflow.session import materialize, scratch_dir
 
 DDL = "tier int, term string, doc_id long, offset int, positions array<int>, terms array<string>"
@@ -71,3 +72,26 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     names.append({stored.getAllFiles().apply(i).getName() for i in range(stored.getAllFiles().size())})
     assert not [n for n in names[1] - names[0] if n.endswith(".data")] and table.count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == before
+
+
+def test_rows_are_spread_evenly(spark):
+    rows = spark.range(0, 300, 1, 30).select("id", F.concat(F.lit("t"), "id").alias("text"), F.lit(1).alias("seq"))
+    for some in (rows, rows.withColumn("at", F.timestamp_seconds("id"))):  # the second has no block form
+        found = packed.spread(some, 20)
+        assert sorted(r["id"] for r in found.collect()) == list(range(300)) and found.dtypes == some.dtypes
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 20 and sum(sizes) == 300
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_the_greatest_row_of_a_key(spark, monkeypatch, small):
+    monkeypatch.setattr("corpusflow.operators.scale.BROADCAST_ROWS", 1)
+    monkeypatch.setattr("corpusflow.operators.scale.small_enough", lambda df: small)
+    rows = [(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (1, None, "z"), (2, None, "x"), (2, None, None), (None, 0, "n"), (None, 1, "m"), (3, 5, None), (3, 5, None), (4, 1, "once")]
+    table = spark.createDataFrame(rows, "doc_id long, seq int, text string")
+    found = greatest(table, ["doc_id"], "seq", "text").select("doc_id", "seq", "text").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(1, 2, "c"), (2, None, "x"), (None, 1, "m"), (3, 5, None), (4, 1, "once")]))
+    if small:
+        # Only the rows of one key and seq are shuffled with their texts.
+        plan = greatest(table.filter("text = 'once'"), ["doc_id"], "seq", "text")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
