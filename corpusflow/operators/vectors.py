@@ -19,6 +19,8 @@ BLOCK = 2048
 #: A tile: queries and vectors multiplied at a time, whatever a block holds; and pairs scored exactly at a time.
 TILE_QUERIES, TILE_VECTORS, SCORED = 1024, 2048, 20_000
 CANDIDATES = "request_id long, vec_id long, distance double"
+#: Norms between which products in single precision propose pairs; of a tile, the share of pairs beyond which double precision does.
+SINGLE, CROWDED = (1e-15, 1e15), 1 / 8
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
@@ -75,24 +77,66 @@ def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k:
     """
     if k < 1 or not len(q):
         return qid[:0], vid[:0], np.empty(0)
-    done = [_nearest_of_tiles(q[i : i + TILE_QUERIES], vid, v, k, metric) for i in range(0, len(q), TILE_QUERIES)]
+    right = _right(v, metric)
+    done = [_nearest_of_tiles(q[i : i + TILE_QUERIES], vid, v, k, metric, right) for i in range(0, len(q), TILE_QUERIES)]
     rows = [row + i for (row, _, _), i in zip(done, range(0, len(q), TILE_QUERIES))]
     return qid[np.concatenate(rows)], np.concatenate([ids for _, ids, _ in done]), np.concatenate([dist for _, _, dist in done])
 
 
-def _nearest_of_tiles(q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple:
-    """(query rows, vector ids, rounded distances) of the k nearest distinct pairs per query, among its k smallest distances and their ties."""
-    room = 2 * _error_bound(q, v, metric) + 2e-6  # the last part keeps pairs that are equal after rounding
+def _safe(norms: np.ndarray) -> bool:
+    """Whether squares of these lengths, and products in single precision, neither overflow nor vanish."""
+    return bool(np.isfinite(norms).all() and not ((norms < SINGLE[0]) & (norms > 0)).any() and not (norms > SINGLE[1]).any())
+
+
+def _right(v: np.ndarray, metric: str) -> tuple[np.ndarray, float] | None:
+    """The vectors as ``_left`` multiplies them, in single precision, and their largest length; nothing where that is not safe."""
+    squares = (v * v).sum(1)
+    norms = np.sqrt(squares)
+    if not _safe(norms):
+        return None
+    scaled = np.hstack([v, squares[:, None]]) if metric == "l2" else v / np.where(norms > 0, norms, 1)[:, None]
+    return scaled.astype(np.float32), norms.max(initial=0.0)
+
+
+def _left(q: np.ndarray, largest: float, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(left, base, error) such that ``left @ right.T + base`` is the distances within the error; nothing where that is not safe."""
+    squares = (q * q).sum(1)[:, None]
+    norms, size, tiny = np.sqrt(squares), q.shape[1], np.finfo(np.float32).eps
+    if not _safe(norms):
+        return None
+    if metric == "l2":
+        left, base, error = np.hstack([-2 * q, np.ones_like(squares)]), squares, 2 * (size + 4) * tiny * (norms + largest) ** 2
+    else:
+        left, base, error = -q / np.where(norms > 0, norms, 1), np.ones_like(squares), np.full_like(squares, 4 * (size + 4) * tiny)
+    return left.astype(np.float32), base, error
+
+
+def _proposed(rough: np.ndarray, bound: np.ndarray | None, k: int, room: np.ndarray) -> np.ndarray:
+    """Places of the pairs (row by row) that may be within each row's bound, by default the k-th smallest of the row."""
+    if bound is None:
+        last = min(k, rough.shape[1]) - 1
+        bound = np.partition(rough, last, axis=1)[:, last : last + 1]
+    return np.flatnonzero(rough <= (bound + room).astype(rough.dtype))
+
+
+def _nearest_of_tiles(q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, metric: str, right: tuple[np.ndarray, float] | None) -> tuple:
+    """(query rows, vector ids, rounded distances) of the k nearest distinct pairs per query, among its k smallest distances and their ties.
+
+    Products in single precision propose pairs; those in double precision where too many pairs lie within the error of the former.
+    """
+    slack = 2e-6  # keeps pairs that are equal after rounding
+    single = None if right is None else _left(q, right[1], metric)
     row, ids, dist = np.empty(0, dtype=np.int64), vid[:0], np.empty(0)
     smallest = np.full((len(q), k), np.inf)  # of each query the k smallest distances so far, repeated ones too
     for at in range(0, len(vid), TILE_VECTORS):
         tile, names = v[at : at + TILE_VECTORS], vid[at : at + TILE_VECTORS]
-        rough = _distances(q, tile, metric)
-        bound = smallest[:, -1:]
-        if at == 0:
-            last = min(k, len(names)) - 1
-            bound = np.partition(rough, last, axis=1)[:, last : last + 1]
-        new, col = np.nonzero(rough <= bound + room)
+        bound, places = None if at == 0 else smallest[:, -1:], None
+        if single is not None:
+            left, base, error = single
+            places = _proposed(left @ right[0][at : at + TILE_VECTORS].T, None if bound is None else bound - base, k, 2 * error + slack)
+        if places is None or len(places) > CROWDED * len(q) * len(names):
+            places = _proposed(_distances(q, tile, metric), bound, k, 2 * _error_bound(q, v, metric) + slack)
+        new, col = np.divmod(places, len(names))
         if not len(new):
             continue
         rounded = np.empty(len(new))
@@ -177,9 +221,8 @@ def _compare_groups(queries: DataFrame, vectors: DataFrame, k: int, metric: str)
                 continue
             some = right.iloc[inside[bucket]]
             vid, vec = some["vec_id"].to_numpy(), _matrix(some["vector"])
-            for i in range(0, len(at), BLOCK):
-                asking = left.iloc[at[i : i + BLOCK]]
-                pairs.append(_nearest(asking["request_id"].to_numpy(), _matrix(asking["vector"]), vid, vec, k, metric))
+            asking = left.iloc[at]
+            pairs.append(_nearest(asking["request_id"].to_numpy(), _matrix(asking["vector"]), vid, vec, k, metric))
         return _best(pairs, k)
 
     key = ["part", "qb", "vb"]

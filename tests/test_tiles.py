@@ -40,3 +40,35 @@ def test_memory_does_not_grow_with_the_block():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 100e6
+
+
+@pytest.mark.parametrize("metric", V.METRICS)
+@pytest.mark.parametrize("kind", ["unit", "far off", "huge", "tiny", "too large", "zero", "missing"])
+def test_single_precision_loses_no_pair(monkeypatch, metric, kind):
+    monkeypatch.setattr(V, "TILE_VECTORS", 100)
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(400, 12))
+    v = {"unit": v / np.linalg.norm(v, axis=1)[:, None], "far off": v + 1e4, "huge": v * 1e9, "tiny": v * 1e-9, "too large": v * 1e30}.get(kind, v)
+    v[1::7] = v[0::7][: len(v[1::7])]  # ties
+    if kind == "zero":
+        v[5:9] = 0
+    if kind == "missing":
+        v[5:9, 3] = np.nan
+    rows = np.arange(len(v))
+
+    def found():
+        return sorted(zip(*(c.tolist() for c in V._nearest(rows[:30], v[:30], rows, v, 4, metric))), key=str)
+
+    got = found()
+    if kind != "missing":
+        assert got == sorted(((i, int(j), float(d)) for i, j, d in brute(v[:30], rows, v, 4, metric)), key=str)
+    monkeypatch.setattr(V, "_right", lambda *a: None)  # double precision alone
+    assert str(got) == str(found())
+
+
+def test_pairs_are_proposed_in_single_precision(monkeypatch):
+    draw = np.random.default_rng(7)
+    v, ids = draw.normal(size=(3000, 16)), np.arange(3000)
+    want = V._nearest(ids[:100], v[:100], ids, v, 5, "l2")
+    monkeypatch.setattr(V, "_distances", None)
+    assert [c.tolist() for c in V._nearest(ids[:100], v[:100], ids, v, 5, "l2")] == [c.tolist() for c in want]
