@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import fulltext as T
 from corpusflow.operators import packed, segments
 from corpusflow.operators.scale import greatest
-from corpusflow.session import materialize, scratch_dir
+from corpusflow.session import materialize, scratch_path
 
 DDL = "tier int, term string, doc_id long, offset int, positions array<int>, terms array<string>"
 ROWS = [
@@ -47,7 +47,8 @@ def _files(folder):
 def test_a_segment_leaves_only_itself_on_disk(spark, tmp_path, monkeypatch):
     """Neither copies of the texts nor shuffle files stay while the rest of an index is written."""
     monkeypatch.setattr(segments, "FILE_TOKENS", 100)
-    before = set(_files(scratch_dir(spark)))
+    own = os.path.dirname(scratch_path(spark, "any"))  # other applications may write beside it
+    before = set(_files(own))
     stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
     def shuffled():
@@ -57,7 +58,7 @@ def test_a_segment_leaves_only_itself_on_disk(spark, tmp_path, monkeypatch):
     texts = spark.range(0, 200, 1, 2).select(F.col("id").alias("doc_id"), F.lit(0).alias("offset"), F.concat_ws(" ", F.lit("the rose"), "id").alias("text"))
     index = T.build(texts, str(tmp_path / "index"))
     assert len(index.state.files("postings", 0)) > 1
-    assert set(_files(scratch_dir(spark))) == before
+    assert set(_files(own)) == before
     assert shuffled() <= earlier
     found = {(r["doc_id"], r["term"]): (r["tf"], r["positions"]) for r in index.postings().collect()}
     assert len(found) == 600 and found[7, "rose"] == (1, [1]) and found[7, "7"] == (1, [2])
